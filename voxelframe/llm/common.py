@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: in
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0))
         at = np.cumsum(sizes, dtype=np.int64) // limit
         cuts = np.flatnonzero(np.diff(at)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
