@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, quality, sharding, topk
+from . import decontamination, line_dedup, mixing, quality, sharding, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,16 @@ FROM k LEFT JOIN f USING (key) GROUP BY doc_id
 """
 
 
+def _fold(folds: int) -> Column:
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % folds
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, table(spark, sf_dir, "labels"), _fold(5) != 0)
+    return out.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     out = quality.score(docs, table(spark, sf_dir, "labels"))
@@ -78,6 +88,7 @@ def queries() -> dict[str, Query]:
         "op2_decontaminate": op2_decontaminate,
         "op3_top_k": op3_top_k,
         "op5_lines": op5_lines,
+        "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_mix": op10_mix,
     }
