@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, quality, sharding, topk, toxicity
+from . import decontamination, line_dedup, mixing, near_dup, quality, sharding, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,31 @@ FROM k LEFT JOIN f USING (key) GROUP BY doc_id
 """
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2, threshold=80)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
+    ELSE list_distinct(list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w
+), e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+  WHERE 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n)
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id, n.doc_id = m.c AS kept
+FROM n JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = n.doc_id
+"""
+
+
 def _fold(folds: int) -> Column:
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % folds
 
@@ -88,6 +113,7 @@ def queries() -> dict[str, Query]:
         "op2_decontaminate": op2_decontaminate,
         "op3_top_k": op3_top_k,
         "op5_lines": op5_lines,
+        "op6_near_duplicates": op6_near_duplicates,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_mix": op10_mix,
@@ -95,4 +121,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": OP3_SQL, "op5_lines": OP5_SQL}
+    return {"op3_top_k": OP3_SQL, "op5_lines": OP5_SQL, "op6_near_duplicates": OP6_SQL}
