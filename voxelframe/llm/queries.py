@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, near_dup, quality, sharding, topk, toxicity
+from . import decontamination, line_dedup, lm_score, mixing, near_dup, quality, sharding, topk, toxicity
 from .common import table
 
+#: The piece vocabulary of the language model; a parameter of its query.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -90,6 +92,12 @@ def _fold(folds: int) -> Column:
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % folds
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").withColumn("held_out", _fold(7) == 2)
+    out = lm_score.score(docs, ~F.col("held_out"), vocabulary)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.score(docs, table(spark, sf_dir, "labels"), _fold(5) != 0)
@@ -114,6 +122,7 @@ def queries() -> dict[str, Query]:
         "op3_top_k": op3_top_k,
         "op5_lines": op5_lines,
         "op6_near_duplicates": op6_near_duplicates,
+        "op7_lm_score": op7_lm_score,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_mix": op10_mix,
