@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, lm_score, mixing, near_dup, quality, sharding, topk, toxicity
+from . import decontamination, line_dedup, lm_score, mixing, near_dup, quality, sharding, substring_dedup, topk, toxicity
 from .common import table
 
 #: The piece vocabulary of the language model; a parameter of its query.
@@ -44,6 +44,27 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 """
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), w AS (
+  SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM t
+), g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS x FROM w),
+m AS (SELECT x, min(doc_id) AS least FROM g GROUP BY x),
+c AS (SELECT DISTINCT g.doc_id, unnest(generate_series(g.i, g.i + 12)) AS p FROM g JOIN m ON g.x = m.x AND m.least < g.doc_id),
+k AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM t)
+SELECT t.doc_id, len(t.ws) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM t LEFT JOIN (
+  SELECT k.doc_id, count(c.p) AS n, string_agg(CASE WHEN c.p IS NULL THEN k.word END, ' ' ORDER BY k.p) AS kept
+  FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.p = c.p GROUP BY k.doc_id) r ON r.doc_id = t.doc_id
+"""
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
@@ -120,6 +141,7 @@ def queries() -> dict[str, Query]:
         "op1_shard": op1_shard,
         "op2_decontaminate": op2_decontaminate,
         "op3_top_k": op3_top_k,
+        "op4_substrings": op4_substrings,
         "op5_lines": op5_lines,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_lm_score": op7_lm_score,
@@ -130,4 +152,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": OP3_SQL, "op5_lines": OP5_SQL, "op6_near_duplicates": OP6_SQL}
+    return {"op3_top_k": OP3_SQL, "op4_substrings": OP4_SQL, "op5_lines": OP5_SQL, "op6_near_duplicates": OP6_SQL}
