@@ -30,11 +30,9 @@ def line_key(line: Column) -> Column:
 def key_hashes(text: Column) -> Column:
     """For each line of a text its key's hashes, or null where the key is empty."""
 
-    def one(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(F.length(key) > 0, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(SECOND_SEED), key).alias("h2")))
-
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), one)
+    # two steps, so that each key is made once and then hashed
+    keys = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), line_key)
+    return F.transform(keys, lambda k: F.when(k != "", F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(SECOND_SEED), k).alias("h2"))))
 
 
 def count_lines(docs: DataFrame, text: str, batch: Column) -> DataFrame:
