@@ -365,7 +365,7 @@ register("st4_descriptions", "SELECT t, 'ImageJ=' || chr(10) || 'images=10' || c
 register("st7_layout_json", "SELECT t, '{\"shape\":[2,5,4,25],\"axes\":\"czyx\",\"dtype\":\"<u2\"}' AS layout FROM px GROUP BY t")(
     lambda v: v.groupBy("t").agg(*[(F.max(a) + 1).alias(a) for a in "czyx"]).select("t", T.layout_json([c(a) for a in "czyx"], "czyx", "<u2").alias("layout"))
 )
-register("st8_multiscales", "SELECT y AS level, '{\"path\":\"' || y || '\",\"scale\":[2.0,' || CAST(0.25 * (1 << y) AS VARCHAR) || ']}' AS entry FROM px GROUP BY y")(
+register("st8_multiscales", "SELECT y AS level, '{\"path\":\"' || y || '\",\"scale\":[2.0,' || CAST(0.25::DOUBLE * (1 << y) AS VARCHAR) || ']}' AS entry FROM px GROUP BY y")(
     lambda v: v.select("y").distinct().select(c("y").alias("level"), F.concat(lit('{"path":"'), c("y").cast("string"), lit('","scale":[2.0,'), (lit(0.25) * F.expr("shiftleft(1, cast(y as int))")).cast("string"), lit("]}")).alias("entry"))
 )
 register_table("st9_declared_paths", "SELECT n_nationkey AS k, 'labels/' || n_name AS path FROM nation WHERE n_regionkey <> 2")(
@@ -385,3 +385,96 @@ register("px_embed_u8", "SELECT i, y, x, v, least(v, 255) AS v8 FROM px", "embed
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["q_context_histogram_mean"](spark, sf_dir)
+
+
+# --- the codec as jobs: what comes back must be what went in ----------------------------------------------------
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/stack-{uuid.uuid4().hex}"
+
+
+def _chunks(v: DataFrame, g: P.Geometry, depth: int, cal: Calibration | None = None) -> DataFrame:
+    from .plans import jobs
+
+    return jobs.encode_chunks(P.planes(v), g.x, g.y, depth, Options(block_depth=2), cal)
+
+
+def _decoded(chunks: DataFrame, g: P.Geometry) -> DataFrame:
+    from .plans import jobs
+
+    return jobs.voxels_of(jobs.decode_chunks(chunks), g.x)
+
+
+_ALL = "SELECT t, c, z, y, x, v FROM px"
+register("ec1_ec4_roundtrip", _ALL)(lambda v: _decoded(_chunks(v, P.EVENTS, 5), P.EVENTS))
+register("ec8_chunked_roundtrip", _ALL, "orders")(lambda v: _decoded(_chunks(v, P.ORDERS, 2), P.ORDERS))
+register("ec2_lossy_roundtrip", f"SELECT t, c, z, y, x, {_REC} AS v FROM px")(lambda v: _decoded(_chunks(v, P.EVENTS, 5, _CALS["a"]), P.EVENTS))
+QUERIES["sk1_encode_stats"] = lambda spark, d: _chunks(P.px_events(spark, d), P.EVENTS, 5).drop("payload")
+QUERIES["sk2_lossy_stats"] = lambda spark, d: _chunks(P.px_events(spark, d), P.EVENTS, 5, _CALS["a"]).drop("payload")
+
+
+@register("sc28_headers", "SELECT t, c, 'RDL1' AS magic, CAST(25 AS BIGINT) AS nx, CAST(4 AS BIGINT) AS ny, CAST(count(DISTINCT z) AS BIGINT) AS nz, CAST(2 AS BIGINT) AS block_depth FROM px GROUP BY t, c, z // 3")
+def _sc28(v: DataFrame) -> DataFrame:
+    from .plans import jobs
+
+    return _chunks(v, P.EVENTS, 3).select("t", "c", *[e.alias(n) for n, e in jobs.header_fields().items()])
+
+
+def _written(spark: SparkSession, v: DataFrame, path: str) -> None:
+    from .sources import stack
+
+    stack.register(spark)
+    t = v.agg(F.max("t")).first()[0] + 1
+    _chunks(v, P.EVENTS, 2).write.format("voxelstack").mode("append").options(x=25, y=4, z=5, c=2, t=t, chunkDepth=2).save(path)
+
+
+@register("sc12_write_and_read", "SELECT t, c, z, y, x, v FROM px WHERE c = 1 AND z >= 3")
+def _sc12(v: DataFrame) -> DataFrame:
+    from .plans import jobs
+
+    spark, path = v.sparkSession, _folder(v.sparkSession)
+    _written(spark, v, path)
+    return jobs.voxels_of(spark.read.format("voxelstack").load(path).where("c = 1 and z >= 3"), 25)
+
+
+@register("sc1_unit_index", "SELECT 'stream' AS kind, t, c, z // 2 * 2 AS z0, count(DISTINCT z) AS depth FROM px GROUP BY t, c, z // 2 * 2")
+def _sc1(v: DataFrame) -> DataFrame:
+    from .sources import stack
+
+    path = _folder(v.sparkSession)
+    _written(v.sparkSession, v, path)
+    return stack.unit_index(v.sparkSession, path).select("kind", *[c(n).cast("long").alias(n) for n in ("t", "c", "z0", "depth")])
+
+
+@register("sc17_tiff_planes", "SELECT (c * 5 + z) AS page, y, x, v FROM px WHERE t = 0")
+def _sc17(v: DataFrame) -> DataFrame:
+    import numpy as np
+    import pyarrow.fs as pafs
+
+    from .codec import tiff
+    from .plans import jobs
+    from .sources import stack
+
+    spark, path = v.sparkSession, _folder(v.sparkSession)
+    stack.register(spark)
+    # one frame of ten planes
+    rows = P.planes(v.where("t = 0")).orderBy("c", "z").collect()
+    fs, inner = pafs.FileSystem.from_uri(path)
+    fs.create_dir(inner.rpartition("/")[0])
+    with fs.open_output_stream(inner) as out:
+        out.write(tiff.write_pages([np.frombuffer(r["pixels"], "<u2").reshape(4, 25) for r in rows], 25, 4))
+    pages = spark.read.format("tiffplanes").load(path).select(lit(0).alias("t"), lit(0).alias("c"), c("page").alias("z"), "pixels")
+    return jobs.voxels_of(pages, 25).select(c("z").alias("page"), "y", "x", "v")
+
+
+@register("mt3_metadata", "SELECT t, c, 'note ' || t AS note, CAST(5 AS BIGINT) AS z FROM px GROUP BY t, c")
+def _mt3(v: DataFrame) -> DataFrame:
+    from .functions import sql
+
+    sql.register(v.sparkSession)
+    rows = _chunks(v, P.EVENTS, 5).withColumn("noted", F.expr("set_metadata(payload, cast(concat('note ', t) as binary))"))
+    return rows.select(c("t").cast("long").alias("t"), c("c").cast("long").alias("c"), F.expr("cast(get_metadata(noted) as string)").alias("note"), F.expr("container_shape(noted).z").alias("z"))
