@@ -66,15 +66,20 @@ def group_key(column: Column) -> Column:
     return F.when(column.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), column.cast("string")))
 
 
-def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, spread: str, share: int = 2000, salts: int = 64) -> DataFrame:
-    """Inner join of ``big`` with ``small``, whose ``keys`` are unique and whose ``weight`` counts the rows of ``big`` by key.
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, spread: str, counts: DataFrame | None = None, share: int = 2000, salts: int = 64) -> DataFrame:
+    """Inner join of ``big`` with ``small``, whose ``keys`` are unique; ``weight`` counts the rows of ``big`` by key, in ``small``
+    or in ``counts``, a written table.
 
     A key with more than 1/``share`` of all counted rows is hot.  There are fewer than ``share`` such keys whatever
     the input, so their list is broadcast; the rows of a hot key are dealt over ``salts`` partitions by the hash of
     column ``spread``, and the one row of ``small`` is repeated for each of them.
     """
-    total = small.agg(F.sum(weight)).first()[0] or 0
-    hot = small.where(F.col(weight) > max(total / share, 1000)).select(*keys, F.lit(True).alias("_hot"))
+    counts = small if counts is None else counts
+    total = counts.agg(F.sum(weight)).first()[0] or 0
+    found = counts.where(F.col(weight) > max(total / share, 1000)).select(*keys).collect()
+    if not found:
+        return big.join(small, keys)
+    hot = big.sparkSession.createDataFrame([(*r, True) for r in found], counts.select(*keys, F.lit(True).alias("_hot")).schema)
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(spread)), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     left = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
     right = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
@@ -93,6 +98,19 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: in
             yield batch.slice(a, b - a)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined to ones of at least ``rows`` rows, where so many come."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def words_of(column: pa.Array, lower: bool = False) -> list[list[bytes]]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of each text as UTF-8; a null text has none.  ``lower`` folds A-Z only."""
     raw = column.cast(pa.binary()).to_pylist()
@@ -111,6 +129,53 @@ def hash_words(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return mix((crc << np.uint64(32)) ^ adler ^ (length << np.uint64(57))), offsets
 
 
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[list(BLANKS.encode())] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+_STEP = 0x9E3779B97F4A7C15 | 1
+_POWERS = [np.ones(1, np.uint64)] * 2
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64, up to ``n``."""
+    if len(_POWERS[0]) <= n:
+        for i, x in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
+            _POWERS[i] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 1 << 16), x, dtype=np.uint64))])
+    return _POWERS
+
+
+def hash_column(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of each word of all texts, and the offsets of the texts: ``hash_words`` of ``words_of``, without
+    making the words.  The hash of a word is a polynomial in its bytes, from differences of running sums."""
+    column = pc.fill_null(column, "")
+    _, places, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(places, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    text = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    word = np.concatenate([[False], ~_BLANK[text], [False]])
+    begin, end = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
+    inner = at[(at > 0) & (at < len(text))]  # texts end words too
+    begin[inner] |= word[1:-1][inner]
+    end[inner - 1] |= word[1:-1][inner - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    offsets = np.searchsorted(starts, at)
+    out = np.zeros(len(starts), dtype=np.uint64)
+    a = 0
+    while a < len(starts):  # words of about SLICE_BYTES at a time, or one longer word
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + 2 * SLICE_BYTES, "right")))
+        own = text[starts[a] : ends[b - 1]]
+        up, down = _powers(len(own))
+        terms = (_FOLD[own] if lower else own).astype(np.uint64) + np.uint64(1)
+        terms *= up[: len(own)]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+        x, y = starts[a:b] - starts[a], ends[a:b] - starts[a]
+        out[a:b] = mix((sums[y] - sums[x]) * down[x] + (y - x).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        a = b
+    return out, offsets
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

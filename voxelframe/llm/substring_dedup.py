@@ -34,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, hash_words, join_hot, mix, text_slices, words_of
+from .common import Scratch, free_name, hash_column, join_hot, mix, text_slices, words_of
 
 #: Rounds of recompression.
-ROUNDS = 3
+ROUNDS = 2
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -181,8 +181,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     docs = docs.drop("n_words", "n_removed", "kept")
-    # rows are told apart by key and text
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.hash(text).alias("t"), F.col(text).alias("text")).where("id is not null")
+    # rows are told apart by key and, where keys repeat, by text
+    repeated = not docs.groupBy(key).count().where("count > 1").isEmpty()
+    tag = F.hash(text) if repeated else F.lit(0)
+    slim = docs.select(F.col(key).cast("long").alias("id"), tag.alias("t"), F.col(text).alias("text")).where("id is not null")
 
     def release() -> None:
         """Shuffle files of finished passes go when the driver's handles of them do."""
@@ -191,20 +193,20 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            h, offsets = hash_words(words_of(b.column("text")))
+            h, offsets = hash_column(b.column("text"))
             doc, _, _, name, _ = stretches(h, offsets, window)
             yield pa.record_batch([b.column("id").take(pa.array(doc)), pa.array(name.view(np.int64))], names=["id", "name"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            h, offsets = hash_words(words_of(b.column("text")))
+            h, offsets = hash_column(b.column("text"))
             doc, at, count, name, stretch = stretches(h, offsets, window)
             own = pa.array(doc)
             yield pa.record_batch([b.column("id").take(own), b.column("t").take(own), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(stretch.view(np.int64))], names=["id", "t", "at", "n", "name", "stretch"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            h, offsets = hash_words(words_of(b.column("text")))
+            h, offsets = hash_column(b.column("text"))
             starts, doc = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, rows in enumerate(b.column("places").to_pylist()):
                 own = np.unique(np.concatenate([np.arange(r["at"], r["at"] + r["n"]) for r in rows]))
@@ -240,7 +242,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     release()
 
     k, t, g = free_name(docs, "_id", "_t", "_gone")
-    rows = docs.withColumn(k, F.col(key).cast("long")).withColumn(t, F.hash(text))
+    rows = docs.withColumn(k, F.col(key).cast("long")).withColumn(t, tag)
     joined = rows.join(gone.select(F.col("id").alias(k), F.col("t").alias(t), F.col("gone").alias(g)), [k, t], "left").drop(k, t)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
