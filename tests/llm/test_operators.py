@@ -387,3 +387,21 @@ def test_lm_word_probabilities_stay_below_one(spark):
     end = 10 ** out[0]["score"]
     # P(w) P(end) for each word, in the mixture of nearly equal languages
     assert sum(10 ** r["score"] for r in out[1:]) < end and end < 0.25
+
+
+def test_hash_column_tells_words_apart():
+    import pyarrow as pa
+
+    from voxelframe.llm import common
+
+    rng = random.Random(0)
+    texts = [None, "", "  ", "a", "A b\tc", "héé x", *("".join(rng.choices(" \n\x0babAé", k=rng.randint(0, 40))) for _ in range(300)), "x" * 70000 + " y"]
+    for lower in (False, True):
+        for column in (pa.array(texts), pa.array([*texts, *texts]).slice(len(texts), len(texts)), pa.array(texts, pa.large_string())):
+            h, offsets = common.hash_column(column, lower)
+            words = common.words_of(pa.array(texts), lower)
+            assert [len(w) for w in words] == np.diff(offsets).tolist()
+            seen = {}
+            for w, x in zip([x for ws in words for x in ws], h):
+                assert seen.setdefault(w, x) == x
+            assert len(set(seen.values())) == len(seen)
