@@ -100,6 +100,24 @@ def structured(x, y, z):
     return ((17 * i[0] + 31 * i[1] + 101 * i[2] + 3 * i[0] * i[1]) % 65536).astype(np.int64)
 
 
+def test_few_blocks_and_many_are_coded_alike(monkeypatch):
+    rng = np.random.default_rng(7)
+    arrays_ = [rng.poisson(m, (5, 6, 7)) for m in (0, 3, 900, 30000)]
+    for mode in MODES:
+        for cal in (None, Calibration(100, 0.46, 4)):
+            done = []
+            for few in (0, 1 << 30):
+                monkeypatch.setattr(entropy, "FEW", few)
+                done.append([data for data, _ in container.encode_volumes(arrays_, Options(2, mode), cal)])
+                assert cal or all((a == b).all() for a, b in zip(container.decode_volumes(done[-1]), arrays_))
+            assert done[0] == done[1]
+            back = []
+            for few in (0, 1 << 30):
+                monkeypatch.setattr(entropy, "FEW", few)
+                back.append(container.decode_volumes(done[0]))
+            assert all((a == b).all() for a, b in zip(*back))
+
+
 @pytest.mark.parametrize("mode", list(MODES))
 @pytest.mark.parametrize("shape", [(7, 5, 3), (1, 1, 1), (1, 7, 5), (11, 1, 5), (13, 7, 1), (9, 3, 2)])
 def test_volume_roundtrip(mode, shape):

@@ -13,6 +13,8 @@ from ..plans.spec import MODES, FormatError
 from .model import Model
 
 LANES, LOWER = 4, 1 << 23
+#: With fewer blocks a step of plain integers is cheaper than one of vectors.
+FEW = 12
 
 
 def block_contexts(q: np.ndarray, mode: str, alphabet: int | np.ndarray) -> np.ndarray:
@@ -132,6 +134,9 @@ def encode(q: np.ndarray, r: np.ndarray | None, mode: str, alphabets: np.ndarray
     ctx = block_contexts(q, mode, alphabets).reshape(len(q), -1)
     q2 = q.reshape(len(q), -1).astype(np.int64)
     every = np.arange(len(q))
+    if len(q) < FEW:
+        r2 = r.reshape(len(q), -1) if r is not None else None
+        return _encode_few(q.reshape(len(q), -1), r2, ctx, q_tables, r_tables)
     out, rest = Writer(len(q), q2.shape[1]), Writer(len(q), q2.shape[1]) if r is not None else None
     r2 = r.reshape(len(q), -1).astype(np.int64) if r is not None else None
     for i in range(q2.shape[1] - 1, -1, -1):
@@ -148,6 +153,9 @@ def decode(shape: tuple[int, int, int], mode: str, alphabets: np.ndarray, q_tabl
     blocks = len(alphabets)
     every, a = np.arange(blocks), np.asarray(alphabets, dtype=np.int64)
     base = MODES[mode][1] * a
+    if blocks < FEW:
+        got = [_decode_one(shape, mode, int(a[i]), i, q_tables, q_reader, r_tables, r_reader) for i in range(blocks)]
+        return np.array(got, dtype=np.int64).reshape(blocks, *shape)
     q = np.zeros((n, blocks), dtype=np.int64)
     for i in range(n):
         x, y, z = i % nx, i // nx % ny, i // plane
@@ -170,3 +178,109 @@ def decode(shape: tuple[int, int, int], mode: str, alphabets: np.ndarray, q_tabl
     if (v > 65535).any():
         raise FormatError("reconstructed value exceeds 65535")
     return v.T.reshape(blocks, *shape)
+
+
+def _encode_few(q: np.ndarray, r: np.ndarray | None, ctx: np.ndarray, q_tables: Tables, r_tables: Tables | None) -> tuple[Writer, Writer | None]:
+    """The same, block after block with plain integers."""
+    streams = [(q_tables, ctx, q, Writer(len(q), 0))] + ([(r_tables, q, r, Writer(len(q), 0))] if r is not None else [])
+    for second, (t, contexts, symbols, out) in enumerate(streams):
+        freq, cum, width, shift, bits = t.freq.ravel().tolist(), t.cum.ravel().tolist(), t.freq.shape[1], 31 - t.bits, t.bits
+        stacks = []
+        for b in range(len(q)):
+            at = (t.row(np.full(symbols.shape[1], b), contexts[b].astype(np.int64)) * width + symbols[b]).tolist()
+            skip = (q[b] == 0).tolist() if second else None
+            state, stack = [LOWER] * LANES, bytearray()
+            for i in range(len(at) - 1, -1, -1):
+                if skip and skip[i]:
+                    continue
+                f, x = freq[at[i]], state[i % LANES]
+                if not f:
+                    raise FormatError("symbol that the model lacks")
+                limit = f << shift
+                while x >= limit:
+                    stack.append(x & 255)
+                    x >>= 8
+                state[i % LANES] = ((x // f) << bits) + x % f + cum[at[i]]
+            out.state[b] = state
+            stacks.append(bytes(stack))
+        out.size = np.array([len(x) for x in stacks])
+        out.bytes = np.zeros((len(q), max(1, int(out.size.max()))), dtype=np.uint8)
+        for b, x in enumerate(stacks):
+            out.bytes[b, : len(x)] = np.frombuffer(x, np.uint8)
+    return streams[0][3], streams[1][3] if r is not None else None
+
+
+def _popper(t: Tables, reader: Reader, block: int):
+    """A function that decodes the next symbol of one block in a lane and context, and one that checks the end."""
+    rows, width, total = t.rows[t.which[block]].tolist(), t.freq.shape[1], 1 << t.bits
+    slots, freq, cum, mask, bits = t.slots.ravel().tolist() if t.slots.size < 1 << 22 else t.slots.ravel(), t.freq.ravel().tolist(), t.cum.ravel().tolist(), t.mask, t.bits
+    state, stack = [int(x) for x in reader.state[block]], bytearray(reader.bytes[block, : reader.left[block]].tobytes())
+
+    def pop(lane: int, ctx: int) -> int:
+        row = rows[ctx]
+        if row < 0:
+            raise FormatError("symbol in a context that the model lacks")
+        x = state[lane]
+        slot = x & mask
+        sym = int(slots[row * total + slot])
+        k = row * width + sym
+        x = freq[k] * (x >> bits) + slot - cum[k]
+        while x < LOWER:
+            if not stack:
+                raise FormatError("truncated byte stack")
+            x = (x << 8) | stack.pop()
+        state[lane] = x
+        return sym
+
+    def check() -> None:
+        if stack or state != [LOWER] * LANES:
+            raise FormatError("bytes left in the stack")
+
+    return pop, check
+
+
+def _decode_one(shape: tuple[int, int, int], mode: str, alphabet: int, block: int, q_tables: Tables, q_reader: Reader, r_tables: Tables | None, r_reader: Reader | None) -> list[int]:
+    depth, ny, nx = shape
+    plane, base, mean, compact = ny * nx, MODES[mode][1] * alphabet, mode.startswith("mean"), _COMPACT[mode]
+    pop, check = _popper(q_tables, q_reader, block)
+    q = [0] * (depth * plane)
+    i = 0
+    for z in range(depth):
+        for y in range(ny):
+            for x in range(nx):
+                if not x:
+                    ctx = base + alphabet
+                elif not y or not (z or mean):
+                    ctx = base + q[i - 1]
+                else:
+                    l, u = q[i - 1], q[i - nx]
+                    ctx = compact(l, u, q[i - plane] if z else (l + u) // 2)
+                q[i] = pop(i % LANES, ctx)
+                i += 1
+    check()
+    if r_reader is None:
+        return q
+    pop, check = _popper(r_tables, r_reader, block)
+    for i, s in enumerate(q):
+        if s:
+            q[i] = s * s + pop(i % LANES, s)
+            if q[i] > 65535:
+                raise FormatError("reconstructed value exceeds 65535")
+    check()
+    return q
+
+
+def _three(a: int, b: int) -> int:
+    return (a > b) - (a < b) + 1
+
+
+def _five(d: int) -> int:
+    return (0, 1, 2, 4, 3)[min(max(d, -2), 2)]
+
+
+_COMPACT = {
+    "mean": lambda l, u, p: l + u + p,
+    "meansigns": lambda l, u, p: (l + u + p) * 3 + _three(l, u),
+    "signs": lambda l, u, p: ((m := sorted((l, u, p))[1]) * 3 + _three(l, u)) * 3 + _three(p, m),
+    "signed3": lambda l, u, p: ((m := sorted((l, u, p))[1]) * 5 + _five(l - u)) * 5 + _five(p - m),
+}
