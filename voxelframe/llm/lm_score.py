@@ -30,15 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, group_key, mix, text_slices, words_of
+from .common import Scratch, free_name, gathered, group_key, mix, text_slices, words_of
 
 #: Words that the workers hold; languages that have frequencies of their own; entries of a worker's counter.
 HOT_WORDS, MAX_LANGUAGES, COUNTER = 1 << 18, 6, 300_000
 #: The key of the end of a text: no word holds a blank.
 END = b" "
 LOG10 = np.log(10.0)
-#: Words of one lattice batch.
-BATCH = 2048
+#: Words of one lattice batch; words that are gathered first, so that those of each length are many.
+BATCH, GATHER = 2048, 60_000
 
 
 def read_vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
@@ -76,30 +76,34 @@ class Lattice:
             self.bits[h >> np.uint64(44)] = True
 
     @staticmethod
-    def _hash(x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), x.shape[1], dtype=np.uint64)
+    def _step(h: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+        """The hash of strings one byte longer."""
+        return x + np.uint64(1) if h is None else h * np.uint64(0x100000001B3) + (x + np.uint64(1))
+
+    def _hash(self, x: np.ndarray) -> np.ndarray:
+        out = None
         for j in range(x.shape[1]):
-            out = out * np.uint64(0x100000001B3) + x[:, j] + np.uint64(1)
+            out = self._step(out, x[:, j])
         return mix(out)
 
     def edges(self, x: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """For each length the pieces (or -1) that start at each position of the words ``x`` (one row each)."""
-        out = []
+        out, h = [], None
         n = x.shape[1]
-        for k, (keys, own) in self.tables.items():
-            if k > n:
-                break
-            h = np.full((len(x), n - k + 1), k, dtype=np.uint64)
-            for j in range(k):
-                h = h * np.uint64(0x100000001B3) + x[:, j : j + n - k + 1] + np.uint64(1)
-            h = mix(h)
-            got = np.full(h.shape, -1, dtype=np.int64)
-            at = np.nonzero(self.bits[h >> np.uint64(44)])
-            i = np.searchsorted(keys, h[at])
+        for k in range(1, min(n, max(self.tables)) + 1):
+            h = self._step(h if h is None else h[:, :-1], x[:, k - 1 :])
+            if k not in self.tables:
+                continue
+            keys, own = self.tables[k]
+            name = mix(h)
+            at = np.nonzero(self.bits[name >> np.uint64(44)])
+            wanted = name[at]
+            i = np.searchsorted(keys, wanted)
             i[i == len(keys)] = 0
-            hit = keys[i] == h[at]
-            got[at[0][hit], at[1][hit]] = own[i[hit]]
+            hit = keys[i] == wanted
             if hit.any():
+                got = np.full(h.shape, -1, dtype=np.int64)
+                got[at[0][hit], at[1][hit]] = own[i[hit]]
                 out.append((k, got))
         return out
 
@@ -172,7 +176,7 @@ def _expected(table: DataFrame, columns: list[str], model: Lattice) -> tuple[np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(columns), width))
-        for b in batches:
+        for b in gathered(batches, GATHER):
             words = b.column("w").to_pylist()
             for i, c in enumerate(columns):
                 own = [words[j] for j in np.flatnonzero(np.asarray(b.column(c)) > 0) if words[j] != END]
@@ -189,7 +193,7 @@ def _expected(table: DataFrame, columns: list[str], model: Lattice) -> tuple[np.
     return out[:, :-1], out[:, -1]
 
 
-def score(docs: DataFrame, learn: Column, vocabulary: str, lang: str = "lang", key: str = "doc_id", text: str = "text", hot_words: int = HOT_WORDS, rounds: int = 3) -> DataFrame:
+def score(docs: DataFrame, learn: Column, vocabulary: str, lang: str = "lang", key: str = "doc_id", text: str = "text", hot_words: int = HOT_WORDS, rounds: int = 2) -> DataFrame:
     """``docs`` without its text, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end.  ``learn`` picks the training rows by
@@ -248,7 +252,7 @@ def score(docs: DataFrame, learn: Column, vocabulary: str, lang: str = "lang", k
     lattice = spark.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches, GATHER):
             words = b.column("w").to_pylist()
             end = np.array([x == END for x in words])
             log_p = lattice.value.marginal([b"" if x == END else x for x in words])
@@ -279,27 +283,29 @@ def score(docs: DataFrame, learn: Column, vocabulary: str, lang: str = "lang", k
         bar = g
     is_hot = F.floor(F.log2("a") * 8) >= bar
     got = weighed.where(is_hot).drop("a").toPandas()
-    hot = spark.sparkContext.broadcast(({bytes(x): i for i, x in enumerate(got["w"])}, got[ps].to_numpy(np.float64), got["base"].to_numpy(), got["known"].to_numpy(np.int64)))
+    # a row for each word and, at the end, one of zeros for words that are not there
+    values = np.vstack([np.column_stack([got[ps].to_numpy(np.float64), got["base"].to_numpy(np.float64), got["known"].to_numpy(np.float64)]), np.zeros((1, len(ps) + 2))])
+    hot = spark.sparkContext.broadcast(({bytes(x): i for i, x in enumerate(got["w"])}, values))
     others = [c for c in rows.columns if c not in (text, l, t)]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, p, base, known = hot.value
+        index, values = hot.value
+        none = len(values) - 1
         uid = TaskContext.get().partitionId() << 40
         for b in text_slices(batches, text):
             texts = words_of(b.column(text), lower=True)
             size = np.array([len(x) + 1 for x in texts])
             flat = [x for ws in texts for x in (*ws, END)]
-            at = np.fromiter((index.get(x, -1) for x in flat), dtype=np.int64, count=len(flat))
+            at = np.fromiter((index.get(x, none) for x in flat), dtype=np.int64, count=len(flat))
             doc = np.repeat(np.arange(len(texts)), size)
-            ok = at >= 0
-            cols = [np.bincount(doc[ok], v[at[ok]], len(texts)) for v in (*p.T, base, known)]
+            cols = np.add.reduceat(values[at], np.cumsum(size) - size, axis=0).T  # every text has a token
             rare: list[Counter] = [Counter() for _ in texts]
-            for i in np.flatnonzero(~ok):
+            for i in np.flatnonzero(at == none):
                 rare[doc[i]][flat[i]] += 1
             ids = np.arange(uid, uid + len(texts))
             uid += len(texts)
             yield pa.record_batch(
-                [*[b.column(c) for c in others], pa.array(ids), pa.array(size), *[pa.array(x) for x in cols], pa.array([list(c) for c in rare], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int32()))],
+                [*[b.column(c) for c in others], pa.array(ids), pa.array(size), *[pa.array(np.ascontiguousarray(x)) for x in cols], pa.array([list(c) for c in rare], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int32()))],
                 names=[*others, w, "n_tokens", *ps, "base", "known", "rare", "times"],
             )
 
