@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one vectorised step takes at once, so that a worker's arrays stay small.
 SLICE_BYTES = 2 << 20
+#: Bytes whose running sums are held at once when words are hashed.
+HASH_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +41,22 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.held: list[DataFrame] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """For a small table that is used twice and is quickly made from written ones: kept by the executors until ``let_go``."""
+        self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.held[-1]
+
+    def let_go(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
+
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -163,8 +176,8 @@ def hash_column(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     offsets = np.searchsorted(starts, at)
     out = np.zeros(len(starts), dtype=np.uint64)
     a = 0
-    while a < len(starts):  # words of about SLICE_BYTES at a time, or one longer word
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + 2 * SLICE_BYTES, "right")))
+    while a < len(starts):  # words of about HASH_BYTES at a time, or one longer word
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + HASH_BYTES, "right")))
         own = text[starts[a] : ends[b - 1]]
         up, down = _powers(len(own))
         terms = (_FOLD[own] if lower else own).astype(np.uint64) + np.uint64(1)

@@ -2,40 +2,46 @@
 
 Each document is the set of its word shingles.  Minima under many universal
 hash functions make a signature; bands of the signature are the keys of
-buckets.  Within a bucket every document is paired with the smallest one only,
-pairs are verified first by signature and then on the full sets, and the
+buckets.  Pairs are verified by signature and then on the full sets, and the
 components of the verified links come from alternating large-star and
-small-star steps.  A second round pairs, in each bucket, the documents outside
-the component that holds most of it with the rest, so that no candidate pair
-between different components stays untested, without ever emitting all pairs of
-a group of copies.
-
-Documents of equal sets are one class: only its smallest document takes part.
+small-star steps.
+
+No group of copies is paired with itself in full.  Documents of equal sets are
+one class: only its smallest document takes part.  Each bucket has a leader,
+the member that shares most buckets with most others, which in a group of
+edited copies is the one closest to all.  Documents are verified against the
+best of their leaders first, then against the leaders that are still in other
+components.  What a leader's documents hold outside their largest component is
+compared with all of them, block by block inside the tasks, and only links come
+out: in the end no candidate pair between different components is untested.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_words, join_hot, mix, text_slices, words_of
+from .common import Scratch, hash_column, join_hot, mix, text_slices
 
-#: A pair of similarity 0.8 misses all of 32 bands of 5 rows with a probability of 3e-6, one of 0.85 with 2e-8.
-BANDS, ROWS = 32, 5
-#: Signatures that agree in a smaller share than the threshold by this much are not verified further (over 6 standard deviations).
-MARGIN = 0.2
-_MULTIPLIERS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: A pair of similarity 0.8 misses all of 56 bands of 7 rows with a probability of 2e-6, one of 0.85 with 2e-10.
+BANDS, ROWS = 56, 7
+#: Hashes of the signature that verifies; the share of it that may be missing is over 7 standard deviations.
+CHECKS, MARGIN = 128, 0.25
+_MULTIPLIERS = (mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: Shingles hashed at once, to stay within the cache.
 CHUNK = 1 << 14
+#: Bytes of sets in one block of the last comparison.
+BLOCK_BYTES = 1 << 19
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     """The sorted distinct hashes of the ``size``-word shingles of each text; with fewer words, of the whole sequence."""
-    h, offsets = hash_words(words_of(column, lower=True))
+    h, offsets = hash_column(column, lower=True)
     out = []
     rolled = h.copy()
     for k in range(1, size):
@@ -54,25 +60,21 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray], count: int) -> np.ndarray:
-    """Minima of each set under ``count`` multiply-shift hashes, their top 32 bits; rows of empty sets hold the maximum."""
+    """Minima of each set under ``count`` multiply-shift hashes of 32 bits; rows of empty sets hold the maximum."""
     out = np.full((len(sets), count), 0xFFFFFFFF, dtype=np.uint32)
-    full = [i for i, s in enumerate(sets) if len(s)]
-    if not full:
+    full = np.flatnonzero([len(x) for x in sets])
+    if not len(full):
         return out
-    flat = np.concatenate([sets[i] for i in full])
+    flat = (np.concatenate([sets[i] for i in full]) >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])]).astype(np.int64)
-    # chunks of whole sets, or parts of a large one
-    lows = np.full((len(full), count), np.iinfo(np.uint64).max, dtype=np.uint64)
-    a = 0
-    while a < len(full):
-        b = max(a + 1, int(np.searchsorted(starts, starts[a] + CHUNK, "right")) - 1)
-        for x in range(int(starts[a]), int(starts[b]), CHUNK) if b == a + 1 else (int(starts[a]),):
-            y = min(x + CHUNK, int(starts[b])) if b == a + 1 else int(starts[b])
-            part, at = flat[x:y], (starts[a:b] - x if b > a + 1 else np.zeros(1, np.int64))
-            for j in range(count):
-                np.minimum(lows[a:b, j], np.minimum.reduceat(part * _MULTIPLIERS[j], at), out=lows[a:b, j])
-        a = b
-    out[full] = (lows >> np.uint64(32)).astype(np.uint32)
+    lows = np.full((count, len(full)), 0xFFFFFFFF, dtype=np.uint32)
+    for x in range(0, len(flat), CHUNK):  # a set may lie in several chunks
+        part = flat[x : x + CHUNK]
+        a, b = int(np.searchsorted(starts, x, "right")) - 1, int(np.searchsorted(starts, x + len(part), "left"))
+        at = np.maximum(starts[a:b] - x, 0)
+        for j in range(count):
+            np.minimum(lows[j, a:b], np.minimum.reduceat(part * _MULTIPLIERS[j], at), out=lows[j, a:b])
+    out[full] = lows.T
     return out
 
 
@@ -90,23 +92,26 @@ def _sketches(docs: DataFrame, size: int, bands: int, rows: int, key: str, text:
         for b in text_slices(batches, text):
             sets = shingle_sets(b.column(text), size)
             names = np.array([[s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)] for s in sets], dtype=np.uint64).view(np.int64)
-            sig = signatures(sets, bands * rows)
-            keys = _band_keys(sig, bands, rows).view(np.int64)
-            yield pa.record_batch([b.column(key).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(list(keys), pa.list_(pa.int64())), pa.array([x.tobytes() for x in sig], pa.binary())], names=["id", "n", "s1", "s2", "keys", "sig"])
+            keys = _band_keys(signatures(sets, bands * rows), bands, rows).view(np.int64)
+            yield pa.record_batch([b.column(key).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "n", "s1", "s2", "keys"])
 
-    return docs.select(key, text).mapInArrow(run, "id long, n long, s1 long, s2 long, keys array<long>, sig binary")
+    return docs.select(key, text).mapInArrow(run, "id long, n long, s1 long, s2 long, keys array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """The sorted shingles of documents ``id, text`` and a signature of one byte for each of ``CHECKS`` hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
-            yield pa.record_batch([b.column("id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), size)], pa.binary())], names=["id", "shingles"])
+            sets = shingle_sets(b.column("text"), size)
+            sig = (signatures(sets, CHECKS) & np.uint32(255)).astype(np.uint8)
+            yield pa.record_batch([b.column("id"), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "sig", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.mapInArrow(run, "id long, sig binary, shingles binary")
 
 
-def _check(pairs: DataFrame, threshold: int, column: str, exact: bool) -> DataFrame:
-    """Pairs ``a, b`` whose ``a_x``, ``b_x`` pass: on signatures nearly, on full sets exactly ``100 * inter >= threshold * union``."""
+def _check(pairs: DataFrame, threshold: int, exact: bool) -> DataFrame:
+    """Pairs ``a, b`` whose ``a_x``, ``b_x`` pass: signatures nearly, full sets exactly ``100 * inter >= threshold * union``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,7 +122,7 @@ def _check(pairs: DataFrame, threshold: int, column: str, exact: bool) -> DataFr
                     inter = len(np.intersect1d(p, q, assume_unique=True))
                     ok.append(100 * inter >= threshold * (len(p) + len(q) - inter))
                 else:
-                    same = np.frombuffer(x.as_buffer(), np.uint32) == np.frombuffer(y.as_buffer(), np.uint32)
+                    same = np.frombuffer(x.as_buffer(), np.uint8) == np.frombuffer(y.as_buffer(), np.uint8)
                     ok.append(same.mean() >= threshold / 100 - MARGIN)
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -135,17 +140,17 @@ def components(edges: DataFrame, scratch: Scratch, label: str = "cc", rounds: in
     last = None
     for i in range(1, rounds + 1):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("c")), f"{label}-l{i}")
+        low = scratch.hold(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("c")))
         large = join_hot(both, low, ["u"], "c", "v").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.keep(large, f"{label}-a{i}")
+        large = scratch.hold(large)
         # small-star: u with its smaller neighbours
-        least = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), f"{label}-s{i}")
+        least = scratch.hold(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")))
         moved = join_hot(large, least, ["u"], "c", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = scratch.keep(moved, f"{label}-{i}")
         # a star forest has no edge whose smaller end is a larger end elsewhere; sums tell when nothing moves any more
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for old in (f"{label}-l{i}", f"{label}-a{i}", f"{label}-s{i}", f"{label}-{i - 1}"):
-            scratch.drop(old)
+        scratch.let_go()
+        scratch.drop(f"{label}-{i - 1}")
         if state == last:
             break
         last = state
@@ -165,63 +170,153 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, bands:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
+
+    def release() -> None:
+        """Shuffle files of finished passes go when the driver's handles of them do."""
+        scratch.let_go()
+        gc.collect()
+        spark._jvm.System.gc()
+
     sketch = scratch.keep(_sketches(docs, size, bands, rows, key, text), "sketch")
     full = sketch.where("n > 0")
     # classes of equal sets
     classes = scratch.keep(full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")), "classes")
-    reps = full.select("id", "keys", "sig", "s1", "s2", "n").join(classes.select("s1", "s2", "n", F.col("rep").alias("id")), ["s1", "s2", "n", "id"], "left_semi").dropDuplicates(["id", "s1", "s2"])
+    reps = full.join(classes.select("s1", "s2", "n", F.col("rep").alias("id")), ["s1", "s2", "n", "id"], "left_semi").dropDuplicates(["id", "s1", "s2"])
+    reps = scratch.keep(reps.select("id", "keys"), "reps")
+    named_sets = scratch.keep(sketch.select("id", "n", "s1", "s2"), "names")
+    full = named_sets.where("n > 0")
+    scratch.drop("sketch")
+    release()
     banded = reps.select("id", F.explode("keys").alias("k"))
-    buckets = scratch.keep(banded.groupBy("k").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
-    members = scratch.keep(join_hot(banded, buckets, ["k"], "c", "id").select("id", "k", "first", "c"), "members")
-    signs = reps.select("id", "sig")
-
-    links = scratch.keep(_verified(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), signs, docs, size, threshold, key, text, scratch, "v1"), "links1")
+    buckets = scratch.keep(banded.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
+    members = scratch.keep(join_hot(banded, buckets, ["k"], "c", "id"), "members")
+    scratch.drop("reps")
+    release()
+    # how many others a document meets, over all its buckets
+    members = scratch.keep(members.join(members.groupBy("id").agg(F.sum("c").alias("meets")), "id"), "ranked")
+    lead = F.max_by(F.struct(F.col("id").alias("lead"), F.col("meets").alias("fame")), F.struct("meets", -F.col("id"))).alias("l")
+    leads = scratch.keep(members.groupBy("k").agg(lead, F.count(F.lit(1)).alias("c")).select("k", "l.*", "c"), "leads")
+    led = join_hot(members.select("id", "k"), leads, ["k"], "c", "id").select("lead", "id", "fame").distinct()
+    led = scratch.keep(led, "led")
+    ids = led.select("id").distinct()
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    sets = _sets(texts, size)
+    if not named_sets.groupBy("id").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["id"])  # of rows that repeat a key, one
+    sets = scratch.keep(sets, "sets")
+    scratch.drop("members")
+    scratch.drop("ranked")
+    release()
+
+    best = F.max_by("lead", F.struct("fame", -F.col("lead")))
+    pairs = led.where("id <> lead").groupBy("id").agg(best.alias("lead"))
+    links = scratch.keep(_verified(_ordered(pairs), sets, threshold, scratch, "v0"), "links0")
+    comp = components(links, scratch, "cc0")
+    release()
+    named = _named(led, comp, scratch, "named0")
+    more = _verified(_ordered(named.where("id <> lead and component <> lead_component")), sets, threshold, scratch, "v1")
+    links = scratch.keep(links.unionByName(more), "links1")
     comp = components(links, scratch, "cc1")
-    # buckets that still hold several components: those outside the largest meet all others of the bucket
-    named = members.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = scratch.keep(named.groupBy("k", "component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("m")), "parts")
-    mixed = parts.groupBy("k").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("component", "n").alias("most"), F.sum("n").alias("c")).where("kinds > 1")
-    mixed = scratch.keep(mixed, "mixed")
-    there = scratch.keep(join_hot(named.select("id", "k", "component"), mixed, ["k"], "c", "id").select("id", "k", "component", "most"), "there")
-    odd = there.where("component <> most").select(F.col("id").alias("o"), "k", F.col("component").alias("oc"))
-    odds = odd.groupBy("k").agg(F.collect_list(F.struct("o", "oc")).alias("odd"), F.count(F.lit(1)).alias("n"))
-    # odd ones are few beside the bucket; the rest of the bucket is spread where it is large
-    sizes = mixed.select("k", "c")
-    crossed = join_hot(there.select("id", "k", "component"), odds.join(sizes, "k"), ["k"], "c", "id")
-    crossed = crossed.select("id", "component", F.explode("odd").alias("x")).where("component <> x.oc and id <> x.o")
-    crossed = crossed.select(F.least("id", "x.o").alias("a"), F.greatest("id", "x.o").alias("b")).distinct()
-    tried = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    crossed = scratch.keep(crossed.join(tried, ["a", "b"], "left_anti"), "crossed")
-    if not crossed.isEmpty():
-        more = scratch.keep(_verified(crossed, signs, docs, size, threshold, key, text, scratch, "v2"), "links2")
-        if not more.isEmpty():
-            comp = components(links.unionByName(more), scratch, "cc2")
+    release()
+    rest = scratch.keep(_across(_named(led, comp, scratch, "named1"), sets, threshold, scratch), "rest")
+    if not rest.isEmpty():
+        comp = components(links.unionByName(rest), scratch, "cc2")
+    release()
 
     of_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", "c", F.coalesce("component", "rep").alias("component"))
     of_class = scratch.keep(of_class, "of-class")
     linked = join_hot(full.select("id", "n", "s1", "s2"), of_class, ["s1", "s2", "n"], "c", "id").select("id", "n", "component")
-    alone = sketch.where("n = 0").select("id", "n", F.col("id").alias("component"))
+    alone = named_sets.where("n = 0").select("id", "n", F.col("id").alias("component"))
     out = linked.unionByName(alone)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-def _with(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """The values of both ends of each pair; hot ends are spread."""
-    for end in ("a", "b"):
-        count = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("c"))
-        side = values.select(F.col("id").alias(end), F.col(column).alias(f"{end}_x")).join(count, end)
-        pairs = join_hot(pairs, side, [end], "c", "b" if end == "a" else "a").drop("c")
-    return pairs
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame, size: int, threshold: int, key: str, text: str, scratch: Scratch, label: str) -> DataFrame:
+def _named(led: DataFrame, comp: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    """``lead, id`` with the components of both; a document without a link is a component of its own."""
+    out = led.select("lead", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of_lead = out.where("id = lead").select("lead", F.col("component").alias("lead_component"))
+    sizes = scratch.hold(led.groupBy("lead").agg(F.count(F.lit(1)).alias("c")))
+    return scratch.keep(join_hot(out, of_lead, ["lead"], "c", "id", sizes), label)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch, label: str) -> DataFrame:
+    """The pairs ``a, b`` that pass both checks."""
     pairs = scratch.keep(pairs, f"{label}-pairs")
-    likely = scratch.keep(_check(_with(pairs, signs, "sig"), threshold, "sig", exact=False), f"{label}-likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # texts of the documents in question only; of rows that repeat a key, one
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    sets = scratch.keep(_sets(texts, size).dropDuplicates(["id"]), f"{label}-sets")
-    return _check(_with(likely, sets, "shingles"), threshold, "shingles", exact=True)
+    likely = scratch.keep(_check(_with(pairs, sets, "sig", scratch), threshold, exact=False), f"{label}-likely")
+    return scratch.keep(_check(_with(likely, sets, "shingles", scratch), threshold, exact=True), f"{label}-links")
+
+
+def _across(named: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """Links between the components of each leader's documents.
+
+    The documents outside the largest component meet all documents of the leader, as blocks of sets of about
+    ``BLOCK_BYTES``.  The blocks of a large group are dealt over several tasks; of the pairs, only links leave a task, one
+    for each document and component.
+    """
+    parts = named.groupBy("lead", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("lead").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("most"), F.sum("n").alias("c"), F.count(F.lit(1)).alias("kinds"))
+    mixed = scratch.hold(mixed.where("kinds > 1").select("lead", "most", "c"))
+    there = scratch.hold(join_hot(named.select("lead", "id", "component"), mixed, ["lead"], "c", "id").select("lead", "id", "component", "most"))
+    uses = scratch.hold(there.groupBy("id").agg(F.count(F.lit(1)).alias("c")))
+    sized = join_hot(there, sets.select("id", F.octet_length("shingles").alias("bytes")), ["id"], "c", "lead", uses)
+    odd = F.col("component") != F.col("most")
+    total = sized.groupBy("lead").agg(F.sum("bytes").alias("all_bytes"), F.sum(F.when(odd, F.col("bytes")).otherwise(0)).alias("odd_bytes"), F.count(F.lit(1)).alias("c"))
+    cuts = total.select("lead", "c", *[F.ceil(F.col(f"{n}_bytes") / BLOCK_BYTES).cast("int").alias(f"{n}_blocks") for n in ("all", "odd")])
+    cuts = scratch.hold(cuts.withColumn("salts", F.least(F.lit(64), F.ceil(F.col("all_blocks") / 8)).cast("int")))
+    placed = scratch.hold(join_hot(there, cuts, ["lead"], "c", "id"))
+    full = join_hot(placed, sets, ["id"], "c2", "lead", uses.withColumnRenamed("c", "c2"))
+    item = F.struct("id", "component", "sig", "shingles")
+    whole = full.groupBy("lead", F.pmod(F.xxhash64("id"), F.col("all_blocks")).cast("int").alias("block"), "odd_blocks", "salts").agg(F.collect_list(item).alias("all"))
+    whole = whole.withColumn("salt", F.col("block") % F.col("salts")).select("lead", "salt", "all", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("part"))
+    some = full.where(odd).groupBy("lead", F.pmod(F.xxhash64("id"), F.col("odd_blocks")).cast("int").alias("part"), "salts").agg(F.collect_list(item).alias("odd"))
+    some = some.select("lead", "part", "odd", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1).to_pylist()[0]
+                links = _links_of(one["odd"], one["all"], threshold)
+                if links:
+                    a, b = zip(*links)
+                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return whole.join(some, ["lead", "part", "salt"]).select("odd", "all").mapInArrow(run, "a long, b long")
+
+
+def _links_of(odd: list[dict], every: list[dict], threshold: int) -> list[tuple[int, int]]:
+    """Links from documents of one block to other components in the other, one for each document and component."""
+    sig = np.stack([np.frombuffer(r["sig"], np.uint8) for r in every])
+    component = np.array([r["component"] for r in every])
+    out = []
+    for x in odd:
+        near = (sig == np.frombuffer(x["sig"], np.uint8)).mean(1)
+        p, linked = np.frombuffer(x["shingles"], np.uint64), {x["component"]}
+        for i in np.argsort(-near, kind="stable"):
+            if near[i] < threshold / 100 - MARGIN:
+                break
+            if component[i] in linked:
+                continue
+            q = np.frombuffer(every[i]["shingles"], np.uint64)
+            if 100 * min(len(p), len(q)) < threshold * max(len(p), len(q)):
+                continue
+            inter = len(np.intersect1d(p, q, assume_unique=True))
+            if 100 * inter >= threshold * (len(p) + len(q) - inter):
+                linked.add(component[i])
+                out.append((min(x["id"], every[i]["id"]), max(x["id"], every[i]["id"])))
+    return out
+
+
+def _with(pairs: DataFrame, values: DataFrame, column: str, scratch: Scratch) -> DataFrame:
+    """The values of both ends of each pair of a written table; ends of many pairs are spread."""
+    out = pairs
+    for end, other in (("a", "b"), ("b", "a")):
+        counts = scratch.hold(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("c")))
+        out = join_hot(out, values.select(F.col("id").alias(end), F.col(column).alias(f"{end}_x")), [end], "c", other, counts)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
