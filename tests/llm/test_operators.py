@@ -205,6 +205,21 @@ def test_substrings_match_brute_force(spark, mess, window):
     assert got == brute_substrings(rows, window)
 
 
+def test_substrings_of_blocks_printed_twice(spark):
+    """A block that one document, or rows of one key, hold twice, around a passage of a smaller document."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for i in range(8):
+        passage, a, b = words(20 + 9 * i), words(30), words(30)
+        block = f"{a} {passage} {b}"
+        rows += [(10 * i, f"{words(9)} {passage} {words(9)}"), (10 * i + 1, f"{block} {words(25)} {block} {words(5)} {block}"), (10 * i + 2, f"{words(3)} {block}")]
+        rows += [(10 * i + 3, f"{words(7)} {passage} {a}"), (10 * i + 3, f"{passage} {a} {words(4)}")]
+    out = substring_dedup.remove_repeats(docs_of(spark, rows), 13)
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in out.collect())
+    assert got == brute_substrings(rows, 13)
+
+
 def test_substrings_empty(spark):
     assert substring_dedup.remove_repeats(docs_of(spark, [])).count() == 0
 

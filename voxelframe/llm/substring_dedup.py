@@ -17,7 +17,8 @@ repeat if its anchor is found in several documents:
 1. anchors (one for several windows) are counted by name: least and greatest document;
 2. the occurrences of shared anchors are kept, each with the hash of its *stretch*: all tokens of the consecutive
    windows that it anchors.  Where a whole stretch occurs in a smaller document, all its windows repeat;
-3. for anchors with several different stretches, the first occurrence of each stretch is verified window by window.
+3. for anchors with several different stretches, the occurrences of each stretch in its least document are verified window
+   by window.
 
 The passes are written to the shared folder.  Names and stretches are joined
 with what they occur in by joins that spread hot keys, and only minima and
@@ -228,11 +229,16 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     release()
     first = F.min_by(F.struct("t", "at", "n"), F.struct("id", "at"))
     kinds = scratch.keep(occurs.groupBy("name", "stretch").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c"), first.alias("f")), "kinds")
-    whole = join_hot(occurs, kinds.select("name", "stretch", "c", "least"), ["name", "stretch"], "c", "id").where("id > least").select("id", "t", "at", "n")
-    whole = scratch.keep(whole, "whole")
-    # 3. of anchors with different stretches, the first occurrence of each, window by window
-    several = scratch.keep(kinds.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "several")
-    places_of = join_hot(kinds.select("name", F.col("least").alias("id"), "f.*"), several, ["name"], "k", "id").groupBy("id", "t").agg(F.collect_list(F.struct("at", "n")).alias("places"))
+    # a stretch found once is its own first occurrence; the others go whole, or lie in the least document again
+    lead = kinds.where("c > 1").select("name", "stretch", "c", "least", F.col("f.t").alias("ft"), F.col("f.at").alias("fat"))
+    more = join_hot(occurs, lead, ["name", "stretch"], "c", "id").where("id > least or t <> ft or at <> fat")
+    more = scratch.keep(more.select("id", "t", "at", "n", F.when(F.col("id") == F.col("least"), F.col("name")).alias("name")), "more")
+    whole = more.where("name is null").drop("name")
+    # 3. of anchors with different stretches, all occurrences in the least document of each, window by window
+    own = kinds.select("name", F.col("least").alias("id"), "f.*", F.lit(1).alias("lead")).unionByName(more.where("name is not null").withColumn("lead", F.lit(0)))
+    several = own.groupBy("name").agg(F.sum("lead").alias("k"), F.count(F.lit(1)).alias("c")).where("k > 1").select("name", "c")
+    several = scratch.keep(several, "several")
+    places_of = join_hot(own.drop("lead"), several, ["name"], "c", "id").groupBy("id", "t").agg(F.collect_list(F.struct("at", "n")).alias("places"))
     single = scratch.keep(slim.join(places_of, ["id", "t"]).mapInArrow(windows, "id long, t int, at int, w1 long, w2 long"), "windows")
     release()
     again = single.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("c")).where("least < most")
