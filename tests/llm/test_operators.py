@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -294,6 +295,24 @@ def test_decontamination(spark, mess):
     assert decontamination.remove(docs_of(spark, rows), bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_looks_at_all_it_accepts():
+    """Whatever pattern of substitutions verification accepts, a mask agrees with."""
+    rng = random.Random(6)
+    patterns = {n: range(1 << n) for n in range(5, 14)}
+    patterns |= {n: [sum(1 << i for i in some) for k in (0, 1, 2) for some in itertools.combinations(range(n), k)] for n in (15, 16, 17, 18)}
+    # no run of more than two, three or four equal tokens but the last; and chance
+    patterns |= {n: [sum(1 << i for i in range(k, n, k + 1)) for k in (2, 3, 4)] + [sum(1 << i for i in range(n - 3) if i % 3 == 2)] + [sum((rng.random() < 0.3) << i for i in range(n)) for _ in range(2000)] for n in (20, 40, 60)}
+    for n, some in patterns.items():
+        item = [f"i{j}".encode() for j in range(n)]
+        block = decontamination.build_block([(7, item)])
+        texts = ["aa bb " + " ".join("x" if p >> j & 1 else f"i{j}" for j in range(n)) + " cc" for p in some]
+        found = decontamination.overlaps(texts, block)
+        for text, got in zip(texts, found):
+            h = decontamination.hash_words([decontamination.tokens(text)])[0]
+            want = decontamination.verify(h, block.items[0], 2)
+            assert (got[0][1:4] if got else None) == want, text
+
+
 # --- classifiers ------------------------------------------------------------------------------------------------
 def labelled(spark, n=600, seed=5):
     """Documents with junk and with insults, and their labels."""

@@ -1,10 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask reads some token positions of a span and ignores the others; each span
-position is ignored by one of the masks, so any single substitution within a
-span leaves a mask that still agrees.  The masked hashes of the benchmark are
-joined with those of every position of every document; each hit names a
-diagonal (document position minus item position), along which the overlap is
+A mask reads some token positions of a span and ignores the others.  The masks
+are all shapes that the last equal tokens of an accepted overlap can have (see
+``shapes``), so whatever verification accepts agrees with one of them.  The
+masked hashes of the benchmark are joined with those of every position of every
+document; each hit names a diagonal (document position minus item position),
+along which the overlap is
 verified token by token: the best stretch, with ``+1`` for an equal and ``-2``
 for a different token, must hold enough equal tokens.
 
@@ -24,10 +25,8 @@ from pyspark.sql import DataFrame
 
 from .common import Scratch, hash_words, mix, text_slices
 
-SPAN = 12
-#: Positions of a span that each mask ignores.
-IGNORED = ((0, 3, 6, 9), (1, 4, 7, 10), (2, 5, 8, 11))
-MASKS = tuple(tuple(i for i in range(SPAN) if i not in skip) for skip in IGNORED)
+#: Equal tokens that a mask reads, fewer for items that need fewer.
+WEIGHT = 6
 #: Items with fewer tokens are too short to tell from chance and match nothing.
 MIN_TOKENS = 5
 #: Equal tokens that make an overlap, or this share of a shorter item.
@@ -42,6 +41,29 @@ def tokens(text: str | None) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in TOKEN.findall(text.lower())] if text else []
 
 
+def needed(length: int) -> int:
+    """Equal tokens that an overlap with an item of ``length`` tokens must hold."""
+    return min(MIN_EQUAL, int(np.ceil(MIN_SHARE * length)))
+
+
+def shapes(weight: int) -> list[tuple[int, ...]]:
+    """The masks of the last ``weight`` equal tokens of a best stretch.
+
+    A best stretch ends where its gain (``+1`` equal, ``-2`` different) first is highest, so each of its ends gains
+    something: the masks are all patterns that do, read backwards from an equal token.
+    """
+    out, open_ = [], [((0,), 1, 1)]  # steps back from the end, gain, length
+    while open_:
+        back, gain, n = open_.pop()
+        if len(back) == weight:
+            out.append(tuple(back[-1] - x for x in reversed(back)))
+            continue
+        open_.append(((*back, n), gain + 1, n + 1))
+        if gain > 2:
+            open_.append((back, gain - 2, n + 1))
+    return sorted(out)
+
+
 def masked_hashes(h: np.ndarray, mask: tuple[int, ...], span: int) -> np.ndarray:
     """The hash of every span of ``h`` under a mask."""
     n = len(h) - span + 1
@@ -69,17 +91,16 @@ class Block:
 
 def build_block(rows: list[tuple]) -> Block:
     items = [hash_words([t])[0] for _, t in rows]
-    masks = [(m, SPAN) for m in MASKS]
-    # items shorter than a span are looked up whole
-    masks += [(tuple(range(n)), n) for n in sorted({len(x) for x in items if MIN_TOKENS <= len(x) < SPAN})]
+    weights = [min(WEIGHT, needed(len(x))) for x in items]
+    by_weight = {w: [(m, m[-1] + 1) for m in shapes(w)] for w in sorted(set(weights))}
+    masks = [m for ms in by_weight.values() for m in ms]
     keys, item, pos = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, x in enumerate(items):
-        for mask, span in masks:
-            if span == SPAN or span == len(x):
-                k = masked_hashes(x, mask, span)
-                keys.append(k)
-                item.append(np.full(len(k), i))
-                pos.append(np.arange(len(k)))
+    for i, (x, w) in enumerate(zip(items, weights)):
+        for mask, span in by_weight[w]:
+            k = masked_hashes(x, mask, span)
+            keys.append(k)
+            item.append(np.full(len(k), i))
+            pos.append(np.arange(len(k)))
     keys, item, pos = np.concatenate(keys), np.concatenate(item), np.concatenate(pos)
     order = np.argsort(keys, kind="stable")
     bits = np.zeros(1 << 20, dtype=bool)
@@ -110,7 +131,7 @@ def verify(h: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, in
     end = int(np.argmax(gain - low))
     start = int(np.argmin(gain[: end + 1]))
     n = int(equal[start:end].sum())
-    return (n, diagonal + a + start, end - start) if n >= min(MIN_EQUAL, int(np.ceil(MIN_SHARE * len(item)))) else None
+    return (n, diagonal + a + start, end - start) if n >= needed(len(item)) else None
 
 
 def overlaps(texts: list[str | None], block: Block) -> list[list[tuple]]:
