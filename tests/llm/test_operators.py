@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import itertools
 import math
 import random
@@ -413,6 +414,10 @@ def test_lm_base_score_matches_brute_force(spark, mess):
     assert lm_score.score(docs_of(spark, []), fold != 2, VOCABULARY).count() == 0
 
 
+def test_lm_fits_three_rounds():
+    assert inspect.signature(lm_score.score).parameters["rounds"].default == 3
+
+
 def test_lm_word_probabilities_stay_below_one(spark):
     """The known words, the end and the pieces share one unit of probability."""
     rows = [(i, "aa bb aa cc", "en" if i % 2 else "de") for i in range(40)]
