@@ -414,6 +414,16 @@ def test_lm_base_score_matches_brute_force(spark, mess):
     assert lm_score.score(docs_of(spark, []), fold != 2, VOCABULARY).count() == 0
 
 
+def test_lm_weighs_the_languages_beyond_the_limit(spark):
+    """The pooled frequencies get the share of the documents they stand for."""
+    rows = [(i, f"own{i % 20} own{i % 20} own{i % 20}", f"l{i % 20}") for i in range(400)]  # twenty languages of equal size
+    probe = [(1000, "own3 " * 4, "l3"), (1001, "own3 " * 4, None)]
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs_of(spark, rows + probe), F.col("doc_id") < 1000, VOCABULARY).where("doc_id >= 1000").collect()}
+    # l3 is not among the six that are kept by name; its words and the end are known to the pooled frequencies as 1/20 * 3/4 and 1/4
+    pooled = 4 * math.log10(0.75 / 20) + math.log10(0.25)
+    assert got[1000] == got[1001] and pooled + math.log10(0.65) < got[1000] < pooled + math.log10(0.75)
+
+
 def test_lm_fits_three_rounds():
     assert inspect.signature(lm_score.score).parameters["rounds"].default == 3
 

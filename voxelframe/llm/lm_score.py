@@ -8,7 +8,9 @@ segmentation.  One more edge spans each word that the training texts hold, with
 its discounted frequency; what the discounts leave goes to the pieces.  Word
 frequencies are kept for each language and backed off to those of all
 languages; a document's probability is the mixture over the languages, whose
-weights are their shares of the training documents.
+weights are their shares of the training documents.  Languages beyond the most
+frequent ``MAX_LANGUAGES`` have none of their own: the frequencies of all stand
+for them, weighted by their documents (and 0.01).
 
 ``P(text) = sum_l share_l * prod_words P_l(word) * P_l(end)`` with
 ``P_l(w) = (c_l(w) - d_l)+ / N_l + spare_l * ((c(w) - d)+ / N + spare * P_pieces_l(w))``.
@@ -315,8 +317,9 @@ def score(docs: DataFrame, learn: Column, vocabulary: str, lang: str = "lang", k
     rest = partial.select(w, F.explode(F.arrays_zip("rare", "times")).alias("x")).select(w, F.col("x.rare").alias("w"), F.col("x.times").alias("n"))
     rest = rest.join(weighed.where(~is_hot).drop("a"), "w").groupBy(w).agg(*[F.sum(F.col("n") * F.col(p)).alias(f"r{p}") for p in ps], F.sum(F.col("n") * F.col("base")).alias("rbase"), F.sum(F.col("n") * F.col("known")).alias("rknown"))
     out = partial.drop("rare", "times").join(rest, w, "left")
-    trained = sum(r[1] for r in sizes)
-    shares = np.array([0.99 * r[1] / trained for r in sizes] + [0.01]) if trained else np.ones(1)
+    # the frequencies of all stand for the documents of the other languages
+    trained = rows.where(F.col(t)).count()
+    shares = np.array([0.99 * r[1] / trained for r in sizes] + [0.01 + 0.99 * (1 - sum(r[1] for r in sizes) / trained)]) if trained else np.ones(1)
     parts = [F.col(p) + F.coalesce(f"r{p}", F.lit(0.0)) + F.lit(float(np.log10(s))) for p, s in zip(ps, shares)]
     top = F.greatest(*parts) if len(parts) > 1 else parts[0]
     log_sum = top + F.log10(sum((F.pow(F.lit(10.0), x - top) for x in parts), F.lit(0.0)))
