@@ -350,6 +350,8 @@ register("rs8_append", ", n AS (SELECT max(t) + 1 AS nt FROM px) SELECT CAST(ran
     lambda v: v.sparkSession.range((v.agg(F.max("t")).first()[0] + 2) * 1000).select(c("id").alias("i")).join(v.select("i", "v"), "i", "left").select("i", F.coalesce("v", lit(0)).alias("v"))
 )
 register("rs10_select_level", f", {_L1} SELECT y, x, v FROM l1 WHERE t = 0 AND c = 0 AND z = 0")(lambda v: S.mean_level(v, {"y": 4, "x": 25}, {"y": 2, "x": 2}).where("t = 0 and c = 0 and z = 0").select("y", "x", "v"))
+# the whole level, all planes of all frames
+register("rs10_whole_level", f", {_L1} SELECT t, c, z, y, x, v FROM l1")(lambda v: S.mean_level(v, {"y": 4, "x": 25}, {"y": 2, "x": 2}).select("t", "c", "z", "y", "x", "v"))
 # --- text -------------------------------------------------------------------------------------------------------
 def _desc() -> Column:
     return F.concat(lit("ImageJ=1.5\nIMAGES = "), c("n").cast("string"), lit("\nchannels=2\nframes=x\nFrames=1\nloop=false"))
