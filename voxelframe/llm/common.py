@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 import zlib
@@ -21,6 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 2 << 20
 #: Bytes whose running sums are held at once when words are hashed.
 HASH_BYTES = 1 << 18
+#: Rows that any key may have in one task.
+HOT_ROWS = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,24 +33,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="voxelframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage, so that a lost executor costs a re-read and no recomputation."""
+    """Tables written to the shared folder: they cut lineage, so that a lost executor costs a re-read and no recomputation.
+
+    A result that is still to be computed reads some of them, so those go when the application ends; ``only`` names
+    them, and the others go at once.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.held: list[DataFrame] = []
+        self.names: list[str] = []
+        atexit.register(self._end)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def hold(self, df: DataFrame) -> DataFrame:
@@ -57,11 +71,25 @@ class Scratch:
         while self.held:
             self.held.pop().unpersist()
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        """Deletes the tables."""
+        for name in names:
+            self._delete(f"{self.root}/{name}")
+            self.names.remove(name)
+
+    def only(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        self.let_go()
+        self.drop(*[n for n in self.names if n not in names])
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+            self._delete(self.root)
+
 
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that do not clash with the columns of ``df``, whatever their case."""
@@ -79,23 +107,25 @@ def group_key(column: Column) -> Column:
     return F.when(column.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), column.cast("string")))
 
 
-def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, spread: str, counts: DataFrame | None = None, share: int = 2000, salts: int = 64) -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, spread: str, counts: DataFrame | None = None) -> DataFrame:
     """Inner join of ``big`` with ``small``, whose ``keys`` are unique; ``weight`` counts the rows of ``big`` by key, in ``small``
     or in ``counts``, a written table.
 
-    A key with more than 1/``share`` of all counted rows is hot.  There are fewer than ``share`` such keys whatever
-    the input, so their list is broadcast; the rows of a hot key are dealt over ``salts`` partitions by the hash of
-    column ``spread``, and the one row of ``small`` is repeated for each of them.
+    A key with more rows than a quarter of an even share of a partition is hot.  There are fewer than four such keys for
+    each partition whatever the input, so their list is broadcast.  The rows of a hot key are dealt by the hash
+    of column ``spread`` over as many salts as it has quarter shares, and the one row of ``small`` is repeated for each.
     """
     counts = small if counts is None else counts
-    total = counts.agg(F.sum(weight)).first()[0] or 0
-    found = counts.where(F.col(weight) > max(total / share, 1000)).select(*keys).collect()
-    if not found:
+    total, top = counts.agg(F.sum(weight), F.max(weight)).first()
+    partitions = max(1, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bar = max((total or 0) / (4 * partitions), HOT_ROWS)
+    if not top or top <= bar:
         return big.join(small, keys)
-    hot = big.sparkSession.createDataFrame([(*r, True) for r in found], counts.select(*keys, F.lit(True).alias("_hot")).schema)
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(spread)), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    left = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
-    right = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    found = counts.where(F.col(weight) > bar).select(*keys, F.ceil(F.col(weight) / bar).cast("int").alias("_salts"))
+    hot = big.sparkSession.createDataFrame(found.collect(), found.schema)
+    salt = F.pmod(F.xxhash64(F.col(spread)), F.coalesce("_salts", F.lit(1))).cast("int")
+    left = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
+    right = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
@@ -146,21 +176,11 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[list(BLANKS.encode())] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
-_STEP = 0x9E3779B97F4A7C15 | 1
-_POWERS = [np.ones(1, np.uint64)] * 2
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2^64, up to ``n``."""
-    if len(_POWERS[0]) <= n:
-        for i, x in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
-            _POWERS[i] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 1 << 16), x, dtype=np.uint64))])
-    return _POWERS
-
-
 def hash_column(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash of each word of all texts, and the offsets of the texts: ``hash_words`` of ``words_of``, without
-    making the words.  The hash of a word is a polynomial in its bytes, from differences of running sums."""
+    """The 64-bit hash of each word of all texts, and the offsets of the texts, without making the words.
+
+    Every byte at every place of a word has a random number of its own; a word's hash comes from their sum, a
+    difference of running sums."""
     column = pc.fill_null(column, "")
     _, places, data = column.buffers()
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
@@ -179,16 +199,29 @@ def hash_column(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     while a < len(starts):  # words of about HASH_BYTES at a time, or one longer word
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + HASH_BYTES, "right")))
         own = text[starts[a] : ends[b - 1]]
-        up, down = _powers(len(own))
-        terms = (_FOLD[own] if lower else own).astype(np.uint64) + np.uint64(1)
-        terms *= up[: len(own)]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
         x, y = starts[a:b] - starts[a], ends[a:b] - starts[a]
-        out[a:b] = mix((sums[y] - sums[x]) * down[x] + (y - x).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_numbers(_FOLD[own] if lower else own, x))])
+        out[a:b] = mix(sums[y] - sums[x] + (y - x).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         a = b
     return out, offsets
 
 
+def _numbers(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The number of each byte at its place, counted from the start of its word."""
+    place = np.arange(len(text)) - np.repeat(starts, np.diff(np.append(starts, len(text))))
+    far = np.flatnonzero(place >= PLACES)
+    index = (place << 8) | text
+    if not len(far):
+        return _NUMBERS[index]
+    out = _NUMBERS[np.minimum(index, len(_NUMBERS) - 1)]
+    out[far] = _number(index[far])
+    return out
+
+
+def _number(index: np.ndarray) -> np.ndarray:
+    return mix(mix(index.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD6E8FEB86659FD93))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -196,17 +229,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ngram_hashes(h: np.ndarray, n: int, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """The hash of every ``n`` consecutive entries of ``h``; empty if there are fewer."""
-    if len(h) < n:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.full(len(h) - n + 1, seed, dtype=np.uint64)
-    factor = np.uint64((seed | 1) & 0xFFFFFFFFFFFFFFFF)
-    for k in range(n):
-        out *= factor
-        out += h[k : len(h) - n + 1 + k]
-    return mix(out)
+#: The numbers of bytes at the first places of a word are looked up.
+PLACES = 64
+_NUMBERS = _number(np.arange(PLACES << 8))
+
+
+#: A Mersenne prime: sums modulo it, unlike those modulo 2^64, have no short patterns that collide under every base.
+PRIME = np.uint64((1 << 61) - 1)
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+
+
+def fold61(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo 2^61 - 1."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The product of two arrays of residues modulo 2^61 - 1, by halves of 31 bits."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return fold61(((a1 * b1) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & _LOW30) << np.uint64(31)) + a0 * b0)
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def sums61(x: np.ndarray) -> np.ndarray:
+    """0 and the running sums of residues modulo 2^61 - 1; halves are summed apart, as 64 bits would overflow."""
+    low, high = np.cumsum(x & _LOW31), np.cumsum(x >> np.uint64(31))
+    return np.concatenate([np.zeros(1, np.uint64), fold61(fold61(low) + times61(fold61(high), np.full(1, 1 << 31, np.uint64)))])

@@ -35,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, hash_column, join_hot, mix, text_slices, words_of
+from .common import PRIME, Scratch, fold61, free_name, hash_column, join_hot, mix, sums61, text_slices, times61, words_of
 
 #: Rounds of recompression.
-ROUNDS = 2
+ROUNDS = 3
+#: The base of the polynomials that hash token intervals.
+_BASE = 0x16E6A9D0C5B3F871 % ((1 << 61) - 1)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -108,19 +110,23 @@ def parse(h: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS) -> list[Symb
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2^64."""
+    """Powers of a base and of its inverse, modulo 2^61 - 1, by doubling."""
     if not _POWERS or len(_POWERS[0][0]) < n:
-        size = max(n, 1 << 16)
-        inverse = pow(int(_B), -1, 1 << 64)
-        _POWERS[0] = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, x, dtype=np.uint64))]) for x in (_B, np.uint64(inverse)))
+        size, prime, tables = max(n, 1 << 16), int(PRIME), []
+        for base in (_BASE, pow(_BASE, -1, prime)):
+            out = np.ones(1, np.uint64)
+            while len(out) < size:
+                out = np.concatenate([out, times61(out, np.full(1, pow(base, len(out), prime), np.uint64))])
+            tables.append(out)
+        _POWERS[0] = tuple(tables)
     return _POWERS[0]
 
 
 def content(h: np.ndarray):
-    """A function of token intervals ``[a, b)`` that hashes what they hold, wherever they lie."""
+    """A function of token intervals ``[a, b)`` that hashes what they hold, wherever they lie: a polynomial modulo 2^61 - 1."""
     up, down = _powers(len(h) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
-    return lambda a, b: mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _C)
+    sums = sums61(times61(fold61(h), up[: len(h)]))
+    return lambda a, b: mix(times61(fold61(sums[b] + PRIME - sums[a]), down[a]) + (b - a).astype(np.uint64) * _C)
 
 
 def anchors(h: np.ndarray, offsets: np.ndarray, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,13 +188,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     docs = docs.drop("n_words", "n_removed", "kept")
-    # rows are told apart by key and, where keys repeat, by text
+    # rows are told apart by key and, where keys repeat, by the hash of the text
     repeated = not docs.groupBy(key).count().where("count > 1").isEmpty()
-    tag = F.hash(text) if repeated else F.lit(0)
+    tag = F.xxhash64(text) if repeated else F.lit(0).cast("long")
     slim = docs.select(F.col(key).cast("long").alias("id"), tag.alias("t"), F.col(text).alias("text")).where("id is not null")
 
     def release() -> None:
-        """Shuffle files of finished passes go when the driver's handles of them do."""
+        """Shuffle files of finished passes go when the driver's handles of them do; nothing depends on when."""
         gc.collect()
         spark._jvm.System.gc()
 
@@ -224,7 +230,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     shared = scratch.keep(shared.agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("c")).where("least < most").select("name", "c"), "shared")
     release()
     # 2. their occurrences, and the stretches among them that a smaller document holds
-    occurs = slim.mapInArrow(places, "id long, t int, at int, n int, name long, stretch long")
+    occurs = slim.mapInArrow(places, "id long, t long, at int, n int, name long, stretch long")
     occurs = scratch.keep(join_hot(occurs, shared, ["name"], "c", "id").drop("c"), "occurs")
     release()
     first = F.min_by(F.struct("t", "at", "n"), F.struct("id", "at"))
@@ -239,12 +245,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     several = own.groupBy("name").agg(F.sum("lead").alias("k"), F.count(F.lit(1)).alias("c")).where("k > 1").select("name", "c")
     several = scratch.keep(several, "several")
     places_of = join_hot(own.drop("lead"), several, ["name"], "c", "id").groupBy("id", "t").agg(F.collect_list(F.struct("at", "n")).alias("places"))
-    single = scratch.keep(slim.join(places_of, ["id", "t"]).mapInArrow(windows, "id long, t int, at int, w1 long, w2 long"), "windows")
+    single = scratch.keep(slim.join(places_of, ["id", "t"]).mapInArrow(windows, "id long, t long, at int, w1 long, w2 long"), "windows")
     release()
     again = single.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("c")).where("least < most")
     again = scratch.keep(again.drop("most"), "again")
     alone = join_hot(single, again, ["w1", "w2"], "c", "id").where("id > least").select("id", "t", "at", F.lit(1).alias("n"))
     gone = scratch.keep(whole.unionByName(alone).groupBy("id", "t").agg(F.collect_set(F.struct("at", "n")).alias("gone")), "gone")
+    scratch.only("gone")
     release()
 
     k, t, g = free_name(docs, "_id", "_t", "_gone")
