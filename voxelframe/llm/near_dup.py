@@ -7,7 +7,7 @@ components of the verified links come from alternating large-star and
 small-star steps.
 
 No group of copies is paired with itself in full.  Documents of equal sets are
-one class: only its smallest document takes part.  Each bucket has a leader,
+one class: only its first document takes part.  Each bucket has a leader,
 the member that shares most buckets with most others, which in a group of
 edited copies is the one closest to all.  Documents are verified against the
 best of their leaders first, then against the leaders that are still in other
@@ -19,6 +19,7 @@ out: in the end no candidate pair between different components is untested.
 from __future__ import annotations
 
 import gc
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_column, join_hot, mix, text_slices
+from .common import Scratch, free_name, hash_column, join_hot, mix, text_slices
 
 #: A pair of similarity 0.8 misses all of 56 bands of 7 rows with a probability of 2e-6, one of 0.85 with 2e-10.
 BANDS, ROWS = 56, 7
@@ -85,17 +86,26 @@ def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return x
 
 
-def _sketches(docs: DataFrame, size: int, bands: int, rows: int, key: str, text: str) -> DataFrame:
-    """``id, n, s1, s2`` (a name of the set) and ``keys``, the bucket of each band, of every document."""
+def _identified(docs: DataFrame, key: str, text: str, *extra: str) -> DataFrame:
+    """``id, t1, t2, text``: what tells rows apart is their key, null or not, and the two hashes of their text."""
+    return docs.select(*extra, F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("t1"), F.xxhash64(F.lit(7), F.col(text)).alias("t2"), F.col(text).alias("text"))
+
+
+def _same(left: DataFrame, right: DataFrame):
+    return left["id"].eqNullSafe(right["id"]) & (left["t1"] == right["t1"]) & (left["t2"] == right["t2"])
+
+
+def _sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    """``id, t1, t2, n, s1, s2`` (a name of the set) and ``keys``, the bucket of each band, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, text):
-            sets = shingle_sets(b.column(text), size)
+        for b in text_slices(batches):
+            sets = shingle_sets(b.column("text"), size)
             names = np.array([[s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)] for s in sets], dtype=np.uint64).view(np.int64)
             keys = _band_keys(signatures(sets, bands * rows), bands, rows).view(np.int64)
-            yield pa.record_batch([b.column(key).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "n", "s1", "s2", "keys"])
+            yield pa.record_batch([*b.select(["id", "t1", "t2"]).columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "t1", "t2", "n", "s1", "s2", "keys"])
 
-    return docs.select(key, text).mapInArrow(run, "id long, n long, s1 long, s2 long, keys array<long>")
+    return docs.mapInArrow(run, "id long, t1 long, t2 long, n long, s1 long, s2 long, keys array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -129,7 +139,7 @@ def _check(pairs: DataFrame, threshold: int, exact: bool) -> DataFrame:
     return pairs.select("a", "b", "a_x", "b_x").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, scratch: Scratch, label: str = "cc", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFrame:
     """``id, component`` (the smallest id reachable) of every node of ``edges`` (``a``, ``b``).
 
     Alternates large-star (each node links its larger neighbours to the smallest of all) and small-star (its smaller
@@ -138,7 +148,7 @@ def components(edges: DataFrame, scratch: Scratch, label: str = "cc", rounds: in
     """
     edges = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-0")
     last = None
-    for i in range(1, rounds + 1):
+    for i in itertools.count(1):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.hold(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("c")))
         large = join_hot(both, low, ["u"], "c", "v").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -154,8 +164,6 @@ def components(edges: DataFrame, scratch: Scratch, label: str = "cc", rounds: in
         if state == last:
             break
         last = state
-    else:
-        raise RuntimeError("the components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
@@ -164,26 +172,43 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, bands:
 
     A-Z is lower-cased; words are ``[^\\x20\\x09-\\x0D]+``; a document's set holds its distinct ``size``-word shingles or,
     with fewer words, its whole sequence.  Texts that are null, empty or blank have an empty set and are linked with
-    nothing.  ``component_id`` is the smallest key reachable; ``kept`` marks it.  Keys must be integers; rows that
-    repeat a key appear each, with one component if their texts link.  An empty table gives an empty result; extra
-    columns are ignored.
+    nothing.  ``component_id`` is the smallest key reachable; ``kept`` marks the rows that have it.  Keys must be
+    integers.  Rows that repeat a key are documents of their own, linked or not as their texts are; a row of null
+    key takes part like any other, and the component of such rows alone is null, with ``kept`` true.  An empty table
+    gives an empty result; extra columns are ignored.
+    """
+    out = _grouped(docs, size, threshold, bands, rows, key, text)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"), F.col("id").eqNullSafe(F.col("least.id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, size: int, threshold: int, bands: int, rows: int, key: str, text: str) -> DataFrame:
+    """``id, t1, t2, n`` of every row, and the ``least`` of its component (``id`` with null last, ``t1``, ``t2``).
+
+    The nodes are the distinct sets, each under a number of its own.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
+    docs = _identified(docs, key, text)
 
     def release() -> None:
-        """Shuffle files of finished passes go when the driver's handles of them do."""
+        """Shuffle files of finished passes go when the driver's handles of them do; nothing depends on when."""
         scratch.let_go()
         gc.collect()
         spark._jvm.System.gc()
 
-    sketch = scratch.keep(_sketches(docs, size, bands, rows, key, text), "sketch")
+    sketch = scratch.keep(_sketches(docs, size, bands, rows).withColumn("row", F.monotonically_increasing_id()), "sketch")
     full = sketch.where("n > 0")
-    # classes of equal sets
-    classes = scratch.keep(full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")), "classes")
-    reps = full.join(classes.select("s1", "s2", "n", F.col("rep").alias("id")), ["s1", "s2", "n", "id"], "left_semi").dropDuplicates(["id", "s1", "s2"])
-    reps = scratch.keep(reps.select("id", "keys"), "reps")
-    named_sets = scratch.keep(sketch.select("id", "n", "s1", "s2"), "names")
+    # classes of equal sets; the first row of each stands for it
+    first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "t1", "t2")).alias("f")
+    classes = full.groupBy("s1", "s2", "n").agg(first, F.count(F.lit(1)).alias("c"))
+    classes = scratch.keep(classes.select("s1", "s2", "n", "c", F.monotonically_increasing_id().alias("node"), "f"), "classes")
+    firsts = classes.select(F.col("node"), "f.id", "f.t1", "f.t2")
+    repeated = not full.groupBy("id", "t1", "t2").count().where("count > 1").isEmpty()
+    once = full.select("id", "t1", "t2", "keys")
+    if repeated:
+        once = once.dropDuplicates(["id", "t1", "t2"])
+    reps = scratch.keep(once.join(firsts, _same(once, firsts)).select(F.col("node").alias("id"), "keys"), "reps")
+    named_sets = scratch.keep(sketch.drop("keys"), "names")
     full = named_sets.where("n > 0")
     scratch.drop("sketch")
     release()
@@ -198,12 +223,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, bands:
     leads = scratch.keep(members.groupBy("k").agg(lead, F.count(F.lit(1)).alias("c")).select("k", "l.*", "c"), "leads")
     led = join_hot(members.select("id", "k"), leads, ["k"], "c", "id").select("lead", "id", "fame").distinct()
     led = scratch.keep(led, "led")
-    ids = led.select("id").distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    sets = _sets(texts, size)
-    if not named_sets.groupBy("id").count().where("count > 1").isEmpty():
-        sets = sets.dropDuplicates(["id"])  # of rows that repeat a key, one
-    sets = scratch.keep(sets, "sets")
+    wanted = firsts.join(led.select(F.col("id").alias("node")).distinct(), "node")
+    texts = docs.dropDuplicates(["id", "t1", "t2"]) if repeated else docs
+    sets = scratch.keep(_sets(texts.join(wanted, _same(texts, wanted)).select(F.col("node").alias("id"), "text"), size), "sets")
     scratch.drop("members")
     scratch.drop("ranked")
     release()
@@ -223,12 +245,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, bands:
         comp = components(links.unionByName(rest), scratch, "cc2")
     release()
 
-    of_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", "c", F.coalesce("component", "rep").alias("component"))
-    of_class = scratch.keep(of_class, "of-class")
-    linked = join_hot(full.select("id", "n", "s1", "s2"), of_class, ["s1", "s2", "n"], "c", "id").select("id", "n", "component")
-    alone = named_sets.where("n = 0").select("id", "n", F.col("id").alias("component"))
-    out = linked.unionByName(alone)
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    placed = classes.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = scratch.keep(placed, "placed")
+    least = scratch.keep(placed.groupBy("component").agg(F.min("f").alias("least"), F.count(F.lit(1)).alias("k")), "least")
+    of_class = scratch.keep(join_hot(placed, least, ["component"], "k", "node").select("s1", "s2", "n", "c", "least"), "of-class")
+    linked = join_hot(full, of_class, ["s1", "s2", "n"], "c", "row").select("id", "t1", "t2", "n", "least")
+    alone = named_sets.where("n = 0").select("id", "t1", "t2", "n", F.struct(F.col("id").isNull().alias("z"), "id", "t1", "t2").alias("least"))
+    scratch.only("names", "of-class")
+    release()
+    return linked.unionByName(alone)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -266,7 +291,7 @@ def _across(named: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch)
     odd = F.col("component") != F.col("most")
     total = sized.groupBy("lead").agg(F.sum("bytes").alias("all_bytes"), F.sum(F.when(odd, F.col("bytes")).otherwise(0)).alias("odd_bytes"), F.count(F.lit(1)).alias("c"))
     cuts = total.select("lead", "c", *[F.ceil(F.col(f"{n}_bytes") / BLOCK_BYTES).cast("int").alias(f"{n}_blocks") for n in ("all", "odd")])
-    cuts = scratch.hold(cuts.withColumn("salts", F.least(F.lit(64), F.ceil(F.col("all_blocks") / 8)).cast("int")))
+    cuts = scratch.hold(cuts.withColumn("salts", F.ceil(F.col("all_blocks") / 8).cast("int")))
     placed = scratch.hold(join_hot(there, cuts, ["lead"], "c", "id"))
     full = join_hot(placed, sets, ["id"], "c2", "lead", uses.withColumnRenamed("c", "c2"))
     item = F.struct("id", "component", "sig", "shingles")
@@ -320,6 +345,23 @@ def _with(pairs: DataFrame, values: DataFrame, column: str, scratch: Scratch) ->
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents whose component has a smaller key: one document of each group stays, as it is."""
-    gone = near_duplicates(docs, size, threshold, key=key, text=text).where("not kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    """``docs`` with one row of each component, unchanged: that of the smallest key, null last, and of equal keys that of the least text hash.
+
+    Of rows that repeat key and text one stays.  Texts without words are linked with nothing and all stay.
+    """
+    found = Scratch(docs.sparkSession, "near-dup-rows").keep(_grouped(docs, size, threshold, BANDS, ROWS, key, text).where("n > 0").withColumn("first", F.struct("id", "t1", "t2").eqNullSafe(F.struct("least.id", "least.t1", "least.t2"))).drop("least"), "rows")
+    i, t1, t2 = free_name(docs, "_id", "_t1", "_t2")
+    rows = docs.withColumns({i: F.col(key).cast("long"), t1: F.xxhash64(F.col(text)), t2: F.xxhash64(F.lit(7), F.col(text))})
+
+    def like(other: DataFrame):
+        return rows[i].eqNullSafe(other["id"]) & (rows[t1] == other["t1"]) & (rows[t2] == other["t2"])
+
+    gone = found.where("not first").select("id", "t1", "t2").distinct()
+    stays = rows.join(gone, like(gone), "left_anti")
+    again = found.where("first").groupBy("id", "t1", "t2").count().where("count > 1").select("id", "t1", "t2")
+    if again.isEmpty():
+        return stays.select(*docs.columns)
+    plain = [c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
+    row = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(*[F.col(c) for c in plain]))
+    one = rows.join(again, like(again), "left_semi").groupBy(i, t1, t2).agg(row.alias("row")).select("row.*")
+    return stays.join(again, like(again), "left_anti").select(*docs.columns).unionByName(one)
