@@ -1,187 +1,222 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled text.  The ordinary one is
-trained on windows of ordinary documents.  The toxic one has the same base and,
-on top, the spans that toxic documents use in far more contexts than ordinary
-ones do; sharing the base leaves no difference between the two but that.  A
-window of a text (``window_words`` words, one by default, put before a filler
-that both dictionaries hold, as zstandard stores tiny blocks raw) is compressed
-with either dictionary, and the difference of the lengths is its distance.  The
-windows of a document whose distance passes each of several thresholds are
-counted, and a logistic model calibrates those counts on the labelled sample.
-
-Contexts rather than occurrences are compared, so that copies of one toxic
-document do not make its ordinary words look toxic.
+Zstandard dictionaries are trained apart on windows of toxic and of ordinary
+text.  A window is a few words; it is compressed with either dictionary, and the
+difference of the lengths is its distance.  Both dictionaries stand on one base
+of ordinary text, which leaves less chance in the difference, and the ordinary
+one is as large as the toxic one.
+
+The labelled sample is dealt into folds and each fold trains a pair of
+dictionaries; the distance of a window is the mean over the pairs.  Only a part
+of a toxic document is toxic, so the toxic dictionaries are trained in rounds:
+first on all windows of toxic documents, then on those that lean to the toxic
+dictionaries of the *other* folds more than nearly all ordinary windows do.
+
+How far a document's windows lie apart (the greatest distances, their mean, and
+how many pass each of several thresholds) is turned into a probability by a
+logistic model.  It is calibrated on the sample, each document measured by the
+pairs of the other folds, with the weight that its class has among all labels.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, free_name, text_slices, words_of
 
 PUNCTUATION = b".,!;:?\"'()[]{}#$%&*|-_"
-#: Bytes of the ordinary dictionary; spans of the toxic one; bytes of the filler; thresholds of the distance.
-BASE_BYTES, SPANS, FILLER_BYTES, THRESHOLDS = 4096, 256, 64, (3, 4, 5, 6)
-#: Labelled documents of either class that the dictionaries and the calibration come from, and windows for the base.
-SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_WINDOW_WORDS = 3000, 20_000, 32
-#: Distances that a worker remembers.
-REMEMBER = 400_000
+#: Words of a window; half of them overlap.
+WINDOW_WORDS = 4
+#: Bytes of the common base, of each trained dictionary, and of the piece of text that the trainer takes at once.
+BASE_BYTES, DICTIONARY_BYTES, SEGMENT = 8192, 4096, 12
+#: zstandard stores tiny blocks raw: each window is compressed behind so many bytes that both dictionaries end with.
+FILLER_BYTES = 64
+#: Folds of the sample, rounds of training, and the share of ordinary windows that a leaning window must pass.
+FOLDS, ROUNDS, LEAN = 3, 3, 0.99
+#: Distances that are counted.
+THRESHOLDS = (1.5, 2, 2.5, 3, 4, 5, 6)
+#: The sample: labelled documents of either class, and bytes of their texts (the last document may pass that).
+SAMPLE_DOCS, SAMPLE_BYTES = 3000, 16 << 20
+#: Bytes of windows that a dictionary is trained on, and ordinary windows that set the bar of a round; both by least hash.
+TRAIN_BYTES, BAR_WINDOWS = 4 << 20, 10_000
+
+Pair = tuple[bytes, bytes]
+
+
+def windows(words: list[bytes], size: int) -> list[bytes]:
+    """The windows of a text: ``size`` words without the punctuation around them, half overlapping."""
+    bare = [w for w in (x.strip(PUNCTUATION) for x in words) if w]
+    step = max(1, size // 2)
+    return [b" " + b" ".join(bare[i : i + size]) + b" " for i in range(0, max(1, len(bare) - step + 1) if bare else 0, step)]
+
+
+def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=4, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_dict_id=False, write_checksum=False)
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+
+
+class Meter:
+    """Distances by the mean of several pairs of dictionaries, opened once."""
+
+    def __init__(self, base: bytes, pairs: list[Pair]):
+        self.filler = base[-FILLER_BYTES:]
+        self.pairs = [tuple(_compressor(base + d + self.filler) for d in p) for p in pairs]
+
+    def distances(self, some: list[bytes], threads: int = 0) -> np.ndarray:
+        """By how many bytes the toxic dictionaries shorten each window more than the ordinary ones, on average."""
+        out = np.zeros(len(some))
+        if not some or not self.pairs:
+            return out
+        whole = [self.filler + w for w in some]
+        for pair in self.pairs:
+            for sign, c in zip((1, -1), pair):
+                sizes = map(len, c.multi_compress_to_buffer(whole, threads=threads)) if threads else (len(c.compress(w)) for w in whole)
+                out += sign * np.fromiter(sizes, np.int64, len(whole))
+        return out / len(self.pairs)
+
+
+def features(d: np.ndarray) -> np.ndarray:
+    """What the calibration knows of a document with these window distances."""
+    top = np.sort(d)[::-1]
+    best = [top[k] if len(d) > k else 0.0 for k in (0, 1, 3)]
+    counts = [np.log1p((d >= t).sum()) for t in THRESHOLDS]
+    shares = [d.mean(), *((d >= t).mean() for t in (2, 3, 4))] if len(d) else [0.0] * 4
+    return np.array([1.0, *best, *counts, np.log1p(len(d)), *shares])
 
 
 @dataclass
 class Model:
     base: bytes
-    spans: bytes
-    filler: bytes
-    window_words: int
+    pairs: list[Pair]
     weights: np.ndarray
+    window_words: int
 
     def open(self) -> None:
-        self.ordinary, self.toxic = (_compressor(self.base + extra + self.filler) for extra in (b"", self.spans))
-        self.known: dict[bytes, int] = {}
-
-    def distance(self, window: bytes) -> int:
-        """By how many bytes the toxic dictionary shortens the window more than the ordinary one."""
-        got = self.known.get(window)
-        if got is None:
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            whole = b" " + window + b" " + self.filler
-            got = self.known[window] = len(self.ordinary.compress(whole)) - len(self.toxic.compress(whole))
-        return got
+        self.meter = Meter(self.base, self.pairs)
 
-    def features(self, words: list[bytes]) -> list[float]:
-        kinds = set(windows(words, self.window_words))
-        d = np.fromiter(map(self.distance, kinds), dtype=np.int64, count=len(kinds))
-        return [1.0, float(d.max(initial=0)), *(float(np.log1p((d >= t).sum())) for t in THRESHOLDS), float(np.log1p(len(kinds)))]
-
-    def score(self, rows: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(rows @ self.weights, -30, 30)))
-
-
-def windows(words: list[bytes], size: int) -> list[bytes]:
-    """The windows of a text: ``size`` words without the punctuation around them, half overlapping."""
-    bare = [w for w in (x.strip(PUNCTUATION) for x in words) if w]
-    if size == 1:
-        return bare
-    return [b" ".join(bare[i : i + size]) for i in range(0, len(bare), max(1, size // 2))]
+    def score(self, words: list[bytes]) -> float:
+        x = features(self.meter.distances(windows(words, self.window_words)))
+        return float(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))))
 
 
-def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=16, search_log=4, min_match=4, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_dict_id=False, write_checksum=False)
-    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+def _by_hash(some: set[bytes]) -> list[bytes]:
+    """The windows in an order that depends on nothing but themselves."""
+    own = sorted(some)
+    return [own[i] for i in np.argsort([xxhash.xxh64_intdigest(w) for w in own], kind="stable")]
 
 
-def _base(samples: list[bytes]) -> bytes:
+def _dictionary(some: set[bytes], size: int) -> bytes:
     """A dictionary trained on the windows; of too few windows, their text."""
+    samples, total = [], 0
+    for w in _by_hash(some):
+        if total > TRAIN_BYTES:
+            break
+        samples.append(w)
+        total += len(w)
     try:
-        return zstandard.train_dictionary(4 * BASE_BYTES, samples).as_bytes()[-BASE_BYTES:]
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=6).as_bytes()[-size:]
     except zstandard.ZstdError:
-        return b" ".join(samples)[-BASE_BYTES:]
+        return b"".join(samples)[-size:]
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton's method."""
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Weighted logistic regression by Newton's method."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def train(sample: DataFrame, text: str = "text", toxic: str = "toxic", window_words: int = 1) -> Model:
-    """Dictionaries and calibration from ``sample``, a bounded number of labelled documents."""
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, text):
-            pairs = set()
-            for words, bad in zip(words_of(b.column(text), lower=True), b.column(toxic).to_pylist()):
-                bare = [b"", *windows(words, 1)]
-                pairs.update((w, before, bad) for before, w in zip(bare, bare[1:]))
-            if pairs:
-                w, before, bad = zip(*pairs)
-                yield pa.record_batch([pa.array(w, pa.binary()), pa.array(before, pa.binary()), pa.array(bad, pa.int32())], names=["w", "before", "bad"])
-
-    seen = sample.select(text, F.col(toxic).cast("int").alias(toxic)).mapInArrow(contexts, "w binary, before binary, bad int").distinct()
-    per_word = seen.groupBy("w").agg(F.sum("bad").alias("t"), F.sum(1 - F.col("bad")).alias("o"))
-    nt, no = (float(x or 1) for x in per_word.agg(F.sum("t"), F.sum("o")).first())
-    t, o = F.col("t"), F.col("o")
-    expect_t, expect_o = (t + o) * (nt / (nt + no)), (t + o) * (no / (nt + no))
-    llr = 2 * (t * F.log(t / expect_t) + F.when(o > 0, o * F.log(o / expect_o)).otherwise(0.0))
-    odd = per_word.where((t >= 4) & (t / nt > 4 * o / no)).withColumn("llr", llr).where("llr > 15")
-    spans = [bytes(r["w"]) for r in odd.orderBy(F.desc("llr"), "w").limit(SPANS).collect()]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, text):
-            out = [b" " + b" ".join(w[i : i + SAMPLE_WINDOW_WORDS]) + b" " for w in words_of(b.column(text), lower=True) for i in range(0, len(w), SAMPLE_WINDOW_WORDS)]
-            if out:
-                yield pa.record_batch([pa.array(out, pa.binary())], names=["w"])
-
-    pieces = sample.where(F.col(toxic) == 0).select(text).mapInArrow(cut, "w binary").distinct()
-    pieces = [bytes(r["w"]) for r in pieces.orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WINDOWS).collect()]
-    filler = pieces[0][:FILLER_BYTES] if pieces else b" " * FILLER_BYTES
-    # the most telling spans come last, next to the windows
-    model = Model(_base(pieces) if pieces else b"", b" " + b" ".join(spans[::-1]) + b" ", filler, window_words, np.zeros(len(THRESHOLDS) + 3))
-    shared = sample.sparkSession.sparkContext.broadcast(model)
-    rows = _features(sample.select(text, F.col(toxic).cast("double").alias("y")), shared, text, "x").select("x", "y").toPandas()
-    if len(rows):
-        model.weights = _calibrate(np.vstack(rows["x"].to_numpy()), rows["y"].to_numpy())
+def train(sample: list[tuple[list[bytes], int, int]], totals: dict[int, int], window_words: int = WINDOW_WORDS, threads: int = 4) -> Model:
+    """Dictionaries and calibration from ``sample``, rows of words, class and fold; ``totals`` counts all labels of a class."""
+    cut = [(windows(words, window_words), kind, fold) for words, kind, fold in sample]
+    own = {(kind, fold): {w for ws, k, f in cut if (k, f) == (kind, fold) for w in ws} for kind in (0, 1) for fold in range(FOLDS)}
+    base = _dictionary(set().union(*(own[0, f] for f in range(FOLDS))), BASE_BYTES)
+    ordinary = [_dictionary(own[0, f], DICTIONARY_BYTES) for f in range(FOLDS)]
+    # copies of a document would make their fold's windows look toxic to the others
+    found = Counter(w for f in range(FOLDS) for w in own[1, f])
+    candidates = [[w for w in _by_hash(own[1, f]) if found[w] == 1] for f in range(FOLDS)]
+    bars = [_by_hash(own[0, f])[:BAR_WINDOWS] for f in range(FOLDS)]
+    lean, pairs = [own[1, f] for f in range(FOLDS)], []
+    for i in range(ROUNDS):
+        pairs = [(ordinary[f], _dictionary(lean[f], DICTIONARY_BYTES)) for f in range(FOLDS)]
+        if i + 1 == ROUNDS:
+            break
+        for f in range(FOLDS):
+            meter = Meter(base, [p for g, p in enumerate(pairs) if g != f])
+            usual = meter.distances(bars[f], threads)
+            bar = max(2.0, float(np.quantile(usual, LEAN))) if len(usual) else 2.0
+            some = {w for w, x in zip(candidates[f], meter.distances(candidates[f], threads)) if x > bar}
+            lean[f] = some or lean[f]
+    model = Model(base, pairs, np.zeros(len(features(np.zeros(0)))), window_words)
+    if cut:
+        meters = [Meter(base, [p for g, p in enumerate(pairs) if g != f]) for f in range(FOLDS)]
+        x = np.stack([features(meters[f].distances(ws, threads)) for ws, _, f in cut])
+        y = np.array([k for _, k, _ in cut], dtype=np.float64)
+        weight = np.array([totals[k] / max(1, int((y == k).sum())) for _, k, _ in cut])
+        model.weights = _calibrate(x, y, weight / weight.mean())
     return model
 
 
-def _features(docs: DataFrame, model: Broadcast, text: str, name: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model.value.open()
-        for b in text_slices(batches, text):
-            x = [model.value.features(w) for w in words_of(b.column(text), lower=True)]
-            yield pa.record_batch([*b.columns, pa.array(x, pa.list_(pa.float64()))], names=[*b.schema.names, name])
+def sample_of(docs: DataFrame, labels: DataFrame, learn: Column, scratch: Scratch, sample_docs: int, key: str, text: str) -> tuple[DataFrame, dict[int, int]]:
+    """Text, class and fold of at most ``sample_docs`` labelled rows of either class, those of least key hash, and the numbers of all."""
+    marks = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    usable = scratch.keep(docs.where(learn).select(F.col(key).alias("_id")).join(marks, "_id").distinct(), "usable")
+    totals = {0: 0, 1: 0} | {r[0]: r[1] for r in usable.groupBy("toxic").count().collect()}
+    ids = None
+    for kind in (0, 1):
+        own = usable.where(F.col("toxic") == kind).orderBy(F.xxhash64(F.lit(11), "_id"), "_id").limit(sample_docs)
+        ids = own if ids is None else ids.unionByName(own)
+    ids = scratch.keep(ids, "ids")  # twice sample_docs rows at most
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id")
+    return scratch.keep(rows.select("text", "toxic", F.xxhash64(F.lit(11), "_id").alias("h"), F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(FOLDS)).cast("int").alias("fold")), "sample"), totals
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{name}` array<double>")
+
+def _read(sample: DataFrame, sample_bytes: int) -> list[tuple[list[bytes], int, int]]:
+    """The sample in the driver, up to ``sample_bytes`` of text of either class."""
+    out, used = [], {0: 0, 1: 0}
+    for r in sample.orderBy("h", "text").toLocalIterator():
+        if used[r["toxic"]] < sample_bytes:
+            used[r["toxic"]] += len(r["text"] or "")
+            out.append(((r["text"] or "").encode("utf-8").lower().split(), r["toxic"], r["fold"]))
+    return out
 
 
-def score(docs: DataFrame, labels: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS, window_words: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, window_words: int = WINDOW_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score is at least 0.5, else 0).
 
     ``learn`` picks, by columns of ``docs``, the rows whose labels may be used; of these at most ``sample_docs`` of
-    either class, those of smallest key hash, are.  Every whole text is scored.  Null and empty texts have no window
-    and get the score of the bare calibration; null labels are no labels; without any usable label all scores are
-    0.5.  Repeated rows get equal scores; an empty table gives an empty result.  Columns named like the new ones are
-    replaced.
+    either class, those of smallest key hash, and ``sample_bytes`` of their text are.  Every whole text is scored.
+    Null and empty texts have no window and get the score of the bare calibration; null labels are no labels; without
+    any usable label all scores are 0.5.  Repeated rows get equal scores; an empty table gives an empty result.
+    Columns named like the new ones are replaced.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     docs = docs.drop("score", "predicted")
-    marks = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    usable = docs.where(learn).select(F.col(key).alias("_id")).join(marks, "_id").distinct()
-    ids = None
-    for kind in (0, 1):
-        own = usable.where(F.col("toxic") == kind).orderBy(F.xxhash64(F.lit(11), "_id"), "_id").limit(sample_docs)
-        ids = own if ids is None else ids.unionByName(own)
-    # twice sample_docs ids at most
-    ids = scratch.keep(ids, "ids")
-    sample = scratch.keep(docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id").select("text", "toxic"), "sample")
-    model = spark.sparkContext.broadcast(train(sample, window_words=window_words))
+    sample, totals = sample_of(docs, labels, learn, scratch, sample_docs, key, text)
+    model = spark.sparkContext.broadcast(train(_read(sample, sample_bytes), totals, window_words))
+    scratch.drop()
     (x,) = free_name(docs, "_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.value.open()
         for b in text_slices(batches, text):
-            f = np.array([model.value.features(w) for w in words_of(b.column(text), lower=True)])
-            yield pa.record_batch([*b.columns, pa.array(model.value.score(f))], names=[*b.schema.names, x])
+            yield pa.record_batch([*b.columns, pa.array([model.value.score(w) for w in words_of(b.column(text), lower=True)], pa.float64())], names=[*b.schema.names, x])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = docs.mapInArrow(run, f"{schema}, `{x}` double").withColumnRenamed(x, "score")
