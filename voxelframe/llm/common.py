@@ -7,7 +7,6 @@ import contextlib
 import re
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +25,8 @@ SLICE_BYTES = 2 << 20
 HASH_BYTES = 1 << 18
 #: Rows that any key may have in one task.
 HOT_ROWS = 128
+#: Rows of a table that may be broadcast, as keys and a few numbers; parts of each key beyond.
+MAX_BROADCAST_KEYS, SALTS = 50_000, 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,6 +130,18 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, spr
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
+def join_few(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """Join with a written table that has one row for each of what are mostly few keys (languages, sources).
+
+    Up to ``MAX_BROADCAST_KEYS`` rows are broadcast; beyond, the rows of ``big`` are dealt by key and hash of ``spread``.
+    """
+    if small.count() <= MAX_BROADCAST_KEYS:
+        return big.join(F.broadcast(small), key, how)
+    (salt,) = free_name(big, "_salt")
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return big.withColumn(salt, F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS))).join(copies, [key, salt], how).drop(salt)
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about ``limit`` bytes of text, or one longer row."""
     for batch in batches:
@@ -160,18 +173,6 @@ def words_of(column: pa.Array, lower: bool = False) -> list[list[bytes]]:
     return [(t.lower() if lower else t).split() if t else [] for t in raw]
 
 
-def hash_words(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word of all texts, one after another, and the offsets of the texts."""
-    offsets = np.zeros(len(words) + 1, dtype=np.int64)
-    np.cumsum([len(w) for w in words], out=offsets[1:])
-    flat = [w for ws in words for w in ws]
-    crc = np.fromiter(map(zlib.crc32, flat), dtype=np.uint64, count=len(flat))
-    length = np.fromiter(map(len, flat), dtype=np.uint64, count=len(flat))
-    # a second, independent checksum makes the name of a word 64 bits wide
-    adler = np.fromiter(map(zlib.adler32, flat), dtype=np.uint64, count=len(flat))
-    return mix((crc << np.uint64(32)) ^ adler ^ (length << np.uint64(57))), offsets
-
-
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[list(BLANKS.encode())] = True
 _FOLD = np.arange(256, dtype=np.uint8)

@@ -5,7 +5,8 @@ number of times, and once more those whose hash lies below a threshold, chosen
 so that the taken words come as near as can be to the target of the source.
 The thresholds are found by histograms: words are summed by source and hash
 prefix, the prefix in which the running sum crosses the budget is refined by
-the next bits, and only that one bucket of each source is looked at again.
+the next bits, and only that one bucket of each source is looked at again: its
+rows are written out, and the later rounds read nothing else.
 Nothing is sorted, a larger budget takes a superset (thresholds are nested),
 and the final filter is a comparison.
 """
@@ -17,12 +18,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Scratch, free_name, group_key
+from .common import BLANKS, Scratch, free_name, group_key, join_few
 
 #: Bits of the hash that each round of refinement adds.
 ROUND_BITS, ROUNDS = 12, 5
-#: Sources up to which their thresholds are broadcast; beyond, a salted join takes over.
-MAX_BROADCAST_SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -56,51 +55,61 @@ def mix_table(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float
     """``docs`` with ``size`` (words), ``source_size``, ``target`` (of the source) and ``taken`` (words, repeats counted).
 
     ``taken`` is a multiple of ``size``: ``copies = taken / size``, at most ``most``.  Null sources are one source,
-    the last; null and empty texts have size 0 and take 0.  Repeated rows share their hash and are taken or left
-    together.  A source without words has target 0, and an empty table gives an empty result.  Columns named like
-    the four new ones are replaced.
+    the last; null and empty texts have size 0 and take 0.  The hash is of key and text, so null and repeated keys are
+    dealt by their texts.  Rows equal in both share their hash; where a threshold falls among them, as many of them are
+    taken as come nearest to the target, whichever they are.  A source without words has target 0, and an empty table
+    gives an empty result.  Columns named like the four new ones are replaced.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    rows = docs.drop("source_size", "target", "taken", "copies").withColumn("size", word_count(F.col(text)))
-    src, h, full, bar = free_name(rows, "_src", "_h", "_full", "_bar")
-    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 64 - ROUND_BITS * ROUNDS)
-    rows = rows.withColumn(src, group_key(F.col(source))).withColumn(h, hashed)
+    docs = docs.drop("size", "source_size", "target", "taken", "copies")
+    src, h, full, bar, need, tie, part, before = free_name(docs, "_src", "_h", "_full", "_bar", "_need", "_tie", "_part", "_before")
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), 64 - ROUND_BITS * ROUNDS)
+    dealt = docs.withColumn(src, group_key(F.col(source))).withColumn(h, hashed)
 
     # names, sizes and hashes are all that the rounds read
-    slim = scratch.keep(rows.select(F.col(src).alias("src"), F.col(source).alias("name"), "size", F.col(h).alias("h")), "slim")
+    slim = scratch.keep(dealt.select(F.col(src).alias("src"), F.col(source).alias("name"), word_count(F.col(text)).alias("size"), F.col(h).alias("h")), "slim")
     sources = slim.groupBy("src").agg(F.first("name").alias("name"), F.sum("size").alias("size"))
     plan = scratch.keep(targets(sources, weights, share, most).withColumn("full", F.when(F.col("size") > 0, F.least(F.floor(F.col("target") / F.col("size")), F.lit(most))).otherwise(0)), "targets")
     # prefix: the bits fixed so far; need: words still wanted beyond the documents below the prefix
     state = plan.select("src", F.lit(0).cast("long").alias("prefix"), (F.col("target") - F.col("full") * F.col("size")).alias("need"))
-    few = plan.count() <= MAX_BROADCAST_SOURCES
-    small = F.broadcast if few else (lambda df: df)
+    rows = slim.select("src", "size", "h")
     for i in range(ROUNDS):
         shift = ROUND_BITS * (ROUNDS - 1 - i)
-        inside = slim.join(small(state), "src").where(F.shiftrightunsigned("h", shift + ROUND_BITS) == F.col("prefix"))
+        inside = join_few(rows, state, "src", "h").where(F.shiftrightunsigned("h", shift + ROUND_BITS) == F.col("prefix"))
+        if i == 1:  # from here on, the rows of the boundary bucket of each source are all that is read
+            rows = scratch.keep(inside.select("src", "size", "h"), "boundary")
+            inside = join_few(rows, state, "src", "h")
         sums = inside.groupBy("src", "prefix", "need", F.shiftrightunsigned("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         w = Window.partitionBy("src").orderBy("bucket")
         sums = sums.withColumn("upto", F.sum("words").over(w)).withColumn("below", F.col("upto") - F.col("words"))
         # the first bucket whose end passes the need; if none does, the last one
-        crossing = F.min_by(F.struct("bucket", "below", "words"), F.when(F.col("upto") > F.col("need"), F.col("bucket")).otherwise(F.lit(1 << 62) - F.col("bucket")))
+        crossing = F.min_by(F.struct("bucket", "below"), F.when(F.col("upto") > F.col("need"), F.col("bucket")).otherwise(F.lit(1 << 62) - F.col("bucket")))
         step = sums.groupBy("src", "need").agg(crossing.alias("c"))
-        state = scratch.keep(step.select("src", F.col("c.bucket").alias("prefix"), (F.col("need") - F.col("c.below")).alias("need"), F.col("c.words").alias("words")), f"round{i}")
-        last = state
-        state = state.drop("words")
-    # the last bucket is one document, or documents of equal hash: in if that comes nearer
-    bars = last.select("src", (F.col("prefix") + (F.col("need") * 2 >= F.col("words")).cast("long")).alias("bar"))
-    found = plan.join(bars, "src", "left").select(F.col("src").alias(src), F.col("size").alias("source_size"), "target", F.col("full").alias(full), F.coalesce("bar", F.lit(0)).alias(bar))
-    if few:
-        out = rows.join(F.broadcast(found), src)
-    else:
-        (salt,) = free_name(rows, "_salt")
-        out = rows.withColumn(salt, F.pmod(F.col(h), F.lit(256))).join(found.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long")))), [src, salt]).drop(salt)
-    copies = F.least(F.col(full) + (F.col(h) < F.col(bar)).cast("long"), F.lit(most))
-    return out.withColumn("taken", copies * F.col("size")).withColumn("copies", copies.cast("int")).drop(src, h, full, bar)
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
+        state = scratch.keep(step.select("src", F.col("c.bucket").alias("prefix"), (F.col("need") - F.col("c.below")).alias("need")), f"round{i}")
+    found = plan.join(state, "src", "left").select(F.col("src").alias(src), F.col("size").alias("source_size"), "target", F.col("full").alias(full), F.coalesce("prefix", F.lit(0)).alias(bar), F.coalesce("need", F.lit(0.0)).alias(need))
+    found = scratch.keep(found, "found")
+    met = join_few(dealt, found, src, h)
+
+    # the last bucket of a source is one document, or documents of equal hash: they are numbered, and a document is in if
+    # that comes nearer to the need.  The running sums go over the partitions in which the rows were written.
+    edge = met.where(F.col(h) == F.col(bar)).withColumn("size", word_count(F.col(text))).withColumn(tie, F.monotonically_increasing_id())
+    edge = scratch.keep(edge.withColumn(part, F.shiftright(tie, 33)), "edge")
+    parts = edge.groupBy(src, part).agg(F.sum("size").alias(before))
+    parts = parts.withColumn(before, F.sum(before).over(Window.partitionBy(src).orderBy(part)) - F.col(before))
+    within = F.sum("size").over(Window.partitionBy(src, part).orderBy(tie)) - F.col("size")
+    edge = edge.join(parts, [src, part]).withColumn(before, F.col(before) + within)
+    edge = edge.withColumn(tie, (2 * F.col(before) + F.col("size") <= 2 * F.col(need)).cast("long")).drop(part, before)
+    rest = met.where(F.col(h) != F.col(bar)).withColumn("size", word_count(F.col(text))).withColumn(tie, (F.col(h) < F.col(bar)).cast("long"))
+    out = rest.unionByName(edge)
+    copies = F.least(F.col(full) + F.col(tie), F.lit(most))
+    scratch.only("found", "edge")
+    return out.withColumn("taken", copies * F.col("size")).withColumn("copies", copies.cast("int")).drop(src, h, full, bar, need, tie)
+
+
+def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mixture itself: every document as often as it is taken, with the columns of ``docs``; documents without words stay out."""
-    out = mix_table(docs, **options)
+    out = mix_table(docs, text=text, **options)
     (copy,) = free_name(out, "_copy")
-    return out.where(F.col("taken") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = (F.col("copies") > 0) & (F.length(F.btrim(F.col(text), F.lit(BLANKS))) > 0)
+    return out.where(taken).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
