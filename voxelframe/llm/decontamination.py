@@ -5,9 +5,9 @@ are all shapes that the last equal tokens of an accepted overlap can have (see
 ``shapes``), so whatever verification accepts agrees with one of them.  The
 masked hashes of the benchmark are joined with those of every position of every
 document; each hit names a diagonal (document position minus item position),
-along which the overlap is
-verified token by token: the best stretch, with ``+1`` for an equal and ``-2``
-for a different token, must hold enough equal tokens.
+along which the overlap is verified token by token: the best stretch, with ``+1``
+for an equal and ``-1`` for a different token, must hold enough equal tokens.  Of
+items too short for that many, the whole diagonal must hold their share.
 
 The benchmark is a stated query set.  It is taken in blocks of bounded size,
 each of which goes over all documents; documents are never shuffled.
@@ -16,29 +16,27 @@ each of which goes over all documents; documents are never shuffled.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Scratch, hash_words, mix, text_slices
+from .common import hash_column, mix, text_slices
 
 #: Equal tokens that a mask reads, fewer for items that need fewer.
-WEIGHT = 6
-#: Items with fewer tokens are too short to tell from chance and match nothing.
-MIN_TOKENS = 5
+WEIGHT = 5
 #: Equal tokens that make an overlap, or this share of a shorter item.
 MIN_EQUAL, MIN_SHARE = 13, 0.8
 #: Tokens of the benchmark that are broadcast at once.
 BLOCK_TOKENS = 1_000_000
-TOKEN = re.compile(r"[^\W_]+")
+BETWEEN = re.compile(r"[\W_]+")
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased runs of letters and digits."""
-    return [t.encode("utf-8", "surrogatepass") for t in TOKEN.findall(text.lower())] if text else []
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the tokens of all texts, lower-cased runs of letters and digits, and the offsets of the texts."""
+    return hash_column(pa.array([BETWEEN.sub(" ", t.lower()) if t else "" for t in texts], pa.string()))
 
 
 def needed(length: int) -> int:
@@ -49,7 +47,7 @@ def needed(length: int) -> int:
 def shapes(weight: int) -> list[tuple[int, ...]]:
     """The masks of the last ``weight`` equal tokens of a best stretch.
 
-    A best stretch ends where its gain (``+1`` equal, ``-2`` different) first is highest, so each of its ends gains
+    A best stretch ends where its gain (``+1`` equal, ``-1`` different) first is highest, so each of its ends gains
     something: the masks are all patterns that do, read backwards from an equal token.
     """
     out, open_ = [], [((0,), 1, 1)]  # steps back from the end, gain, length
@@ -59,21 +57,36 @@ def shapes(weight: int) -> list[tuple[int, ...]]:
             out.append(tuple(back[-1] - x for x in reversed(back)))
             continue
         open_.append(((*back, n), gain + 1, n + 1))
-        if gain > 2:
-            open_.append((back, gain - 2, n + 1))
+        if gain > 1:
+            open_.append((back, gain - 1, n + 1))
     return sorted(out)
 
 
-def masked_hashes(h: np.ndarray, mask: tuple[int, ...], span: int) -> np.ndarray:
-    """The hash of every span of ``h`` under a mask."""
-    n = len(h) - span + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.full(n, sum((i + 1) << (5 * k) for k, i in enumerate(mask)) & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    for i in mask:
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += h[i : i + n]
-    return mix(out)
+def masks_of(length: int) -> list[tuple[int, ...]]:
+    """The masks for an item of so many tokens; of those that a difference splits too short, the mirrored ones as well."""
+    out = shapes(min(WEIGHT, needed(length)))
+    return sorted({*out, *(tuple(m[-1] - x for x in reversed(m)) for m in out)}) if length <= WEIGHT + 1 else out
+
+
+_FACTORS = (mix(np.arange(1, WEIGHT + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def masked_hashes(h: np.ndarray, masks: Iterable[tuple[int, ...]]) -> Iterator[np.ndarray]:
+    """The hashes of 32 bits of every span of ``h`` under each mask; masks share the sums of their common last positions."""
+    terms = [(h >> np.uint64(32)).astype(np.uint32) * f for f in _FACTORS]
+    sums: dict[tuple[int, ...], np.ndarray] = {}
+    for mask in masks:
+        back = tuple(mask[-1] - x for x in reversed(mask))
+        for k in range(1, len(back) + 1):
+            own = back[:k]
+            if own not in sums:
+                if len(h) <= own[-1]:
+                    sums[own] = np.zeros(0, dtype=np.uint32)
+                elif k == 1:
+                    sums[own] = terms[0]
+                else:
+                    sums[own] = sums[own[:-1]][own[-1] - own[-2] :] + terms[k - 1][: len(h) - own[-1]]
+        yield sums[back]
 
 
 @dataclass
@@ -85,71 +98,75 @@ class Block:
     keys: np.ndarray
     item: np.ndarray
     pos: np.ndarray
-    masks: list[tuple[tuple[int, ...], int]]
+    masks: list[tuple[int, ...]]
     bits: np.ndarray
 
 
+#: The high bits of a hash that a worker looks up first.
+BITS = 20
+
+
 def build_block(rows: list[tuple]) -> Block:
-    items = [hash_words([t])[0] for _, t in rows]
-    weights = [min(WEIGHT, needed(len(x))) for x in items]
-    by_weight = {w: [(m, m[-1] + 1) for m in shapes(w)] for w in sorted(set(weights))}
-    masks = [m for ms in by_weight.values() for m in ms]
-    keys, item, pos = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, (x, w) in enumerate(zip(items, weights)):
-        for mask, span in by_weight[w]:
-            k = masked_hashes(x, mask, span)
+    """The block of ``rows``, pairs of an id and the hashed tokens of an item."""
+    items = [x for _, x in rows]
+    by_length = {n: masks_of(n) for n in sorted({len(x) for x in items})}
+    keys, item, pos = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, x in enumerate(items):
+        for k in masked_hashes(x, by_length[len(x)]):
             keys.append(k)
             item.append(np.full(len(k), i))
             pos.append(np.arange(len(k)))
     keys, item, pos = np.concatenate(keys), np.concatenate(item), np.concatenate(pos)
     order = np.argsort(keys, kind="stable")
-    bits = np.zeros(1 << 20, dtype=bool)
-    bits[keys >> np.uint64(44)] = True
+    bits = np.zeros(1 << BITS, dtype=bool)
+    bits[keys >> np.uint32(32 - BITS)] = True
+    masks = sorted({m for ms in by_length.values() for m in ms}, key=lambda m: tuple(m[-1] - x for x in reversed(m)))
     return Block([r[0] for r in rows], items, keys[order], item[order], pos[order], masks, bits)
 
 
-def _hits(h: np.ndarray, block: Block) -> set[tuple[int, int]]:
-    """(item, diagonal) of all hits of one run of document tokens."""
-    found: set[tuple[int, int]] = set()
-    for mask, span in block.masks:
-        k = masked_hashes(h, mask, span)
-        at = np.flatnonzero(block.bits[k >> np.uint64(44)]) if len(k) else []
-        if not len(at):
-            continue
-        lo, hi = np.searchsorted(block.keys, k[at], "left"), np.searchsorted(block.keys, k[at], "right")
-        for p, a, b in zip(at[lo < hi], lo[lo < hi], hi[lo < hi]):
-            found.update(zip(block.item[a:b].tolist(), (p - block.pos[a:b]).tolist()))
+def _hits(h: np.ndarray, offsets: np.ndarray, block: Block) -> dict[int, set[tuple[int, int]]]:
+    """(item, diagonal) of all hits by text; a span lies in one text."""
+    found: dict[int, set[tuple[int, int]]] = {}
+    for mask, k in zip(block.masks, masked_hashes(h, block.masks)):
+        at = np.flatnonzero(block.bits[k >> np.uint32(32 - BITS)])
+        lo = np.searchsorted(block.keys, k[at])
+        ok = block.keys[np.minimum(lo, len(block.keys) - 1)] == k[at]
+        at, lo = at[ok], lo[ok]
+        text = np.searchsorted(offsets, at, "right") - 1
+        ok = at + mask[-1] < offsets[text + 1]
+        for p, a, i in zip(at[ok], lo[ok], text[ok]):
+            b = np.searchsorted(block.keys, k[p], "right")
+            found.setdefault(int(i), set()).update(zip(block.item[a:b].tolist(), (p - offsets[i] - block.pos[a:b]).tolist()))
     return found
 
 
 def verify(h: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
-    """The best stretch of an overlap: equal tokens, its start in the document and its length; None if it does not suffice."""
+    """The best stretch of an overlap: equal tokens, its start in the document and its length; None if it does not suffice.
+
+    Of an item that needs fewer than ``MIN_EQUAL`` tokens the stretch goes from the first equal token to the last, where
+    that is what suffices.
+    """
     a, b = max(0, -diagonal), min(len(item), len(h) - diagonal)
     equal = h[diagonal + a : diagonal + b] == item[a:b]
-    gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
+    gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -1))])
     low = np.minimum.accumulate(gain)
     end = int(np.argmax(gain - low))
     start = int(np.argmin(gain[: end + 1]))
-    n = int(equal[start:end].sum())
-    return (n, diagonal + a + start, end - start) if n >= needed(len(item)) else None
+    n, enough = int(equal[start:end].sum()), needed(len(item))
+    if n < enough < MIN_EQUAL and (every := np.flatnonzero(equal)).size >= enough:
+        n, start, end = len(every), int(every[0]), int(every[-1]) + 1
+    return (n, diagonal + a + start, end - start) if n >= enough else None
 
 
 def overlaps(texts: list[str | None], block: Block) -> list[list[tuple]]:
     """For each text ``(item id, equal tokens, start, length)`` of the items that it holds, the best stretch of each."""
-    h, offsets = hash_words([tokens(t) for t in texts])
+    h, offsets = tokens(texts)
     out: list[list[tuple]] = [[] for _ in texts]
     if not len(block.keys):
         return out
-    # one look over all texts tells which of them to go through: spans across two texts cost a look in vain at most
-    maybe = np.zeros(len(h) + 1, dtype=np.int64)
-    for mask, span in block.masks:
-        k = masked_hashes(h, mask, span)
-        if len(k):
-            maybe[: len(k)] += block.bits[k >> np.uint64(44)]
-    near = np.concatenate([[0], np.cumsum(maybe)])
-    for i in np.flatnonzero(near[offsets[1:]] > near[offsets[:-1]]):
+    for i, places in _hits(h, offsets, block).items():
         own, best = h[offsets[i] : offsets[i + 1]], {}
-        for j, diagonal in _hits(own, block):
+        for j, diagonal in places:
             if (got := verify(own, block.items[j], diagonal)) and got > best.get(j, (0,)):
                 best[j] = got
         out[i] = [(block.ids[j], *best[j], len(block.items[j])) for j in sorted(best)]
@@ -160,10 +177,10 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, limit: int = BLOCK_TOK
     """The benchmark in blocks of about ``limit`` tokens, read one partition at a time."""
     rows, size = [], 0
     for r in benchmark.select(item, text).toLocalIterator():
-        t = tokens(r[1])
-        if len(t) >= MIN_TOKENS:
-            rows.append((r[0], t))
-            size += len(t)
+        h, _ = tokens([r[1]])
+        if len(h):
+            rows.append((r[0], h))
+            size += len(h)
         if size >= limit:
             yield build_block(rows)
             rows, size = [], 0
@@ -175,8 +192,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """``doc_id, item_id, n_equal, doc_start, n_tokens, item_tokens``: one row for each document and benchmark item found in it.
 
     ``doc_start`` and ``n_tokens`` give the stretch in tokens of the document, ``n_equal`` its equal tokens.  Null and
-    empty texts and items match nothing, nor do items of fewer than five tokens.  Items of equal text match the same
-    documents, each with a row of its own; rows that repeat a document's key give a row each.  Empty tables on either
+    empty texts and items match nothing.  An overlap holds ``MIN_EQUAL`` equal tokens or, of shorter items, the share
+    ``MIN_SHARE`` rounded up; items of up to four tokens are found as they are, however common their words.  Items of
+    equal text match the same documents, each with a row of its own; rows that repeat a document's key give a row each.  Empty tables on either
     side give an empty result.  Extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -200,7 +218,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The documents that hold no benchmark item, unchanged and in place: a filter without a shuffle, one after another for each block."""
+    """The documents that hold no benchmark item, unchanged and in place: a filter without a shuffle, one after another for each block.
+
+    Null and empty texts and rows of null key stay; whole texts are read, however long; repeated rows stay or go
+    together; an empty benchmark leaves all documents; extra columns pass through, whatever their names.
+    """
     for block in blocks_of(benchmark, item, text, block_tokens):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
