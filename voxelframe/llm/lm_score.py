@@ -8,9 +8,9 @@ segmentation.  One more edge spans each word that the training texts hold, with
 its discounted frequency; what the discounts leave goes to the pieces.  Word
 frequencies are kept for each language and backed off to those of all
 languages; a document's probability is the mixture over the languages, whose
-weights are their shares of the training documents.  Languages beyond the most
-frequent ``MAX_LANGUAGES`` have none of their own: the frequencies of all stand
-for them, weighted by their documents (and 0.01).
+weights are their shares of the training documents.  The frequencies of all
+stand for languages of less than ``MIN_SHARE`` of them, which together weigh what
+they share (and 0.01).
 
 ``P(text) = sum_l share_l * prod_words P_l(word) * P_l(end)`` with
 ``P_l(w) = (c_l(w) - d_l)+ / N_l + spare_l * ((c(w) - d)+ / N + spare * P_pieces_l(w))``.
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, free_name, gathered, group_key, mix, text_slices, words_of
 
-#: Words that the workers hold; languages that have frequencies of their own; entries of a worker's counter.
-HOT_WORDS, MAX_LANGUAGES, COUNTER = 1 << 18, 6, 300_000
+#: Words that the workers hold, of up to eight numbers each, and fewer of more; entries of a worker's counter.
+HOT_WORDS, COUNTER = 1 << 18, 300_000
+#: The share of the training documents from which a language has frequencies of its own, however many languages there are.
+MIN_SHARE = 1 / 256
 #: The key of the end of a text: no word holds a blank.
 END = b" "
 LOG10 = np.log(10.0)
@@ -195,21 +197,22 @@ def _expected(table: DataFrame, columns: list[str], model: Lattice) -> tuple[np.
     return out[:, :-1], out[:, -1]
 
 
-def score(docs: DataFrame, learn: Column, vocabulary: str, lang: str = "lang", key: str = "doc_id", text: str = "text", hot_words: int = HOT_WORDS, rounds: int = 3) -> DataFrame:
+def score(docs: DataFrame, learn: Column, vocabulary: str, lang: str = "lang", key: str = "doc_id", text: str = "text", hot_words: int = HOT_WORDS, rounds: int = 3, min_share: float = MIN_SHARE) -> DataFrame:
     """``docs`` without its text, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end.  ``learn`` picks the training rows by
     columns of ``docs``.  ``base_score`` is the add-one estimate of single words, ``score`` the log10 probability of the
-    text under the model above.  Null and empty texts are just an end.  Languages beyond the most frequent six, and
-    null, share the frequencies of all.  Without training rows the pieces alone score.  Repeated rows are scored each;
-    an empty table gives an empty result.  Columns named like the new ones are replaced.
+    text under the model above.  Null and empty texts are just an end.  Null is a language like any other.  Without
+    training rows the pieces alone score.  Repeated rows are scored each; an empty table gives an empty result.
+    Columns named like the new ones are replaced.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
     l, t, w = free_name(docs, "_l", "_train", "_uid")
     rows = docs.withColumn(l, group_key(F.col(lang))).withColumn(t, F.coalesce(learn, F.lit(False)))
-    sizes = rows.where(F.col(t)).groupBy(l).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), l).limit(MAX_LANGUAGES).collect()
+    trained = rows.where(F.col(t)).count()
+    sizes = rows.where(F.col(t)).groupBy(l).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_share * trained).orderBy(F.desc("n"), l).collect()
     names = {r[0]: i for i, r in enumerate(sizes)}
     m = len(names)
 
@@ -271,13 +274,13 @@ def score(docs: DataFrame, learn: Column, vocabulary: str, lang: str = "lang", k
             if not n_train:
                 lp[end] = 0.0
             base = np.log10((c[:, -1] + 1) / (n_train + v_train + 1))
-            yield pa.record_batch([b.column("w"), b.column("a"), pa.array((c[:, -1] > 0).astype(np.int32)), pa.array(base), *[pa.array(lp[:, i].astype(np.float32)) for i in range(m + 1)]], names=["w", "a", "known", "base", *[f"p{i}" for i in range(m + 1)]])
+            yield pa.record_batch([b.column("w"), b.column("a"), pa.array((c[:, -1] > 0).astype(np.int32)), pa.array(base), *[pa.array(np.ascontiguousarray(lp[:, i])) for i in range(m + 1)]], names=["w", "a", "known", "base", *[f"p{i}" for i in range(m + 1)]])
 
     ps = [f"p{i}" for i in range(m + 1)]
-    weighed = scratch.keep(table.select("w", *columns, "a").mapInArrow(weigh, "w binary, a long, known int, base double, " + ", ".join(f"{p} float" for p in ps)), "weighed")
+    weighed = scratch.keep(table.select("w", *columns, "a").mapInArrow(weigh, "w binary, a long, known int, base double, " + ", ".join(f"{p} double" for p in ps)), "weighed")
     # words by the logarithm of their count: the bar that leaves at most hot_words above it
     hist = {r[0]: r[1] for r in weighed.groupBy(F.floor(F.log2("a") * 8).alias("g")).agg(F.count(F.lit(1))).collect()}
-    bar, above = 1 << 30, 0
+    bar, above, hot_words = 1 << 30, 0, hot_words * 8 // max(8, m + 3)
     for g in sorted(hist, reverse=True):
         above += hist[g]
         if above > hot_words:
@@ -317,8 +320,8 @@ def score(docs: DataFrame, learn: Column, vocabulary: str, lang: str = "lang", k
     rest = partial.select(w, F.explode(F.arrays_zip("rare", "times")).alias("x")).select(w, F.col("x.rare").alias("w"), F.col("x.times").alias("n"))
     rest = rest.join(weighed.where(~is_hot).drop("a"), "w").groupBy(w).agg(*[F.sum(F.col("n") * F.col(p)).alias(f"r{p}") for p in ps], F.sum(F.col("n") * F.col("base")).alias("rbase"), F.sum(F.col("n") * F.col("known")).alias("rknown"))
     out = partial.drop("rare", "times").join(rest, w, "left")
+    scratch.only("weighed", "partial")
     # the frequencies of all stand for the documents of the other languages
-    trained = rows.where(F.col(t)).count()
     shares = np.array([0.99 * r[1] / trained for r in sizes] + [0.01 + 0.99 * (1 - sum(r[1] for r in sizes) / trained)]) if trained else np.ones(1)
     parts = [F.col(p) + F.coalesce(f"r{p}", F.lit(0.0)) + F.lit(float(np.log10(s))) for p, s in zip(ps, shares)]
     top = F.greatest(*parts) if len(parts) > 1 else parts[0]
