@@ -6,16 +6,18 @@ difference of the lengths is its distance.  Both dictionaries stand on one base
 of ordinary text, which leaves less chance in the difference, and the ordinary
 one is as large as the toxic one.
 
-The labelled sample is dealt into folds and each fold trains a pair of
-dictionaries; the distance of a window is the mean over the pairs.  Only a part
-of a toxic document is toxic, so the toxic dictionaries are trained in rounds:
-first on all windows of toxic documents, then on those that lean to the toxic
-dictionaries of the *other* folds more than nearly all ordinary windows do.
-
-How far a document's windows lie apart (the greatest distances, their mean, and
-how many pass each of several thresholds) is turned into a probability by a
-logistic model.  It is calibrated on the sample, each document measured by the
-pairs of the other folds, with the weight that its class has among all labels.
+The labelled sample is dealt into folds, and each fold trains a pair of
+dictionaries.  Only a part of a toxic document is toxic, so the toxic ones are
+trained in rounds: first on all windows of toxic documents, then on those that
+lean to the toxic dictionaries of the *other* folds more than nearly all ordinary
+windows do.  What the trainer takes depends on the order of its windows; of
+several orders, the one that tells the other folds' windows apart best is kept.
+
+The distance of a window is the mean over ``PAIRS`` pairs.  How far a document's
+windows lie apart (the greatest distances, their mean, and how many pass each of
+several thresholds) is turned into a probability by a logistic model.  It is
+calibrated on the sample, each document measured by as many pairs of the other
+folds, with the weight that its class has among all labels.
 """
 
 from __future__ import annotations
@@ -34,29 +36,30 @@ from pyspark.sql import functions as F
 from .common import Scratch, free_name, text_slices, words_of
 
 PUNCTUATION = b".,!;:?\"'()[]{}#$%&*|-_"
-#: Words of a window; half of them overlap.
-WINDOW_WORDS = 4
+#: Words of a window, and words from one window to the next.
+WINDOW_WORDS, STRIDE = 4, 3
 #: Bytes of the common base, of each trained dictionary, and of the piece of text that the trainer takes at once.
 BASE_BYTES, DICTIONARY_BYTES, SEGMENT = 8192, 4096, 12
 #: zstandard stores tiny blocks raw: each window is compressed behind so many bytes that both dictionaries end with.
 FILLER_BYTES = 64
-#: Folds of the sample, rounds of training, and the share of ordinary windows that a leaning window must pass.
-FOLDS, ROUNDS, LEAN = 3, 3, 0.99
+#: Folds of the sample, pairs that measure a window, rounds of training, and orders that are tried in each.
+FOLDS, PAIRS, ROUNDS, ORDERS = 3, 2, 3, 8
+#: The share of ordinary windows that a leaning window must pass.
+LEAN = 0.98
 #: Distances that are counted.
 THRESHOLDS = (1.5, 2, 2.5, 3, 4, 5, 6)
 #: The sample: labelled documents of either class, and bytes of their texts (the last document may pass that).
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 16 << 20
-#: Bytes of windows that a dictionary is trained on, and ordinary windows that set the bar of a round; both by least hash.
-TRAIN_BYTES, BAR_WINDOWS = 4 << 20, 10_000
+#: Bytes of windows that a dictionary is trained on, and windows of a fold and class that choose among dictionaries; by hash.
+TRAIN_BYTES, JUDGES = 4 << 20, 4000
 
 Pair = tuple[bytes, bytes]
 
 
-def windows(words: list[bytes], size: int) -> list[bytes]:
-    """The windows of a text: ``size`` words without the punctuation around them, half overlapping."""
+def windows(words: list[bytes], size: int, stride: int = STRIDE) -> list[bytes]:
+    """The windows of a text: ``size`` words without the punctuation around them."""
     bare = [w for w in (x.strip(PUNCTUATION) for x in words) if w]
-    step = max(1, size // 2)
-    return [b" " + b" ".join(bare[i : i + size]) + b" " for i in range(0, max(1, len(bare) - step + 1) if bare else 0, step)]
+    return [b" " + b" ".join(bare[i : i + size]) + b" " for i in range(0, max(1, len(bare) - (size - stride)) if bare else 0, stride)]
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -71,17 +74,16 @@ class Meter:
         self.filler = base[-FILLER_BYTES:]
         self.pairs = [tuple(_compressor(base + d + self.filler) for d in p) for p in pairs]
 
-    def distances(self, some: list[bytes], threads: int = 0) -> np.ndarray:
+    def distances(self, some: list[bytes]) -> np.ndarray:
         """By how many bytes the toxic dictionaries shorten each window more than the ordinary ones, on average."""
-        out = np.zeros(len(some))
-        if not some or not self.pairs:
-            return out
-        whole = [self.filler + w for w in some]
-        for pair in self.pairs:
-            for sign, c in zip((1, -1), pair):
-                sizes = map(len, c.multi_compress_to_buffer(whole, threads=threads)) if threads else (len(c.compress(w)) for w in whole)
-                out += sign * np.fromiter(sizes, np.int64, len(whole))
-        return out / len(self.pairs)
+        out, whole = np.zeros(len(some)), [self.filler + w for w in some]
+        for ordinary, toxic in self.pairs if some else ():
+            out += _sizes(ordinary, whole) - _sizes(toxic, whole)
+        return out / max(1, len(self.pairs))
+
+
+def _sizes(compressor: zstandard.ZstdCompressor, whole: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, compressor.multi_compress_to_buffer(whole)), np.int64, len(whole))
 
 
 def features(d: np.ndarray) -> np.ndarray:
@@ -100,24 +102,23 @@ class Model:
     weights: np.ndarray
     window_words: int
 
-    def open(self) -> None:
-        self.meter = Meter(self.base, self.pairs)
-
-    def score(self, words: list[bytes]) -> float:
-        x = features(self.meter.distances(windows(words, self.window_words)))
-        return float(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))))
+    def scores(self, texts: list[list[bytes]], meter: Meter) -> list[float]:
+        cut = [windows(words, self.window_words) for words in texts]
+        d = meter.distances([w for ws in cut for w in ws])
+        ends = np.cumsum([len(ws) for ws in cut], dtype=np.int64)
+        x = np.array([features(d[b - len(ws) : b]) for ws, b in zip(cut, ends)])
+        return (1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))).tolist()
 
 
-def _by_hash(some: set[bytes]) -> list[bytes]:
+def _by_hash(some: set[bytes], seed: int = 0) -> list[bytes]:
     """The windows in an order that depends on nothing but themselves."""
-    own = sorted(some)
-    return [own[i] for i in np.argsort([xxhash.xxh64_intdigest(w) for w in own], kind="stable")]
+    return [w for _, w in sorted((xxhash.xxh64_intdigest(w, seed), w) for w in some)]
 
 
-def _dictionary(some: set[bytes], size: int) -> bytes:
+def _dictionary(some: set[bytes], size: int, seed: int = 0) -> bytes:
     """A dictionary trained on the windows; of too few windows, their text."""
     samples, total = [], 0
-    for w in _by_hash(some):
+    for w in _by_hash(some, seed):
         if total > TRAIN_BYTES:
             break
         samples.append(w)
@@ -141,37 +142,57 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
     return w
 
 
-def train(sample: list[tuple[list[bytes], int, int]], totals: dict[int, int], window_words: int = WINDOW_WORDS, threads: int = 4) -> Model:
+def train(sample: list[tuple[list[bytes], int, int]], totals: dict[int, int], window_words: int = WINDOW_WORDS) -> Model:
     """Dictionaries and calibration from ``sample``, rows of words, class and fold; ``totals`` counts all labels of a class."""
-    cut = [(windows(words, window_words), kind, fold) for words, kind, fold in sample]
-    own = {(kind, fold): {w for ws, k, f in cut if (k, f) == (kind, fold) for w in ws} for kind in (0, 1) for fold in range(FOLDS)}
+    # windows to learn from overlap by half
+    own = {(kind, fold): set() for kind in (0, 1) for fold in range(FOLDS)}
+    for words, kind, fold in sample:
+        own[kind, fold].update(windows(words, window_words, max(1, window_words // 2)))
     base = _dictionary(set().union(*(own[0, f] for f in range(FOLDS))), BASE_BYTES)
     ordinary = [_dictionary(own[0, f], DICTIONARY_BYTES) for f in range(FOLDS)]
     # copies of a document would make their fold's windows look toxic to the others
     found = Counter(w for f in range(FOLDS) for w in own[1, f])
     candidates = [[w for w in _by_hash(own[1, f]) if found[w] == 1] for f in range(FOLDS)]
-    bars = [_by_hash(own[0, f])[:BAR_WINDOWS] for f in range(FOLDS)]
+    usual = [_by_hash(own[0, f])[:JUDGES] for f in range(FOLDS)]
+    others = [[g for g in range(FOLDS) if g != f] for f in range(FOLDS)]
     lean, pairs = [own[1, f] for f in range(FOLDS)], []
     for i in range(ROUNDS):
-        pairs = [(ordinary[f], _dictionary(lean[f], DICTIONARY_BYTES)) for f in range(FOLDS)]
+        telling = [[w for w in candidates[f] if w in lean[f]][:JUDGES] for f in range(FOLDS)]
+        pairs = [_best_pair(base, ordinary[f], lean[f], [w for g in others[f] for w in telling[g]], [w for g in others[f] for w in usual[g]]) for f in range(FOLDS)]
         if i + 1 == ROUNDS:
             break
+        chosen = []
         for f in range(FOLDS):
-            meter = Meter(base, [p for g, p in enumerate(pairs) if g != f])
-            usual = meter.distances(bars[f], threads)
-            bar = max(2.0, float(np.quantile(usual, LEAN))) if len(usual) else 2.0
-            some = {w for w, x in zip(candidates[f], meter.distances(candidates[f], threads)) if x > bar}
-            lean[f] = some or lean[f]
-    model = Model(base, pairs, np.zeros(len(features(np.zeros(0)))), window_words)
-    if cut:
-        meters = [Meter(base, [p for g, p in enumerate(pairs) if g != f]) for f in range(FOLDS)]
-        x = np.stack([features(meters[f].distances(ws, threads)) for ws, _, f in cut])
-        y = np.array([k for _, k, _ in cut], dtype=np.float64)
-        weight = np.array([totals[k] / max(1, int((y == k).sum())) for _, k, _ in cut])
+            meter = Meter(base, [pairs[g] for g in others[f]])
+            low = meter.distances(usual[f])
+            bar = max(1.0, float(np.quantile(low, LEAN))) if len(low) else 1.0
+            chosen.append({w for w, x in zip(candidates[f], meter.distances(candidates[f])) if x > bar} or lean[f])
+        lean = chosen
+    model = Model(base, pairs[:PAIRS], np.zeros(len(features(np.zeros(0)))), window_words)
+    if sample:
+        meters = [Meter(base, [pairs[g] for g in others[f][:PAIRS]]) for f in range(FOLDS)]
+        x = np.stack([features(meters[f].distances(windows(words, window_words))) for words, _, f in sample])
+        y = np.array([k for _, k, _ in sample], dtype=np.float64)
+        weight = np.array([totals[k] / max(1, int((y == k).sum())) for _, k, _ in sample])
         model.weights = _calibrate(x, y, weight / weight.mean())
     return model
 
 
+def _best_pair(base: bytes, ordinary: bytes, some: set[bytes], telling: list[bytes], usual: list[bytes]) -> Pair:
+    """The ordinary dictionary and, of the toxic ones from several orders of ``some``, the one that tells other windows apart best."""
+    best: tuple[float, Pair] | None = None
+    for seed in range(ORDERS):
+        pair = (ordinary, _dictionary(some, DICTIONARY_BYTES, seed))
+        if not telling or not usual:
+            return pair
+        meter = Meter(base, [pair])
+        a, b = meter.distances(telling), meter.distances(usual)
+        gap = float((a.mean() - b.mean()) / (b.std() + 1e-9))
+        if best is None or gap > best[0]:
+            best = (gap, pair)
+    return best[1]
+
+
 def sample_of(docs: DataFrame, labels: DataFrame, learn: Column, scratch: Scratch, sample_docs: int, key: str, text: str) -> tuple[DataFrame, dict[int, int]]:
     """Text, class and fold of at most ``sample_docs`` labelled rows of either class, those of least key hash, and the numbers of all."""
     marks = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -210,13 +231,13 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, sample_docs: int =
     docs = docs.drop("score", "predicted")
     sample, totals = sample_of(docs, labels, learn, scratch, sample_docs, key, text)
     model = spark.sparkContext.broadcast(train(_read(sample, sample_bytes), totals, window_words))
-    scratch.drop()
+    scratch.only()
     (x,) = free_name(docs, "_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model.value.open()
+        meter = Meter(model.value.base, model.value.pairs)
         for b in text_slices(batches, text):
-            yield pa.record_batch([*b.columns, pa.array([model.value.score(w) for w in words_of(b.column(text), lower=True)], pa.float64())], names=[*b.schema.names, x])
+            yield pa.record_batch([*b.columns, pa.array(model.value.scores(words_of(b.column(text), lower=True), meter), pa.float64())], names=[*b.schema.names, x])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = docs.mapInArrow(run, f"{schema}, `{x}` double").withColumnRenamed(x, "score")
