@@ -239,6 +239,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     lead = kinds.where("c > 1").select("name", "stretch", "c", "least", F.col("f.t").alias("ft"), F.col("f.at").alias("fat"))
     more = join_hot(occurs, lead, ["name", "stretch"], "c", "id").where("id > least or t <> ft or at <> fat")
     more = scratch.keep(more.select("id", "t", "at", "n", F.when(F.col("id") == F.col("least"), F.col("name")).alias("name")), "more")
+    scratch.drop("shared", "occurs")
     whole = more.where("name is null").drop("name")
     # 3. of anchors with different stretches, all occurrences in the least document of each, window by window
     own = kinds.select("name", F.col("least").alias("id"), "f.*", F.lit(1).alias("lead")).unionByName(more.where("name is not null").withColumn("lead", F.lit(0)))
@@ -246,6 +247,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     several = scratch.keep(several, "several")
     places_of = join_hot(own.drop("lead"), several, ["name"], "c", "id").groupBy("id", "t").agg(F.collect_list(F.struct("at", "n")).alias("places"))
     single = scratch.keep(slim.join(places_of, ["id", "t"]).mapInArrow(windows, "id long, t long, at int, w1 long, w2 long"), "windows")
+    scratch.drop("kinds", "several")
     release()
     again = single.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("c")).where("least < most")
     again = scratch.keep(again.drop("most"), "again")
