@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from voxelframe.llm import quality
 
-from .test_operators import DOCS, brute_near, brute_targets, docs_of, labelled
+from .test_operators import DOCS, brute_near, brute_targets, docs_of, labelled, phases
 
 
 def kneser_ney(texts):
@@ -109,7 +109,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert out.columns == [*docs.columns, "shard", "slot"]
     got = out.collect()
 
-    scored = brute_quality(docs, labels, rows, 0.998, 300)
+    scored = brute_quality(docs, labels, rows, 0.998, 600)
     assert all(abs(x - bar) > 1e-4 or x == bar for _, x, bar in scored.values())
     kept = [r for r in rows if scored[r[0]][1] <= scored[r[0]][2] + 1e-6]
     assert 300 < len(kept) < len(rows) - 50
@@ -135,8 +135,9 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     order, seen, totals, last = sorted(got, key=lambda r: (r["shard"], r["slot"])), collections.Counter(), collections.Counter(r["source"] for r in got), 0.0
     for k, n in shards.items():
         assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(n))
+    phase = phases(spark, totals)
     for r in order:
-        now = (2 * seen[r["source"]] + 1) / (2 * totals[r["source"]])
+        now = (seen[r["source"]] + phase[r["source"]]) / totals[r["source"]]
         seen[r["source"]] += 1
         assert now >= last
         last = now
