@@ -189,23 +189,55 @@ def read_plane(read, page: Page, sample: int = 0, skip: int = 0) -> np.ndarray:
     return out
 
 
-def write_pages(planes, width: int, height: int, description: str = "", item: int = 2) -> bytes:
-    """A classic little-endian file of stored pages; 8-bit pages saturate at 255."""
-    out, last = bytearray(b"II*\0\0\0\0\0"), 4
+def page_stream(planes, count: int, width: int, height: int, description: str = "", item: int = 2, big: bool | None = None):
+    """The bytes of a little-endian file of ``count`` stored pages, one page at a time; 8-bit pages saturate at 255.
+
+    All pages but for the description have one size, so the place of every directory is known before its page is.  A file
+    that a classic one's 32-bit offsets cannot reach becomes a big one, as does any with ``big``.
+    """
     text = description.encode() + b"\0"
-    for i, plane in enumerate(planes):
+    size = width * height * item
+    stored = size + size % 2
+
+    def directory_bytes(large: bool, i: int) -> int:
+        entries = 10 + (i == 0)  # the first page has the description
+        return 8 + entries * 20 + 8 if large else 2 + entries * 12 + 4
+
+    def place(large: bool, i: int) -> int:
+        """Where a page begins; its directory follows its pixels."""
+        start = (16 if large else 8) + len(text) + len(text) % 2
+        return start + i * (stored + directory_bytes(large, 1)) + (directory_bytes(large, 0) - directory_bytes(large, 1) if i else 0)
+
+    big = place(False, count) >= 1 << 32 if big is None else big
+    if not big and place(False, count) >= 1 << 32:
+        raise FormatError("classic files end at 4 GiB")
+    word, number, head = ("<Q", "<Q", 16) if big else ("<I", "<H", 8)
+    first = place(big, 0) + stored if count else 0
+    yield (struct.pack("<2sHHHQ", b"II", 43, 8, 0, first) if big else struct.pack("<2sHI", b"II", 42, first)) + text + b"\0" * (len(text) % 2)
+    inline = struct.calcsize(word)
+
+    def entry(tag: int, kind: int, many: int, value: int) -> bytes:
+        return struct.pack("<HH", tag, kind) + struct.pack(word, many) + struct.pack(word, value)
+
+    written = 0
+    for plane in planes:
+        if written == count:
+            raise FormatError(f"more than {count} pages")
         pixels = np.minimum(plane, 255 if item == 1 else 65535).astype(f"<u{item}").tobytes()
-        at = len(out)
-        out += pixels + b"\0" * (len(pixels) % 2)
-        note = len(out)
-        if not i:
-            out += text + b"\0" * (len(text) % 2)
-        entries = [(WIDTH, 4, 1, width), (HEIGHT, 4, 1, height), (BITS, 3, 1, 8 * item), (COMPRESSION, 3, 1, STORED), (PHOTOMETRIC, 3, 1, 1)]
-        entries += [(DESCRIPTION, 2, len(text), note if len(text) > 4 else int.from_bytes(text.ljust(4, b"\0"), "little"))] if not i else []
-        entries += [(STRIPS, 4, 1, at), (SAMPLES, 3, 1, 1), (ROWS, 4, 1, height), (LENGTHS, 4, 1, len(pixels)), (FORMAT, 3, 1, 1)]
-        struct.pack_into("<I", out, last, len(out))
-        out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + b"\0\0\0\0"
-        last = len(out) - 4
-        if len(out) >= 1 << 32:
-            raise FormatError("classic files end at 4 GiB")
-    return bytes(out)
+        if len(pixels) != size:
+            raise FormatError(f"page {written} is not {width} x {height}")
+        at, long = place(big, written), 16 if big else 4
+        tags = [(WIDTH, 4, 1, width), (HEIGHT, 4, 1, height), (BITS, 3, 1, 8 * item), (COMPRESSION, 3, 1, STORED), (PHOTOMETRIC, 3, 1, 1)]
+        tags += [(DESCRIPTION, 2, len(text), int.from_bytes(text.ljust(inline, b"\0"), "little") if len(text) <= inline else head)] if not written else []
+        tags += [(STRIPS, long, 1, at), (SAMPLES, 3, 1, 1), (ROWS, 4, 1, height), (LENGTHS, long, 1, size), (FORMAT, 3, 1, 1)]
+        written += 1
+        following = place(big, written) + stored if written < count else 0
+        yield pixels + b"\0" * (size % 2) + struct.pack(number, len(tags)) + b"".join(entry(*t) for t in tags) + struct.pack(word, following)
+    if written != count:
+        raise FormatError(f"{written} of {count} pages")
+
+
+def write_pages(planes, width: int, height: int, description: str = "", item: int = 2, big: bool | None = None) -> bytes:
+    """The file of ``page_stream`` in memory."""
+    planes = list(planes)
+    return b"".join(page_stream(planes, len(planes), width, height, description, item, big))
