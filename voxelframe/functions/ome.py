@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import xml.etree.ElementTree as ElementTree
 from dataclasses import dataclass
 
@@ -36,18 +37,27 @@ def _whole(e: ElementTree.Element, name: str, default: int | None = None) -> int
     return int(text)
 
 
-def _here(entry: ElementTree.Element, root: str | None, file_name: str) -> bool:
-    uuid = next((x for x in entry if _local(x) == "UUID"), None)
-    if uuid is None:
+def _here(entry: ElementTree.Element, root: str | None, path: str) -> bool:
+    """Whether an entry means the file at ``path``: one that names none does, as do those that name its identifier or its place.
+
+    A file name counts from the folder of the file, so that a file of the same name elsewhere is another one.  An
+    entry that names more than one file, or one by nothing that can be compared, is an error.
+    """
+    names = [x for x in entry if _local(x) == "UUID"]
+    if len(names) > 1:
+        raise FormatError("an entry names more than one file")
+    if not names:
         return True
-    own = (uuid.text or "").strip().lower()
-    if own and root:
-        return own == root.strip().lower()
-    name = uuid.get("FileName")
-    return name is None or name.replace("\\", "/").rpartition("/")[2] == file_name
+    theirs, ours = ((x or "").strip().casefold() for x in (names[0].text, root))
+    if theirs and ours:
+        return theirs == ours
+    place = names[0].get("FileName")
+    if not place:
+        raise FormatError("an entry names its file by nothing that can be compared")
+    return os.path.realpath(os.path.join(os.path.dirname(path), place)) == os.path.realpath(path)
 
 
-def parse(text: str, width: int, height: int, pages: int, file_name: str = "") -> Layout | None:
+def parse(text: str, width: int, height: int, pages: int, path: str = "") -> Layout | None:
     """The layout of a description, or None if it is none of this kind; what is unclear or contradictory is an error.
 
     A file may hold a part of an acquisition: its planes must make a full rectangle, whose origin becomes (0, 0, 0).
@@ -89,7 +99,7 @@ def parse(text: str, width: int, height: int, pages: int, file_name: str = "") -
 
     planes: dict[int, tuple[int, int, int]] = {}
     for x in entries:
-        if not _here(x, root.get("UUID"), file_name):
+        if not _here(x, root.get("UUID"), path):
             continue
         ifd = _whole(x, "IFD", 0)
         first = {a: _whole(x, f"First{a.upper()}", 0) for a in fast}

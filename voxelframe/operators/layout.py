@@ -68,9 +68,15 @@ def rebase(pages: DataFrame) -> DataFrame:
 
 
 def is_local(uuid: Column, root: Column, file_name: Column, own_name: str) -> Column:
-    """Whether a plane is in this file: by UUID where both give one, else by file name, else it is."""
-    trim = lambda c: F.lower(F.trim(c))
-    return F.when(uuid.isNotNull() & root.isNotNull(), trim(uuid) == trim(root)).otherwise(F.coalesce(file_name == own_name, F.lit(True)))
+    """Whether an entry means this file: by identifier where both sides have one, else by its name as seen from the file's folder.
+
+    An entry that names no file does; a name with another folder does not.  One whose identifier cannot be compared and
+    that has no name is an error.
+    """
+    theirs, ours = (F.nullif(F.lower(F.trim(x)), F.lit("")) for x in (uuid, root))
+    plain = F.regexp_replace(file_name, r"^(\./+)+", "")
+    unclear = F.raise_error(F.lit("an entry names its file by nothing that can be compared")).cast("boolean")
+    return F.when(theirs.isNotNull() & ours.isNotNull(), theirs == ours).when(file_name.isNotNull(), plain == own_name).when(uuid.isNull(), F.lit(True)).otherwise(unclear)
 
 
 def chunk_grid(df: DataFrame, sizes: dict[str, int], chunks: dict[str, int]) -> DataFrame:
