@@ -223,8 +223,9 @@ def _sc7(spark: SparkSession, d: str) -> DataFrame:
     return P.read_planes(P.px_events(spark, d), _requests(spark, d), 2).select("ord", "y", "x", "v")
 
 
-QUERIES["so2_request_order"] = lambda spark, d: _sc7(spark, d).orderBy("ord", "y", "x")
-ORACLES["so2_request_order"] = ORACLES["sc7_read_planes"]
+# where each row stands: all rows of earlier requests, then y and x (a frame's planes have 100 rows)
+QUERIES["so2_request_order"] = lambda spark, d: (lambda rows: rows.join(rows.groupBy("ord").agg(F.count(lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), lit(0))), "ord").select("ord", "y", "x", "v", (c("before") + c("y") * 25 + c("x")).alias("at")))(_sc7(spark, d))
+ORACLES["so2_request_order"] = f"WITH px AS ({PX['events']}), r AS ({_REQ}) SELECT ord, y, x, v, row_number() OVER (ORDER BY ord, y, x) - 1 AS at FROM r JOIN px ON r.t = px.t AND r.c = px.c AND r.z = px.z"
 QUERIES["jn1_request_units"] = lambda spark, d: _requests(spark, d).join(P.px_events(spark, d).select("t", "c", F.expr("z div 2").alias("unit")).distinct(), ["t", "c"]).where("unit = z div 2").select("ord", "t", "c", "unit")
 ORACLES["jn1_request_units"] = f"WITH r AS ({_REQ}) SELECT ord, t, c, z // 2 AS unit FROM r"
 _UNITS_SQL = "u AS (SELECT t, c, z // 2 * 2 AS z0, count(DISTINCT z) AS depth FROM px GROUP BY t, c, z // 2 * 2)"
@@ -236,7 +237,10 @@ register("jn3_unit_dispatch", "SELECT DISTINCT t, c, z, 0 AS single, t * 2 + c A
 )
 register("jn4_symbol_lookup", "SELECT v, count(*) AS n, CAST(floor(sqrt(v)) AS BIGINT) AS q FROM px GROUP BY v", "orders")(lambda v: v.groupBy("v").agg(F.count(lit(1)).alias("n")).withColumn("q", X.q_symbol(c("v"))))
 register("jn6_neighbours", "SELECT a.i, l.v AS left_v, u.v AS up_v, p.v AS back_v FROM px a LEFT JOIN px l ON l.i = a.i - 1 AND a.x > 0 LEFT JOIN px u ON u.i = a.i - 25 AND a.y > 0 LEFT JOIN px p ON p.i = a.i - 100 AND a.z > 0")(
-    lambda v: v.select("i", *[F.when(c(a) > 0, F.lag("v", k).over(Window.partitionBy("t", "c").orderBy("i"))).alias(n) for n, a, k in (("left_v", "x", 1), ("up_v", "y", 25), ("back_v", "z", 100))])
+    # within a plane for two of them, along z for the third: no window holds more than a plane
+    lambda v: v.select("*", *[F.when(c(a) > 0, F.lag("v", k).over(Window.partitionBy("t", "c", "z").orderBy("i"))).alias(n) for n, a, k in (("left_v", "x", 1), ("up_v", "y", 25))]).select(
+        "i", "left_v", "up_v", F.lag("v").over(Window.partitionBy("t", "c", "y", "x").orderBy("z")).alias("back_v")
+    )
 )
 register("jn7_missing_planes", "SELECT g.range AS page FROM range((SELECT max(i) // 100 + 3 FROM px)) g WHERE g.range NOT IN (SELECT i // 100 FROM px WHERE v % 97 > 0 GROUP BY 1 HAVING count(*) > 97)")(
     lambda v: v.sparkSession.range(v.agg(F.max(F.expr("i div 100 + 3"))).first()[0]).select(c("id").alias("page")).join(v.where("v % 97 > 0").groupBy(F.expr("i div 100").alias("page")).count().where("count > 97"), "page", "left_anti")
@@ -319,7 +323,12 @@ register("ly23_stream_depth", "SELECT t, CASE WHEN d > 4 THEN d // 4 * 4 ELSE d
     lambda v: v.groupBy("t").agg(F.greatest(lit(1), F.least(F.max("z") + 1, F.expr("(3000 + 400 * t) div 4 div 200"))).alias("d")).select("t", F.expr("case when d > 4 then d div 4 * 4 else d end").alias("depth"))
 )
 # --- order, offsets, completeness -------------------------------------------------------------------------------
-register("so1_canonical_order", "SELECT i, t, c, z, y, x, v FROM px")(lambda v: v.repartitionByRange(8, "t", "c", "z").sortWithinPartitions("t", "c", "z", "y", "x").select("i", "t", "c", "z", "y", "x", "v"))
+# the place of each voxel in T, C, Z, Y, X order: those of earlier volumes, then its place within its own
+register("so1_canonical_order", "SELECT i, t, c, z, y, x, v, row_number() OVER (ORDER BY t, c, z, y, x) - 1 AS at FROM px")(
+    lambda v: v.withColumn("own", F.row_number().over(Window.partitionBy("t", "c", "z").orderBy("y", "x")) - 1).join(
+        v.groupBy("t", "c", "z").agg(F.count(lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("t", "c", "z").rowsBetween(Window.unboundedPreceding, -1)), lit(0))), ["t", "c", "z"]
+    ).select("i", "t", "c", "z", "y", "x", "v", (c("before") + c("own")).alias("at"))
+)
 register("so5_output_guard", "SELECT t, count(*) * 2 AS bytes, count(*) * 2 <= 1 << 30 AS allowed FROM px GROUP BY t")(lambda v: v.groupBy("t").agg((F.count(lit(1)) * 2).alias("bytes")).withColumn("allowed", c("bytes") <= 1 << 30))
 register("so6_first_match", "SELECT min(i) AS i FROM px WHERE v > 1000")(lambda v: v.where("v > 1000").orderBy("i").limit(1).select("i"))
 register("wn5_record_offsets", ", r AS (SELECT t, (c * 5 + z) AS seq, CAST(sum(v % 7) AS BIGINT) AS len FROM px GROUP BY t, c, z) SELECT t, seq, len, CAST(40 + coalesce(sum(len + 24) OVER (PARTITION BY t ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 24 AS BIGINT) AS off FROM r")(
@@ -392,10 +401,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the codec as jobs: what comes back must be what went in ----------------------------------------------------
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
+    import re
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.gettempdir()
     return f"{root.rstrip('/')}/stack-{uuid.uuid4().hex}"
 
 
@@ -415,8 +429,19 @@ _ALL = "SELECT t, c, z, y, x, v FROM px"
 register("ec1_ec4_roundtrip", _ALL)(lambda v: _decoded(_chunks(v, P.EVENTS, 5), P.EVENTS))
 register("ec8_chunked_roundtrip", _ALL, "orders")(lambda v: _decoded(_chunks(v, P.ORDERS, 2), P.ORDERS))
 register("ec2_lossy_roundtrip", f"SELECT t, c, z, y, x, {_REC} AS v FROM px")(lambda v: _decoded(_chunks(v, P.EVENTS, 5, _CALS["a"]), P.EVENTS))
-QUERIES["sk1_encode_stats"] = lambda spark, d: _chunks(P.px_events(spark, d), P.EVENTS, 5).drop("payload")
-QUERIES["sk2_lossy_stats"] = lambda spark, d: _chunks(P.px_events(spark, d), P.EVENTS, 5, _CALS["a"]).drop("payload")
+# what the statistics must satisfy: the parts fill the stream but for framing, and raw blocks are the incompressible ones
+_QA = "round(2 * sqrt(greatest((v - 100::DOUBLE) * 0.46::DOUBLE, 0)) / 2::DOUBLE)"
+_STATS = "SELECT t, c, 0 AS z0, 5 AS depth, 1000 AS raw_bytes, 3 AS blocks, {q} AS q_max, TRUE AS adds_up FROM px GROUP BY t, c"
+
+
+def _stats(v: DataFrame, cal: Calibration | None) -> DataFrame:
+    rows = _chunks(v, P.EVENTS, 5, cal)
+    parts = c("q_bytes") + c("r_bytes") + c("model_bytes")
+    return rows.select(*[c(n).cast("long").alias(n) for n in ("t", "c", "z0", "depth", "raw_bytes", "blocks", "q_max")], ((c("total_bytes") == F.octet_length("payload")) & (parts < c("total_bytes")) & (c("raw_blocks") <= c("blocks"))).alias("adds_up"))
+
+
+register("sk1_encode_stats", _STATS.format(q="CAST(max(floor(sqrt(v))) AS BIGINT)"))(lambda v: _stats(v, None))
+register("sk2_lossy_stats", _STATS.format(q=f"CAST(max({_QA}) AS BIGINT)"))(lambda v: _stats(v, _CALS["a"]))
 
 
 @register("sc28_headers", "SELECT t, c, 'RDL1' AS magic, CAST(25 AS BIGINT) AS nx, CAST(4 AS BIGINT) AS ny, CAST(count(DISTINCT z) AS BIGINT) AS nz, CAST(2 AS BIGINT) AS block_depth FROM px GROUP BY t, c, z // 3")
@@ -452,25 +477,27 @@ def _sc1(v: DataFrame) -> DataFrame:
     return stack.unit_index(v.sparkSession, path).select("kind", *[c(n).cast("long").alias(n) for n in ("t", "c", "z0", "depth")])
 
 
-@register("sc17_tiff_planes", "SELECT (c * 5 + z) AS page, y, x, v FROM px WHERE t = 0")
-def _sc17(v: DataFrame) -> DataFrame:
-    import numpy as np
-    import pyarrow.fs as pafs
+def _frames(v: DataFrame) -> tuple[DataFrame, str]:
+    """All frames as files, written and read by the executors: what was written, and where."""
+    from .sources import tiff
 
-    from .codec import tiff
+    path = _folder(v.sparkSession)
+    return tiff.write_frames(P.planes(v), path, 25, 4, 10), path
+
+
+@register("sc17_tiff_planes", "SELECT t, (c * 5 + z) AS page, y, x, v FROM px")
+def _sc17(v: DataFrame) -> DataFrame:
     from .plans import jobs
     from .sources import stack
 
-    spark, path = v.sparkSession, _folder(v.sparkSession)
-    stack.register(spark)
-    # one frame of ten planes
-    rows = P.planes(v.where("t = 0")).orderBy("c", "z").collect()
-    fs, inner = pafs.FileSystem.from_uri(path)
-    fs.create_dir(inner.rpartition("/")[0])
-    with fs.open_output_stream(inner) as out:
-        out.write(tiff.write_pages([np.frombuffer(r["pixels"], "<u2").reshape(4, 25) for r in rows], 25, 4))
-    pages = spark.read.format("tiffplanes").load(path).select(lit(0).alias("t"), lit(0).alias("c"), c("page").alias("z"), "pixels")
-    return jobs.voxels_of(pages, 25).select(c("z").alias("page"), "y", "x", "v")
+    stack.register(v.sparkSession)
+    written, path = _frames(v)
+    written.collect()  # a name for each frame
+    pages = v.sparkSession.read.format("tiffplanes").load(path).select(F.expr("cast(substring(file, 7, 8) as int)").alias("t"), lit(0).alias("c"), c("page").alias("z"), "pixels")
+    return jobs.voxels_of(pages, 25).select("t", c("z").alias("page"), "y", "x", "v")
+
+
+register("sk8_export", "SELECT 'frame-' || lpad(CAST(t AS VARCHAR), 8, '0') || '.tif' AS file, CAST(count(DISTINCT c * 5 + z) AS INTEGER) AS pages FROM px GROUP BY t")(lambda v: _frames(v)[0])
 
 
 @register("mt3_metadata", "SELECT t, c, 'note ' || t AS note, CAST(5 AS BIGINT) AS z FROM px GROUP BY t, c")

@@ -155,6 +155,14 @@ def encode_volume(v: np.ndarray, options: Options = Options(), calibration: Cali
     return encode_volumes([v], options, calibration)[0]
 
 
+def raw_bytes(data: bytes) -> int:
+    """Bytes of the 16-bit pixels that a volume stream's header tells of."""
+    s = Bytes(data)
+    s.read("4sHH")
+    x, y, z = s.read("III")
+    return 2 * x * y * z
+
+
 def parse_volume(data: bytes, expected: Dims | None = None) -> Volume:
     """Header, models and blocks of a stream; header checksum and geometry are verified, block checksums too."""
     s = Bytes(data)

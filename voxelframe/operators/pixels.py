@@ -68,9 +68,10 @@ def contexts(voxels: DataFrame, g: Geometry, options: Options = Options()) -> Da
     """
     block = F.expr(f"z div {options.block_depth}")
     w = Window.partitionBy("t", "c", "b").orderBy("i")
-    # the partitioning by (t, c) satisfies this window and the histograms by (t, c, ...) that follow
-    vol = Window.partitionBy("t", "c")
-    rows = voxels.withColumn("q", q_symbol(F.col("v"))).withColumn("b", block).withColumn("alphabet", F.max("q").over(vol) + 1)
+    rows = voxels.withColumn("q", q_symbol(F.col("v"))).withColumn("b", block)
+    # one row for each volume; the voxels meet by block only
+    alphabet = rows.groupBy("t", "c").agg((F.max("q") + 1).alias("alphabet"))
+    rows = rows.join(alphabet, ["t", "c"])
     near = {n: F.coalesce(F.lag("q", k).over(w), F.lit(0)) for n, k in (("l", 1), ("u", g.x), ("p", g.x * g.y))}
     rows = rows.withColumns(near).withColumn("lz", F.expr(f"z % {options.block_depth}"))
     c = F.col

@@ -56,14 +56,25 @@ def _encoded(rows: list[tuple[dict, np.ndarray]], options: Options, calibration:
 
 
 def decode_chunks(chunks: DataFrame) -> DataFrame:
-    """Planes of chunks (``t, c, z0, payload``): no shuffle, all chunks of an Arrow batch in lock step."""
+    """Planes of chunks (``t, c, z0, payload``): no shuffle; chunks of about ``BATCH_BYTES`` of raw pixels in lock step, or one larger chunk."""
+
+    def decoded(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for r, v in zip(rows, container.decode_volumes([r["payload"] for r in rows])):
+            planes = [plane.astype("<u2").tobytes() for plane in v]
+            at = [pa.array(np.full(len(planes), r[k], dtype=np.int32)) for k in ("t", "c")]
+            yield pa.record_batch([*at, pa.array(r["z0"] + np.arange(len(planes), dtype=np.int32)), pa.array(planes, pa.binary())], names=["t", "c", "z", "pixels"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
-            out = [(r["t"], r["c"], r["z0"] + k, plane.astype("<u2").tobytes()) for r, v in zip(rows, container.decode_volumes([r["payload"] for r in rows])) for k, plane in enumerate(v)]
-            if out:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["t", "c", "z", "pixels"])
+            rows, size = [], 0
+            for i in range(b.num_rows):
+                rows += b.slice(i, 1).to_pylist()
+                size += container.raw_bytes(rows[-1]["payload"])
+                if size > BATCH_BYTES:
+                    yield from decoded(rows)
+                    rows, size = [], 0
+            if rows:
+                yield from decoded(rows)
 
     return chunks.select("t", "c", "z0", "payload").mapInArrow(run, PLANE_SCHEMA)
 
