@@ -95,11 +95,6 @@ def test_normalization_in_sql_equals_the_row_function(spark):
 
 
 # --- the codec --------------------------------------------------------------------------------------------------
-def structured(x, y, z):
-    i = np.arange(x)[None, None], np.arange(y)[None, :, None], np.arange(z)[:, None, None]
-    return ((17 * i[0] + 31 * i[1] + 101 * i[2] + 3 * i[0] * i[1]) % 65536).astype(np.int64)
-
-
 def test_few_blocks_and_many_are_coded_alike(monkeypatch):
     rng = np.random.default_rng(7)
     arrays_ = [rng.poisson(m, (5, 6, 7)) for m in (0, 3, 900, 30000)]
@@ -118,21 +113,31 @@ def test_few_blocks_and_many_are_coded_alike(monkeypatch):
             assert all((a == b).all() for a, b in zip(*back))
 
 
-@pytest.mark.parametrize("mode", list(MODES))
-@pytest.mark.parametrize("shape", [(7, 5, 3), (1, 1, 1), (1, 7, 5), (11, 1, 5), (13, 7, 1), (9, 3, 2)])
-def test_volume_roundtrip(mode, shape):
-    v = structured(*shape)
-    flat = v.reshape(-1)
-    flat[: min(12, flat.size)] = [0, 1, 2, 3, 254, 255, 256, 1023, 4095, 32767, 65534, 65535][: flat.size]
-    for bits in (8, 9, 10, 11):
-        if bits < 10 and v.size > 200:
-            continue
-        data, stats = container.encode_volume(v, Options(2, mode, bits))
-        assert (container.decode_volume(data) == v).all() and stats["blocks"] == -(-shape[2] // 2)
+@st.composite
+def volumes(draw):
+    """Volumes of a few blocks: counts of light, ramps, or values around the powers of two and the squares."""
+    shape = tuple(draw(st.integers(1, n)) for n in (6, 7, 9))
+    rng = np.random.default_rng(draw(st.integers(0, 2**32)))
+    kind = draw(st.sampled_from(["light", "ramp", "edges"]))
+    if kind == "light":
+        return rng.poisson(draw(st.sampled_from([0.1, 20, 3000])), shape).clip(0, 65535)
+    if kind == "ramp":
+        return (np.indices(shape) * rng.integers(1, 3000, (3, 1, 1, 1))).sum(0) % 65536
+    near = np.concatenate([1 << np.arange(17), np.arange(0, 256, 5) ** 2])
+    return (rng.choice(near, shape) + rng.integers(-1, 2, shape)).clip(0, 65535)
+
+
+@settings(max_examples=40, deadline=None)
+@given(volumes(), st.sampled_from(sorted(MODES)), st.integers(8, 11), st.integers(1, 4))
+def test_volumes_come_back(v, mode, bits, depth):
+    if len(np.unique(np.floor(np.sqrt(v)))) > 1 << bits or 2 * np.sqrt(v.max()) >= 1 << bits:
+        bits = 11
+    data, stats = container.encode_volume(v, Options(depth, mode, bits))
+    assert (container.decode_volume(data) == v).all() and stats["blocks"] == -(-len(v) // depth)
     cal = Calibration(0, 1, 4.1)
-    back = container.decode_volume(container.encode_volume(v, Options(2, mode), cal)[0])
     q = container.symbols(v, cal)
-    assert (container.symbols(back, cal) == q).all() or np.abs(container.symbols(back, cal) - q).max() <= 1
+    back = container.symbols(container.decode_volume(container.encode_volume(v, Options(depth, mode), cal)[0]), cal)
+    assert np.abs(back - q).max() <= 1
 
 
 def test_contexts_equal_the_window_query(spark):
@@ -145,15 +150,18 @@ def test_contexts_equal_the_window_query(spark):
                 assert own.tolist() == [rows[c * 500 + z * 100 + k][1] for k in range(len(own))]
 
 
-def test_raw_blocks():
-    noise = np.random.default_rng(3).integers(0, 65536, (9, 64, 128))
-    data, stats = container.encode_volume(noise)
-    assert stats["raw_blocks"] == 3 and len(data) == 2 * noise.size + 48 + 3 * 20 and (container.decode_volume(data) == noise).all()
-    v = np.zeros((257, 1, 1), dtype=np.int64)
-    v[-1] = 54321
-    data, _ = container.encode_volume(v, Options(128))
-    assert [b.raw for b in container.parse_volume(data).blocks] == [False, False, True] and (container.decode_volume(data) == v).all()
-    assert (container.decode_volume(container.encode_volume(np.zeros((3, 11, 13)), calibration=Calibration(100, 0.46, 2))[0]) == 100).all()
+def test_blocks_that_cannot_be_coded_are_stored():
+    rng = np.random.default_rng(3)
+    # of a dark volume, the block of its last plane
+    v = np.zeros((65, 3, 3), dtype=np.int64)
+    v[-1] = rng.integers(0, 65536, (3, 3))
+    data, stats = container.encode_volume(v, Options(64))
+    assert [b.raw for b in container.parse_volume(data).blocks] == [False, True] and stats["raw_blocks"] == 1 and (container.decode_volume(data) == v).all()
+    # a volume of noise only is as long as its pixels and the framing
+    alone = [len(container.encode_volume(rng.integers(0, 65536, (n, 40, 30)), Options(2))[0]) - 2 * n * 1200 for n in (2, 4, 6)]
+    assert alone[0] < 100 and alone[1] - alone[0] == alone[2] - alone[1] < 50
+    dark = container.encode_volume(np.zeros((4, 9, 8)), calibration=Calibration(37, 0.5, 1.5))[0]
+    assert (container.decode_volume(dark) == 37).all()
 
 
 def test_every_bit_flip_is_refused():
@@ -256,20 +264,43 @@ def test_stream_emits_whole_chunks(spark, tmp_path):
 
 
 # --- arrays, files, TIFF, command line --------------------------------------------------------------------------
-@pytest.mark.parametrize("axes", ["yx", "zyx", "tyx", "tzyx", "tczyx", "xztcy"])
-@pytest.mark.parametrize("dtype", ["u1", "<u2", ">u2"])
-def test_arrays(axes, dtype):
-    sizes = {"t": 2, "c": 2, "z": 3, "y": 5, "x": 7}
-    shape = [sizes[a] for a in axes]
-    a = (37 * np.arange(np.prod(shape)) % 65536).astype(dtype).reshape(shape)[..., ::-1]
-    back = arrays.decompress(arrays.compress(a, axes))
-    assert (back == a).all() and back.dtype == np.dtype(dtype)
+@st.composite
+def images(draw):
+    """An array of any axes in any order, in memory as it comes: of either byte order, transposed, cut and reversed."""
+    axes = draw(st.permutations(["y", "x", *draw(st.lists(st.sampled_from("tcz"), unique=True))]))
+    shape = [draw(st.integers(1, 5)) for _ in axes]
+    dtype = draw(st.sampled_from(["u1", "<u2", ">u2"]))
+    whole = np.random.default_rng(draw(st.integers(0, 2**32))).integers(0, np.iinfo(dtype).max + 1, [2 * n for n in shape[::-1]]).astype(dtype)
+    steps = tuple(slice(None, None, draw(st.sampled_from([2, -2]))) for _ in shape)
+    return whole[steps].T, "".join(axes)
+
+
+@settings(max_examples=40, deadline=None)
+@given(images())
+def test_arrays(image):
+    a, axes = image
+    data = arrays.compress(a, axes, metadata=b"note:1\n{}\n")
+    back = arrays.decompress(data)
+    assert np.array_equal(back, a) and back.dtype == a.dtype
     frame = arrays.encode_chunk(a, axes)
-    assert (arrays.decode_chunk(frame, a.shape, axes, dtype) == a).all()
+    assert np.array_equal(arrays.decode_chunk(frame, a.shape, axes, a.dtype.str), a)
     with pytest.raises(FormatError):
-        arrays.decode_chunk(frame[:-1] + bytes([frame[-1] ^ 1]), a.shape, axes, dtype)
+        arrays.decode_chunk(frame[:-1] + bytes([frame[-1] ^ 1]), a.shape, axes, a.dtype.str)
     with pytest.raises(FormatError):
-        arrays.decompress(arrays.compress(a, axes), max_output_bytes=2 * a.size - 1)
+        arrays.decompress(data, max_output_bytes=2 * a.size - 1)
+
+
+def test_only_the_own_record_is_read_as_one(tmp_path):
+    a = np.arange(24, dtype="u2").reshape(2, 3, 4)
+    data = arrays.compress(a, metadata=b"user")
+    for note in (b"note:1\n{\"a\": 1}\n", b"{}", b"\0", arrays.ArrayForm.MARK[:-1]):
+        path = tmp_path / "n.vox"
+        path.write_bytes(container.set_metadata(data, note))
+        assert arrays.open_file(str(path)).metadata == note and (arrays.read(str(path)) == a).all()
+    record = arrays.ArrayForm.of(a, None).record()
+    for i in range(len(arrays.ArrayForm.MARK), len(record)):
+        with pytest.raises(FormatError):
+            arrays.decompress(container.set_metadata(data, record[:i] + bytes([record[i] ^ 1]) + record[i + 1 :]))
 
 
 def test_lazy_files(tmp_path):
@@ -304,6 +335,36 @@ def test_tiff_variants(tmp_path):
             tiff.read_pages(container.read_bytes(bad), len(bad))
 
 
+@pytest.mark.parametrize("big", [False, True])
+def test_streamed_files(big):
+    rng = np.random.default_rng(8)
+    planes = [rng.integers(0, 65536, (5, 7)) for _ in range(4)]
+    pieces = list(tiff.page_stream(iter(planes), 4, 7, 5, "a note", big=big))
+    assert len(pieces) == 5  # the head, and one piece for each page
+    data = b"".join(pieces)
+    pages = tiff.read_pages(container.read_bytes(data), len(data))
+    assert pages[0].description == "a note" and all((tiff.read_plane(container.read_bytes(data), p) == q).all() for p, q in zip(pages, planes))
+    # a file beyond classic offsets becomes a big one by itself
+    head = next(tiff.page_stream(iter(()), 3000, 1024, 1024))
+    assert head[2:4] == b"+\0" and next(tiff.page_stream(iter(()), 3, 1024, 1024))[2:4] == b"*\0"
+    with pytest.raises(FormatError):
+        next(tiff.page_stream(iter(()), 3000, 1024, 1024, big=False))
+    for wrong in (planes[:3], [*planes, planes[0]], [*planes[:3], planes[0][:4]]):
+        with pytest.raises(FormatError):
+            list(tiff.page_stream(iter(wrong), 4, 7, 5))
+
+
+def test_frames_that_are_not_whole_leave_no_file(spark, tmp_path):
+    from voxelframe.sources import tiff as frames
+
+    planes = jobs.pack_planes(P.px_events(spark, SF), 25, 4)
+    with pytest.raises(Exception, match="9 of 10 pages"):
+        frames.write_frames(planes.where("c = 0 or z > 0"), f"file://{tmp_path}", 25, 4, 10).collect()
+    assert not list(tmp_path.glob("*.tif"))
+    assert frames.write_frames(planes, f"file://{tmp_path}", 25, 4, 10).collect() == [("frame-00000000.tif", 10)]
+    assert frames.inspect(f"file://{tmp_path}/frame-00000000.tif")["planes"] == 10
+
+
 def test_lzw():
     # clear, 7, 7 7 (258), 7 7 7 (259), end
     codes, bits = [256, 7, 258, 259, 257], ""
