@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import transform as X
 from .operators import layout as L
+from .operators import multiscale as M
 from .operators import pixels as P
 from .operators import statistics as S
 from .plans.spec import MODES, Calibration, Options
@@ -204,7 +205,12 @@ register("ag11_uniform", "SELECT count(DISTINCT n) = 1 AS same_size, count(*) AS
 register("ag13_complete_levels", "SELECT y AS path, 4 AS w, 2 AS h FROM px WHERE v % 11 > 0 GROUP BY y HAVING count(DISTINCT t * 10 + c * 5 + z) = (SELECT count(DISTINCT t * 10 + c * 5 + z) FROM px)")(
     lambda v: L.complete_levels(v.where("v % 11 > 0").select(c("y").alias("path"), F.expr("t * 10 + c * 5 + z").alias("plane"), lit(4).alias("w"), lit(2).alias("h")), v.select("t", "c", "z").distinct().count())
 )
-QUERIES["ag14_plane_crc"] = lambda spark, d: P.planes(P.px_events(spark, d)).select("t", "c", "z", F.crc32("pixels").alias("crc"))
+# the checksum byte by byte: its table by the rule of the polynomial, then one step for each byte of a plane
+_CRC_TABLE = "tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS s)"
+_CRC_BYTES = "p AS (SELECT t, c, z, list(b ORDER BY y, x, k) AS bs FROM (SELECT t, c, z, y, x, 0 AS k, v % 256 AS b FROM px UNION ALL SELECT t, c, z, y, x, 1, v // 256 FROM px) GROUP BY t, c, z)"
+register("ag14_plane_crc", f", {_CRC_TABLE}, {_CRC_BYTES} SELECT t, c, z, CAST(xor(list_reduce(list_concat([4294967295], bs), lambda a, b: xor(a >> 8, s[(xor(a, b) & 255) + 1])), 4294967295) AS BIGINT) AS crc FROM p, tab")(
+    lambda v: P.planes(v).select("t", "c", "z", F.crc32("pixels").alias("crc"))
+)
 register("ag12_resident_peak", ", u AS (SELECT t, c, z, min(i // 100) AS a, max(i // 100 + v % 3) AS b, 200 AS n FROM px GROUP BY t, c, z), e AS (SELECT t, a AS p, 0 AS k, n AS d FROM u UNION ALL SELECT t, b, 1, -n FROM u) SELECT t, CAST(max(s) AS BIGINT) AS peak FROM (SELECT t, sum(d) OVER (PARTITION BY t ORDER BY p, k, d DESC ROWS UNBOUNDED PRECEDING) AS s FROM e) GROUP BY t")(
     lambda v: S.resident_peak(v.groupBy("t", "c", "z").agg(F.min(F.expr("i div 100")).alias("first"), F.max(F.expr("i div 100 + v % 3")).alias("last"), lit(200).alias("bytes")), ["t"])
 )
@@ -347,11 +353,16 @@ register("rs1_two_levels", f", {_L1} SELECT t, c, z, y // 2 AS y, x // 2 AS x, C
 register("rs5_lossy_pyramid", f"SELECT t, c, z, y // 2 AS y, x // 2 AS x, CAST((sum({_REC} * {_W.format(ny=4, wy=1, nx=25, wx=2)}) + 2) // 4 AS BIGINT) AS v FROM px GROUP BY t, c, z, y // 2, x // 2")(
     lambda v: S.mean_level(v.withColumn("v", X.reconstruct(X.quantize(c("v"), _CALS["a"]), _CALS["a"])), {"y": 4, "x": 25}, {"y": 2, "x": 2})
 )
-_REGRID = "SELECT t, c, z // 3 AS cz, x // 10 AS cx, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM px GROUP BY ALL"
-register("rs6_rechunk", _REGRID)(lambda v: v.groupBy("t", "c", F.expr("z div 3").alias("cz"), F.expr("x div 10").alias("cx")).agg(F.count(lit(1)).alias("n"), F.sum("v").alias("total")))
-QUERIES["sk17_repack"] = lambda spark, d: P.px_orders(spark, d).withColumn("kind", F.when(c("c") == 1, "label").otherwise("image")).withColumn("v", F.when(c("kind") == "label", c("v")).otherwise(X.reconstruct(X.quantize(c("v"), _CALS["b"]), _CALS["b"]))).groupBy("t", "kind", F.expr("x div 4").alias("cx")).agg(F.sum("v").alias("total"))
-ORACLES["sk17_repack"] = f"WITH px AS ({PX['orders']}) SELECT t, CASE WHEN c = 1 THEN 'label' ELSE 'image' END AS kind, x // 4 AS cx, CAST(sum(CASE WHEN c = 1 THEN v ELSE CAST(least(greatest(round(0::DOUBLE + 0.25::DOUBLE * (round(2 * sqrt(v::DOUBLE) / 4::DOUBLE) * 4::DOUBLE) * (round(2 * sqrt(v::DOUBLE) / 4::DOUBLE) * 4::DOUBLE)), 0), 65535) AS BIGINT) END) AS BIGINT) AS total FROM px GROUP BY ALL"
-QUERIES["sk18_convert"], ORACLES["sk18_convert"] = QUERIES["rs6_rechunk"], ORACLES["rs6_rechunk"]
+def _regridded(df: DataFrame, chunks: dict[str, int], *keep: str) -> DataFrame:
+    return M.rechunk(df, chunks, keep).withColumn("values", F.array_join(c("values").cast("array<string>"), ","))
+
+
+register("rs6_rechunk", "SELECT t, c, z // 3 AS chunk_z, y // 3 AS chunk_y, x // 10 AS chunk_x, string_agg(CAST(v AS VARCHAR), ',' ORDER BY z, y, x) AS \"values\" FROM px GROUP BY ALL")(lambda v: _regridded(v, {"z": 3, "y": 3, "x": 10}, "t", "c"))
+# labels stay as they are, images are quantised, and all move to another grid
+_LABEL = "CASE WHEN c = 1 THEN v ELSE CAST(least(greatest(round(0::DOUBLE + 0.25::DOUBLE * (round(2 * sqrt(v::DOUBLE) / 4::DOUBLE) * 4::DOUBLE) * (round(2 * sqrt(v::DOUBLE) / 4::DOUBLE) * 4::DOUBLE)), 0), 65535) AS BIGINT) END"
+register("sk17_repack", f"SELECT t, c, y // 2 AS chunk_y, x // 4 AS chunk_x, string_agg(CAST({_LABEL} AS VARCHAR), ',' ORDER BY y, x, z) AS \"values\" FROM px GROUP BY ALL", "orders")(
+    lambda v: _regridded(M.repack(v.withColumn("is_label", c("c") == 1), _CALS["b"]), {"y": 2, "x": 4, "z": 5}, "t", "c").drop("chunk_z")
+)
 register("rs7_region_update", "SELECT i, CASE WHEN y BETWEEN 1 AND 2 AND x < 10 AND z = 1 THEN 65535 ELSE v END AS v FROM px")(
     lambda v: (lambda patch: v.join(patch, "i", "left_anti").select("i", "v").unionByName(patch.withColumn("v", lit(65535).cast("long"))))(v.where("y between 1 and 2 and x < 10 and z = 1").select("i"))
 )
@@ -376,12 +387,24 @@ register("st4_descriptions", "SELECT t, 'ImageJ=' || chr(10) || 'images=10' || c
 register("st7_layout_json", "SELECT t, '{\"shape\":[2,5,4,25],\"axes\":\"czyx\",\"dtype\":\"<u2\"}' AS layout FROM px GROUP BY t")(
     lambda v: v.groupBy("t").agg(*[(F.max(a) + 1).alias(a) for a in "czyx"]).select("t", T.layout_json([c(a) for a in "czyx"], "czyx", "<u2").alias("layout"))
 )
-register("st8_multiscales", "SELECT y AS level, '{\"path\":\"' || y || '\",\"scale\":[2.0,' || CAST(0.25::DOUBLE * (1 << y) AS VARCHAR) || ']}' AS entry FROM px GROUP BY y")(
-    lambda v: v.select("y").distinct().select(c("y").alias("level"), F.concat(lit('{"path":"'), c("y").cast("string"), lit('","scale":[2.0,'), (lit(0.25) * F.expr("shiftleft(1, cast(y as int))")).cast("string"), lit("]}")).alias("entry"))
-)
-register_table("st9_declared_paths", "SELECT n_nationkey AS k, 'labels/' || n_name AS path FROM nation WHERE n_regionkey <> 2")(
-    lambda spark, d: _read(spark, d, "nation").select(c("n_nationkey").alias("k"), F.concat(F.when(c("n_regionkey") == 2, "../").otherwise("labels/"), "n_name").alias("path")).where(~c("path").rlike(r"(^|/)\.\.(/|$)"))
-)
+def _multiscales(v: DataFrame) -> str:
+    """The description of a pyramid of the pixels."""
+    _, told = M.level_table(v.select("t", "c", "z", "y", "x", "v"), {"z": 5, "y": 4, "x": 25}, 4, {"z": 2, "y": 0.25, "x": 0.5}, {"y": 3})
+    return M.describe(told, "zyx", "pixels", {"x": "micrometer"})
+
+
+_ENTRY = "STRUCT<datasets: ARRAY<STRUCT<path: STRING, coordinateTransformations: ARRAY<STRUCT<type: STRING, scale: ARRAY<DOUBLE>, translation: ARRAY<DOUBLE>>>>>>"
+_HALF = "least(level, 2)"  # four rows are halved twice, twenty-five columns thrice
+
+
+@register("st8_multiscales", f"SELECT CAST(level AS VARCHAR) AS path, 2.0::DOUBLE AS scale_z, 0.25::DOUBLE * (1 << {_HALF}) AS scale_y, 0.5::DOUBLE * (1 << level) AS scale_x, 3 + 0.125::DOUBLE * ((1 << {_HALF}) - 1) AS translation_y, 0.25::DOUBLE * ((1 << level) - 1) AS translation_x FROM (SELECT CAST(range AS INTEGER) AS level FROM range(4))")
+def _st8(v: DataFrame) -> DataFrame:
+    rows = v.sparkSession.createDataFrame([(_multiscales(v),)], "text string").select(F.explode(F.from_json("text", _ENTRY)["datasets"]).alias("e"))
+    steps = c("e")["coordinateTransformations"]
+    return rows.select(c("e")["path"].alias("path"), *[steps[0]["scale"][i].alias(f"scale_{a}") for i, a in enumerate("zyx")], *[steps[1]["translation"][i].alias(f"translation_{a}") for i, a in ((1, "y"), (2, "x"))])
+
+
+register("st9_declared_paths", "SELECT CAST(range AS VARCHAR) AS path FROM range(4)")(lambda v: v.sparkSession.createDataFrame([(p,) for p in M.declared_paths(_multiscales(v))], "path string"))
 register_table("st10_output_names", "SELECT n_nationkey AS k, n_name || '.out' AS enc, n_name || CASE WHEN n_regionkey = 0 THEN '.tif' ELSE '.x.tif' END AS dec FROM nation")(
     lambda spark, d: _read(spark, d, "nation").select(c("n_nationkey").alias("k"), T.output_name(F.concat("n_name", lit(".tif")), "out").alias("enc"), T.output_name(F.concat("n_name", F.when(c("n_regionkey") == 0, ".tif.out").otherwise(".x.out")), "tif").alias("dec"))
 )
@@ -497,6 +520,37 @@ def _sc17(v: DataFrame) -> DataFrame:
     return jobs.voxels_of(pages, 25).select("t", c("z").alias("page"), "y", "x", "v")
 
 
+@register("sk18_convert", "SELECT t, c, z, y, x, v FROM px")
+def _sk18(v: DataFrame) -> DataFrame:
+    """Files of pages become coded chunks of volumes."""
+    from .plans import jobs
+    from .sources import stack
+
+    stack.register(v.sparkSession)
+    written, path = _frames(v)
+    written.collect()  # a name for each frame
+    pages = v.sparkSession.read.format("tiffplanes").load(path).select(F.expr("cast(substring(file, 7, 8) as int)").alias("t"), F.expr("page div 5").alias("c"), F.expr("page % 5").alias("z"), "pixels")
+    return jobs.voxels_of(jobs.decode_chunks(jobs.encode_chunks(pages, 25, 4, 3)), 25)
+
+
+# half of the rows are compared with a width that their payload does not have
+@register("sc2_payload_check", "SELECT t, c, z // 2 * 2 AS z0, c = 0 AS fits FROM px GROUP BY t, c, z // 2")
+def _sc2(v: DataFrame) -> DataFrame:
+    from .plans import jobs
+
+    rows = _chunks(v, P.EVENTS, 2).withColumn("w", lit(25) + c("c")).withColumn("h", lit(4))
+    return jobs.check_payloads(rows, "w", "h", lossy=False).select(c("t").cast("long").alias("t"), c("c").cast("long").alias("c"), c("z0").cast("long").alias("z0"), "fits")
+
+
+@register("sc5_file_info", "SELECT CAST(max(t) + 1 AS INTEGER) AS t, 2 AS c, 5 AS z, 4 AS y, 25 AS x, 'stream' AS kind, 6 AS flags FROM px")
+def _sc5(v: DataFrame) -> DataFrame:
+    from .sources import stack
+
+    path = _folder(v.sparkSession)
+    _written(v.sparkSession, v, path)
+    return stack.file_info(v.sparkSession, path)
+
+
 register("sk8_export", "SELECT 'frame-' || lpad(CAST(t AS VARCHAR), 8, '0') || '.tif' AS file, CAST(count(DISTINCT c * 5 + z) AS INTEGER) AS pages FROM px GROUP BY t")(lambda v: _frames(v)[0])
 
 

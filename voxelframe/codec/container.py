@@ -286,6 +286,14 @@ class Index:
         return self.units[(t * self.dims.c + c) * each + z // self.chunk_depth]
 
 
+#: What a file's flags tell.
+LOSSY, MANY_AXES, CHUNKED = 1, 2, 4
+
+
+def file_flags(index: Index) -> int:
+    return LOSSY * index.lossy | MANY_AXES * (index.kind != "single") | CHUNKED * (index.kind == "stream")
+
+
 def pack_collection(dims: Dims, streams: list[bytes], lossy: bool) -> bytes:
     """Volume streams in T, C order, each with its length before it."""
     head = struct.pack("<4sHHIIIIII", COLLECTION[lossy], VERSION, 0, dims.x, dims.y, dims.z, dims.c, dims.t, len(streams))

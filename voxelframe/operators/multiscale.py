@@ -74,6 +74,13 @@ def write_levels(table: DataFrame, path: str, description: str, codec: str = "zs
     table.sparkSession.createDataFrame([(description,)], "value string").coalesce(1).write.text(f"{path}/multiscales")
 
 
+def rechunk(voxels: DataFrame, chunks: dict[str, int], keep: tuple[str, ...] = ("t", "c")) -> DataFrame:
+    """One row for each chunk of another grid: its place along the axes of ``chunks`` and its ``values``, first axis slowest."""
+    places = [F.expr(f"{a} div {n}").alias(f"chunk_{a}") for a, n in chunks.items()]
+    own = F.array_sort(F.collect_list(F.struct(*chunks, "v")))
+    return voxels.groupBy(*keep, *places).agg(F.transform(own, lambda s: s["v"]).alias("values"))
+
+
 def repack(table: DataFrame, calibration: Calibration | None, label: str = "is_label") -> DataFrame:
     """Every level quantised once; rows marked as labels stay as they are."""
     if calibration is None:

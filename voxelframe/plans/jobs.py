@@ -110,3 +110,10 @@ def header_fields(payload: str = "payload") -> dict:
         return F.conv(F.concat(*[F.hex(F.substring(payload, at + k, 1)) for k in (4, 3, 2, 1)]), 16, 10).cast("long")
 
     return {"magic": F.decode(F.substring(payload, 1, 4), "utf-8"), "nx": u32(8), "ny": u32(12), "nz": u32(16), "block_depth": u32(20)}
+
+
+def check_payloads(chunks: DataFrame, width: str, height: str, lossy: bool) -> DataFrame:
+    """``chunks`` with ``fits``: whether each payload's header has the coder's mode, the extents ``width`` and ``height`` (columns) and the depth of its row."""
+    h = header_fields()
+    magic = container.VOLUME[lossy].decode()
+    return chunks.withColumn("fits", (h["magic"] == magic) & (h["nx"] == F.col(width)) & (h["ny"] == F.col(height)) & (h["nz"] == F.col("depth")))

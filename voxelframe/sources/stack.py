@@ -172,3 +172,12 @@ def unit_index(spark: SparkSession, path: str):
         index = container.read_index(read, size)
     rows = [(index.kind, u.t, u.c, u.z0, u.depth, u.offset, u.length) for u in index.units]
     return spark.createDataFrame(rows, "kind string, t int, c int, z0 int, depth int, off long, len long")
+
+
+def file_info(spark: SparkSession, path: str):
+    """One row: the extents of a container, its kind and its flags."""
+    read, size, handle = opener(path)
+    with handle:
+        index = container.read_index(read, size)
+    d = index.dims
+    return spark.createDataFrame([(d.t, d.c, d.z, d.y, d.x, index.kind, container.file_flags(index))], "t int, c int, z int, y int, x int, kind string, flags int")
