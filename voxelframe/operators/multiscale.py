@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.spec import Calibration, FormatError
+from .. import arrays
+from ..plans.spec import Calibration, FormatError, Options
 from ..functions.transform import quantize, reconstruct
 from .statistics import mean_level
 
@@ -68,6 +72,45 @@ def describe(levels: list[dict], axes: str, name: str, units: dict[str, str] | N
     return json.dumps({"name": name, "axes": listed, "datasets": sets, "type": "mean"})
 
 
+CODED_SCHEMA = "level int, t long, c long, chunk_z long, chunk_y long, chunk_x long, depth int, height int, width int, payload binary"
+
+
+def code_levels(table: DataFrame, chunks: dict[str, int], options: Options = Options(), calibration: Calibration | None = None) -> DataFrame:
+    """Every chunk of every level (``level, t, c, z, y, x, v``) as a framed chunk of the block codec, with its place and extents."""
+    places = [F.expr(f"{a} div {chunks[a]}").alias(f"chunk_{a}") for a in "zyx"]
+    own = F.array_sort(F.collect_list(F.struct("z", "y", "x", "v")))
+    sizes = [(F.max(a) - F.min(a) + 1).cast("int").alias(n) for a, n in zip("zyx", ("depth", "height", "width"))]
+    grouped = table.groupBy(F.col("level").cast("int").alias("level"), *[F.col(a).cast("long").alias(a) for a in "tc"], *places).agg(*sizes, F.transform(own, lambda s: s["v"].cast("int")).alias("values"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                shape = tuple(row.column(n)[0].as_py() for n in ("depth", "height", "width"))
+                values = np.asarray(row.column("values").flatten())
+                if len(values) != np.prod(shape):
+                    raise FormatError(f"{len(values)} voxels do not make a chunk of {shape}")
+                frame = arrays.encode_chunk(values.astype("<u2").reshape(shape), "zyx", options, calibration)
+                yield pa.record_batch([*row.columns[:-1], pa.array([frame], pa.binary())], names=[*row.schema.names[:-1], "payload"])
+
+    return grouped.mapInArrow(run, CODED_SCHEMA)
+
+
+def decode_levels(coded: DataFrame, chunks: dict[str, int]) -> DataFrame:
+    """The voxels of coded chunks: ``level, t, c, z, y, x, v``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                v = arrays.decode_chunk(r["payload"], (r["depth"], r["height"], r["width"]), "zyx", "<u2")
+                at = [x.ravel() + r[f"chunk_{a}"] * chunks[a] for a, x in zip("zyx", np.indices(v.shape))]
+                same = [pa.array(np.full(v.size, r[k]), t) for k, t in (("level", pa.int32()), ("t", pa.int64()), ("c", pa.int64()))]
+                yield pa.record_batch([*same, *map(pa.array, at), pa.array(v.ravel().astype(np.int64))], names=["level", "t", "c", "z", "y", "x", "v"])
+
+    return coded.mapInArrow(run, "level int, t long, c long, z long, y long, x long, v long")
+
+
 def write_levels(table: DataFrame, path: str, description: str, codec: str = "zstd") -> None:
     """The levels as Parquet partitioned by level, and the description beside them; codec ``zstd`` or ``none``."""
     table.write.partitionBy("level").option("compression", codec).parquet(f"{path}/levels")
