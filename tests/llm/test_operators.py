@@ -489,11 +489,20 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
     rows, _ = labelled(spark, 80)
     from voxelframe.llm.common import Scratch
 
-    m = quality.train(docs_of(spark, rows), Scratch(spark, "test"))
-    every = np.arange(1, len(m.vocabulary) + 2)  # all words and the unknown one
-    for context in ([quality.FIRST, quality.FIRST + 1], [quality.FIRST + 3, quality.UNKNOWN], [quality.UNKNOWN] * 2):
-        total = sum(10 ** m.score(np.array([*context, w]), np.array([0]))[-1] for w in every)
-        assert abs(total - 1) < 1e-4, context
+    m = quality.train(docs_of(spark, rows), Scratch(spark, "test")).collect()
+    every = np.append(m.uni[0], np.uint64(12345))  # all words and an unknown one
+    known, unknown = m.uni[0][:4], np.uint64(77)
+    for context in ([known[0], known[1]], [known[3], unknown], [unknown] * 2):
+        total = sum(10 ** m.score(np.array([*context, w], dtype=np.uint64), np.array([0]))[-1] for w in every)
+        assert abs(total - 1) < 1e-9, context
+
+
+def test_quality_by_joins_equals_the_broadcast(spark, mess):
+    rows, labels = labelled(spark, 200)
+    docs = with_clashes(docs_of(spark, rows + [(10000 + i, *r[1:]) for i, r in enumerate(mess)]))
+    a, b = ({(r["doc_id"], r["n_tokens"], round(r["perplexity"], 6), round(r["threshold"], 6), r["keep"]) for r in quality.score(docs, labels, quantile=0.98, max_ngrams=n).collect()} for n in (quality.MAX_NGRAMS, 0))
+    assert a == b and len(a) > 200
+    assert quality.score(docs_of(spark, []), labels, max_ngrams=0).count() == 0
 
 
 def test_toxicity_learns_and_handles_odd_cases(spark, mess):
