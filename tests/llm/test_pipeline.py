@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from voxelframe.llm import quality
 
-from .test_operators import DOCS, brute_near, brute_targets, docs_of, labelled, phases
+from .test_operators import DOCS, brute_near, brute_targets, docs_of, labelled, mess, phases, with_clashes  # noqa: F401
 
 
 def kneser_ney(texts):
@@ -150,3 +150,27 @@ def test_stages_take_empty_tables(spark, tmp_path, stage):
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
     out = stage(spark, spark.createDataFrame([], DOCS), str(tmp_path))
     assert out.count() == 0 and out.columns[:4] == ["doc_id", "text", "lang", "source"]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows(spark, tmp_path, mess, name, stage):  # noqa: F811
+    """Nulls in any column, empty and very long texts, repeated rows and columns whose names clash."""
+    rows, labels, bench = corpus(spark)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = [*[(20000 + i, *r[1:]) for i, r in enumerate(mess)], (None, "a text without a key", None, None), (None, None, None, None), (30000, rows[1][1], "en", "s0"), (30000, rows[1][1], "en", "s0")]
+    docs = with_clashes(docs_of(spark, rows[:200] + odd))
+    out = stage(spark, docs, str(tmp_path))
+    assert sorted(out.columns) == sorted({*docs.columns, "shard", "slot"} if name == "sharding" else docs.columns)
+    before = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    after = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+    blank = {k: n for k, n in before.items() if not (k[1] or "").split()}
+    assert set(after) <= set(before)
+    if name == "sharding":
+        assert after == before
+    elif name == "source mixing":
+        assert not set(blank) & set(after) and max(after[k] / before[k] for k in after) <= 2
+    else:
+        assert all(after[k] == n for k, n in blank.items())
+    if name == "near-duplicates":
+        assert after[30000, rows[1][1]] == 0 and after[rows[1][0], rows[1][1]] == 1 and max(n for k, n in after.items() if k not in blank) == 1
