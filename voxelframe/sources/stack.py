@@ -10,6 +10,7 @@ whole or absent.  Paths must be seen by driver and executors alike.
 
 from __future__ import annotations
 
+import os
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import datasource as D
 
 from ..codec import container
-from ..plans.jobs import PLANE_SCHEMA
+from ..plans.jobs import BATCH_BYTES, PLANE_SCHEMA
 from ..plans.spec import Dims, FormatError
 
 #: Stored bytes that one partition reads.
@@ -40,6 +41,8 @@ def opener(path: str):
 @dataclass
 class UnitPartition(D.InputPartition):
     units: tuple[container.Unit, ...]
+    width: int
+    height: int
 
 
 class StackReader(D.DataSourceReader):
@@ -65,24 +68,42 @@ class StackReader(D.DataSourceReader):
     def partitions(self) -> list[UnitPartition]:
         read, size, handle = opener(self.path)
         with handle:
-            units = [u for u in container.read_index(read, size).units if self._wanted(u)]
+            index = container.read_index(read, size)
+        units, d = [u for u in index.units if self._wanted(u)], index.dims
         out, own, total = [], [], 0
         for u in units:
             own.append(u)
             total += u.length
             if total >= self.bytes:
-                out.append(UnitPartition(tuple(own)))
+                out.append(UnitPartition(tuple(own), d.x, d.y))
                 own, total = [], 0
-        return out + ([UnitPartition(tuple(own))] if own or not out else [])
+        return out + ([UnitPartition(tuple(own), d.x, d.y)] if own or not out else [])
 
     def read(self, partition: UnitPartition) -> Iterator[pa.RecordBatch]:
+        """Decodes units of about ``BATCH_BYTES`` of raw pixels at a time, or one larger unit."""
         if not partition.units:
             return
         read, _, handle = opener(self.path)
         with handle:
-            payloads = [read(u.offset, u.length) for u in partition.units]
-        rows = [(u.t, u.c, u.z0 + k, plane.astype("<u2").tobytes()) for u, v in zip(partition.units, container.decode_volumes(payloads)) for k, plane in enumerate(v)]
-        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["t", "c", "z", "pixels"])
+            held, size = [], 0
+            for u in partition.units:
+                payload = read(u.offset, u.length)
+                raw = 2 * partition.width * partition.height * u.depth
+                if container.raw_bytes(payload) != raw:  # before anything of that size is allocated
+                    raise FormatError(f"the payload of t={u.t}, c={u.c}, z={u.z0} has other extents than its container")
+                held.append((u, payload))
+                size += raw
+                if size > BATCH_BYTES:
+                    yield from self._decoded(held)
+                    held, size = [], 0
+            yield from self._decoded(held)
+
+    @staticmethod
+    def _decoded(held: list[tuple[container.Unit, bytes]]) -> Iterator[pa.RecordBatch]:
+        for (u, _), v in zip(held, container.decode_volumes([payload for _, payload in held])):
+            planes = [plane.astype("<u2").tobytes() for plane in v]
+            same = [pa.array([x] * len(planes), pa.int32()) for x in (u.t, u.c)]
+            yield pa.record_batch([*same, pa.array(range(u.z0, u.z0 + len(planes)), pa.int32()), pa.array(planes, pa.binary())], names=["t", "c", "z", "pixels"])
 
 
 @dataclass
@@ -130,7 +151,13 @@ class StackWriter(D.DataSourceArrowWriter):
                 for *_, at, n, path in records:
                     with fs.open_input_file(path) as part:
                         out.write(part.read_at(n, at))
-            fs.move(temporary, inner)
+            if isinstance(fs, pafs.LocalFileSystem) and not self.overwrite:
+                try:
+                    os.link(temporary, inner)  # fails if the target is there, also if it came meanwhile
+                finally:
+                    os.unlink(temporary)
+            else:
+                fs.move(temporary, inner)
         finally:
             self.abort(messages)
 
