@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import struct
 import zlib
 from dataclasses import dataclass, field
@@ -189,12 +190,14 @@ def read_plane(read, page: Page, sample: int = 0, skip: int = 0) -> np.ndarray:
     return out
 
 
-def page_stream(planes, count: int, width: int, height: int, description: str = "", item: int = 2, big: bool | None = None):
+def page_stream(planes, count: int, width: int, height: int, description: str = "", item: int = 2, big: bool | None = None, extra: dict[int, list[tuple[int, int, bytes]]] | None = None):
     """The bytes of a little-endian file of ``count`` stored pages, one page at a time; 8-bit pages saturate at 255.
 
-    All pages but for the description have one size, so the place of every directory is known before its page is.  A file
-    that a classic one's 32-bit offsets cannot reach becomes a big one, as does any with ``big``.
+    ``extra`` has further tags of pages: number, type and value.  All pages have one size but for these and the
+    description, so the place of every directory is known before its page is.  A file that a classic one's 32-bit
+    offsets cannot reach becomes a big one, as does any with ``big``.
     """
+    extra = extra or {}
     text = description.encode() + b"\0"
     size = width * height * item
     stored = size + size % 2
@@ -203,10 +206,19 @@ def page_stream(planes, count: int, width: int, height: int, description: str =
         entries = 10 + (i == 0)  # the first page has the description
         return 8 + entries * 20 + 8 if large else 2 + entries * 12 + 4
 
+    def added(large: bool, i: int) -> int:
+        """Bytes that further tags add to a page: their entries, and values that do not fit these."""
+        return sum((20 if large else 12) + (len(v) + len(v) % 2 if len(v) > (8 if large else 4) else 0) for *_, v in extra.get(i, ()))
+
+    # what further tags add before each page that has some
+    marks = sorted(extra)
+    sums = {large: np.cumsum([0, *(added(large, i) for i in marks)]) for large in (False, True)}
+
     def place(large: bool, i: int) -> int:
-        """Where a page begins; its directory follows its pixels."""
+        """Where a page begins; its directory follows its pixels, and the values of further tags that."""
         start = (16 if large else 8) + len(text) + len(text) % 2
-        return start + i * (stored + directory_bytes(large, 1)) + (directory_bytes(large, 0) - directory_bytes(large, 1) if i else 0)
+        first = directory_bytes(large, 0) - directory_bytes(large, 1) if i else 0
+        return start + i * (stored + directory_bytes(large, 1)) + first + int(sums[large][bisect.bisect_left(marks, i)])
 
     big = place(False, count) >= 1 << 32 if big is None else big
     if not big and place(False, count) >= 1 << 32:
@@ -230,9 +242,17 @@ def page_stream(planes, count: int, width: int, height: int, description: str =
         tags = [(WIDTH, 4, 1, width), (HEIGHT, 4, 1, height), (BITS, 3, 1, 8 * item), (COMPRESSION, 3, 1, STORED), (PHOTOMETRIC, 3, 1, 1)]
         tags += [(DESCRIPTION, 2, len(text), int.from_bytes(text.ljust(inline, b"\0"), "little") if len(text) <= inline else head)] if not written else []
         tags += [(STRIPS, long, 1, at), (SAMPLES, 3, 1, 1), (ROWS, 4, 1, height), (LENGTHS, long, 1, size), (FORMAT, 3, 1, 1)]
+        values, behind = b"", at + stored + directory_bytes(big, written) + (20 if big else 12) * len(extra.get(written, ()))
+        for tag, kind, value in extra.get(written, ()):
+            many = len(value) // SIZES[kind]
+            if len(value) <= inline:
+                tags.append((tag, kind, many, int.from_bytes(value.ljust(inline, b"\0"), "little")))
+            else:
+                tags.append((tag, kind, many, behind + len(values)))
+                values += value + b"\0" * (len(value) % 2)
         written += 1
         following = place(big, written) + stored if written < count else 0
-        yield pixels + b"\0" * (size % 2) + struct.pack(number, len(tags)) + b"".join(entry(*t) for t in tags) + struct.pack(word, following)
+        yield pixels + b"\0" * (size % 2) + struct.pack(number, len(tags)) + b"".join(entry(*t) for t in sorted(tags)) + struct.pack(word, following) + values
     if written != count:
         raise FormatError(f"{written} of {count} pages")
 

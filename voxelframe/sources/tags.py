@@ -1,4 +1,4 @@
-"""The tag tree of TIFF files as a table: ``file, page, path, tag, type, bytes``, one row for each tag of each (sub-)image."""
+"""The tag tree of TIFF files as a table: ``file, page, path, tag, type, bytes``, one row for each tag of each (sub-)image, values little-endian."""
 
 from __future__ import annotations
 
@@ -7,19 +7,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..codec import container, tiff
+from ..codec import container, tags, tiff
 
 SCHEMA = "file string, page int, path array<int>, tag int, type int, bytes binary"
-#: Tags that describe how pixels are stored rather than what they show; they are made anew on writing.
-STRUCTURAL = {tiff.WIDTH, tiff.HEIGHT, tiff.COMPRESSION, tiff.STRIPS, tiff.SAMPLES, tiff.ROWS, tiff.LENGTHS, tiff.PLANAR, tiff.PREDICTOR, tiff.TILE_WIDTH, tiff.TILE_HEIGHT, tiff.TILES, tiff.TILE_LENGTHS, tiff.SUB_IFDS}
-
-
-def _rows(page: tiff.Page, path: list[int]) -> Iterator[tuple]:
-    for tag, (kind, raw) in sorted(page.tags.items()):
-        if tag not in STRUCTURAL:
-            yield path, tag, kind, raw
-    for i, child in enumerate(page.children):
-        yield from _rows(child, [*path, i])
+#: Sample depth, format and meaning are listed as well.
+PLACES = frozenset(tags.STRUCTURAL - {tiff.BITS, tiff.FORMAT, tiff.PHOTOMETRIC})
 
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +21,7 @@ def read_tags(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 pages = tiff.read_pages(container.read_bytes(data), len(data))
-                rows = [(name, i, *r) for i, p in enumerate(pages) for r in _rows(p, [])]
+                rows = [(name, i, list(r.path), r.tag, r.kind, r.value) for i, p in enumerate(pages) for r in tags.of_page(p, i, without=PLACES)]
                 if rows:
                     kinds = (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary())
                     yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["file", "page", "path", "tag", "type", "bytes"])
