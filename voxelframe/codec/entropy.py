@@ -2,11 +2,16 @@
 
 A block is serial: its contexts and states depend on the voxels before.  Blocks
 are independent, so the same step of all blocks of one shape is one vector
-operation; the cost of a step is nearly that of one block.
+operation; the cost of a step is nearly that of one block.  Where the contexts
+are known before (all symbols in encoding, remainders in decoding) the states of
+a block take a step together: none needs another, and the bytes that they give
+or take have an order that follows from their counts.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 from ..plans.spec import MODES, FormatError
@@ -15,6 +20,8 @@ from .model import Model
 LANES, LOWER = 4, 1 << 23
 #: With fewer blocks a step of plain integers is cheaper than one of vectors.
 FEW = 12
+#: Voxels of each block whose frequencies are looked up at once.
+STEPS = 4096
 
 
 def block_contexts(q: np.ndarray, mode: str, alphabet: int | np.ndarray) -> np.ndarray:
@@ -67,12 +74,32 @@ class Tables:
         self.which, self.models = np.asarray(which), models
         self._slots: np.ndarray | None = None
 
+    def entries(self, blocks: np.ndarray, ctx: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Frequency and start of symbols in their contexts."""
+        at = self.row(blocks, ctx) * self.freq.shape[1] + sym
+        freq = self.freq.ravel()[at]
+        if not freq.all():
+            raise FormatError("symbol that the model lacks")
+        return freq, self.cum.ravel()[at]
+
     def row(self, blocks: np.ndarray, ctx: np.ndarray) -> np.ndarray:
         out = self.rows[self.which[blocks], ctx]
         if (out < 0).any():
             raise FormatError("symbol in a context that the model lacks")
         return out
 
+    @cached_property
+    def flat_slots(self) -> np.ndarray:
+        return self.slots.ravel()
+
+    @cached_property
+    def flat_freq(self) -> np.ndarray:
+        return self.freq.ravel().astype(np.int64)
+
+    @cached_property
+    def flat_cum(self) -> np.ndarray:
+        return self.cum.ravel().astype(np.int64)
+
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
@@ -81,25 +108,40 @@ class Tables:
 
 
 class Writer:
-    def __init__(self, blocks: int, voxels: int):
-        self.state = np.full((blocks, LANES), LOWER, dtype=np.int64)
-        self.bytes = np.zeros((blocks, 2 * voxels + 16), dtype=np.uint8)
-        self.size = np.zeros(blocks, dtype=np.int64)
+    """States and byte stacks of blocks; symbols come last first."""
 
-    def push(self, blocks: np.ndarray, lane: int, t: Tables, row: np.ndarray, sym: np.ndarray) -> None:
-        freq, cum = t.freq[row, sym], t.cum[row, sym]
-        if not freq.all():
-            raise FormatError("symbol that the model lacks")
-        x, limit = self.state[blocks, lane], freq << (31 - t.bits)
-        while (out := x >= limit).any():
-            own = blocks[out]
-            self.bytes[own, self.size[own]] = x[out] & 255
-            self.size[own] += 1
-            x = np.where(out, x >> 8, x)
-        self.state[blocks, lane] = ((x // freq) << t.bits) + x % freq + cum
+    def __init__(self, blocks: int):
+        self.state = np.full((blocks, LANES), LOWER, dtype=np.int64)
+        self.parts: list[list[bytes]] = [[] for _ in range(blocks)]
+
+    def push(self, freq: np.ndarray, cum: np.ndarray, bits: int) -> None:
+        """Steps (step, block, lane) of all states, first to last; a symbol of the whole range changes nothing."""
+        steps, blocks, _ = freq.shape
+        given = np.zeros((steps, blocks, LANES, 2), dtype=np.uint8)
+        count = np.zeros((steps, blocks, LANES), dtype=np.uint8)
+        x = self.state
+        for i in range(steps):
+            f = freq[i]
+            limit = f << (31 - bits)
+            for k in range(2):  # a state of 31 bits gives two bytes at most
+                out = x >= limit
+                if not out.any():
+                    break
+                given[i, :, :, k] = x & 255
+                count[i] += out
+                x = np.where(out, x >> 8, x)
+            high = x // f
+            x = (high << bits) + (x - high * f) + cum[i]
+        self.state = x
+        # by block, then in the order of the steps, the last lane first
+        order = lambda a: a[:, :, ::-1].swapaxes(0, 1)
+        mask = order(count)[..., None] > np.arange(2)
+        flat, ends = order(given)[mask].tobytes(), np.cumsum(mask.reshape(blocks, -1).sum(1))
+        for own, a, b in zip(self.parts, [0, *ends], ends):
+            own.append(flat[a:b])
 
     def stacks(self) -> list[bytes]:
-        return [self.bytes[i, :n].tobytes() for i, n in enumerate(self.size)]
+        return [b"".join(p) for p in self.parts]
 
 
 class Reader:
@@ -109,21 +151,45 @@ class Reader:
         self.bytes = np.zeros((len(stacks), max(1, int(self.left.max(initial=0)))), dtype=np.uint8)
         for i, s in enumerate(stacks):
             self.bytes[i, : len(s)] = np.frombuffer(s, np.uint8)
+        self.flat, self.base = self.bytes.ravel(), np.arange(len(stacks)) * self.bytes.shape[1]
 
-    def pop(self, blocks: np.ndarray, lane: int, t: Tables, row: np.ndarray) -> np.ndarray:
-        x = self.state[blocks, lane]
+    def pop(self, lane: int, t: Tables, row: np.ndarray) -> np.ndarray:
+        """The next symbol of all blocks, in one lane."""
+        x = self.state[:, lane]
         slot = x & t.mask
-        sym = t.slots[row, slot]
-        x = t.freq[row, sym] * (x >> t.bits) + slot - t.cum[row, sym]
-        while (need := x < LOWER).any():
-            own = blocks[need]
-            if (self.left[own] == 0).any():
+        sym = np.take(t.flat_slots, (row << t.bits) + slot)
+        at = row * t.freq.shape[1] + sym
+        x = np.take(t.flat_freq, at) * (x >> t.bits) + slot - np.take(t.flat_cum, at)
+        for _ in range(2):
+            need = x < LOWER
+            if not need.any():
+                break
+            self.left -= need
+            if (self.left < 0).any():
                 raise FormatError("truncated byte stack")
-            self.left[own] -= 1
-            x[need] = (x[need] << 8) | self.bytes[own, self.left[own]]
-        self.state[blocks, lane] = x
+            x = np.where(need, (x << 8) | np.take(self.flat, self.base + self.left), x)
+        self.state[:, lane] = x
         return sym
 
+    def pop_lanes(self, t: Tables, row: np.ndarray, here: np.ndarray) -> np.ndarray:
+        """The next symbols (block, lane) of all states, where ``here``; their bytes come in the order of the lanes."""
+        x = self.state
+        slot = x & t.mask
+        sym = np.take(t.flat_slots, (row << t.bits) + slot)
+        at = row * t.freq.shape[1] + sym
+        y = np.take(t.flat_freq, at) * (x >> t.bits) + slot - np.take(t.flat_cum, at)
+        y = np.where(here, y, x)
+        need = (y < LOWER).astype(np.int64) + (y < LOWER >> 8)
+        if need.any():
+            top = self.left[:, None] - np.cumsum(need, axis=1) + need - 1  # of each lane's first byte
+            self.left = self.left - need.sum(1)
+            if (self.left < 0).any():
+                raise FormatError("truncated byte stack")
+            for k in range(2):
+                y = np.where(need > k, (y << 8) | np.take(self.flat, self.base[:, None] + np.maximum(top - k, 0)), y)
+        self.state = y
+        return np.where(here, sym, 0)
+
     def check_empty(self) -> None:
         if self.left.any() or (self.state != LOWER).any():
             raise FormatError("bytes left in the stack")
@@ -132,18 +198,21 @@ class Reader:
 def encode(q: np.ndarray, r: np.ndarray | None, mode: str, alphabets: np.ndarray, q_tables: Tables, r_tables: Tables | None) -> tuple[Writer, Writer | None]:
     """Encodes blocks ``q`` (block, z, y, x) and their remainders, last voxel first."""
     ctx = block_contexts(q, mode, alphabets).reshape(len(q), -1)
-    q2 = q.reshape(len(q), -1).astype(np.int64)
-    every = np.arange(len(q))
-    if len(q) < FEW:
-        r2 = r.reshape(len(q), -1) if r is not None else None
-        return _encode_few(q.reshape(len(q), -1), r2, ctx, q_tables, r_tables)
-    out, rest = Writer(len(q), q2.shape[1]), Writer(len(q), q2.shape[1]) if r is not None else None
-    r2 = r.reshape(len(q), -1).astype(np.int64) if r is not None else None
-    for i in range(q2.shape[1] - 1, -1, -1):
-        out.push(every, i % LANES, q_tables, q_tables.row(every, ctx[:, i]), q2[:, i])
-        if rest is not None and len(own := np.flatnonzero(q2[:, i])):  # a zero has no remainder
-            rest.push(own, i % LANES, r_tables, r_tables.row(own, q2[own, i]), r2[own, i])
-    return out, rest
+    q2, r2 = q.reshape(len(q), -1), r.reshape(len(q), -1) if r is not None else None
+    if LANES * len(q) < FEW:
+        return _encode_few(q2, r2, ctx, q_tables, r_tables)
+    streams = [(Writer(len(q)), q_tables, ctx, q2)] + ([(Writer(len(q)), r_tables, q2, r2)] if r is not None else [])
+    blocks, n = np.arange(len(q))[:, None], q2.shape[1]
+    for a in range((n - 1) // STEPS * STEPS, -1, -STEPS):  # some voxels at a time, the last first
+        for second, (out, t, contexts, symbols) in enumerate(streams):
+            c, s = contexts[:, a : a + STEPS].astype(np.int64), symbols[:, a : a + STEPS].astype(np.int64)
+            freq, cum = np.full((len(q), STEPS), 1 << t.bits, dtype=np.int64), np.zeros((len(q), STEPS), dtype=np.int64)
+            # a zero has no remainder
+            own = np.nonzero(c) if second else np.nonzero(np.ones(c.shape, dtype=bool))
+            freq[own], cum[own] = t.entries(np.broadcast_to(blocks, c.shape)[own], c[own], s[own])
+            shaped = lambda v: np.ascontiguousarray(v.reshape(len(q), -1, LANES).swapaxes(0, 1)[::-1])
+            out.push(shaped(freq), shaped(cum), t.bits)
+    return streams[0][0], streams[1][0] if r is not None else None
 
 
 def decode(shape: tuple[int, int, int], mode: str, alphabets: np.ndarray, q_tables: Tables, q_reader: Reader, r_tables: Tables | None = None, r_reader: Reader | None = None) -> np.ndarray:
@@ -166,14 +235,20 @@ def decode(shape: tuple[int, int, int], mode: str, alphabets: np.ndarray, q_tabl
         else:
             l, u = q[i - 1], q[i - nx]
             ctx = _compact(l, u, q[i - plane] if z else (l + u) // 2, mode)
-        q[i] = q_reader.pop(every, i % LANES, q_tables, q_tables.row(every, ctx))
+        q[i] = q_reader.pop(i % LANES, q_tables, q_tables.row(every, ctx))
     q_reader.check_empty()
     if r_reader is None:
         return q.T.reshape(blocks, *shape)
-    v = q * q
-    for i in range(n):
-        if len(own := np.flatnonzero(q[i])):
-            v[i, own] += r_reader.pop(own, i % LANES, r_tables, r_tables.row(own, q[i, own]))
+    v, lanes = q * q, every[:, None]
+    for i in range(0, n, LANES):
+        own = q[i : i + LANES].T
+        if own.any():
+            if own.shape[1] < LANES:
+                own = np.pad(own, ((0, 0), (0, LANES - own.shape[1])))
+            here = own > 0
+            row = np.zeros(own.shape, dtype=np.int64)
+            row[here] = r_tables.row(np.broadcast_to(lanes, own.shape)[here], own[here])
+            v[i : i + LANES] += r_reader.pop_lanes(r_tables, row, here).T[: n - i]
     r_reader.check_empty()
     if (v > 65535).any():
         raise FormatError("reconstructed value exceeds 65535")
@@ -182,10 +257,9 @@ def decode(shape: tuple[int, int, int], mode: str, alphabets: np.ndarray, q_tabl
 
 def _encode_few(q: np.ndarray, r: np.ndarray | None, ctx: np.ndarray, q_tables: Tables, r_tables: Tables | None) -> tuple[Writer, Writer | None]:
     """The same, block after block with plain integers."""
-    streams = [(q_tables, ctx, q, Writer(len(q), 0))] + ([(r_tables, q, r, Writer(len(q), 0))] if r is not None else [])
+    streams = [(q_tables, ctx, q, Writer(len(q)))] + ([(r_tables, q, r, Writer(len(q)))] if r is not None else [])
     for second, (t, contexts, symbols, out) in enumerate(streams):
         freq, cum, width, shift, bits = t.freq.ravel().tolist(), t.cum.ravel().tolist(), t.freq.shape[1], 31 - t.bits, t.bits
-        stacks = []
         for b in range(len(q)):
             at = (t.row(np.full(symbols.shape[1], b), contexts[b].astype(np.int64)) * width + symbols[b]).tolist()
             skip = (q[b] == 0).tolist() if second else None
@@ -202,11 +276,7 @@ def _encode_few(q: np.ndarray, r: np.ndarray | None, ctx: np.ndarray, q_tables:
                     x >>= 8
                 state[i % LANES] = ((x // f) << bits) + x % f + cum[at[i]]
             out.state[b] = state
-            stacks.append(bytes(stack))
-        out.size = np.array([len(x) for x in stacks])
-        out.bytes = np.zeros((len(q), max(1, int(out.size.max()))), dtype=np.uint8)
-        for b, x in enumerate(stacks):
-            out.bytes[b, : len(x)] = np.frombuffer(x, np.uint8)
+            out.parts[b].append(bytes(stack))
     return streams[0][3], streams[1][3] if r is not None else None
 
 
