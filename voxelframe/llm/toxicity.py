@@ -13,11 +13,11 @@ lean to the toxic dictionaries of the *other* folds more than nearly all ordinar
 windows do.  What the trainer takes depends on the order of its windows; of
 several orders, the one that tells the other folds' windows apart best is kept.
 
-The distance of a window is the mean over ``PAIRS`` pairs.  How far a document's
+The distance of a window is the mean over the pairs.  How far a document's
 windows lie apart (the greatest distances, their mean, and how many pass each of
 several thresholds) is turned into a probability by a logistic model.  It is
-calibrated on the sample, each document measured by as many pairs of the other
-folds, with the weight that its class has among all labels.
+calibrated on the sample, each document measured by the pairs of the other folds,
+with the weight that its class has among all labels.
 """
 
 from __future__ import annotations
@@ -37,13 +37,13 @@ from .common import Scratch, free_name, text_slices, words_of
 
 PUNCTUATION = b".,!;:?\"'()[]{}#$%&*|-_"
 #: Words of a window, and words from one window to the next.
-WINDOW_WORDS, STRIDE = 4, 3
+WINDOW_WORDS, STRIDE = 4, 2
 #: Bytes of the common base, of each trained dictionary, and of the piece of text that the trainer takes at once.
 BASE_BYTES, DICTIONARY_BYTES, SEGMENT = 8192, 4096, 12
 #: zstandard stores tiny blocks raw: each window is compressed behind so many bytes that both dictionaries end with.
 FILLER_BYTES = 64
-#: Folds of the sample, pairs that measure a window, rounds of training, and orders that are tried in each.
-FOLDS, PAIRS, ROUNDS, ORDERS = 3, 2, 3, 8
+#: Folds of the sample, rounds of training, and orders that are tried in each.
+FOLDS, ROUNDS, ORDERS = 3, 3, 8
 #: The share of ordinary windows that a leaning window must pass.
 LEAN = 0.98
 #: Distances that are counted.
@@ -88,11 +88,13 @@ def _sizes(compressor: zstandard.ZstdCompressor, whole: list[bytes]) -> np.ndarr
 
 def features(d: np.ndarray) -> np.ndarray:
     """What the calibration knows of a document with these window distances."""
-    top = np.sort(d)[::-1]
-    best = [top[k] if len(d) > k else 0.0 for k in (0, 1, 3)]
-    counts = [np.log1p((d >= t).sum()) for t in THRESHOLDS]
-    shares = [d.mean(), *((d >= t).mean() for t in (2, 3, 4))] if len(d) else [0.0] * 4
-    return np.array([1.0, *best, *counts, np.log1p(len(d)), *shares])
+    if not len(d):
+        return np.array([1.0] + [0.0] * (8 + len(THRESHOLDS)))
+    top = np.sort(d)
+    best = [top[-1 - k] if len(d) > k else 0.0 for k in (0, 1, 3)]
+    counts = len(d) - np.searchsorted(top, THRESHOLDS)  # distances at each threshold or beyond
+    shares = (len(d) - np.searchsorted(top, (2, 3, 4))) / len(d)
+    return np.concatenate([[1.0], best, np.log1p(counts), [np.log1p(len(d)), d.mean()], shares])
 
 
 @dataclass
@@ -110,19 +112,19 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))).tolist()
 
 
-def _by_hash(some: set[bytes], seed: int = 0) -> list[bytes]:
+def _by_hash(some: set[bytes]) -> list[bytes]:
     """The windows in an order that depends on nothing but themselves."""
-    return [w for _, w in sorted((xxhash.xxh64_intdigest(w, seed), w) for w in some)]
+    return [w for _, w in sorted((xxhash.xxh64_intdigest(w), w) for w in some)]
 
 
-def _dictionary(some: set[bytes], size: int, seed: int = 0) -> bytes:
-    """A dictionary trained on the windows; of too few windows, their text."""
+def _dictionary(some: list[bytes], size: int, seed: int = 0) -> bytes:
+    """A dictionary trained on the windows, in their order or a seeded one; of too few windows, their text."""
     samples, total = [], 0
-    for w in _by_hash(some, seed):
+    for i in np.random.default_rng(seed).permutation(len(some)) if seed else range(len(some)):
         if total > TRAIN_BYTES:
             break
-        samples.append(w)
-        total += len(w)
+        samples.append(some[i])
+        total += len(some[i])
     try:
         return zstandard.train_dictionary(size, samples, k=SEGMENT, d=6).as_bytes()[-size:]
     except zstandard.ZstdError:
@@ -148,16 +150,18 @@ def train(sample: list[tuple[list[bytes], int, int]], totals: dict[int, int], wi
     own = {(kind, fold): set() for kind in (0, 1) for fold in range(FOLDS)}
     for words, kind, fold in sample:
         own[kind, fold].update(windows(words, window_words, max(1, window_words // 2)))
-    base = _dictionary(set().union(*(own[0, f] for f in range(FOLDS))), BASE_BYTES)
-    ordinary = [_dictionary(own[0, f], DICTIONARY_BYTES) for f in range(FOLDS)]
+    base = _dictionary(_by_hash(set().union(*(own[0, f] for f in range(FOLDS)))), BASE_BYTES)
+    plain = [_by_hash(own[0, f]) for f in range(FOLDS)]
+    ordinary = [_dictionary(plain[f], DICTIONARY_BYTES) for f in range(FOLDS)]
     # copies of a document would make their fold's windows look toxic to the others
     found = Counter(w for f in range(FOLDS) for w in own[1, f])
-    candidates = [[w for w in _by_hash(own[1, f]) if found[w] == 1] for f in range(FOLDS)]
-    usual = [_by_hash(own[0, f])[:JUDGES] for f in range(FOLDS)]
+    lean = [_by_hash(own[1, f]) for f in range(FOLDS)]
+    candidates = [[w for w in lean[f] if found[w] == 1] for f in range(FOLDS)]
+    usual = [plain[f][:JUDGES] for f in range(FOLDS)]
     others = [[g for g in range(FOLDS) if g != f] for f in range(FOLDS)]
-    lean, pairs = [own[1, f] for f in range(FOLDS)], []
+    pairs: list[Pair] = []
     for i in range(ROUNDS):
-        telling = [[w for w in candidates[f] if w in lean[f]][:JUDGES] for f in range(FOLDS)]
+        telling = [[w for w in lean[f] if found[w] == 1][:JUDGES] for f in range(FOLDS)]
         pairs = [_best_pair(base, ordinary[f], lean[f], [w for g in others[f] for w in telling[g]], [w for g in others[f] for w in usual[g]]) for f in range(FOLDS)]
         if i + 1 == ROUNDS:
             break
@@ -166,11 +170,11 @@ def train(sample: list[tuple[list[bytes], int, int]], totals: dict[int, int], wi
             meter = Meter(base, [pairs[g] for g in others[f]])
             low = meter.distances(usual[f])
             bar = max(1.0, float(np.quantile(low, LEAN))) if len(low) else 1.0
-            chosen.append({w for w, x in zip(candidates[f], meter.distances(candidates[f])) if x > bar} or lean[f])
+            chosen.append([w for w, x in zip(candidates[f], meter.distances(candidates[f])) if x > bar] or lean[f])
         lean = chosen
-    model = Model(base, pairs[:PAIRS], np.zeros(len(features(np.zeros(0)))), window_words)
+    model = Model(base, pairs, np.zeros(len(features(np.zeros(0)))), window_words)
     if sample:
-        meters = [Meter(base, [pairs[g] for g in others[f][:PAIRS]]) for f in range(FOLDS)]
+        meters = [Meter(base, [pairs[g] for g in others[f]]) for f in range(FOLDS)]
         x = np.stack([features(meters[f].distances(windows(words, window_words))) for words, _, f in sample])
         y = np.array([k for _, k, _ in sample], dtype=np.float64)
         weight = np.array([totals[k] / max(1, int((y == k).sum())) for _, k, _ in sample])
@@ -178,19 +182,23 @@ def train(sample: list[tuple[list[bytes], int, int]], totals: dict[int, int], wi
     return model
 
 
-def _best_pair(base: bytes, ordinary: bytes, some: set[bytes], telling: list[bytes], usual: list[bytes]) -> Pair:
+def _best_pair(base: bytes, ordinary: bytes, some: list[bytes], telling: list[bytes], usual: list[bytes]) -> Pair:
     """The ordinary dictionary and, of the toxic ones from several orders of ``some``, the one that tells other windows apart best."""
-    best: tuple[float, Pair] | None = None
+    if not telling or not usual:
+        return ordinary, _dictionary(some, DICTIONARY_BYTES)
+    filler = base[-FILLER_BYTES:]
+    # the windows as they are compressed, and their lengths under the ordinary dictionary, which all orders share
+    sides = [[filler + w for w in side] for side in (telling, usual)]
+    lengths = [_sizes(_compressor(base + ordinary + filler), side) for side in sides]
+    best: tuple[float, bytes] | None = None
     for seed in range(ORDERS):
-        pair = (ordinary, _dictionary(some, DICTIONARY_BYTES, seed))
-        if not telling or not usual:
-            return pair
-        meter = Meter(base, [pair])
-        a, b = meter.distances(telling), meter.distances(usual)
+        toxic = _dictionary(some, DICTIONARY_BYTES, seed)
+        opened = _compressor(base + toxic + filler)
+        a, b = (n - _sizes(opened, side) for n, side in zip(lengths, sides))
         gap = float((a.mean() - b.mean()) / (b.std() + 1e-9))
         if best is None or gap > best[0]:
-            best = (gap, pair)
-    return best[1]
+            best = (gap, toxic)
+    return ordinary, best[1]
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, learn: Column, scratch: Scratch, sample_docs: int, key: str, text: str) -> tuple[DataFrame, dict[int, int]]:
