@@ -533,7 +533,7 @@ def test_lattice_sums_all_segmentations():
         assert math.isclose(g, math.log(paths(b" " + w) * 0.3), rel_tol=1e-9)
     assert np.isfinite(got[3])
     # expected uses: pieces of all segmentations cover the word
-    uses = lattice.expected([b"ab"], 0)
+    uses = lattice.expected([b"ab", b"zz"], np.array([[True], [False]]))[0]
     assert math.isclose(sum(u * len(x) for u, x in zip(uses, pieces)), 3, rel_tol=1e-9)
 
 

@@ -23,11 +23,13 @@ looked up in the workers; all others are joined by word.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,18 +149,22 @@ class Lattice:
                 out[some, i] = self.forward(x, edges, log_p)[-1] + np.log(self.stop[i])
         return out
 
-    def expected(self, words: list[bytes], language: int) -> np.ndarray:
-        """Expected uses of each piece over the segmentations of words of one language."""
-        log_p = self.log_p[language]
-        out = np.zeros(len(log_p))
-        for _, x in self._batches(words):
-            edges = self.edges(x)
-            alpha, beta = self.forward(x, edges, log_p), self.backward(x, edges, log_p)
-            for k, got in edges:
-                n = got.shape[1]
-                share = np.exp(alpha[:n].T + log_p[got] + beta[k : k + n].T - alpha[-1][:, None])
-                out += np.bincount((got % len(out)).ravel(), share.ravel(), len(out))
-        return out[:-1]
+    def expected(self, words: list[bytes], there: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece over the segmentations of the words that are ``there`` (word, language), by language."""
+        out = np.zeros(self.log_p.shape)
+        for some, x in self._batches(words):
+            edges = self.edges(x)  # which pieces fit where is the same in all languages
+            for i, log_p in enumerate(self.log_p):
+                own = np.flatnonzero(there[some, i])
+                if not len(own):
+                    continue
+                part = edges if len(own) == len(x) else [(k, got[own]) for k, got in edges]
+                alpha, beta = self.forward(x[own], part, log_p), self.backward(x[own], part, log_p)
+                for k, got in part:
+                    n = got.shape[1]
+                    share = np.exp(alpha[:n].T + log_p[got] + beta[k : k + n].T - alpha[-1][:, None])
+                    out[i] += np.bincount((got % len(log_p)).ravel(), share.ravel(), len(log_p))
+        return out[:, :-1]
 
 
 def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
@@ -181,11 +187,10 @@ def _expected(table: DataFrame, columns: list[str], model: Lattice) -> tuple[np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(columns), width))
         for b in gathered(batches, GATHER):
-            words = b.column("w").to_pylist()
-            for i, c in enumerate(columns):
-                own = [words[j] for j in np.flatnonzero(np.asarray(b.column(c)) > 0) if words[j] != END]
-                sums[i, :-1] += shared.value.expected(own, i)
-                sums[i, -1] += len(own)
+            b = b.filter(pc.not_equal(b.column("w"), pa.scalar(END, pa.binary())))
+            there = np.stack([np.asarray(b.column(c)) > 0 for c in columns], 1)
+            sums[:, :-1] += shared.value.expected(b.column("w").to_pylist(), there)
+            sums[:, -1] += there.sum(0)
         at = np.flatnonzero(sums)
         yield pa.record_batch([pa.array(at), pa.array(sums.ravel()[at])], names=["i", "x"])
 
@@ -227,9 +232,8 @@ def score(docs: DataFrame, learn: Column, vocabulary: str, lang: str = "lang", k
 
         for b in text_slices(batches, text):
             for words, name, train in zip(words_of(b.column(text), lower=True), b.column(l).to_pylist(), b.column(t).to_pylist()):
-                c = own.setdefault(names.get(name, -1) if train else -2, Counter())
-                c.update(words)
-                c[END] += 1
+                words.append(END)
+                own.setdefault(names.get(name, -1) if train else -2, Counter()).update(words)
             if sum(map(len, own.values())) > COUNTER:
                 yield from flush()
         yield from flush()
@@ -299,9 +303,11 @@ def score(docs: DataFrame, learn: Column, vocabulary: str, lang: str = "lang", k
         uid = TaskContext.get().partitionId() << 40
         for b in text_slices(batches, text):
             texts = words_of(b.column(text), lower=True)
-            size = np.array([len(x) + 1 for x in texts])
-            flat = [x for ws in texts for x in (*ws, END)]
-            at = np.fromiter((index.get(x, none) for x in flat), dtype=np.int64, count=len(flat))
+            for ws in texts:
+                ws.append(END)
+            size = np.array([len(x) for x in texts])
+            flat = list(itertools.chain.from_iterable(texts))
+            at = np.fromiter(map(index.get, flat, itertools.repeat(none)), dtype=np.int64, count=len(flat))
             doc = np.repeat(np.arange(len(texts)), size)
             cols = np.add.reduceat(values[at], np.cumsum(size) - size, axis=0).T  # every text has a token
             rare: list[Counter] = [Counter() for _ in texts]
