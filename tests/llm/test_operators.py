@@ -505,6 +505,17 @@ def test_quality_by_joins_equals_the_broadcast(spark, mess):
     assert quality.score(docs_of(spark, []), labels, max_ngrams=0).count() == 0
 
 
+@pytest.mark.parametrize("max_ngrams", [quality.MAX_NGRAMS, 0])
+def test_quality_learns_from_every_trusted_document(spark, max_ngrams):
+    # 3,000 trusted documents, each with a word pair of its own: a bound on a language's documents would leave pairs out
+    rows = [(i, f"the word a{i} b{i} ends", "en", "s") for i in range(3000)]
+    docs, labels = docs_of(spark, rows), spark.createDataFrame([(i, 1, 0) for i in range(3000)], "doc_id long, quality int, toxic int")
+    learn, rest = ({r[0] for r in x.collect()} for x in quality.trusted_sample(docs, labels))
+    assert len(learn) > 1300 and len(rest) > 1300 and not learn & rest and learn | rest == set(range(3000))
+    got = {r["doc_id"]: r["perplexity"] for r in quality.score(docs, labels, max_ngrams=max_ngrams).collect()}
+    assert max(got[i] for i in learn) < min(got[i] for i in rest)
+
+
 def test_toxicity_learns_and_handles_odd_cases(spark, mess):
     rows, labels = labelled(spark)
     fold = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5

@@ -1,36 +1,43 @@
 """Quality classification by an interpolated modified Kneser-Ney model of trusted text.
 
 A trigram model over words (``[^\\x20\\x09-\\x0D]+``, unchanged, named by their
-64-bit hashes) is fitted on a sample of the documents that the labels call good.
+64-bit hashes) is fitted on all documents of one half that the labels call good.
 Counts, continuation counts, context totals and the interpolated probabilities
 come from joins that are sharded by n-gram.  Every document gets its perplexity
 under the model, and is kept unless that lies above a quantile of the
 perplexities of trusted documents of its language, which the model has not
-seen.  Perplexities of short documents are drawn towards the mean of trusted
-text, as if ``prior_tokens`` average words had been read as well.
+seen: all of the other half.  Perplexities of short documents are drawn towards
+the mean of trusted text, as if ``prior_tokens`` average words had been read as well.
 
 A model of up to ``MAX_NGRAMS`` n-grams goes to the workers, who score whole texts
-against its sorted keys.  A larger one stays in its tables, and the n-grams of
-the documents are joined with them.  Either way gives the same sums.
+against its sorted keys.  A larger one stays in its tables, sharded by n-gram, and
+answers what blocks of documents ask.  Either way gives the same sums.
 """
 
 from __future__ import annotations
 
+import functools
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, group_key, hash_column, join_few, mix, text_slices
+from .common import Scratch, free_name, gathered, group_key, hash_column, join_few, mix, text_slices
 
 #: N-grams that are broadcast, at 16 bytes each.
 MAX_NGRAMS = 1 << 22
-#: What stands before a text.
-START = np.uint64(0)
+#: Of larger models: n-grams of a shard at most, bytes of text of a block of documents, and parts of the blocks that go one after the other.
+SHARD_NGRAMS, BLOCK_BYTES, PASSES = 1 << 20, 8 << 20, 4
+#: Tells the key of a context from that of the same words as an n-gram.
+BACK = np.uint64(1 << 63)
+#: What stands before a text; not 0, of which the keys of all orders would be 0.
+START = np.uint64(0x5851F42D4C957F2D)
 _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -42,6 +49,10 @@ def triple_key(two: np.ndarray, one: np.ndarray, word: np.ndarray) -> np.ndarray
     return mix(pair_key(two, one) * _THREE + word)
 
 
+def _key(*ids: np.ndarray) -> np.ndarray:
+    return ids[0] if len(ids) == 1 else (pair_key if len(ids) == 2 else triple_key)(*ids)
+
+
 def before(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words one and two places before each; ``starts`` marks the first words of texts."""
     one = np.concatenate([[START], words[:-1]])
@@ -51,6 +62,12 @@ def before(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return one, two
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished passes go when the driver's handles of them do; nothing depends on when."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 Table = tuple[np.ndarray, np.ndarray]
 
 
@@ -61,8 +78,8 @@ class Model:
     uni: Table
     bi: Table
     tri: Table
-    back2: Table  # by the word before
-    back3: Table  # by the two words before
+    back2: Table  # by the word before, its key ``BACK`` apart
+    back3: Table  # by the two words before, likewise
     floor: float  # of a word that is not seen
 
     def score(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -73,12 +90,12 @@ class Model:
         p, every = np.full(len(words), self.floor), np.ones(len(words), dtype=bool)
         at, known = _find(self.uni, words, every)
         p[known] = self.uni[1][at]
-        at, there = _find(self.back2, one, every)
+        at, there = _find(self.back2, one ^ BACK, every)
         p[there] += self.back2[1][at]
         # a longer n-gram is seen only if its shorter ones are
         at, seen = _find(self.bi, pair_key(one, words), _at(every, known) & _at(every, there))
         p[seen] = self.bi[1][at]
-        at, deep = _find(self.back3, pair_key(two, one), _at(every, there))
+        at, deep = _find(self.back3, pair_key(two, one) ^ BACK, _at(every, there))
         p[deep] += self.back3[1][at]
         at, hit = _find(self.tri, triple_key(two, one, words), _at(every, seen) & _at(every, deep))
         p[hit] = self.tri[1][at]
@@ -127,19 +144,21 @@ def _taken(d: list[float]):
     return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
 
-def trusted_sample(docs: DataFrame, labels: DataFrame, per_language: int, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Ids of at most ``per_language`` trusted documents of each language to learn from, and of the trusted ones kept for the thresholds.
+def trusted_sample(docs: DataFrame, labels: DataFrame, per_language: int | None = None, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Ids of the trusted documents to learn from, and of those kept for the thresholds: every trusted document is one or the other.
 
-    The two halves are told apart by the hash of the key.  The ranks are taken in 64 slices of each language, so that
-    no language meets in one task.
+    The two halves are told apart by the hash of the key.  ``per_language`` bounds the first half for quick trials; the
+    ranks are then taken in 64 slices of each language, so that no language meets in one task.
     """
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
     both = docs.select(F.col(key).alias("_id"), group_key(F.col("lang")).alias("_lang")).join(good, "_id").withColumn("_h", F.xxhash64(F.lit(3), "_id"))
-    learn = both.where("_h < 0").withColumn("_slice", F.pmod("_h", F.lit(64)))
-    w = Window.partitionBy("_lang", "_slice").orderBy("_h")
-    quota = F.lit(per_language // 64) + (F.col("_slice") < per_language % 64).cast("int")
-    learn = learn.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= quota).select("_id").distinct()
-    return learn, both.where("_h >= 0").select("_id").distinct()
+    learn = both.where("_h < 0")
+    if per_language is not None:
+        learn = learn.withColumn("_slice", F.pmod("_h", F.lit(64)))
+        w = Window.partitionBy("_lang", "_slice").orderBy("_h")
+        quota = F.lit(per_language // 64) + (F.col("_slice") < per_language % 64).cast("int")
+        learn = learn.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= quota)
+    return learn.select("_id").distinct(), both.where("_h >= 0").select("_id").distinct()
 
 
 @dataclass
@@ -157,14 +176,14 @@ class Tables:
         return [self.uni, self.bi, self.tri, self.back2, self.back3]
 
     def collect(self) -> Model:
-        def read(df: DataFrame) -> Table:
+        def read(df: DataFrame, back: bool) -> Table:
             *ids, x = df.toArrow().combine_chunks().columns
-            words = [np.asarray(c.combine_chunks()).view(np.uint64) for c in ids]
-            keys = words[0] if len(words) == 1 else (pair_key if len(words) == 2 else triple_key)(*words)
+            keys = _key(*[np.asarray(c.combine_chunks()).view(np.uint64) for c in ids])
+            keys = keys ^ BACK if back else keys
             order = np.argsort(keys, kind="stable")
             return keys[order], np.asarray(x.combine_chunks())[order]
 
-        return Model(*map(read, self.parts()), self.floor)
+        return Model(*map(read, self.parts(), (False, False, False, True, True)), self.floor)
 
 
 def train(texts: DataFrame, scratch: Scratch, text: str = "text") -> Tables:
@@ -200,54 +219,132 @@ def train(texts: DataFrame, scratch: Scratch, text: str = "text") -> Tables:
     return Tables(log(p1, "p"), log(p2, "p"), log(p3, "p"), log(c2, "back"), log(c3, "back"), float(np.log10(floor)))
 
 
+def _scored(b: pa.RecordBatch, model: Model, text: str, count: str, total: str) -> pa.RecordBatch:
+    words, sizes, first = _words(b.column(text))
+    # summed text by text, so that equal texts get equal sums wherever they lie
+    sums, some = np.zeros(len(sizes)), np.flatnonzero(sizes)
+    if len(some):
+        sums[some] = np.add.reduceat(model.score(words, first), first)
+    return pa.record_batch([*b.columns, pa.array(sizes), pa.array(sums)], names=[*b.schema.names, count, total])
+
+
 def with_logprob(docs: DataFrame, model: Broadcast, text: str, count: str, total: str) -> DataFrame:
     """``docs`` with the number of words (``count``) and their log10 probability (``total``) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, text):
-            words, sizes, first = _words(b.column(text))
-            # summed text by text, so that equal texts get equal sums wherever they lie
-            sums, some = np.zeros(len(sizes)), np.flatnonzero(sizes)
-            if len(some):
-                sums[some] = np.add.reduceat(model.value.score(words, first), first)
-            yield pa.record_batch([*b.columns, pa.array(sizes), pa.array(sums)], names=[*b.schema.names, count, total])
+            yield _scored(b, model.value, text, count, total)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{schema}, {count} long, {total} double")
 
 
-def with_logprob_by_joins(docs: DataFrame, tables: Tables, scratch: Scratch, text: str, count: str, total: str) -> DataFrame:
-    """The same from the tables: each document's n-grams, counted, meet the model sharded by n-gram.
+def _packed(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of ``keys`` by shard; a key and the same one as a context share a shard."""
+    own = ((keys & ~BACK) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    cuts = np.searchsorted(own[order], np.arange(shards + 1))
+    yield from ((i, order[x:y]) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if x < y)
 
-    The documents' side of a join may have hot n-grams; it is the outer side, which adaptive execution splits.
-    """
-    (row,) = free_name(docs, "_row")
-    docs = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), f"rows-{count}")
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, text):
-            words, sizes, first = _words(b.column(text))
-            if len(words):
-                one, two = before(words, first)
-                rows = np.repeat(np.asarray(b.column(row)), sizes)
-                yield pa.record_batch([pa.array(rows), *[pa.array(x.view(np.int64)) for x in (two, one, words)]], names=["row", "u", "v", "w"])
+def _blobs(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.tobytes() for x in arrays], pa.binary())
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
-    own = docs.select(row, text).mapInArrow(grams, "row long, u long, v long, w long").groupBy("row", "u", "v", "w").agg(F.count(F.lit(1)).alias("n"))
-    for name, part in (("x3", tables.tri), ("x2", tables.bi), ("b3", tables.back3), ("b2", tables.back2), ("x1", tables.uni)):
-        own = own.join(part.withColumnRenamed("x", name), [c for c in ("u", "v", "w") if c in part.columns], "left")
-    zero = F.lit(0.0)
-    shorter = F.coalesce("x2", F.coalesce("b2", zero) + F.coalesce("x1", F.lit(tables.floor)))
-    sums = own.groupBy("row").agg(F.sum("n").alias(count), F.sum(F.col("n") * F.coalesce("x3", F.coalesce("b3", zero) + shorter)).alias(total))
-    out = docs.join(sums.withColumnRenamed("row", row), row, "left").drop(row)
-    return out.withColumns({count: F.coalesce(F.col(count), F.lit(0)).cast("long"), total: F.coalesce(F.col(total), zero)})
 
+def _sorted_table(parts: pa.Table) -> Table:
+    keys, x = _joined(parts.column("keys"), np.uint64), _joined(parts.column("x"), np.float64)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], x[order]
 
-def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, per_language: int = 600, prior_tokens: float = 20.0, key: str = "doc_id", text: str = "text", lang: str = "lang", max_ngrams: int = MAX_NGRAMS) -> DataFrame:
+
+def with_logprob_by_joins(docs: DataFrame, tables: Tables, scratch: Scratch, text: str, count: str, total: str) -> DataFrame:
+    """The same from the tables: the distinct n-grams of each block of documents meet the model sharded by n-gram.
+
+    A block asks each shard for its n-grams at once, as arrays, and is scored against the answers.  However frequent an n-gram,
+    a block asks for it once, so no key is hot.  ``PASSES`` parts of the blocks go one after the other, so that only the
+    shuffle files of one part lie on disk.
+    """
+    spark, floor = docs.sparkSession, tables.floor
+    (block,) = free_name(docs, "_block")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(partitions, sum(t.count() for t in tables.parts()) // SHARD_NGRAMS + 1)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for i, b in enumerate(text_slices(batches, text, BLOCK_BYTES)):
+            yield pa.record_batch([*b.columns, pa.array(np.full(b.num_rows, first + i))], names=[*b.schema.names, block])
+
+    def pack(back: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in gathered(batches, 1 << 20):
+                *ids, x = b.columns
+                keys, x = _key(*[np.asarray(c).view(np.uint64) for c in ids]), np.asarray(x)
+                keys = keys ^ BACK if back else keys
+                own = list(_packed(keys, shards))
+                yield pa.record_batch([pa.array([i for i, _ in own], pa.int32()), _blobs([keys[at] for _, at in own]), _blobs([x[at] for _, at in own])], names=["shard", "keys", "x"])
+
+        return run
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(block))
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                words, _, first = _words(batch.column(text).slice(a, z - a))
+                if not len(words):
+                    continue
+                one, two = before(words, first)
+                edge = np.array([START], dtype=np.uint64)
+                keys = np.unique(np.concatenate([edge, pair_key(edge, edge), np.unique(words), np.unique(pair_key(one, words)), np.unique(triple_key(two, one, words))]))
+                own = list(_packed(keys, shards))
+                yield pa.record_batch([pa.array([i for i, _ in own], pa.int32()), pa.array([int(ids[a])] * len(own), pa.int64()), _blobs([keys[at] for _, at in own])], names=["shard", "block", "keys"])
+
+    def answer(asked: pa.Table, parts: pa.Table) -> pa.Table:
+        have, blocks, keys, values = _sorted_table(parts), [], [], []
+        for b, wanted in zip(asked.column("block").to_pylist(), asked.column("keys")):
+            wanted = np.frombuffer(wanted.as_py(), np.uint64)
+            wanted = np.concatenate([wanted, wanted ^ BACK])
+            at, there = _find(have, wanted, np.ones(len(wanted), dtype=bool))
+            if len(at):
+                blocks.append(b)
+                keys.append(wanted[there])
+                values.append(have[1][at])
+        return pa.table([pa.array(blocks, pa.int64()), _blobs(keys), _blobs(values)], names=["block", "keys", "x"])
+
+    def scored(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        grams = _sorted_table(answers)
+        model, out = Model(grams, grams, grams, grams, grams, floor), []
+        for b in text_slices(rows.to_batches(), text):
+            out.append(_scored(b.drop_columns([block]), model, text, count, total))
+        return pa.Table.from_batches(out) if out else _scored(rows.slice(0, 0).drop_columns([block]), model, text, count, total)
+
+    docs = scratch.keep(docs.mapInArrow(dealt, f"{fields}, {block} long"), f"blocks-{count}")
+    packed = [t.mapInArrow(pack(back), "shard int, keys binary, x binary") for t, back in zip(tables.parts(), (False, False, False, True, True))]
+    packed = scratch.keep(functools.reduce(DataFrame.unionByName, packed), f"packed-{count}")
+    scratch.drop("p1", "p2", "p3", "c2", "c3")
+    release(spark)
+    done = []
+    for i in range(PASSES):
+        part = docs.where(F.pmod(F.xxhash64(block), F.lit(PASSES)) == i)
+        asked = part.mapInArrow(ask, "shard int, block long, keys binary")
+        answers = asked.groupBy("shard").cogroup(packed.groupBy("shard")).applyInArrow(answer, "block long, keys binary, x binary")
+        out = part.groupBy(block).cogroup(answers.withColumnRenamed("block", block).groupBy(block)).applyInArrow(scored, f"{fields}, {count} long, {total} double")
+        done.append(scratch.keep(out, f"part{i}-{count}"))
+        release(spark)
+    scratch.drop(f"blocks-{count}", f"packed-{count}")
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, per_language: int | None = None, prior_tokens: float = 20.0, key: str = "doc_id", text: str = "text", lang: str = "lang", max_ngrams: int = MAX_NGRAMS) -> DataFrame:
     """``docs`` with ``n_tokens``, ``perplexity``, ``threshold`` (of the language) and ``keep``.
 
-    ``per_language`` bounds the documents of a language that the model learns from (twice as many labelled rows at
-    least are needed for a use of the whole bound, as half of them set the thresholds); counts, scores and thresholds
-    otherwise cover all documents.  Null and empty texts have no words and are kept with the mean perplexity.  A
+    The model learns from every trusted document of one half of the keys, and the thresholds come from every one of the
+    other; ``per_language`` bounds the first for quick trials.  Null and empty texts have no words and are kept with the mean perplexity.  A
     language, null included, without trusted documents is judged by the threshold of all; without any trusted
     document everything is kept (threshold infinite).  Repeated rows and keys get equal results; an empty table gives
     an empty result.  Columns named like the new ones are replaced.
@@ -256,18 +353,21 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, per_langu
     scratch = Scratch(spark, "quality")
     docs = docs.drop("n_tokens", "perplexity", "threshold", "keep")
     learn, rest = trusted_sample(docs, labels, per_language, key)
-    # at most per_language ids of each language
-    sample = scratch.keep(docs.join(F.broadcast(learn).withColumnRenamed("_id", key), key, "left_semi").select(text), "sample")
+    learn = learn.withColumnRenamed("_id", key)
+    sample = docs.select(key, text).join(learn if per_language is None else F.broadcast(learn), key, "left_semi").select(text)
     tables = train(sample, scratch, text)
+    scratch.drop("trigrams", "bigrams", "unigrams")
+    release(spark)
     model = spark.sparkContext.broadcast(tables.collect()) if sum(t.count() for t in tables.parts()) <= max_ngrams else None
 
-    def scored_of(rows: DataFrame, text: str, count: str, total: str) -> DataFrame:
-        return with_logprob(rows, model, text, count, total) if model else with_logprob_by_joins(rows, tables, scratch, text, count, total)
-
-    n, lp, l, mean, bar = free_name(docs, "_n", "_lp", "_l", "_mean", "_bar")
+    n, lp, l, h, mean, bar = free_name(docs, "_n", "_lp", "_l", "_h", "_mean", "_bar")
 
     slim = docs.select(F.col(key).alias("id"), group_key(F.col(lang)).alias("l"), F.col(text).alias("t"))
-    scored = scratch.keep(scored_of(slim, "t", "n", "lp").select("id", "l", "n", "lp"), "scores")
+    if model:
+        scored = with_logprob(slim, model, "t", "n", "lp").select("id", "l", "n", "lp")
+    else:
+        scored = with_logprob_by_joins(slim, tables, scratch, "t", "n", "lp").select("id", "l", F.xxhash64("t").alias("h"), "n", "lp")
+    scored = scratch.keep(scored, "scores")
     held = scored.join(rest.withColumnRenamed("_id", "id"), "id", "left_semi").where("n > 0")
     means = scratch.keep(held.groupBy("l").agg((F.sum("lp") / F.sum("n")).alias("mean")), "means")
     drawn = join_few(held, means, "l", "id").withColumn("x", -(F.col("lp") + prior_tokens * F.col("mean")) / (F.col("n") + prior_tokens))
@@ -276,8 +376,15 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, per_langu
     pooled, every = held.agg(F.sum("lp") / F.sum("n")).first()[0] or 0.0, drawn.agg(limit).first()[0]
     fallback = float("inf") if every is None else float(every)
 
-    scratch.only("limits", *(() if model else ("p1", "p2", "p3", "c2", "c3")))
-    out = join_few(scored_of(docs.withColumn(l, group_key(F.col(lang))), text, n, lp), limits, l, key, "left")
+    scratch.only("limits", *(() if model else ("scores",)))
+    docs = docs.withColumn(l, group_key(F.col(lang)))
+    if model:
+        out = with_logprob(docs, model, text, n, lp)
+    else:  # equal texts have equal scores, so that key and text tell rows apart well enough
+        release(spark)
+        once = scored.groupBy(group_key(F.col("id")).alias(mean), F.col("h").alias(h)).agg(F.first("n").alias(n), F.first("lp").alias(lp))
+        out = docs.withColumns({mean: group_key(F.col(key)), h: F.xxhash64(text)}).join(once, [mean, h]).drop(mean, h)
+    out = join_few(out, limits, l, key, "left")
     x = -(F.col(lp) + prior_tokens * F.coalesce(mean, F.lit(pooled))) / (F.col(n) + prior_tokens)
     limit = F.coalesce(bar, F.lit(fallback))
     out = out.withColumn("n_tokens", F.col(n)).withColumn("perplexity", F.pow(F.lit(10.0), x)).withColumn("threshold", F.pow(F.lit(10.0), limit)).withColumn("keep", x <= limit)
