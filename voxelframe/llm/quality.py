@@ -2,8 +2,8 @@
 
 A trigram model over words (``[^\\x20\\x09-\\x0D]+``, unchanged, named by their
 64-bit hashes) is fitted on all documents of one half that the labels call good.
-Counts, continuation counts, context totals and the interpolated probabilities
-come from joins that are sharded by n-gram.  Every document gets its perplexity
+Counts, continuation counts and context totals come from aggregates that are
+sharded by n-gram; probabilities are interpolated from them where a text is scored.  Every document gets its perplexity
 under the model, and is kept unless that lies above a quantile of the
 perplexities of trusted documents of its language, which the model has not
 seen: all of the other half.  Perplexities of short documents are drawn towards
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,9 +34,7 @@ from .common import Scratch, free_name, gathered, group_key, hash_column, join_f
 #: N-grams that are broadcast, at 16 bytes each.
 MAX_NGRAMS = 1 << 22
 #: Of larger models: n-grams of a shard at most, bytes of text of a block of documents, and parts of the blocks that go one after the other.
-SHARD_NGRAMS, BLOCK_BYTES, PASSES = 1 << 20, 8 << 20, 4
-#: Tells the key of a context from that of the same words as an n-gram.
-BACK = np.uint64(1 << 63)
+SHARD_NGRAMS, BLOCK_BYTES, PASSES = 1 << 20, 8 << 20, 16
 #: What stands before a text; not 0, of which the keys of all orders would be 0.
 START = np.uint64(0x5851F42D4C957F2D)
 _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -73,33 +72,37 @@ Table = tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class Model:
-    """Log10 probabilities and back-off weights of the seen n-grams by their keys, which are sorted."""
+    """Discounted counts of the seen n-grams, and totals and back-off weights of contexts, by keys, which are sorted."""
 
-    uni: Table
-    bi: Table
-    tri: Table
-    back2: Table  # by the word before, its key ``BACK`` apart
-    back3: Table  # by the two words before, likewise
-    floor: float  # of a word that is not seen
+    grams: tuple[Table, Table, Table]  # of one word: its probability
+    contexts: tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]  # of the word before, of the two before: total, back-off weight
+    floor: float  # probability of a word that is not seen
+
+    @property
+    def uni(self) -> Table:
+        return self.grams[0]
 
     def score(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 p of each word given the two before it; ``starts`` marks the first words of texts."""
         if not len(words):
             return np.zeros(0)
         one, two = before(words, starts)
+        pair = pair_key(one, words)
         p, every = np.full(len(words), self.floor), np.ones(len(words), dtype=bool)
-        at, known = _find(self.uni, words, every)
-        p[known] = self.uni[1][at]
-        at, there = _find(self.back2, one ^ BACK, every)
-        p[there] += self.back2[1][at]
-        # a longer n-gram is seen only if its shorter ones are
-        at, seen = _find(self.bi, pair_key(one, words), _at(every, known) & _at(every, there))
-        p[seen] = self.bi[1][at]
-        at, deep = _find(self.back3, pair_key(two, one) ^ BACK, _at(every, there))
-        p[deep] += self.back3[1][at]
-        at, hit = _find(self.tri, triple_key(two, one, words), _at(every, seen) & _at(every, deep))
-        p[hit] = self.tri[1][at]
-        return p
+        at, known = _find(self.grams[0][0], words, every)
+        p[known] = self.grams[0][1][at]
+        for (keys, taken), (own, total, back), key, context in (
+            (self.grams[1], self.contexts[0], pair, one),
+            (self.grams[2], self.contexts[1], triple_key(two, one, words), pair_key(two, one)),
+        ):
+            at, there = _find(own, context, every)
+            p[there] *= back[at]
+            # a longer n-gram is seen only if its context is
+            sums, every = np.zeros(len(words)), _at(every, there)
+            sums[there] = total[at]
+            at, seen = _find(keys, key, every)
+            p[seen] += taken[at] / sums[seen]
+        return np.log10(p)
 
 
 def _at(like: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -108,9 +111,9 @@ def _at(like: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def _find(table: Table, wanted: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the keys of ``table`` and in ``wanted`` of the entries that both hold."""
-    keys, at = table[0], np.flatnonzero(where)
+def _find(keys: np.ndarray, wanted: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in ``keys`` and in ``wanted`` of the entries that both hold."""
+    at = np.flatnonzero(where)
     if not len(keys) or not len(at):
         return at[:0], at[:0]
     i = np.searchsorted(keys, wanted[at])
@@ -163,27 +166,23 @@ def trusted_sample(docs: DataFrame, labels: DataFrame, per_language: int | None
 
 @dataclass
 class Tables:
-    """The model as written tables of word hashes ``u, v, w`` (as far as they go) and ``x``, a log10."""
+    """The model as tables of word hashes ``u, v, w`` (as far as they go): ``x`` of n-grams, ``x`` and ``y`` of contexts."""
 
-    uni: DataFrame
-    bi: DataFrame
-    tri: DataFrame
-    back2: DataFrame
-    back3: DataFrame
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
     floor: float
 
     def parts(self) -> list[DataFrame]:
-        return [self.uni, self.bi, self.tri, self.back2, self.back3]
+        return [*self.grams, *self.contexts]
 
     def collect(self) -> Model:
-        def read(df: DataFrame, back: bool) -> Table:
-            *ids, x = df.toArrow().combine_chunks().columns
-            keys = _key(*[np.asarray(c.combine_chunks()).view(np.uint64) for c in ids])
-            keys = keys ^ BACK if back else keys
+        def read(df: DataFrame, values: int) -> tuple[np.ndarray, ...]:
+            columns = [np.asarray(c.combine_chunks()) for c in df.toArrow().combine_chunks().columns]
+            keys = _key(*[c.view(np.uint64) for c in columns[:-values]])
             order = np.argsort(keys, kind="stable")
-            return keys[order], np.asarray(x.combine_chunks())[order]
+            return keys[order], *[c[order] for c in columns[-values:]]
 
-        return Model(*map(read, self.parts(), (False, False, False, True, True)), self.floor)
+        return Model(tuple(read(df, 1) for df in self.grams), tuple(read(df, 2) for df in self.contexts), self.floor)
 
 
 def train(texts: DataFrame, scratch: Scratch, text: str = "text") -> Tables:
@@ -196,27 +195,30 @@ def train(texts: DataFrame, scratch: Scratch, text: str = "text") -> Tables:
                 one, two = before(words, first)
                 yield pa.record_batch([pa.array(x.view(np.int64)) for x in (two, one, words)], names=["u", "v", "w"])
 
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df = scratch.keep(df, name)
+        release(scratch.spark)
+        return df
+
     one = F.count(F.lit(1)).alias("c")
-    tri = scratch.keep(texts.select(text).mapInArrow(trigrams, "u long, v long, w long").groupBy("u", "v", "w").agg(one), "trigrams")
-    bi = scratch.keep(tri.groupBy("v", "w").agg(one), "bigrams")
+    tri = kept(texts.select(text).mapInArrow(trigrams, "u long, v long, w long").groupBy("u", "v", "w").agg(one), "trigrams")
+    bi = kept(tri.groupBy("v", "w").agg(one), "bigrams")
     uni = scratch.keep(bi.groupBy("w").agg(one), "unigrams")
     d3, d2, d1 = _count_stats(tri), _count_stats(bi), _count_stats(uni)
 
     def contexts(grams: DataFrame, d: list[float], *context: str) -> DataFrame:
         """Total and back-off weight of each context."""
-        return grams.groupBy(*context).agg(F.sum("c").alias("total"), (F.sum(_taken(d)) / F.sum("c")).alias("back"))
+        return grams.groupBy(*context).agg(F.sum("c").cast("double").alias("x"), (F.sum(_taken(d)) / F.sum("c")).alias("y"))
+
+    def taken(grams: DataFrame, d: list[float]) -> DataFrame:
+        return grams.select(*[c for c in ("u", "v", "w") if c in grams.columns], (F.col("c") - _taken(d)).alias("x"))
 
     whole = uni.agg(F.sum("c").alias("t"), F.sum(_taken(d1)).alias("d"), F.count(F.lit(1)).alias("v")).first()
     total, spare, kinds = whole["t"] or 1, whole["d"] or 1.0, whole["v"]
     floor = spare / total / (kinds + 1)
-    p1 = scratch.keep(uni.select("w", ((F.col("c") - _taken(d1)) / total + floor).alias("p")), "p1")
-    c2, c3 = scratch.keep(contexts(bi, d2, "v"), "c2"), scratch.keep(contexts(tri, d3, "u", "v"), "c3")
-    share = (F.col("c") - _taken(d2)) / F.col("total")
-    p2 = scratch.keep(bi.join(c2, "v").join(p1, "w").select("v", "w", (share + F.col("back") * F.col("p")).alias("p")), "p2")
-    share = (F.col("c") - _taken(d3)) / F.col("total")
-    p3 = scratch.keep(tri.join(c3, ["u", "v"]).join(p2, ["v", "w"]).select("u", "v", "w", (share + F.col("back") * F.col("p")).alias("p")), "p3")
-    log = lambda df, value: df.select(*[c for c in ("u", "v", "w") if c in df.columns], F.log10(value).alias("x"))
-    return Tables(log(p1, "p"), log(p2, "p"), log(p3, "p"), log(c2, "back"), log(c3, "back"), float(np.log10(floor)))
+    c2, c3 = kept(contexts(bi, d2, "v"), "c2"), kept(contexts(tri, d3, "u", "v"), "c3")
+    p1 = uni.select("w", ((F.col("c") - _taken(d1)) / total + floor).alias("x"))
+    return Tables([p1, taken(bi, d2), taken(tri, d3)], [c2, c3], floor)
 
 
 def _scored(b: pa.RecordBatch, model: Model, text: str, count: str, total: str) -> pa.RecordBatch:
@@ -240,8 +242,8 @@ def with_logprob(docs: DataFrame, model: Broadcast, text: str, count: str, total
 
 
 def _packed(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of ``keys`` by shard; a key and the same one as a context share a shard."""
-    own = ((keys & ~BACK) % np.uint64(shards)).astype(np.int64)
+    """The places of ``keys`` by shard."""
+    own = (keys % np.uint64(shards)).astype(np.int64)
     order = np.argsort(own, kind="stable")
     cuts = np.searchsorted(own[order], np.arange(shards + 1))
     yield from ((i, order[x:y]) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if x < y)
@@ -255,17 +257,18 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _sorted_table(parts: pa.Table) -> Table:
-    keys, x = _joined(parts.column("keys"), np.uint64), _joined(parts.column("x"), np.float64)
+def _sorted_table(parts: pa.Table, context: bool) -> tuple[np.ndarray, ...]:
+    parts = parts.filter(pc.equal(parts.column("context"), context))
+    keys = _joined(parts.column("keys"), np.uint64)
     order = np.argsort(keys, kind="stable")
-    return keys[order], x[order]
+    return keys[order], *[_joined(parts.column(c), np.float64)[order] for c in ("x", "y")[: 1 + context]]
 
 
 def with_logprob_by_joins(docs: DataFrame, tables: Tables, scratch: Scratch, text: str, count: str, total: str) -> DataFrame:
     """The same from the tables: the distinct n-grams of each block of documents meet the model sharded by n-gram.
 
     A block asks each shard for its n-grams at once, as arrays, and is scored against the answers.  However frequent an n-gram,
-    a block asks for it once, so no key is hot.  ``PASSES`` parts of the blocks go one after the other, so that only the
+    a block asks for it once, so no key is hot.  Up to ``PASSES`` parts of the blocks go one after the other, so that only the
     shuffle files of one part lie on disk.
     """
     spark, floor = docs.sparkSession, tables.floor
@@ -279,14 +282,15 @@ def with_logprob_by_joins(docs: DataFrame, tables: Tables, scratch: Scratch, tex
         for i, b in enumerate(text_slices(batches, text, BLOCK_BYTES)):
             yield pa.record_batch([*b.columns, pa.array(np.full(b.num_rows, first + i))], names=[*b.schema.names, block])
 
-    def pack(back: bool):
+    def pack(context: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in gathered(batches, 1 << 20):
-                *ids, x = b.columns
-                keys, x = _key(*[np.asarray(c).view(np.uint64) for c in ids]), np.asarray(x)
-                keys = keys ^ BACK if back else keys
+                columns = [np.asarray(c) for c in b.columns]
+                values = columns[-1 - context :]
+                keys = _key(*[c.view(np.uint64) for c in columns[: -1 - context]])
                 own = list(_packed(keys, shards))
-                yield pa.record_batch([pa.array([i for i, _ in own], pa.int32()), _blobs([keys[at] for _, at in own]), _blobs([x[at] for _, at in own])], names=["shard", "keys", "x"])
+                blobs = [_blobs([v[at] for _, at in own]) for v in (keys, *values)] + [pa.nulls(len(own), pa.binary())] * (not context)
+                yield pa.record_batch([pa.array([i for i, _ in own], pa.int32()), pa.array([context] * len(own)), *blobs], names=["shard", "context", "keys", "x", "y"])
 
         return run
 
@@ -305,34 +309,33 @@ def with_logprob_by_joins(docs: DataFrame, tables: Tables, scratch: Scratch, tex
                 yield pa.record_batch([pa.array([i for i, _ in own], pa.int32()), pa.array([int(ids[a])] * len(own), pa.int64()), _blobs([keys[at] for _, at in own])], names=["shard", "block", "keys"])
 
     def answer(asked: pa.Table, parts: pa.Table) -> pa.Table:
-        have, blocks, keys, values = _sorted_table(parts), [], [], []
+        out = []
+        have = [_sorted_table(parts, context) for context in (False, True)]
         for b, wanted in zip(asked.column("block").to_pylist(), asked.column("keys")):
             wanted = np.frombuffer(wanted.as_py(), np.uint64)
-            wanted = np.concatenate([wanted, wanted ^ BACK])
-            at, there = _find(have, wanted, np.ones(len(wanted), dtype=bool))
-            if len(at):
-                blocks.append(b)
-                keys.append(wanted[there])
-                values.append(have[1][at])
-        return pa.table([pa.array(blocks, pa.int64()), _blobs(keys), _blobs(values)], names=["block", "keys", "x"])
+            for context, (keys, *values) in enumerate(have):
+                at, _ = _find(keys, wanted, np.ones(len(wanted), dtype=bool))
+                if len(at):
+                    out.append((b, bool(context), keys[at].tobytes(), *[v[at].tobytes() for v in values], *[None] * (not context)))
+        columns = list(zip(*out)) or [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), *[pa.binary()] * 3))], names=["block", "context", "keys", "x", "y"])
 
     def scored(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = _sorted_table(answers)
-        model, out = Model(grams, grams, grams, grams, grams, floor), []
+        model, out = Model((_sorted_table(answers, False),) * 3, (_sorted_table(answers, True),) * 2, floor), []
         for b in text_slices(rows.to_batches(), text):
             out.append(_scored(b.drop_columns([block]), model, text, count, total))
         return pa.Table.from_batches(out) if out else _scored(rows.slice(0, 0).drop_columns([block]), model, text, count, total)
 
     docs = scratch.keep(docs.mapInArrow(dealt, f"{fields}, {block} long"), f"blocks-{count}")
-    packed = [t.mapInArrow(pack(back), "shard int, keys binary, x binary") for t, back in zip(tables.parts(), (False, False, False, True, True))]
+    packed = [t.mapInArrow(pack(context), "shard int, context boolean, keys binary, x binary, y binary") for ts, context in ((tables.grams, False), (tables.contexts, True)) for t in ts]
     packed = scratch.keep(functools.reduce(DataFrame.unionByName, packed), f"packed-{count}")
-    scratch.drop("p1", "p2", "p3", "c2", "c3")
+    scratch.drop("trigrams", "bigrams", "unigrams", "c2", "c3")
     release(spark)
-    done = []
-    for i in range(PASSES):
-        part = docs.where(F.pmod(F.xxhash64(block), F.lit(PASSES)) == i)
+    done, passes = [], max(1, min(PASSES, docs.select(block).distinct().count()))
+    for i in range(passes):
+        part = docs.where(F.pmod(F.xxhash64(block), F.lit(passes)) == i)
         asked = part.mapInArrow(ask, "shard int, block long, keys binary")
-        answers = asked.groupBy("shard").cogroup(packed.groupBy("shard")).applyInArrow(answer, "block long, keys binary, x binary")
+        answers = asked.groupBy("shard").cogroup(packed.groupBy("shard")).applyInArrow(answer, "block long, context boolean, keys binary, x binary, y binary")
         out = part.groupBy(block).cogroup(answers.withColumnRenamed("block", block).groupBy(block)).applyInArrow(scored, f"{fields}, {count} long, {total} double")
         done.append(scratch.keep(out, f"part{i}-{count}"))
         release(spark)
@@ -356,8 +359,6 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, per_langu
     learn = learn.withColumnRenamed("_id", key)
     sample = docs.select(key, text).join(learn if per_language is None else F.broadcast(learn), key, "left_semi").select(text)
     tables = train(sample, scratch, text)
-    scratch.drop("trigrams", "bigrams", "unigrams")
-    release(spark)
     model = spark.sparkContext.broadcast(tables.collect()) if sum(t.count() for t in tables.parts()) <= max_ngrams else None
 
     n, lp, l, h, mean, bar = free_name(docs, "_n", "_lp", "_l", "_h", "_mean", "_bar")
