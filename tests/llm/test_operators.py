@@ -297,6 +297,32 @@ def test_substrings_of_blocks_printed_twice(spark):
     assert got == brute_substrings(rows, 13)
 
 
+@pytest.mark.parametrize("always", [False, True])
+def test_hot_join_repeats_rows_of_hot_keys_only(spark, always):
+    from voxelframe.llm.common import join_hot
+
+    big = spark.range(4000).select(F.when(F.col("id") < 2000, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id")
+    small = spark.range(2000, 4000).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("c")).union(spark.createDataFrame([(-1, 2000)], "k long, c long"))
+    plan_rows = []
+    out = join_hot(big, small, ["k"], "c", "id", always=always)
+    assert sorted((r["k"], r["id"]) for r in out.collect()) == sorted((r["k"], r["id"]) for r in big.collect())
+
+    def walk(node):
+        if node.nodeName() == "Generate":
+            plan_rows.append(node.metrics().apply("numOutputRows").value())
+        if node.nodeName() == "AdaptiveSparkPlan":
+            walk(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            walk(node.plan())
+        for i in range(node.children().length()):
+            walk(node.children().apply(i))
+
+    walk(out._jdf.queryExecution().executedPlan())
+    assert plan_rows and sum(plan_rows) < 100  # it was a row for each of the 2,001 keys and more
+    cold = join_hot(big.where("id >= 2000"), small.where("k > 0"), ["k"], "c", "id", always=always)
+    assert cold.count() == 2000
+
+
 def test_substrings_of_null_and_repeated_keys(spark):
     block = " ".join(f"b{i}" for i in range(20))
     rows = [(None, block), (None, block), (1, "x " + block), (2, block + " y"), (2, "z " + block), (2, block + " y")]

@@ -108,25 +108,28 @@ def group_key(column: Column) -> Column:
     return F.when(column.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), column.cast("string")))
 
 
-def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, spread: str, counts: DataFrame | None = None) -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, spread: str, counts: DataFrame | None = None, always: bool = False) -> DataFrame:
     """Inner join of ``big`` with ``small``, whose ``keys`` are unique; ``weight`` counts the rows of ``big`` by key, in ``small``
-    or in ``counts``, a written table.
+    or in ``counts``, a written table.  A row of ``big`` meets one row at most.
 
     A key with more rows than a quarter of an even share of a partition is hot.  There are fewer than four such keys for
     each partition whatever the input, so their list is broadcast.  The rows of a hot key are dealt by the hash
-    of column ``spread`` over as many salts as it has quarter shares, and the one row of ``small`` is repeated for each.
+    of column ``spread`` over as many salts as it has quarter shares, and the one row of ``small`` is repeated for each further
+    salt; all other rows of ``small`` stay as they are.  Without hot keys it is a plain join, unless the plan should
+    ``always`` be the same.
     """
     counts = small if counts is None else counts
     total, top = counts.agg(F.sum(weight), F.max(weight)).first()
     partitions = max(1, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bar = max((total or 0) / (4 * partitions), HOT_ROWS)
-    if not top or top <= bar:
+    if not always and (not top or top <= bar):
         return big.join(small, keys)
     found = counts.where(F.col(weight) > bar).select(*keys, F.ceil(F.col(weight) / bar).cast("int").alias("_salts"))
     hot = big.sparkSession.createDataFrame(found.collect(), found.schema)
     salt = F.pmod(F.xxhash64(F.col(spread)), F.coalesce("_salts", F.lit(1))).cast("int")
     left = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
-    right = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    further = small.join(F.broadcast(hot), keys).withColumn("_salt", F.explode(F.sequence(F.lit(1), F.col("_salts") - 1))).drop("_salts")
+    right = small.withColumn("_salt", F.lit(0)).unionByName(further)
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 

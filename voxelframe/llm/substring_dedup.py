@@ -231,7 +231,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     release()
     # 2. their occurrences, and the stretches among them that a smaller document holds
     occurs = slim.mapInArrow(places, "id long, t long, at int, n int, name long, stretch long")
-    occurs = scratch.keep(join_hot(occurs, shared, ["name"], "c", "id").drop("c"), "occurs")
+    occurs = scratch.keep(join_hot(occurs, shared, ["name"], "c", "id", always=True).drop("c"), "occurs")
     release()
     first = F.min_by(F.struct("t", "at", "n"), F.struct("id", "at"))
     kinds = scratch.keep(occurs.groupBy("name", "stretch").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c"), first.alias("f")), "kinds")
@@ -245,7 +245,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     own = kinds.select("name", F.col("least").alias("id"), "f.*", F.lit(1).alias("lead")).unionByName(more.where("name is not null").withColumn("lead", F.lit(0)))
     several = own.groupBy("name").agg(F.sum("lead").alias("k"), F.count(F.lit(1)).alias("c")).where("k > 1").select("name", "c")
     several = scratch.keep(several, "several")
-    places_of = join_hot(own.drop("lead"), several, ["name"], "c", "id").groupBy("id", "t").agg(F.collect_list(F.struct("at", "n")).alias("places"))
+    places_of = join_hot(own.drop("lead"), several, ["name"], "c", "id", always=True).groupBy("id", "t").agg(F.collect_list(F.struct("at", "n")).alias("places"))
     single = scratch.keep(slim.join(places_of, ["id", "t"]).mapInArrow(windows, "id long, t long, at int, w1 long, w2 long"), "windows")
     scratch.drop("kinds", "several")
     release()
