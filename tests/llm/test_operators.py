@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -531,6 +532,15 @@ def test_quality_by_joins_equals_the_broadcast(spark, mess):
     assert quality.score(docs_of(spark, []), labels, max_ngrams=0).count() == 0
 
 
+def test_quality_leaves_no_broadcast_to_its_result(spark, monkeypatch):
+    made, real = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(real(self, value)) or made[-1])
+    rows, labels = labelled(spark, 200)
+    out = quality.score(docs_of(spark, rows), labels)
+    assert len(made) == 1 and not Path(made[0]._path).exists()  # the driver's file of the model went with the executors'
+    assert out.count() == 200
+
+
 @pytest.mark.parametrize("max_ngrams", [quality.MAX_NGRAMS, 0])
 def test_quality_learns_from_every_trusted_document(spark, max_ngrams):
     # 3,000 trusted documents, each with a word pair of its own: a bound on a language's documents would leave pairs out

@@ -359,16 +359,17 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, per_langu
     learn = learn.withColumnRenamed("_id", key)
     sample = docs.select(key, text).join(learn if per_language is None else F.broadcast(learn), key, "left_semi").select(text)
     tables = train(sample, scratch, text)
-    model = spark.sparkContext.broadcast(tables.collect()) if sum(t.count() for t in tables.parts()) <= max_ngrams else None
 
     n, lp, l, h, mean, bar = free_name(docs, "_n", "_lp", "_l", "_h", "_mean", "_bar")
 
     slim = docs.select(F.col(key).alias("id"), group_key(F.col(lang)).alias("l"), F.col(text).alias("t"))
-    if model:
-        scored = with_logprob(slim, model, "t", "n", "lp").select("id", "l", "n", "lp")
-    else:
-        scored = with_logprob_by_joins(slim, tables, scratch, "t", "n", "lp").select("id", "l", F.xxhash64("t").alias("h"), "n", "lp")
-    scored = scratch.keep(scored, "scores")
+    small = sum(t.count() for t in tables.parts()) <= max_ngrams
+    model = spark.sparkContext.broadcast(tables.collect()) if small else None
+    scored = with_logprob(slim, model, "t", "n", "lp") if small else with_logprob_by_joins(slim, tables, scratch, "t", "n", "lp")
+    scored = scratch.keep(scored.select("id", "l", F.xxhash64("t").alias("h"), "n", "lp"), "scores")
+    if small:  # each executor and the driver have a file of it, which would stay as long as a result that reads it
+        model.destroy(blocking=True)
+        model = None
     held = scored.join(rest.withColumnRenamed("_id", "id"), "id", "left_semi").where("n > 0")
     means = scratch.keep(held.groupBy("l").agg((F.sum("lp") / F.sum("n")).alias("mean")), "means")
     drawn = join_few(held, means, "l", "id").withColumn("x", -(F.col("lp") + prior_tokens * F.col("mean")) / (F.col("n") + prior_tokens))
@@ -377,14 +378,12 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, per_langu
     pooled, every = held.agg(F.sum("lp") / F.sum("n")).first()[0] or 0.0, drawn.agg(limit).first()[0]
     fallback = float("inf") if every is None else float(every)
 
-    scratch.only("limits", *(() if model else ("scores",)))
+    scratch.only("limits", "scores")
+    release(spark)
     docs = docs.withColumn(l, group_key(F.col(lang)))
-    if model:
-        out = with_logprob(docs, model, text, n, lp)
-    else:  # equal texts have equal scores, so that key and text tell rows apart well enough
-        release(spark)
-        once = scored.groupBy(group_key(F.col("id")).alias(mean), F.col("h").alias(h)).agg(F.first("n").alias(n), F.first("lp").alias(lp))
-        out = docs.withColumns({mean: group_key(F.col(key)), h: F.xxhash64(text)}).join(once, [mean, h]).drop(mean, h)
+    # equal texts have equal scores, so that key and text tell rows apart well enough
+    once = scored.groupBy(group_key(F.col("id")).alias(mean), F.col("h").alias(h)).agg(F.first("n").alias(n), F.first("lp").alias(lp))
+    out = docs.withColumns({mean: group_key(F.col(key)), h: F.xxhash64(text)}).join(once, [mean, h]).drop(mean, h)
     out = join_few(out, limits, l, key, "left")
     x = -(F.col(lp) + prior_tokens * F.coalesce(mean, F.lit(pooled))) / (F.col(n) + prior_tokens)
     limit = F.coalesce(bar, F.lit(fallback))
