@@ -324,6 +324,31 @@ def test_hot_join_repeats_rows_of_hot_keys_only(spark, always):
     assert cold.count() == 2000
 
 
+def test_salted_join_has_one_plan_with_and_without_hot_keys(spark):
+    from voxelframe.llm.common import join_hot
+
+    def outer_rows(big, small):
+        out, found = join_hot(big, small, ["k"], "c", "id", always=True), []
+        assert sorted((r["k"], r["id"]) for r in out.collect()) == sorted((r["k"], r["id"]) for r in big.join(small, "k").collect())
+
+        def walk(node):
+            if "LeftOuter" in node.simpleStringWithNodeId():
+                found.append(node.metrics().apply("numOutputRows").value())
+            below = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else []
+            for x in [*below, *[node.children().apply(i) for i in range(node.children().length())]]:
+                walk(x)
+
+        walk(out._jdf.queryExecution().executedPlan())
+        return found
+
+    big = spark.range(6000).select(F.when(F.col("id") < 2000, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id")
+    small = spark.range(2000, 4000).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("c")).union(spark.createDataFrame([(-1, 2000)], "k long, c long"))
+    # a row for each row that looks for its salts, whether any key is hot or not: there was no such join without hot keys
+    assert outer_rows(big, small) == [6000]
+    assert outer_rows(big.where("id >= 2000"), small.where("k > 0")) == [4000]
+    assert outer_rows(big.limit(0), small.limit(0)) in ([], [0])
+
+
 def test_substrings_of_null_and_repeated_keys(spark):
     block = " ".join(f"b{i}" for i in range(20))
     rows = [(None, block), (None, block), (1, "x " + block), (2, block + " y"), (2, "z " + block), (2, block + " y")]

@@ -116,19 +116,19 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], weight: str, spr
     each partition whatever the input, so their list is broadcast.  The rows of a hot key are dealt by the hash
     of column ``spread`` over as many salts as it has quarter shares, and the one row of ``small`` is repeated for each further
     salt; all other rows of ``small`` stay as they are.  Without hot keys it is a plain join, unless the plan should
-    ``always`` be the same.
+    ``always`` be the same: the list then holds the most frequent key, as Spark leaves out a join with an empty one.
     """
     counts = small if counts is None else counts
-    total, top = counts.agg(F.sum(weight), F.max(weight)).first()
+    total, top, most = counts.agg(F.sum(weight), F.max(weight), F.max_by(F.struct(*keys), weight)).first()
     partitions = max(1, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bar = max((total or 0) / (4 * partitions), HOT_ROWS)
     if not always and (not top or top <= bar):
         return big.join(small, keys)
     found = counts.where(F.col(weight) > bar).select(*keys, F.ceil(F.col(weight) / bar).cast("int").alias("_salts"))
-    hot = big.sparkSession.createDataFrame(found.collect(), found.schema)
+    hot = big.sparkSession.createDataFrame(found.collect() or ([(*most, 1)] if most else []), found.schema)
     salt = F.pmod(F.xxhash64(F.col(spread)), F.coalesce("_salts", F.lit(1))).cast("int")
     left = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
-    further = small.join(F.broadcast(hot), keys).withColumn("_salt", F.explode(F.sequence(F.lit(1), F.col("_salts") - 1))).drop("_salts")
+    further = small.join(F.broadcast(hot.where("_salts > 1")), keys).withColumn("_salt", F.explode(F.sequence(F.lit(1), F.col("_salts") - 1))).drop("_salts")
     right = small.withColumn("_salt", F.lit(0)).unionByName(further)
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
