@@ -6,6 +6,7 @@ import inspect
 import itertools
 import math
 import random
+import time
 import zlib
 from pathlib import Path
 
@@ -590,6 +591,39 @@ def test_toxicity_learns_and_handles_odd_cases(spark, mess):
     assert {r["score"] for r in toxicity.score(docs_of(spark, rows[:9]), labels.limit(0), fold != 0).collect()} == {0.5}
 
 
+def test_toxicity_compresses_as_with_bare_text():
+    rng = random.Random(3)
+    word = lambda n: bytes(rng.choices(b"etaoinshrdlu.,-'#", k=rng.randint(1, n)))
+    text = b" ".join(word(9) for _ in range(2500))
+    for dictionary in (b"", text[:7], text[:8], text[:300], text):
+        filler = dictionary[-toxicity.FILLER_BYTES :]
+        some = [filler + b" " + b" ".join(word(n) for _ in range(4)) for n in (4, 9, 9, 40, 400) for _ in range(60)]
+        some += [filler + b" " + text[a : a + n] for a in range(0, 9000, 700) for n in (5, 25, 135, 136, 137, 600, 5000)]
+        some += [filler + b" " + bytes(rng.randrange(256) for _ in range(n)) for n in (1, 30, 70, 100, 3000)] + [b"", b"\x00\x01" * 40]
+        c = toxicity.Compressor(dictionary)
+        assert c.sizes(some, toxicity._long(some)).tolist() == toxicity._sizes(c.bare, some).tolist()
+    some, took = [filler + b" " + b" ".join(word(9) for _ in range(4)) for _ in range(5000)], [[], []]
+    for _ in range(9):
+        for i, f in enumerate((lambda w: c.sizes(w, toxicity._long(w)), lambda w: toxicity._sizes(c.bare, w))):
+            began = time.process_time()
+            f(some)
+            took[i].append(time.process_time() - began)
+    assert min(took[0]) < 0.9 * min(took[1])  # no code tables are built for each window
+
+
+def test_toxicity_compresses_equal_windows_once(monkeypatch):
+    seen, real = [], toxicity.Meter.distances
+    monkeypatch.setattr(toxicity.Meter, "distances", lambda self, some: seen.extend(some) or real(self, some))
+    text = [b"w%d" % (i % 20) for i in range(400)]
+    pairs = [(b"w1 w2 w3 w4 and more", b"w5 w6 w7 w8 w9 w10")]
+    model = toxicity.Model(b"some base of words " * 9, pairs, np.linspace(-1, 1, len(toxicity.features(np.zeros(0)))), 4)
+    meter = toxicity.Meter(model.base, pairs)
+    got = model.scores([text, [], text[:7], text], meter)
+    assert len(seen) == len(set(seen)) < 30 and got[0] == got[3]
+    want = [toxicity.features(real(meter, toxicity.windows(t, 4))) @ model.weights for t in (text, [], text[:7])]
+    assert np.allclose(got[:3], 1 / (1 + np.exp(-np.clip(want, -30, 30))), rtol=1e-12)
+
+
 # --- language model ---------------------------------------------------------------------------------------------
 def test_lattice_sums_all_segmentations():
     pieces = [b" a", b"a", b"b", b"ab", b" ", b"ba"]

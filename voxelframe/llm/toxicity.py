@@ -22,6 +22,7 @@ with the weight that its class has among all labels.
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,13 +59,61 @@ Pair = tuple[bytes, bytes]
 
 def windows(words: list[bytes], size: int, stride: int = STRIDE) -> list[bytes]:
     """The windows of a text: ``size`` words without the punctuation around them."""
-    bare = [w for w in (x.strip(PUNCTUATION) for x in words) if w]
+    bare = [w for x in words if (w := x.strip(PUNCTUATION))]
     return [b" " + b" ".join(bare[i : i + size]) + b" " for i in range(0, max(1, len(bare) - (size - stride)) if bare else 0, stride)]
 
 
-def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=4, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_dict_id=False, write_checksum=False)
-    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+def _header() -> bytes:
+    """What makes a dictionary a full one, with zstandard's own default code tables and first offsets (RFC 8878, 3.1.1.3.2.2 and 5).
+
+    zstandard builds the default tables anew for each window that it compresses with bare text, which takes most of its time; a full
+    dictionary's tables are built once.  As they are the same tables, lengths stay the same.  The table of literals has
+    only the bytes 0 and 1, so that it is never used.
+    """
+
+    def table(counts: list[int], log: int) -> bytes:
+        bits, n, left, threshold, width = log - 5, 4, (1 << log) + 1, 1 << log, log + 1
+        for c in counts:
+            most = 2 * threshold - 1 - left
+            left -= abs(c)
+            c += 1 + most * (c + 1 >= threshold)
+            bits |= c << n
+            n += width - (c < most)
+            while left < threshold:
+                width, threshold = width - 1, threshold >> 1
+        return bits.to_bytes((n + 7) // 8, "little")
+
+    offsets = [*[1] * 6, *[2] * 3, *[1] * 15, *[-1] * 5]
+    matches = [1, 4, 3, *[2] * 6, *[1] * 37, *[-1] * 7]
+    literals = [4, 3, *[2] * 11, *[1] * 3, *[2] * 9, 3, 2, *[1] * 5, *[-1] * 4]
+    return struct.pack("<IIBB", 0xEC30A437, 1, 128, 16) + table(offsets, 5) + table(matches, 6) + table(literals, 6) + struct.pack("<III", 1, 4, 8)
+
+
+HEADER = _header()
+#: Longer windows (with the filler) might get code tables of their own, from 56 matches of four bytes on, if the dictionary has none.
+PLAIN_BYTES = 200
+
+
+class Compressor:
+    """Lengths of windows compressed behind a dictionary of bare text."""
+
+    def __init__(self, dictionary: bytes):
+        how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=4, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_dict_id=False, write_checksum=False)
+        bare = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        # zstandard takes no shorter text
+        full = zstandard.ZstdCompressionDict(HEADER + dictionary, dict_type=zstandard.DICT_TYPE_FULLDICT) if len(dictionary) >= 8 else bare
+        self.bare, self.full = (zstandard.ZstdCompressor(dict_data=d, compression_params=how) for d in (bare, full))
+
+    def sizes(self, whole: list[bytes], long: list[int]) -> np.ndarray:
+        """``long``: the places of the longer windows."""
+        out = _sizes(self.full, whole)
+        if long:
+            out[long] = _sizes(self.bare, [whole[i] for i in long])
+        return out
+
+
+def _long(whole: list[bytes]) -> list[int]:
+    return [i for i, w in enumerate(whole) if len(w) > PLAIN_BYTES]
 
 
 class Meter:
@@ -72,13 +121,14 @@ class Meter:
 
     def __init__(self, base: bytes, pairs: list[Pair]):
         self.filler = base[-FILLER_BYTES:]
-        self.pairs = [tuple(_compressor(base + d + self.filler) for d in p) for p in pairs]
+        self.pairs = [tuple(Compressor(base + d + self.filler) for d in p) for p in pairs]
 
     def distances(self, some: list[bytes]) -> np.ndarray:
         """By how many bytes the toxic dictionaries shorten each window more than the ordinary ones, on average."""
         out, whole = np.zeros(len(some)), [self.filler + w for w in some]
+        long = _long(whole)
         for ordinary, toxic in self.pairs if some else ():
-            out += _sizes(ordinary, whole) - _sizes(toxic, whole)
+            out += ordinary.sizes(whole, long) - toxic.sizes(whole, long)
         return out / max(1, len(self.pairs))
 
 
@@ -106,7 +156,9 @@ class Model:
 
     def scores(self, texts: list[list[bytes]], meter: Meter) -> list[float]:
         cut = [windows(words, self.window_words) for words in texts]
-        d = meter.distances([w for ws in cut for w in ws])
+        every = [w for ws in cut for w in ws]
+        place = {w: i for i, w in enumerate(dict.fromkeys(every))}  # equal windows are compressed once
+        d = meter.distances(list(place))[np.fromiter(map(place.__getitem__, every), np.int64, len(every))]
         ends = np.cumsum([len(ws) for ws in cut], dtype=np.int64)
         x = np.array([features(d[b - len(ws) : b]) for ws, b in zip(cut, ends)])
         return (1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))).tolist()
@@ -189,12 +241,14 @@ def _best_pair(base: bytes, ordinary: bytes, some: list[bytes], telling: list[by
     filler = base[-FILLER_BYTES:]
     # the windows as they are compressed, and their lengths under the ordinary dictionary, which all orders share
     sides = [[filler + w for w in side] for side in (telling, usual)]
-    lengths = [_sizes(_compressor(base + ordinary + filler), side) for side in sides]
+    plain = Compressor(base + ordinary + filler)
+    long = [_long(side) for side in sides]
+    lengths = [plain.sizes(*side) for side in zip(sides, long)]
     best: tuple[float, bytes] | None = None
     for seed in range(ORDERS):
         toxic = _dictionary(some, DICTIONARY_BYTES, seed)
-        opened = _compressor(base + toxic + filler)
-        a, b = (n - _sizes(opened, side) for n, side in zip(lengths, sides))
+        opened = Compressor(base + toxic + filler)
+        a, b = (n - opened.sizes(*side) for n, *side in zip(lengths, sides, long))
         gap = float((a.mean() - b.mean()) / (b.std() + 1e-9))
         if best is None or gap > best[0]:
             best = (gap, toxic)
