@@ -567,6 +567,23 @@ def test_quality_leaves_no_broadcast_to_its_result(spark, monkeypatch):
     assert out.count() == 200
 
 
+def test_quality_model_is_small_in_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from voxelframe.llm.common import Scratch
+
+    came, real = [], Classic.toArrow
+    monkeypatch.setattr(Classic, "toArrow", lambda self: came.append(real(self)) or came[-1])
+    rows, _ = labelled(spark, 600)
+    tables = quality.train(docs_of(spark, rows), Scratch(spark, "test"))
+    m, counts = tables.collect(), [t.count() for t in tables.parts()]
+    assert [t.num_columns for t in came] == [2, 2, 2, 3, 3] and [t.num_rows for t in came] == counts  # keys, not the words of n-grams
+    held = [sum(getattr(x, "places", x).nbytes for x in t) / max(1, n) for t, n in zip([*m.grams, *m.contexts], counts)]
+    assert max(held[:3]) <= 10 and max(held[3:]) <= 12
+    for (keys, coded, *_), t in zip([*m.grams, *m.contexts], came):
+        assert dict(zip(keys.tolist(), coded[np.arange(len(keys))])) == dict(zip(t.column("k").to_numpy().view(np.uint64).tolist(), t.column("x").to_numpy()))
+
+
 @pytest.mark.parametrize("max_ngrams", [quality.MAX_NGRAMS, 0])
 def test_quality_learns_from_every_trusted_document(spark, max_ngrams):
     # 3,000 trusted documents, each with a word pair of its own: a bound on a language's documents would leave pairs out

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, free_name, gathered, group_key, hash_column, join_few, mix, text_slices
 
-#: N-grams that are broadcast, at 16 bytes each.
+#: N-grams that are broadcast, at 10 bytes each.
 MAX_NGRAMS = 1 << 22
 #: Of larger models: n-grams of a shard at most, bytes of text of a block of documents, and parts of the blocks that go one after the other.
 SHARD_NGRAMS, BLOCK_BYTES, PASSES = 1 << 20, 8 << 20, 16
@@ -64,10 +64,22 @@ def before(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def release(spark: SparkSession) -> None:
     """Shuffle files of finished passes go when the driver's handles of them do; nothing depends on when."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()
 
 
-Table = tuple[np.ndarray, np.ndarray]
+class Coded:
+    """An array of few different values, each held once, with their places in 2 or 4 bytes."""
+
+    def __init__(self, values: np.ndarray):
+        self.known, places = np.unique(values, return_inverse=True)
+        self.places = places.astype(np.uint16 if len(self.known) <= 1 << 16 else np.uint32)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.known[self.places[at]]
+
+
+Table = tuple[np.ndarray, np.ndarray | Coded]
 
 
 @dataclass
@@ -75,7 +87,7 @@ class Model:
     """Discounted counts of the seen n-grams, and totals and back-off weights of contexts, by keys, which are sorted."""
 
     grams: tuple[Table, Table, Table]  # of one word: its probability
-    contexts: tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]  # of the word before, of the two before: total, back-off weight
+    contexts: tuple[tuple[np.ndarray, np.ndarray | Coded, np.ndarray | Coded], ...]  # of the word before, of the two before: total, back-off weight
     floor: float  # probability of a word that is not seen
 
     @property
@@ -176,11 +188,25 @@ class Tables:
         return [*self.grams, *self.contexts]
 
     def collect(self) -> Model:
-        def read(df: DataFrame, values: int) -> tuple[np.ndarray, ...]:
-            columns = [np.asarray(c.combine_chunks()) for c in df.toArrow().combine_chunks().columns]
-            keys = _key(*[c.view(np.uint64) for c in columns[:-values]])
-            order = np.argsort(keys, kind="stable")
-            return keys[order], *[c[order] for c in columns[-values:]]
+        """The model in the driver, which gets keys instead of the words that they are made of."""
+
+        def read(df: DataFrame, values: int) -> tuple[np.ndarray | Coded, ...]:
+            def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    key = _key(*[np.asarray(c).view(np.uint64) for c in b.columns[:-values]])
+                    yield pa.record_batch([pa.array(key.view(np.int64)), *b.columns[-values:]], names=["k", *names])
+
+            names = df.columns[-values:]
+            rows = df.mapInArrow(keyed, ", ".join(["k long", *[f"{n} double" for n in names]])).toArrow()
+            out = [rows.column("k").to_numpy().view(np.uint64)]
+            order = np.argsort(out[0])  # keys are unique
+            out[0] = out[0][order]
+            rows = rows.drop_columns(["k"])
+            for n in names:
+                out.append(Coded(rows.column(n).to_numpy()[order]))
+                rows = rows.drop_columns([n])
+            pa.default_memory_pool().release_unused()  # else the driver keeps the room of the rows
+            return tuple(out)
 
         return Model(tuple(read(df, 1) for df in self.grams), tuple(read(df, 2) for df in self.contexts), self.floor)
 
