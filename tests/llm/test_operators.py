@@ -558,6 +558,22 @@ def test_quality_by_joins_equals_the_broadcast(spark, mess):
     assert quality.score(docs_of(spark, []), labels, max_ngrams=0).count() == 0
 
 
+def test_quality_by_joins_deals_the_model_once_and_writes_no_text(spark, monkeypatch):
+    from voxelframe.llm.common import Scratch
+
+    plans, columns, real = {}, {}, Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), columns.update({name: df.columns}), real(self, df, name))[2])
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 20_000)
+    rows, labels = labelled(spark, 200)
+    before = len(spark.catalog.listTables())
+    assert quality.score(docs_of(spark, rows), labels, max_ngrams=0).count() == 200
+    parts = [n for n in plans if n.startswith("part")]
+    assert 1 < len(parts) <= quality.PASSES and not any("t" in c or "text" in c for c in columns.values())
+    for n in parts:  # only what is asked is dealt by shard: the model lies in buckets
+        assert plans[n].count("Exchange hashpartitioning(shard") == 1 and "Bucketed: true" in plans[n], plans[n]
+    assert len(spark.catalog.listTables()) == before
+
+
 def test_quality_leaves_no_broadcast_to_its_result(spark, monkeypatch):
     made, real = [], type(spark.sparkContext).broadcast
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(real(self, value)) or made[-1])

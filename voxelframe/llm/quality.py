@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import functools
 import gc
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+import zstandard
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from .common import Scratch, free_name, gathered, group_key, hash_column, join_f
 #: N-grams that are broadcast, at 10 bytes each.
 MAX_NGRAMS = 1 << 22
 #: Of larger models: n-grams of a shard at most, bytes of text of a block of documents, and parts of the blocks that go one after the other.
-SHARD_NGRAMS, BLOCK_BYTES, PASSES = 1 << 20, 8 << 20, 16
+SHARD_NGRAMS, BLOCK_BYTES, PASSES = 1 << 20, 4 << 20, 8
 #: What stands before a text; not 0, of which the keys of all orders would be 0.
 START = np.uint64(0x5851F42D4C957F2D)
 _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -275,38 +276,59 @@ def _packed(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     yield from ((i, order[x:y]) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if x < y)
 
 
-def _blobs(arrays: list[np.ndarray]) -> pa.Array:
-    return pa.array([x.tobytes() for x in arrays], pa.binary())
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, compressed byte by byte: first all lowest bytes, and so on."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def _full(blob: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-def _sorted_table(parts: pa.Table, context: bool) -> tuple[np.ndarray, ...]:
-    parts = parts.filter(pc.equal(parts.column("context"), context))
-    keys = _joined(parts.column("keys"), np.uint64)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], *[_joined(parts.column(c), np.float64)[order] for c in ("x", "y")[: 1 + context]]
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys, as their steps."""
+    return _squeezed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_full(blob, np.uint64), dtype=np.uint64)
+
+
+def _asked(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The keys of all words, of all pairs, of all triples, and of the contexts of first words."""
+    one, two = before(words, first)
+    edge = np.array([START], dtype=np.uint64)
+    return np.concatenate([words, pair_key(one, words), triple_key(two, one, words), edge, pair_key(edge, edge)])
+
+
+def _answered(words: np.ndarray, first: np.ndarray, at: np.ndarray, x: np.ndarray, total: np.ndarray, back: np.ndarray, floor: float) -> np.ndarray:
+    """What ``Model.score`` gives, from what is known of each key: ``at`` has the places of those of ``_asked``; 0 stands for not seen."""
+    n = len(words)
+    p = np.where(x[at[:n]] > 0, x[at[:n]], floor)
+    for k in (1, 2):  # the context is the word, or the pair, that ends one place before
+        context = np.concatenate([at[3 * n + k - 1 :][:1], at[(k - 1) * n : k * n - 1]])
+        context[first] = at[3 * n + k - 1]
+        sums = total[context]
+        seen = sums > 0
+        p = np.where(seen, back[context] * p + x[at[k * n : (k + 1) * n]] / np.where(seen, sums, 1.0), p)
+    return np.log10(p)
 
 
 def with_logprob_by_joins(docs: DataFrame, tables: Tables, scratch: Scratch, text: str, count: str, total: str) -> DataFrame:
-    """The same from the tables: the distinct n-grams of each block of documents meet the model sharded by n-gram.
+    """The same from the tables, without the text: the distinct n-grams of each block of documents meet the model sharded by n-gram.
 
-    A block asks each shard for its n-grams at once, as arrays, and is scored against the answers.  However frequent an n-gram,
-    a block asks for it once, so no key is hot.  Up to ``PASSES`` parts of the blocks go one after the other, so that only the
-    shuffle files of one part lie on disk.
+    A block asks each shard for its n-grams at once, as an array, and gets what is known of them in the same order.  However
+    frequent an n-gram, a block asks for it once, so no key is hot.  The model is a table in as many buckets as there are
+    shards, so that it is dealt once.  A row's block hangs on its values alone; up to ``PASSES`` parts of the blocks go one after
+    the other, so that only the shuffle files of one part lie on disk.
     """
     spark, floor = docs.sparkSession, tables.floor
     (block,) = free_name(docs, "_block")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(partitions, sum(t.count() for t in tables.parts()) // SHARD_NGRAMS + 1)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        for i, b in enumerate(text_slices(batches, text, BLOCK_BYTES)):
-            yield pa.record_batch([*b.columns, pa.array(np.full(b.num_rows, first + i))], names=[*b.schema.names, block])
+    kept = [f for f in docs.schema.fields if f.name != text]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def pack(context: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,58 +336,72 @@ def with_logprob_by_joins(docs: DataFrame, tables: Tables, scratch: Scratch, tex
                 columns = [np.asarray(c) for c in b.columns]
                 values = columns[-1 - context :]
                 keys = _key(*[c.view(np.uint64) for c in columns[: -1 - context]])
+                order = np.argsort(keys)
+                keys = keys[order]
                 own = list(_packed(keys, shards))
-                blobs = [_blobs([v[at] for _, at in own]) for v in (keys, *values)] + [pa.nulls(len(own), pa.binary())] * (not context)
-                yield pa.record_batch([pa.array([i for i, _ in own], pa.int32()), pa.array([context] * len(own)), *blobs], names=["shard", "context", "keys", "x", "y"])
+                blobs = [pa.array([_steps(keys[at]) for _, at in own], pa.binary()), *[pa.array([_squeezed(v[order[at]]) for _, at in own], pa.binary()) for v in values]]
+                yield pa.record_batch([pa.array([i for i, _ in own], pa.int32()), pa.array([context] * len(own)), *blobs, *[pa.nulls(len(own), pa.binary())] * (not context)], names=["shard", "context", "keys", "x", "y"])
 
         return run
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.asarray(batch.column(block))
-            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
-            for a, z in zip(cuts[:-1], cuts[1:]):
-                words, _, first = _words(batch.column(text).slice(a, z - a))
-                if not len(words):
-                    continue
-                one, two = before(words, first)
-                edge = np.array([START], dtype=np.uint64)
-                keys = np.unique(np.concatenate([edge, pair_key(edge, edge), np.unique(words), np.unique(pair_key(one, words)), np.unique(triple_key(two, one, words))]))
-                own = list(_packed(keys, shards))
-                yield pa.record_batch([pa.array([i for i, _ in own], pa.int32()), pa.array([int(ids[a])] * len(own), pa.int64()), _blobs([keys[at] for _, at in own])], names=["shard", "block", "keys"])
+    def ask(rows: pa.Table) -> pa.Table:
+        words, _, first = _words(rows.column(text).combine_chunks())
+        keys = np.unique(_asked(words, first)) if len(words) else words
+        own = list(_packed(keys, shards))
+        ids = rows.column(block)[:1].to_pylist() * len(own)
+        return pa.table([pa.array([i for i, _ in own], pa.int32()), pa.array(ids, pa.int64()), pa.array([_steps(keys[at]) for _, at in own], pa.binary())], names=["shard", "block", "keys"])
 
     def answer(asked: pa.Table, parts: pa.Table) -> pa.Table:
-        out = []
-        have = [_sorted_table(parts, context) for context in (False, True)]
-        for b, wanted in zip(asked.column("block").to_pylist(), asked.column("keys")):
-            wanted = np.frombuffer(wanted.as_py(), np.uint64)
-            for context, (keys, *values) in enumerate(have):
-                at, _ = _find(keys, wanted, np.ones(len(wanted), dtype=bool))
-                if len(at):
-                    out.append((b, bool(context), keys[at].tobytes(), *[v[at].tobytes() for v in values], *[None] * (not context)))
-        columns = list(zip(*out)) or [()] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), *[pa.binary()] * 3))], names=["block", "context", "keys", "x", "y"])
+        have, out = [], []
+        for context in (False, True) if asked.num_rows else ():
+            own = parts.filter(pc.equal(parts.column("context"), context))
+            read = [[f(x) for x in own.column(c).to_pylist()] for c, f in (("keys", _keys), *[(c, lambda x: _full(x, np.float64)) for c in ("x", "y")[: 1 + context]])]
+            keys, *values = [np.concatenate([np.zeros(0, np.float64 if i else np.uint64), *r]) for i, r in enumerate(read)]
+            order = np.argsort(keys)
+            have.append((keys[order], [v[order] for v in values]))
+        for wanted in asked.column("keys").to_pylist():
+            wanted, known = _keys(wanted), []
+            for keys, values in have:
+                at, there = _find(keys, wanted, np.ones(len(wanted), dtype=bool))
+                for v in values:
+                    known.append(np.zeros(len(wanted)))
+                    known[-1][there] = v[at]
+            out.append(_squeezed(np.concatenate(known)))
+        return pa.table([asked.column("shard"), asked.column("block"), pa.array(out, pa.binary())], names=["shard", "block", "known"])
 
     def scored(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        model, out = Model((_sorted_table(answers, False),) * 3, (_sorted_table(answers, True),) * 2, floor), []
-        for b in text_slices(rows.to_batches(), text):
-            out.append(_scored(b.drop_columns([block]), model, text, count, total))
-        return pa.Table.from_batches(out) if out else _scored(rows.slice(0, 0).drop_columns([block]), model, text, count, total)
-
-    docs = scratch.keep(docs.mapInArrow(dealt, f"{fields}, {block} long"), f"blocks-{count}")
-    packed = [t.mapInArrow(pack(context), "shard int, context boolean, keys binary, x binary, y binary") for ts, context in ((tables.grams, False), (tables.contexts, True)) for t in ts]
-    packed = scratch.keep(functools.reduce(DataFrame.unionByName, packed), f"packed-{count}")
-    scratch.drop("trigrams", "bigrams", "unigrams", "c2", "c3")
-    release(spark)
-    done, passes = [], max(1, min(PASSES, docs.select(block).distinct().count()))
+        words, sizes, first = _words(rows.column(text).combine_chunks())
+        sums, some = np.zeros(len(sizes)), np.flatnonzero(sizes)
+        if len(some):
+            keys, at = np.unique(_asked(words, first), return_inverse=True)
+            known, got = np.zeros((3, len(keys))), dict(zip(answers.column("shard").to_pylist(), answers.column("known").to_pylist()))
+            for i, places in _packed(keys, shards):
+                known[:, places] = _full(got[i], np.float64).reshape(3, -1)
+            sums[some] = np.add.reduceat(_answered(words, first, at, *known, floor), first)
+        return pa.table([*[rows.column(f.name) for f in kept], pa.array(sizes), pa.array(sums)], names=[*[f.name for f in kept], count, total])
+
+    name, model = f"voxelframe_{uuid.uuid4().hex}", f"packed-{count}"
+    parts = list(zip((*tables.grams, *tables.contexts), (False, False, False, True, True), ("unigrams", "bigrams", "trigrams", "c2", "c3")))
+    scratch.names.append(model)
+    for df, context, own in reversed(parts):
+        df = df.mapInArrow(pack(context), "shard int, context boolean, keys binary, x binary, y binary").repartition(shards, "shard")
+        df.write.mode("append").format("parquet").option("compression", "none").option("path", f"{scratch.root}/{model}").bucketBy(shards, "shard").saveAsTable(name)
+        scratch.drop(own)
+        release(spark)
+    packed = spark.table(name)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = size // BLOCK_BYTES + 1
+    done, passes = [], min(PASSES, blocks)
+    docs = docs.withColumn(block, F.pmod(F.xxhash64(*docs.columns), F.lit(blocks).cast("long")))
     for i in range(passes):
-        part = docs.where(F.pmod(F.xxhash64(block), F.lit(passes)) == i)
-        asked = part.mapInArrow(ask, "shard int, block long, keys binary")
-        answers = asked.groupBy("shard").cogroup(packed.groupBy("shard")).applyInArrow(answer, "block long, context boolean, keys binary, x binary, y binary")
+        part = docs.where(F.col(block) % passes == i)
+        asked = part.groupBy(block).applyInArrow(ask, "shard int, block long, keys binary")
+        answers = asked.groupBy("shard").cogroup(packed.groupBy("shard")).applyInArrow(answer, "shard int, block long, known binary")
         out = part.groupBy(block).cogroup(answers.withColumnRenamed("block", block).groupBy(block)).applyInArrow(scored, f"{fields}, {count} long, {total} double")
         done.append(scratch.keep(out, f"part{i}-{count}"))
         release(spark)
-    scratch.drop(f"blocks-{count}", f"packed-{count}")
+    spark.sql(f"DROP TABLE {name}")
+    scratch.drop(model)
     return functools.reduce(DataFrame.unionByName, done)
 
 
@@ -388,11 +424,11 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, per_langu
 
     n, lp, l, h, mean, bar = free_name(docs, "_n", "_lp", "_l", "_h", "_mean", "_bar")
 
-    slim = docs.select(F.col(key).alias("id"), group_key(F.col(lang)).alias("l"), F.col(text).alias("t"))
+    slim = docs.select(F.col(key).alias("id"), group_key(F.col(lang)).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     small = sum(t.count() for t in tables.parts()) <= max_ngrams
     model = spark.sparkContext.broadcast(tables.collect()) if small else None
     scored = with_logprob(slim, model, "t", "n", "lp") if small else with_logprob_by_joins(slim, tables, scratch, "t", "n", "lp")
-    scored = scratch.keep(scored.select("id", "l", F.xxhash64("t").alias("h"), "n", "lp"), "scores")
+    scored = scratch.keep(scored.select("id", "l", "h", "n", "lp"), "scores")
     if small:  # each executor and the driver have a file of it, which would stay as long as a result that reads it
         model.destroy(blocking=True)
         model = None
