@@ -574,6 +574,30 @@ def test_quality_by_joins_deals_the_model_once_and_writes_no_text(spark, monkeyp
     assert len(spark.catalog.listTables()) == before
 
 
+def test_quality_trains_and_answers_by_packed_counts(spark):
+    # one row for each block of words and shard travels, not one for each n-gram; what comes in parts is learned whole
+    from voxelframe.llm.common import Scratch
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(200)), "en", "s") for i in range(200)]
+    docs, scratch = docs_of(spark, rows), Scratch(spark, "test")
+    tables = quality.train([docs.where("doc_id < 70"), docs.where("doc_id >= 70")], scratch)
+    triples = collections.Counter()
+    for r in rows:
+        w = ["<", "<", *r[1].split()]
+        triples.update(zip(w, w[1:], w[2:]))
+    pairs = collections.Counter(t[1:] for t in triples)
+    words = collections.Counter(p[1] for p in pairs)
+    assert [t.count() for t in tables.grams] == [len(words), len(pairs), len(triples)]
+    assert [t.count() for t in tables.contexts] == [len({p[0] for p in pairs}), len({t[:2] for t in triples})]
+    assert tables.total == sum(words.values()) and tables.size == sum(t.count() for t in tables.parts())
+    assert all(t.count() <= 4 for t in tables.written.values())  # of shards
+    rest = [t.agg(F.sum("x")).first()[0] for t in tables.contexts]
+    assert rest == [sum(pairs.values()), sum(triples.values())]
+    held = sum(f.stat().st_size for f in Path(scratch.root.removeprefix("file://")).rglob("*.parquet"))
+    assert held < 15 * tables.size  # keys of 64 bits take 8 bytes, three words of a trigram 24
+
+
 def test_quality_leaves_no_broadcast_to_its_result(spark, monkeypatch):
     made, real = [], type(spark.sparkContext).broadcast
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(real(self, value)) or made[-1])

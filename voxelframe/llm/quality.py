@@ -2,8 +2,8 @@
 
 A trigram model over words (``[^\\x20\\x09-\\x0D]+``, unchanged, named by their
 64-bit hashes) is fitted on all documents of one half that the labels call good.
-Counts, continuation counts and context totals come from aggregates that are
-sharded by n-gram; probabilities are interpolated from them where a text is scored.  Every document gets its perplexity
+Counts, continuation counts and context totals are summed by shards of n-grams, which
+travel as compressed arrays; probabilities are interpolated from them where a text is scored.  Every document gets its perplexity
 under the model, and is kept unless that lies above a quantile of the
 perplexities of trusted documents of its language, which the model has not
 seen: all of the other half.  Perplexities of short documents are drawn towards
@@ -30,12 +30,15 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, gathered, group_key, hash_column, join_few, mix, text_slices
+from .common import Scratch, free_name, group_key, hash_column, join_few, mix, text_slices
 
 #: N-grams that are broadcast, at 10 bytes each.
 MAX_NGRAMS = 1 << 22
 #: Of larger models: n-grams of a shard at most, bytes of text of a block of documents, and parts of the blocks that go one after the other.
 SHARD_NGRAMS, BLOCK_BYTES, PASSES = 1 << 20, 4 << 20, 8
+#: Of training: words that are counted at once, bytes of all texts for each shard, and parts of the texts that go one after the
+#: other, of ``PART_BYTES`` at least, so that only the text of one part lies in shuffle files.
+COUNT_WORDS, SHARD_BYTES, PARTS, PART_BYTES = 1 << 20, 16 << 20, 4, 192 << 20
 #: What stands before a text; not 0, of which the keys of all orders would be 0.
 START = np.uint64(0x5851F42D4C957F2D)
 _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -49,10 +52,6 @@ def triple_key(two: np.ndarray, one: np.ndarray, word: np.ndarray) -> np.ndarray
     return mix(pair_key(two, one) * _THREE + word)
 
 
-def _key(*ids: np.ndarray) -> np.ndarray:
-    return ids[0] if len(ids) == 1 else (pair_key if len(ids) == 2 else triple_key)(*ids)
-
-
 def before(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words one and two places before each; ``starts`` marks the first words of texts."""
     one = np.concatenate([[START], words[:-1]])
@@ -150,14 +149,14 @@ def _discounts(n: list[int]) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw)]
 
 
-def _count_stats(table: DataFrame) -> list[float]:
-    row = table.agg(*[F.coalesce(F.sum((F.col("c") == i).cast("long")), F.lit(0)) for i in (1, 2, 3, 4)]).first()
-    return _discounts(list(row))
+def _taken(d: list[float], c: np.ndarray) -> np.ndarray:
+    """The discounts of n-grams by their counts; of those not seen, 0."""
+    return np.array([0.0, *d])[np.minimum(c, 3).astype(np.int64)]
 
 
-def _taken(d: list[float]):
-    """The discount of an n-gram by its count."""
-    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+def _back(d: list[float], total: np.ndarray, *by: np.ndarray) -> np.ndarray:
+    """The back-off weights of contexts: the discounts of what follows them, over its count."""
+    return sum(x * n for x, n in zip(d, by)) / total
 
 
 def trusted_sample(docs: DataFrame, labels: DataFrame, per_language: int | None = None, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -179,11 +178,15 @@ def trusted_sample(docs: DataFrame, labels: DataFrame, per_language: int | None
 
 @dataclass
 class Tables:
-    """The model as tables of word hashes ``u, v, w`` (as far as they go): ``x`` of n-grams, ``x`` and ``y`` of contexts."""
+    """The model as tables of keys ``k``: ``x`` of n-grams, ``x`` and ``y`` of contexts.  They are views of the ``written`` arrays."""
 
     grams: list[DataFrame]
     contexts: list[DataFrame]
     floor: float
+    written: dict[str, DataFrame]  # keys and counts of each part, by name
+    discounts: tuple[list[float], list[float], list[float]]
+    total: int  # of the counts of words
+    size: int  # n-grams and contexts of all
 
     def parts(self) -> list[DataFrame]:
         return [*self.grams, *self.contexts]
@@ -191,61 +194,173 @@ class Tables:
     def collect(self) -> Model:
         """The model in the driver, which gets keys instead of the words that they are made of."""
 
-        def read(df: DataFrame, values: int) -> tuple[np.ndarray | Coded, ...]:
-            def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    key = _key(*[np.asarray(c).view(np.uint64) for c in b.columns[:-values]])
-                    yield pa.record_batch([pa.array(key.view(np.int64)), *b.columns[-values:]], names=["k", *names])
-
-            names = df.columns[-values:]
-            rows = df.mapInArrow(keyed, ", ".join(["k long", *[f"{n} double" for n in names]])).toArrow()
+        def read(df: DataFrame) -> tuple[np.ndarray | Coded, ...]:
+            rows = df.toArrow()
             out = [rows.column("k").to_numpy().view(np.uint64)]
             order = np.argsort(out[0])  # keys are unique
             out[0] = out[0][order]
             rows = rows.drop_columns(["k"])
-            for n in names:
+            for n in df.columns[1:]:
                 out.append(Coded(rows.column(n).to_numpy()[order]))
                 rows = rows.drop_columns([n])
             pa.default_memory_pool().release_unused()  # else the driver keeps the room of the rows
             return tuple(out)
 
-        return Model(tuple(read(df, 1) for df in self.grams), tuple(read(df, 2) for df in self.contexts), self.floor)
+        return Model(tuple(read(df) for df in self.grams), tuple(read(df) for df in self.contexts), self.floor)
+
+
+#: Rows of training: ``kind`` is a part of the model, or ``deal`` for what the next round sums by ``shard``; of ``n`` n-grams, ``s1`` to ``s4`` are
+#: counted so often; ``words`` are sorted keys or the words that ``numbers`` refer to.
+_ROWS = "shard int, kind string, n long, s1 long, s2 long, s3 long, s4 long, words binary, numbers binary"
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.string(), *[pa.int64()] * 5, pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, kinds)], names=[x.split()[0] for x in _ROWS.split(", ")])
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The sorted distinct keys; ``np.unique`` without inverse hashes them, which takes many times as long."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The sorted distinct keys, a place of each, and the sums of its values."""
+    order = np.argsort(keys)
+    own = keys[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    return own[first], order[first], *[np.add.reduceat(v[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for v in values]
+
+
+def _dealt(words: list[np.ndarray], numbers: list[np.ndarray], keys: np.ndarray, shards: int) -> list[tuple]:
+    """N-grams and their numbers by shard: each shard gets its words once, and their places."""
+    known, codes = np.unique(np.concatenate(words), return_inverse=True)
+    codes, out = codes.reshape(len(words), -1), []
+    for i, at in _packed(keys, shards):
+        own, places = np.unique(codes[:, at], return_inverse=True)
+        out.append((i, "deal", len(at), 0, 0, 0, 0, _steps(known[own]), _squeezed(np.concatenate([places.reshape(-1), *[x[at] for x in numbers]]))))
+    return out
+
+
+def _gathered(rows: pa.Table, n_words: int, n_numbers: int) -> list[np.ndarray]:
+    out = [[np.zeros(0, np.uint64)] for _ in range(n_words)] + [[np.zeros(0, np.int64)] for _ in range(n_numbers)]
+    for words, numbers in zip(rows.column("words").to_pylist(), rows.column("numbers").to_pylist()):
+        known, columns = _keys(words), _full(numbers).reshape(n_words + n_numbers, -1)
+        for i, c in enumerate(columns):
+            out[i].append(known[c] if i < n_words else c.astype(np.int64))
+    return [np.concatenate(x) for x in out]
+
+
+def _part(shard: int, kind: str, keys: np.ndarray, *numbers: np.ndarray) -> tuple:
+    """A shard of a part of the model: its keys, sorted, and what was counted of each."""
+    return (shard, kind, len(keys), *[int((numbers[0] == i).sum()) for i in (1, 2, 3, 4)], _steps(keys), _squeezed(np.concatenate(numbers)))
 
 
-def train(texts: DataFrame, scratch: Scratch, text: str = "text") -> Tables:
-    """Fits the model on ``texts``."""
+def _by_count(c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What contexts sum: the counts of n-grams, and how many are counted once, twice and more."""
+    return c, c == 1, c == 2, c > 2
+
+
+def train(texts: DataFrame | list[DataFrame], scratch: Scratch, text: str = "text", size: int = 0) -> Tables:
+    """Fits the model on ``texts``, or on all of several tables, one after the other; ``size`` tells the bytes of text.
+
+    Trigrams are dealt by the pair that they begin with, so that a shard has whole contexts; what continues a pair, and then a
+    word, is dealt by that.  Each block of words is counted before it is dealt, and goes to a shard as one row,
+    so that no n-gram is hot.
+    """
+    spark = scratch.spark
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES + 1)
 
     def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> list[pa.RecordBatch]:
+            u, v, w = (np.concatenate(x) for x in zip(*held))
+            _, at, c = _summed(triple_key(u, v, w), np.ones(len(w), np.int64))
+            u, v, w = u[at], v[at], w[at]
+            return _rows(_dealt([u, v, w], [c], pair_key(u, v), shards)).to_batches()
+
+        held, n = [], 0
         for b in text_slices(batches, text):
             words, _, first = _words(b.column(text))
             if len(words):
-                one, two = before(words, first)
-                yield pa.record_batch([pa.array(x.view(np.int64)) for x in (two, one, words)], names=["u", "v", "w"])
+                held.append((*before(words, first)[::-1], words))
+                n += len(words)
+            if n >= COUNT_WORDS:
+                yield from counted()
+                held, n = [], 0
+        if n:
+            yield from counted()
+
+    def of_trigrams(rows: pa.Table) -> pa.Table:
+        shard, (u, v, w, c) = rows.column("shard")[0].as_py(), _gathered(rows, 3, 1)
+        keys, at, c = _summed(triple_key(u, v, w), c)
+        u, v, w = u[at], v[at], w[at]
+        context, _, *sums = _summed(pair_key(u, v), *_by_count(c))
+        pairs, at, n = _summed(pair_key(v, w), np.ones(len(w), np.int64))
+        return _rows([_part(shard, "trigrams", keys, c), _part(shard, "c3", context, *sums), *_dealt([v[at], w[at]], [n], pairs, shards)])
+
+    def of_bigrams(rows: pa.Table) -> pa.Table:
+        shard, (v, w, c) = rows.column("shard")[0].as_py(), _gathered(rows, 2, 1)
+        keys, at, c = _summed(pair_key(v, w), c)
+        context, _, *sums = _summed(v[at], *_by_count(c))
+        words, _, n = _summed(w[at], np.ones(len(at), np.int64))
+        both, none = np.concatenate([words, context]), np.zeros(len(words), np.int64)
+        numbers = [np.concatenate([n, np.zeros(len(context), np.int64)]), *[np.concatenate([none, x]) for x in sums]]
+        return _rows([_part(shard, "bigrams", keys, c), *_dealt([both], numbers, both, shards)])
+
+    def of_words(rows: pa.Table) -> pa.Table:
+        shard, (w, *numbers) = rows.column("shard")[0].as_py(), _gathered(rows, 1, 5)
+        words, _, n, *sums = _summed(w, *numbers)
+        seen, leads = n > 0, sums[0] > 0
+        return _rows([_part(shard, "unigrams", words[seen], n[seen]), _part(shard, "c2", words[leads], *[x[leads] for x in sums])])
+
+    def made(dealt: DataFrame, f, level: str) -> DataFrame:
+        path = f"{scratch.root}/{level}"
+        dealt.groupBy("shard").applyInArrow(f, _ROWS).write.partitionBy("kind").option("compression", "none").parquet(path)
+        release(spark)
+        return spark.read.schema(_ROWS).parquet(path)
+
+    name = f"voxelframe_{uuid.uuid4().hex}"
+    for t in texts if isinstance(texts, list) else [texts]:
+        t = t.select(text).mapInArrow(trigrams, _ROWS).repartition(shards, "shard")
+        t.write.mode("append").format("parquet").option("compression", "none").option("path", f"{scratch.root}/dealt").bucketBy(shards, "shard").saveAsTable(name)
+        release(spark)
+    levels = ("level3", "trigrams", "c3"), ("level2", "bigrams"), ("level1", "unigrams", "c2")
+    scratch.names += ["dealt", *[f"{level}/kind={kind}" for level, *kinds in levels for kind in (*kinds, *["deal"] * (level != "level1"))]]
+    three = made(spark.table(name), of_trigrams, "level3")
+    spark.sql(f"DROP TABLE {name}")
+    scratch.drop("dealt")
+    two = made(three.where("kind = 'deal'"), of_bigrams, "level2")
+    scratch.drop("level3/kind=deal")
+    one = made(two.where("kind = 'deal'"), of_words, "level1")
+    scratch.drop("level2/kind=deal")
+
+    of = {kind: df.where(F.col("kind") == kind) for df, (_, *kinds) in zip((three, two, one), levels) for kind in kinds}
+    counts = {kind: [x or 0 for x in df.agg(*[F.sum(c) for c in ("n", "s1", "s2", "s3", "s4")]).first()] for kind, df in of.items()}
+    d3, d2, d1 = (_discounts(counts[k][1:]) for k in ("trigrams", "bigrams", "unigrams"))
+    kinds, once, twice = counts["unigrams"][:3]
+    total = counts["bigrams"][0] or 1  # a word is counted once for each pair that it ends
+    spare = once * d1[0] + twice * d1[1] + (kinds - once - twice) * d1[2] if kinds else 1.0
+    floor = spare / total / (kinds + 1)
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df = scratch.keep(df, name)
-        release(scratch.spark)
-        return df
+    def view(kind: str, columns: int, values) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for words, numbers in zip(b.column("words").to_pylist(), b.column("numbers").to_pylist()):
+                    out = values(*_full(numbers).reshape(columns, -1).astype(np.int64))
+                    yield pa.record_batch([pa.array(_keys(words).view(np.int64)), *map(pa.array, out)], names=["k", "x", "y"][: 1 + len(out)])
 
-    one = F.count(F.lit(1)).alias("c")
-    tri = kept(texts.select(text).mapInArrow(trigrams, "u long, v long, w long").groupBy("u", "v", "w").agg(one), "trigrams")
-    bi = kept(tri.groupBy("v", "w").agg(one), "bigrams")
-    uni = scratch.keep(bi.groupBy("w").agg(one), "unigrams")
-    d3, d2, d1 = _count_stats(tri), _count_stats(bi), _count_stats(uni)
+        return of[kind].select("words", "numbers").mapInArrow(run, "k long, x double" + ", y double" * (columns > 1))
 
-    def contexts(grams: DataFrame, d: list[float], *context: str) -> DataFrame:
-        """Total and back-off weight of each context."""
-        return grams.groupBy(*context).agg(F.sum("c").cast("double").alias("x"), (F.sum(_taken(d)) / F.sum("c")).alias("y"))
+    def gram(kind: str, d: list[float]) -> DataFrame:
+        return view(kind, 1, lambda c: [c - _taken(d, c)])
 
-    def taken(grams: DataFrame, d: list[float]) -> DataFrame:
-        return grams.select(*[c for c in ("u", "v", "w") if c in grams.columns], (F.col("c") - _taken(d)).alias("x"))
+    def context(kind: str, d: list[float]) -> DataFrame:
+        return view(kind, 4, lambda total, *by: [total.astype(np.float64), _back(d, total, *by)])
 
-    whole = uni.agg(F.sum("c").alias("t"), F.sum(_taken(d1)).alias("d"), F.count(F.lit(1)).alias("v")).first()
-    total, spare, kinds = whole["t"] or 1, whole["d"] or 1.0, whole["v"]
-    floor = spare / total / (kinds + 1)
-    c2, c3 = kept(contexts(bi, d2, "v"), "c2"), kept(contexts(tri, d3, "u", "v"), "c3")
-    p1 = uni.select("w", ((F.col("c") - _taken(d1)) / total + floor).alias("x"))
-    return Tables([p1, taken(bi, d2), taken(tri, d3)], [c2, c3], floor)
+    grams = [view("unigrams", 1, lambda c: [(c - _taken(d1, c)) / total + floor]), gram("bigrams", d2), gram("trigrams", d3)]
+    written = {f"{level}/kind={kind}": of[kind] for level, *own in reversed(levels) for kind in own}
+    return Tables(grams, [context("c2", d2), context("c3", d3)], floor, written, (d1, d2, d3), total, sum(c[0] for c in counts.values()))
 
 
 def _scored(b: pa.RecordBatch, model: Model, text: str, count: str, total: str) -> pa.RecordBatch:
@@ -277,13 +392,16 @@ def _packed(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _squeezed(values: np.ndarray) -> bytes:
-    """Numbers of 8 bytes, compressed byte by byte: first all lowest bytes, and so on."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Whole numbers from 0 up, in the bytes that the largest needs, compressed byte by byte: first all lowest bytes, and so on."""
+    wide = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(values) or int(values.max()) <= np.iinfo(t).max)
+    values = np.ascontiguousarray(values, dtype=wide)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return bytes([values.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _full(blob: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+def _full(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"u{blob[0]}")
 
 
 def _steps(keys: np.ndarray) -> bytes:
@@ -292,7 +410,7 @@ def _steps(keys: np.ndarray) -> bytes:
 
 
 def _keys(blob: bytes) -> np.ndarray:
-    return np.cumsum(_full(blob, np.uint64), dtype=np.uint64)
+    return np.cumsum(_full(blob), dtype=np.uint64)
 
 
 def _asked(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -302,16 +420,18 @@ def _asked(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate([words, pair_key(one, words), triple_key(two, one, words), edge, pair_key(edge, edge)])
 
 
-def _answered(words: np.ndarray, first: np.ndarray, at: np.ndarray, x: np.ndarray, total: np.ndarray, back: np.ndarray, floor: float) -> np.ndarray:
-    """What ``Model.score`` gives, from what is known of each key: ``at`` has the places of those of ``_asked``; 0 stands for not seen."""
-    n = len(words)
-    p = np.where(x[at[:n]] > 0, x[at[:n]], floor)
-    for k in (1, 2):  # the context is the word, or the pair, that ends one place before
+def _answered(words: np.ndarray, first: np.ndarray, at: np.ndarray, known: np.ndarray, model: tuple) -> np.ndarray:
+    """What ``Model.score`` gives, from what was counted of each key: ``at`` has the places of those of ``_asked``; 0 stands for not seen.  ``model`` has discounts, the count of all words and the floor."""
+    n, ((d1, d2, d3), whole, floor) = len(words), model
+    c = known[0][at[:n]]
+    p = np.where(c > 0, (c - _taken(d1, c)) / whole + floor, floor)
+    for k, d in ((1, d2), (2, d3)):  # the context is the word, or the pair, that ends one place before
         context = np.concatenate([at[3 * n + k - 1 :][:1], at[(k - 1) * n : k * n - 1]])
         context[first] = at[3 * n + k - 1]
-        sums = total[context]
-        seen = sums > 0
-        p = np.where(seen, back[context] * p + x[at[k * n : (k + 1) * n]] / np.where(seen, sums, 1.0), p)
+        total, *by = known[1:, context]
+        seen, c = total > 0, known[0][at[k * n : (k + 1) * n]]
+        total = np.where(seen, total, 1)
+        p = np.where(seen, _back(d, total, *by) * p + (c - _taken(d, c)) / total, p)
     return np.log10(p)
 
 
@@ -323,30 +443,39 @@ def with_logprob_by_joins(docs: DataFrame, tables: Tables, scratch: Scratch, tex
     shards, so that it is dealt once.  A row's block hangs on its values alone; up to ``PASSES`` parts of the blocks go one after
     the other, so that only the shuffle files of one part lie on disk.
     """
-    spark, floor = docs.sparkSession, tables.floor
+    spark, model = docs.sparkSession, (tables.discounts, tables.total, tables.floor)
     (block,) = free_name(docs, "_block")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(partitions, sum(t.count() for t in tables.parts()) // SHARD_NGRAMS + 1)
+    shards = max(partitions, tables.size // SHARD_NGRAMS + 1)
     kept = [f for f in docs.schema.fields if f.name != text]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def pack(context: bool):
+        def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            keys, numbers = (np.concatenate(x, axis=-1) for x in zip(*held))
+            order = np.argsort(keys)
+            keys = keys[order]
+            own = list(_packed(keys, shards))
+            blobs = [pa.array([_steps(keys[at]) for _, at in own], pa.binary()), pa.array([_squeezed(numbers[:, order[at]].reshape(-1)) for _, at in own], pa.binary())]
+            return pa.record_batch([pa.array([i for i, _ in own], pa.int32()), pa.array([context] * len(own)), *blobs], names=["shard", "context", "keys", "counts"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in gathered(batches, 1 << 20):
-                columns = [np.asarray(c) for c in b.columns]
-                values = columns[-1 - context :]
-                keys = _key(*[c.view(np.uint64) for c in columns[: -1 - context]])
-                order = np.argsort(keys)
-                keys = keys[order]
-                own = list(_packed(keys, shards))
-                blobs = [pa.array([_steps(keys[at]) for _, at in own], pa.binary()), *[pa.array([_squeezed(v[order[at]]) for _, at in own], pa.binary()) for v in values]]
-                yield pa.record_batch([pa.array([i for i, _ in own], pa.int32()), pa.array([context] * len(own)), *blobs, *[pa.nulls(len(own), pa.binary())] * (not context)], names=["shard", "context", "keys", "x", "y"])
+            held, n = [], 0
+            for b in batches:
+                for words, numbers in zip(b.column("words").to_pylist(), b.column("numbers").to_pylist()):
+                    held.append((_keys(words), _full(numbers).reshape(4 if context else 1, -1)))
+                    n += len(held[-1][0])
+                    if n >= 1 << 20:
+                        yield packed(held)
+                        held, n = [], 0
+            if n:
+                yield packed(held)
 
         return run
 
     def ask(rows: pa.Table) -> pa.Table:
         words, _, first = _words(rows.column(text).combine_chunks())
-        keys = np.unique(_asked(words, first)) if len(words) else words
+        keys = _distinct(_asked(words, first)) if len(words) else words
         own = list(_packed(keys, shards))
         ids = rows.column(block)[:1].to_pylist() * len(own)
         return pa.table([pa.array([i for i, _ in own], pa.int32()), pa.array(ids, pa.int64()), pa.array([_steps(keys[at]) for _, at in own], pa.binary())], names=["shard", "block", "keys"])
@@ -355,18 +484,17 @@ def with_logprob_by_joins(docs: DataFrame, tables: Tables, scratch: Scratch, tex
         have, out = [], []
         for context in (False, True) if asked.num_rows else ():
             own = parts.filter(pc.equal(parts.column("context"), context))
-            read = [[f(x) for x in own.column(c).to_pylist()] for c, f in (("keys", _keys), *[(c, lambda x: _full(x, np.float64)) for c in ("x", "y")[: 1 + context]])]
-            keys, *values = [np.concatenate([np.zeros(0, np.float64 if i else np.uint64), *r]) for i, r in enumerate(read)]
+            keys = np.concatenate([np.zeros(0, np.uint64), *[_keys(x) for x in own.column("keys").to_pylist()]])
+            counts = np.concatenate([np.zeros((4 if context else 1, 0), np.uint8), *[_full(x).reshape(4 if context else 1, -1) for x in own.column("counts").to_pylist()]], axis=1)
             order = np.argsort(keys)
-            have.append((keys[order], [v[order] for v in values]))
+            have.append((keys[order], counts[:, order]))
         for wanted in asked.column("keys").to_pylist():
             wanted, known = _keys(wanted), []
-            for keys, values in have:
+            for keys, counts in have:
                 at, there = _find(keys, wanted, np.ones(len(wanted), dtype=bool))
-                for v in values:
-                    known.append(np.zeros(len(wanted)))
-                    known[-1][there] = v[at]
-            out.append(_squeezed(np.concatenate(known)))
+                known.append(np.zeros((len(counts), len(wanted)), counts.dtype))
+                known[-1][:, there] = counts[:, at]
+            out.append(_squeezed(np.concatenate(known).reshape(-1)))
         return pa.table([asked.column("shard"), asked.column("block"), pa.array(out, pa.binary())], names=["shard", "block", "known"])
 
     def scored(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -374,18 +502,18 @@ def with_logprob_by_joins(docs: DataFrame, tables: Tables, scratch: Scratch, tex
         sums, some = np.zeros(len(sizes)), np.flatnonzero(sizes)
         if len(some):
             keys, at = np.unique(_asked(words, first), return_inverse=True)
-            known, got = np.zeros((3, len(keys))), dict(zip(answers.column("shard").to_pylist(), answers.column("known").to_pylist()))
+            known, got = np.zeros((5, len(keys)), np.int64), dict(zip(answers.column("shard").to_pylist(), answers.column("known").to_pylist()))
             for i, places in _packed(keys, shards):
-                known[:, places] = _full(got[i], np.float64).reshape(3, -1)
-            sums[some] = np.add.reduceat(_answered(words, first, at, *known, floor), first)
+                known[:, places] = _full(got[i]).reshape(5, -1)
+            sums[some] = np.add.reduceat(_answered(words, first, at, known, model), first)
         return pa.table([*[rows.column(f.name) for f in kept], pa.array(sizes), pa.array(sums)], names=[*[f.name for f in kept], count, total])
 
-    name, model = f"voxelframe_{uuid.uuid4().hex}", f"packed-{count}"
-    parts = list(zip((*tables.grams, *tables.contexts), (False, False, False, True, True), ("unigrams", "bigrams", "trigrams", "c2", "c3")))
-    scratch.names.append(model)
-    for df, context, own in reversed(parts):
-        df = df.mapInArrow(pack(context), "shard int, context boolean, keys binary, x binary, y binary").repartition(shards, "shard")
-        df.write.mode("append").format("parquet").option("compression", "none").option("path", f"{scratch.root}/{model}").bucketBy(shards, "shard").saveAsTable(name)
+    name, packed_to = f"voxelframe_{uuid.uuid4().hex}", f"packed-{count}"
+    scratch.names.append(packed_to)
+    for own, df in reversed(tables.written.items()):
+        context = own.endswith(("c2", "c3"))
+        df = df.select("words", "numbers").mapInArrow(pack(context), "shard int, context boolean, keys binary, counts binary").repartition(shards, "shard")
+        df.write.mode("append").format("parquet").option("compression", "none").option("path", f"{scratch.root}/{packed_to}").bucketBy(shards, "shard").saveAsTable(name)
         scratch.drop(own)
         release(spark)
     packed = spark.table(name)
@@ -401,7 +529,7 @@ def with_logprob_by_joins(docs: DataFrame, tables: Tables, scratch: Scratch, tex
         done.append(scratch.keep(out, f"part{i}-{count}"))
         release(spark)
     spark.sql(f"DROP TABLE {name}")
-    scratch.drop(model)
+    scratch.drop(packed_to)
     return functools.reduce(DataFrame.unionByName, done)
 
 
@@ -419,13 +547,22 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, per_langu
     docs = docs.drop("n_tokens", "perplexity", "threshold", "keep")
     learn, rest = trusted_sample(docs, labels, per_language, key)
     learn = learn.withColumnRenamed("_id", key)
-    sample = docs.select(key, text).join(learn if per_language is None else F.broadcast(learn), key, "left_semi").select(text)
-    tables = train(sample, scratch, text)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(1, min(PARTS, size // PART_BYTES))
+
+    def sample(i: int) -> DataFrame:
+        def own(df: DataFrame) -> DataFrame:
+            return df.where(F.pmod(F.xxhash64(F.lit(5), key), F.lit(parts)) == i) if parts > 1 else df
+
+        ids = own(learn)
+        return own(docs.select(key, text)).join(ids if per_language is None else F.broadcast(ids), key, "left_semi").select(text)
+
+    tables = train([sample(i) for i in range(parts)], scratch, text, size)
 
     n, lp, l, h, mean, bar = free_name(docs, "_n", "_lp", "_l", "_h", "_mean", "_bar")
 
     slim = docs.select(F.col(key).alias("id"), group_key(F.col(lang)).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    small = sum(t.count() for t in tables.parts()) <= max_ngrams
+    small = tables.size <= max_ngrams
     model = spark.sparkContext.broadcast(tables.collect()) if small else None
     scored = with_logprob(slim, model, "t", "n", "lp") if small else with_logprob_by_joins(slim, tables, scratch, "t", "n", "lp")
     scored = scratch.keep(scored.select("id", "l", "h", "n", "lp"), "scores")
