@@ -598,6 +598,27 @@ def test_quality_trains_and_answers_by_packed_counts(spark):
     assert held < 15 * tables.size  # keys of 64 bits take 8 bytes, three words of a trigram 24
 
 
+def test_quality_by_joins_holds_one_part_at_a_time(spark, monkeypatch):
+    import gc
+    import weakref
+
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    made, alive, real, init = [], [], quality.release, Classic.__init__
+    monkeypatch.setattr(Classic, "__init__", lambda self, *a: (init(self, *a), made.append(weakref.ref(self)))[0])
+
+    def release(spark):
+        real(spark)
+        gc.collect()
+        alive.append(sum(x is not None and "known" in x.columns for x in (r() for r in made)))
+
+    monkeypatch.setattr(quality, "release", release)
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 20_000)
+    rows, labels = labelled(spark, 200)
+    assert quality.score(docs_of(spark, rows), labels, max_ngrams=0).count() == 200
+    assert alive and not any(alive)  # no frame of what was answered is left for the next part
+
+
 def test_quality_leaves_no_broadcast_to_its_result(spark, monkeypatch):
     made, real = [], type(spark.sparkContext).broadcast
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(real(self, value)) or made[-1])

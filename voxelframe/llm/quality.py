@@ -234,12 +234,14 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _dealt(words: list[np.ndarray], numbers: list[np.ndarray], keys: np.ndarray, shards: int) -> list[tuple]:
-    """N-grams and their numbers by shard: each shard gets its words once, and their places."""
+    """N-grams and their numbers by shard: each shard gets its words once, and their places, those of first words as steps."""
     known, codes = np.unique(np.concatenate(words), return_inverse=True)
     codes, out = codes.reshape(len(words), -1), []
     for i, at in _packed(keys, shards):
+        at = at[np.argsort(codes[0, at])]
         own, places = np.unique(codes[:, at], return_inverse=True)
-        out.append((i, "deal", len(at), 0, 0, 0, 0, _steps(known[own]), _squeezed(np.concatenate([places.reshape(-1), *[x[at] for x in numbers]]))))
+        first, *others = places.reshape(len(words), -1)
+        out.append((i, "deal", len(at), 0, 0, 0, 0, _steps(known[own]), _squeezed(np.concatenate([np.diff(first, prepend=0), *others, *[x[at] for x in numbers]]))))
     return out
 
 
@@ -248,7 +250,7 @@ def _gathered(rows: pa.Table, n_words: int, n_numbers: int) -> list[np.ndarray]:
     for words, numbers in zip(rows.column("words").to_pylist(), rows.column("numbers").to_pylist()):
         known, columns = _keys(words), _full(numbers).reshape(n_words + n_numbers, -1)
         for i, c in enumerate(columns):
-            out[i].append(known[c] if i < n_words else c.astype(np.int64))
+            out[i].append(c.astype(np.int64) if i >= n_words else known[c if i else np.cumsum(c)])
     return [np.concatenate(x) for x in out]
 
 
@@ -521,12 +523,16 @@ def with_logprob_by_joins(docs: DataFrame, tables: Tables, scratch: Scratch, tex
     blocks = size // BLOCK_BYTES + 1
     done, passes = [], min(PASSES, blocks)
     docs = docs.withColumn(block, F.pmod(F.xxhash64(*docs.columns), F.lit(blocks).cast("long")))
-    for i in range(passes):
+
+    def one_pass(i: int) -> DataFrame:  # its frames go when it ends
         part = docs.where(F.col(block) % passes == i)
         asked = part.groupBy(block).applyInArrow(ask, "shard int, block long, keys binary")
         answers = asked.groupBy("shard").cogroup(packed.groupBy("shard")).applyInArrow(answer, "shard int, block long, known binary")
         out = part.groupBy(block).cogroup(answers.withColumnRenamed("block", block).groupBy(block)).applyInArrow(scored, f"{fields}, {count} long, {total} double")
-        done.append(scratch.keep(out, f"part{i}-{count}"))
+        return scratch.keep(out, f"part{i}-{count}")
+
+    for i in range(passes):
+        done.append(one_pass(i))
         release(spark)
     spark.sql(f"DROP TABLE {name}")
     scratch.drop(packed_to)
