@@ -113,6 +113,22 @@ def test_few_blocks_and_many_are_coded_alike(monkeypatch):
             assert all((a == b).all() for a, b in zip(*back))
 
 
+def test_many_small_volumes_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    light, dense = [rng.poisson(900, (2, 20, 25)) for _ in range(300)], [rng.integers(0, 65536, (2, 5, 15)) for _ in range(300)]
+    for arrays_ in (light, dense):  # the first are coded, the others' models are the largest
+        tracemalloc.start()
+        streams = [data for data, _ in container.encode_volumes(arrays_, Options(2))]
+        encoding = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        assert all((a == b).all() for a, b in zip(container.decoded_volumes(streams), arrays_, strict=True))
+        decoding = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert max(encoding, decoding) < 2 * container.WORK_BYTES, (encoding, decoding)
+
+
 @st.composite
 def volumes(draw):
     """Volumes of a few blocks: counts of light, ramps, or values around the powers of two and the squares."""

@@ -14,7 +14,7 @@ from .spec import Calibration, Options
 
 CHUNK_SCHEMA = "t int, c int, z0 int, depth int, payload binary, raw_bytes long, total_bytes long, q_bytes long, r_bytes long, model_bytes long, blocks int, raw_blocks int, q_max int"
 PLANE_SCHEMA = "t int, c int, z int, pixels binary"
-#: Raw bytes of the chunks that are coded in one lock-step batch.
+#: Raw bytes of the chunks that a task holds at once; how many of them go in lock step is the container's choice.
 BATCH_BYTES = 64 << 20
 _STATS = ("raw_bytes", "total_bytes", "q_bytes", "r_bytes", "model_bytes", "blocks", "raw_blocks", "q_max")
 
@@ -22,15 +22,16 @@ _STATS = ("raw_bytes", "total_bytes", "q_bytes", "r_bytes", "model_bytes", "bloc
 def encode_chunks(planes: DataFrame, width: int, height: int, chunk_depth: int, options: Options = Options(), calibration: Calibration | None = None) -> DataFrame:
     """Chunks of ``planes`` (``t, c, z, pixels`` as little-endian 16-bit binary), each an independent volume stream.
 
-    One shuffle gathers the planes of a chunk, whose size is bounded by ``chunk_depth``; the coder then takes all chunks
-    of an Arrow batch in lock step.  A chunk with missing or repeated planes, or one of a wrong size, is an error.
+    One shuffle gathers the planes of a chunk, whose size is bounded by ``chunk_depth``; the coder then takes as many chunks
+    of an Arrow batch in lock step as its working memory holds.  A chunk with missing or repeated planes, or one of a wrong size, is an error.
     """
     grouped = planes.groupBy("t", "c", F.expr(f"z div {chunk_depth}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("z", "pixels"))).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, size = [], 0
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                (r,) = b.slice(i, 1).to_pylist()
                 zs = [p["z"] for p in r["own"]]
                 if zs != list(range(r["chunk"] * chunk_depth, r["chunk"] * chunk_depth + len(zs))) or any(len(p["pixels"]) != 2 * width * height for p in r["own"]):
                     raise ValueError(f"planes {zs} do not make chunk {r['chunk']} of t={r['t']}, c={r['c']}")
@@ -59,7 +60,7 @@ def decode_chunks(chunks: DataFrame) -> DataFrame:
     """Planes of chunks (``t, c, z0, payload``): no shuffle; chunks of about ``BATCH_BYTES`` of raw pixels in lock step, or one larger chunk."""
 
     def decoded(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        for r, v in zip(rows, container.decode_volumes([r["payload"] for r in rows])):
+        for r, v in zip(rows, container.decoded_volumes([r["payload"] for r in rows])):
             planes = [plane.astype("<u2").tobytes() for plane in v]
             at = [pa.array(np.full(len(planes), r[k], dtype=np.int32)) for k in ("t", "c")]
             yield pa.record_batch([*at, pa.array(r["z0"] + np.arange(len(planes), dtype=np.int32)), pa.array(planes, pa.binary())], names=["t", "c", "z", "pixels"])

@@ -100,7 +100,7 @@ class StackReader(D.DataSourceReader):
 
     @staticmethod
     def _decoded(held: list[tuple[container.Unit, bytes]]) -> Iterator[pa.RecordBatch]:
-        for (u, _), v in zip(held, container.decode_volumes([payload for _, payload in held])):
+        for (u, _), v in zip(held, container.decoded_volumes([payload for _, payload in held])):
             planes = [plane.astype("<u2").tobytes() for plane in v]
             same = [pa.array([x] * len(planes), pa.int32()) for x in (u.t, u.c)]
             yield pa.record_batch([*same, pa.array(range(u.z0, u.z0 + len(planes)), pa.int32()), pa.array(planes, pa.binary())], names=["t", "c", "z", "pixels"])
