@@ -209,7 +209,8 @@ register("ag13_complete_levels", "SELECT y AS path, 4 AS w, 2 AS h FROM px WHERE
 _CRC_TABLE = "tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS s)"
 _CRC_BYTES = "p AS (SELECT t, c, z, list(b ORDER BY y, x, k) AS bs FROM (SELECT t, c, z, y, x, 0 AS k, v % 256 AS b FROM px UNION ALL SELECT t, c, z, y, x, 1, v // 256 FROM px) GROUP BY t, c, z)"
 register("ag14_plane_crc", f", {_CRC_TABLE}, {_CRC_BYTES} SELECT t, c, z, CAST(xor(list_reduce(list_concat([4294967295], bs), lambda a, b: xor(a >> 8, s[(xor(a, b) & 255) + 1])), 4294967295) AS BIGINT) AS crc FROM p, tab")(
-    lambda v: P.planes(v).select("t", "c", "z", F.crc32("pixels").alias("crc"))
+    # two bytes a pixel, whatever lies above them
+    lambda v: P.planes(v.withColumn("v", c("v").bitwiseAND(65535))).select("t", "c", "z", F.crc32("pixels").alias("crc"))
 )
 register("ag12_resident_peak", ", u AS (SELECT t, c, z, min(i // 100) AS a, max(i // 100 + v % 3) AS b, 200 AS n FROM px GROUP BY t, c, z), e AS (SELECT t, a AS p, 0 AS k, n AS d FROM u UNION ALL SELECT t, b, 1, -n FROM u) SELECT t, CAST(max(s) AS BIGINT) AS peak FROM (SELECT t, sum(d) OVER (PARTITION BY t ORDER BY p, k, d DESC ROWS UNBOUNDED PRECEDING) AS s FROM e) GROUP BY t")(
     lambda v: S.resident_peak(v.groupBy("t", "c", "z").agg(F.min(F.expr("i div 100")).alias("first"), F.max(F.expr("i div 100 + v % 3")).alias("last"), lit(200).alias("bytes")), ["t"])
@@ -516,7 +517,7 @@ def _sc17(v: DataFrame) -> DataFrame:
     stack.register(v.sparkSession)
     written, path = _frames(v)
     written.collect()  # a name for each frame
-    pages = v.sparkSession.read.format("tiffplanes").load(path).select(F.expr("cast(substring(file, 7, 8) as int)").alias("t"), lit(0).alias("c"), c("page").alias("z"), "pixels")
+    pages = v.sparkSession.read.format("tiffplanes").load(path).select(F.expr("cast(substring(file, 7, 8) as int)").alias("t"), lit(0).alias("c"), c("page").alias("z"), "pixels", "high")
     return jobs.voxels_of(pages, 25).select("t", c("z").alias("page"), "y", "x", "v")
 
 
@@ -529,7 +530,7 @@ def _sk18(v: DataFrame) -> DataFrame:
     stack.register(v.sparkSession)
     written, path = _frames(v)
     written.collect()  # a name for each frame
-    pages = v.sparkSession.read.format("tiffplanes").load(path).select(F.expr("cast(substring(file, 7, 8) as int)").alias("t"), F.expr("page div 5").alias("c"), F.expr("page % 5").alias("z"), "pixels")
+    pages = v.sparkSession.read.format("tiffplanes").load(path).select(F.expr("cast(substring(file, 7, 8) as int)").alias("t"), F.expr("page div 5").alias("c"), F.expr("page % 5").alias("z"), "pixels", "high")
     return jobs.voxels_of(jobs.decode_chunks(jobs.encode_chunks(pages, 25, 4, 3)), 25)
 
 

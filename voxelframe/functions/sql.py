@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..codec import container
+from ..plans.spec import U16, FormatError
 
 
 def register(spark: SparkSession) -> None:
@@ -21,7 +22,10 @@ def register(spark: SparkSession) -> None:
 
     @F.pandas_udf("binary")
     def decode_volume(streams: pd.Series) -> pd.Series:
-        return pd.Series([v.astype("<u2").tobytes() for v in container.decode_volumes([bytes(s) for s in streams])])
+        volumes = container.decode_volumes([bytes(s) for s in streams])
+        if any(v.max() > U16 for v in volumes):
+            raise FormatError("samples exceed 16 bits")
+        return pd.Series([v.astype("<u2").tobytes() for v in volumes])
 
     @F.pandas_udf("binary")
     def get_metadata(data: pd.Series) -> pd.Series:

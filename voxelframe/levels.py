@@ -71,6 +71,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "encode":
         facts = tiff.inspect(uri(a.input))
         c, z = a.channels, a.slices
+        if facts["item"] > 2:
+            raise FormatError("samples must be unsigned of 8 or 16 bits")
         if facts["planes"] % (c * z):
             raise FormatError(f"{facts['planes']} pages are no whole number of frames of {c} channels and {z} slices")
         pages = spark.read.format("tiffplanes").load(uri(a.input))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.transform import q_symbol, sink_context
-from ..plans.spec import Options
+from ..plans.spec import U16, U32, Options
 
 
 @dataclass(frozen=True)
@@ -79,10 +79,15 @@ def contexts(voxels: DataFrame, g: Geometry, options: Options = Options()) -> Da
 
 
 def planes(voxels: DataFrame) -> DataFrame:
-    """One row for each plane, its pixels packed as little-endian 16-bit binary."""
-    word = F.unhex(F.concat(F.lpad(F.hex(F.col("v") % 256), 2, "0"), F.lpad(F.hex(F.expr("v div 256")), 2, "0")))
-    packed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", F.hex(word).alias("w")))), lambda s: s["w"]), "")
-    return voxels.groupBy("t", "c", "z").agg(F.unhex(packed).alias("pixels"))
+    """One row for each plane, its pixels packed as little-endian 16-bit binary; ``high`` has the bits above of planes with wider ones."""
+    sound = F.when(F.col("v").between(0, U32), F.col("v")).when(F.col("v").isNotNull(), F.raise_error(F.concat(F.lit(f"samples must lie in 0..{U32}: "), F.col("v"))))
+
+    def packed(shift: int) -> Column:
+        byte = lambda s, k: F.lpad(F.hex(F.shiftright(s["v"], shift + k).bitwiseAND(255)), 2, "0")
+        return F.unhex(F.array_join(F.transform("own", lambda s: F.concat(byte(s, 0), byte(s, 8))), ""))
+
+    rows = voxels.groupBy("t", "c", "z").agg(F.array_sort(F.collect_list(F.struct("y", "x", sound.alias("v")))).alias("own"), F.max("v").alias("most"))
+    return rows.select("t", "c", "z", packed(0).alias("pixels"), F.when(F.col("most") > U16, packed(16)).alias("high"))
 
 
 def hyperslab(voxels: DataFrame, **picks: int | slice) -> DataFrame:

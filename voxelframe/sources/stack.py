@@ -22,7 +22,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import datasource as D
 
 from ..codec import container
-from ..plans.jobs import BATCH_BYTES, PLANE_SCHEMA
+from ..plans.jobs import BATCH_BYTES, WIDE_SCHEMA, plane_words
 from ..plans.spec import Dims, FormatError
 
 #: Stored bytes that one partition reads.
@@ -101,9 +101,9 @@ class StackReader(D.DataSourceReader):
     @staticmethod
     def _decoded(held: list[tuple[container.Unit, bytes]]) -> Iterator[pa.RecordBatch]:
         for (u, _), v in zip(held, container.decoded_volumes([payload for _, payload in held])):
-            planes = [plane.astype("<u2").tobytes() for plane in v]
+            planes, high = zip(*map(plane_words, v))
             same = [pa.array([x] * len(planes), pa.int32()) for x in (u.t, u.c)]
-            yield pa.record_batch([*same, pa.array(range(u.z0, u.z0 + len(planes)), pa.int32()), pa.array(planes, pa.binary())], names=["t", "c", "z", "pixels"])
+            yield pa.record_batch([*same, pa.array(range(u.z0, u.z0 + len(planes)), pa.int32()), pa.array(planes, pa.binary()), pa.array(high, pa.binary())], names=["t", "c", "z", "pixels", "high"])
 
 
 @dataclass
@@ -175,7 +175,7 @@ class StackSource(D.DataSource):
         return "voxelstack"
 
     def schema(self) -> str:
-        return PLANE_SCHEMA
+        return WIDE_SCHEMA
 
     def reader(self, schema) -> StackReader:
         return StackReader(self.options)

@@ -1,6 +1,6 @@
 """TIFF stacks in Spark: the data source ``tiffplanes`` (a file or a folder of files) and a sink of one file for each frame.
 
-``spark.read.format("tiffplanes").load(path)`` gives ``file, page, width, height, bits, pixels``.
+``spark.read.format("tiffplanes").load(path)`` gives ``file, page, width, height, bits, pixels, high``.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import datasource as D
 
 from ..codec import tiff
+from ..plans.jobs import plane_samples, plane_words, with_high
 from ..plans.spec import FormatError
 from .stack import opener
 
-SCHEMA = "file string, page int, width int, height int, bits int, pixels binary"
+SCHEMA = "file string, page int, width int, height int, bits int, pixels binary, high binary"
 PAGES = 256
 
 
@@ -78,9 +80,9 @@ class TiffReader(D.DataSourceReader):
         with handle:
             for i, (page, sample, place) in enumerate(partition.parts, partition.first):
                 plane = tiff.read_plane(read, page, sample, place)
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                row = (name, i, plane.shape[1], plane.shape[0], 8 * page.item, plane.astype("<u2").tobytes())
-                yield pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds)], names=["file", "page", "width", "height", "bits", "pixels"])
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                row = (name, i, plane.shape[1], plane.shape[0], 8 * page.item, *plane_words(plane))
+                yield pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds)], names=["file", "page", "width", "height", "bits", "pixels", "high"])
 
 
 class TiffSource(D.DataSource):
@@ -99,27 +101,27 @@ def write_frames(planes: DataFrame, folder: str, width: int, height: int, count:
     """Writes planes (``t, c, z, pixels``) as one file of ``count`` pages for each ``t``; ``file, pages`` of those written.
 
     A frame is streamed page by page by the task that has it, to a name of its own that becomes the file's when it is
-    whole; a frame of another number of planes is an error and leaves no file.  A task that runs again replaces its files.
+    whole; one with samples above 16 bits has pages of 32.  A frame of another number of planes is an error and leaves no file.  A task that runs again replaces its files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, inner = pafs.FileSystem.from_uri(folder)
         fs.create_dir(inner)
-        rows = ((t, p) for b in batches for t, p in zip(b.column("t").to_pylist(), b.column("pixels")))
+        rows = ((t, p, h.as_py(), w) for b in batches for t, p, h, w in zip(b.column("t").to_pylist(), b.column("pixels"), b.column("high"), b.column("wide").to_pylist()))
         now = next(rows, None)
         while now is not None:
-            t, name = now[0], f"frame-{now[0]:08d}.tif"
+            t, name, own_item = now[0], f"frame-{now[0]:08d}.tif", 4 if now[3] and item == 2 else item
             part = f"{inner}/.{name}-{uuid.uuid4().hex}"
 
             def own() -> Iterator[np.ndarray]:
                 nonlocal now
                 while now is not None and now[0] == t:
-                    yield np.frombuffer(now[1].as_buffer(), "<u2").reshape(height, width)
+                    yield plane_samples(now[1].as_buffer(), now[2]).reshape(height, width)
                     now = next(rows, None)
 
             try:
                 with fs.open_output_stream(part) as out:
-                    for piece in tiff.page_stream(own(), count, width, height, item=item):
+                    for piece in tiff.page_stream(own(), count, width, height, item=own_item):
                         out.write(piece)
             except Exception:
                 fs.delete_file(part)
@@ -127,5 +129,6 @@ def write_frames(planes: DataFrame, folder: str, width: int, height: int, count:
             fs.move(part, f"{inner}/{name}")
             yield pa.record_batch([pa.array([name]), pa.array([count], pa.int32())], names=["file", "pages"])
 
-    dealt = planes.select("t", "c", "z", "pixels").repartition("t").sortWithinPartitions("t", "c", "z").select("t", "pixels")
+    rows = with_high(planes).select("t", "c", "z", "pixels", "high").repartition("t")
+    dealt = rows.withColumn("wide", F.max(F.col("high").isNotNull()).over(Window.partitionBy("t"))).sortWithinPartitions("t", "c", "z").select("t", "pixels", "high", "wide")
     return dealt.mapInArrow(run, "file string, pages int")

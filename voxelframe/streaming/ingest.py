@@ -26,6 +26,8 @@ def encode_stream(planes: DataFrame, width: int, height: int, depth: int, chunk_
         at, held = (state.get[0], list(state.get[1])) if state.exists else (0, [])
         out = []
         rows = pd.concat(list(batches)).sort_values("z", kind="stable")
+        if "high" in rows and rows["high"].notna().any():
+            raise ValueError(f"planes of t={key[0]}, c={key[1]} have samples above 16 bits")
         for z, pixels in zip(rows["z"], rows["pixels"]):
             if z != at or z >= depth:
                 raise ValueError(f"plane {z} of t={key[0]}, c={key[1]} came where {at} was due")
