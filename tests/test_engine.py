@@ -51,9 +51,9 @@ def wide(tmp_path_factory):
     folder = tmp_path_factory.mktemp("wide")
     con = duckdb.connect()
     for t in TABLES:
-        os.symlink(f"{SF}/{t}.parquet", folder / f"{t}.parquet") if t != "events" else con.execute(f"COPY (SELECT * REPLACE (value + CASE WHEN event_id % 97 = 5 THEN 700 ELSE 0 END AS value) FROM '{SF}/events.parquet') TO '{folder}/events.parquet'")
+        os.symlink(f"{SF}/{t}.parquet", folder / f"{t}.parquet") if t != "events" else con.execute(f"COPY (SELECT * REPLACE (value + CASE WHEN event_id % 197 = 5 THEN 700 ELSE 0 END AS value) FROM '{SF}/events.parquet') TO '{folder}/events.parquet'")
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    assert con.sql("SELECT count(*) FROM events WHERE value * 100 > 65535").fetchall() == [(11,)]
+    assert con.sql("SELECT count(*) FROM events WHERE value * 100 > 65535").fetchall() == [(6,)]  # in six of ten planes
     return str(folder), con
 
 
