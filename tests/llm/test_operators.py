@@ -619,6 +619,31 @@ def test_quality_by_joins_holds_one_part_at_a_time(spark, monkeypatch):
     assert alive and not any(alive)  # no frame of what was answered is left for the next part
 
 
+def test_shuffle_files_go_with_what_they_were_written_for(spark, monkeypatch):
+    from voxelframe.llm.common import CLEANUP, Scratch
+
+    dirs = [Path(d.getPath()) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f.name for d in dirs for f in d.rglob("shuffle_*.data")}
+    left, real = {}, Scratch.keep
+
+    def keep(self, df, name):
+        there = files()
+        out, until = real(self, df, name), time.time() + 10
+        while files() - there and time.time() < until:  # executors delete them meanwhile; the frame is still held
+            time.sleep(0.1)
+        left[name] = files() - there
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", keep)
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 20_000)
+    rows, labels = labelled(spark, 200)
+    assert quality.score(docs_of(spark, rows), labels, max_ngrams=0).count() == 200
+    assert sum(n.startswith("part") for n in left) > 1 and not any(left.values()), left
+    out = near_dup.near_duplicates(docs_of(spark, rows))
+    assert not any(left.values()), left
+    assert spark.conf.get(CLEANUP, "false") == "false" and out.collect() == out.collect()
+
+
 def test_quality_leaves_no_broadcast_to_its_result(spark, monkeypatch):
     made, real = [], type(spark.sparkContext).broadcast
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(real(self, value)) or made[-1])

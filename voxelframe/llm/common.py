@@ -44,14 +44,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Spark's own switch: the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage, so that a lost executor costs a re-read and no recomputation.
 
     A result that is still to be computed reads some of them, so those go when the application ends; ``only`` names
-    them, and the others go at once.
+    them, and the others go at once.  With ``prompt``, shuffle files of what is written go when it is; without, they stay until
+    the driver collects its garbage.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, prompt: bool = False):
+        self.prompt = prompt
         self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.held: list[DataFrame] = []
         self.names: list[str] = []
@@ -59,10 +65,23 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with self.writing():
+            df.write.option("compression", "zstd").parquet(path)
         self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @contextlib.contextmanager
+    def writing(self) -> Iterator[None]:
+        """Around a write; frames that are made within it and read again would miss their shuffle files."""
+        was = self.spark.conf.get(CLEANUP, None)
+        if self.prompt:
+            self.spark.conf.set(CLEANUP, "true")
+        try:
+            yield
+        finally:
+            if self.prompt:
+                self.spark.conf.unset(CLEANUP) if was is None else self.spark.conf.set(CLEANUP, was)
+
     def hold(self, df: DataFrame) -> DataFrame:
         """For a small table that is used twice and is quickly made from written ones: kept by the executors until ``let_go``."""
         self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))

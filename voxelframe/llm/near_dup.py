@@ -187,7 +187,7 @@ def _grouped(docs: DataFrame, size: int, threshold: int, bands: int, rows: int,
     The nodes are the distinct sets, each under a number of its own.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dup")
+    scratch = Scratch(spark, "near-dup", prompt=True)
     docs = _identified(docs, key, text)
 
     def release() -> None:
@@ -349,7 +349,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, ke
 
     Of rows that repeat key and text one stays.  Texts without words are linked with nothing and all stay.
     """
-    found = Scratch(docs.sparkSession, "near-dup-rows").keep(_grouped(docs, size, threshold, BANDS, ROWS, key, text).where("n > 0").withColumn("first", F.struct("id", "t1", "t2").eqNullSafe(F.struct("least.id", "least.t1", "least.t2"))).drop("least"), "rows")
+    found = Scratch(docs.sparkSession, "near-dup-rows", prompt=True).keep(_grouped(docs, size, threshold, BANDS, ROWS, key, text).where("n > 0").withColumn("first", F.struct("id", "t1", "t2").eqNullSafe(F.struct("least.id", "least.t1", "least.t2"))).drop("least"), "rows")
     i, t1, t2 = free_name(docs, "_id", "_t1", "_t2")
     rows = docs.withColumns({i: F.col(key).cast("long"), t1: F.xxhash64(F.col(text)), t2: F.xxhash64(F.lit(7), F.col(text))})
 

@@ -318,14 +318,16 @@ def train(texts: DataFrame | list[DataFrame], scratch: Scratch, text: str = "tex
 
     def made(dealt: DataFrame, f, level: str) -> DataFrame:
         path = f"{scratch.root}/{level}"
-        dealt.groupBy("shard").applyInArrow(f, _ROWS).write.partitionBy("kind").option("compression", "none").parquet(path)
+        with scratch.writing():
+            dealt.groupBy("shard").applyInArrow(f, _ROWS).write.partitionBy("kind").option("compression", "none").parquet(path)
         release(spark)
         return spark.read.schema(_ROWS).parquet(path)
 
     name = f"voxelframe_{uuid.uuid4().hex}"
     for t in texts if isinstance(texts, list) else [texts]:
         t = t.select(text).mapInArrow(trigrams, _ROWS).repartition(shards, "shard")
-        t.write.mode("append").format("parquet").option("compression", "none").option("path", f"{scratch.root}/dealt").bucketBy(shards, "shard").saveAsTable(name)
+        with scratch.writing():
+            t.write.mode("append").format("parquet").option("compression", "none").option("path", f"{scratch.root}/dealt").bucketBy(shards, "shard").saveAsTable(name)
         release(spark)
     levels = ("level3", "trigrams", "c3"), ("level2", "bigrams"), ("level1", "unigrams", "c2")
     scratch.names += ["dealt", *[f"{level}/kind={kind}" for level, *kinds in levels for kind in (*kinds, *["deal"] * (level != "level1"))]]
@@ -515,7 +517,8 @@ def with_logprob_by_joins(docs: DataFrame, tables: Tables, scratch: Scratch, tex
     for own, df in reversed(tables.written.items()):
         context = own.endswith(("c2", "c3"))
         df = df.select("words", "numbers").mapInArrow(pack(context), "shard int, context boolean, keys binary, counts binary").repartition(shards, "shard")
-        df.write.mode("append").format("parquet").option("compression", "none").option("path", f"{scratch.root}/{packed_to}").bucketBy(shards, "shard").saveAsTable(name)
+        with scratch.writing():
+            df.write.mode("append").format("parquet").option("compression", "none").option("path", f"{scratch.root}/{packed_to}").bucketBy(shards, "shard").saveAsTable(name)
         scratch.drop(own)
         release(spark)
     packed = spark.table(name)
@@ -549,7 +552,7 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, per_langu
     an empty result.  Columns named like the new ones are replaced.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
+    scratch = Scratch(spark, "quality", prompt=True)
     docs = docs.drop("n_tokens", "perplexity", "threshold", "keep")
     learn, rest = trusted_sample(docs, labels, per_language, key)
     learn = learn.withColumnRenamed("_id", key)
