@@ -644,6 +644,10 @@ def test_shuffle_files_go_with_what_they_were_written_for(spark, monkeypatch):
     assert spark.conf.get(CLEANUP, "false") == "false" and out.collect() == out.collect()
 
 
+def test_quality_model_of_the_driver_is_bounded():
+    assert 12 * quality.MAX_NGRAMS <= 16 << 20  # bytes of a model that is collected
+
+
 def test_quality_leaves_no_broadcast_to_its_result(spark, monkeypatch):
     made, real = [], type(spark.sparkContext).broadcast
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(real(self, value)) or made[-1])

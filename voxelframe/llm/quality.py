@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, free_name, group_key, hash_column, join_few, mix, text_slices
 
-#: N-grams that are broadcast, at 10 bytes each.
-MAX_NGRAMS = 1 << 22
+#: N-grams that are broadcast, at 10 bytes each; the driver takes some times that while it gathers them.
+MAX_NGRAMS = 1 << 20
 #: Of larger models: n-grams of a shard at most, bytes of text of a block of documents, and parts of the blocks that go one after the other.
 SHARD_NGRAMS, BLOCK_BYTES, PASSES = 1 << 20, 4 << 20, 8
 #: Of training: words that are counted at once, bytes of all texts for each shard, and parts of the texts that go one after the
