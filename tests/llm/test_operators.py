@@ -436,6 +436,38 @@ def test_components_of_a_long_chain(spark):
     assert len(got) == 3000 and {r["component"] for r in got} == {0}
 
 
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_components_of_random_links(spark, few):
+    from voxelframe.llm.common import Scratch
+
+    rng = random.Random(8)
+    links = [(rng.randrange(-900, 900), rng.randrange(-900, 900)) for _ in range(900)] + [(5000, 5000), (7000, 1 << 62)]
+    least = {x: x for ab in links for x in ab}
+    for _ in range(len(least)):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+        if all(least[a] == least[b] for a, b in links):
+            break
+    del least[5000]
+    got = near_dup.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "random"), few=few).collect()
+    own = {r["id"]: r["component"] for r in got}
+    assert len(own) == len(got) and set(own) <= set(least)
+    # a node whose only link is to itself may be left out, as it is its own component
+    assert {x: own.get(x, x) for x in least} == least
+
+
+def test_few_links_take_few_jobs(spark):
+    from voxelframe.llm.common import Scratch
+
+    scratch = Scratch(spark, "few")
+    links = scratch.keep(spark.range(0, 3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), "links")
+    spark.sparkContext.setJobGroup("few-links", "")
+    near_dup.components(links, scratch)
+    spark.sparkContext.setJobGroup("others", "")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")
+    assert 0 < len(jobs) <= 4
+
+
 def test_near_duplicates_empty(spark):
     assert near_dup.near_duplicates(docs_of(spark, [])).count() == 0
     got = near_dup.near_duplicates(docs_of(spark, [(1, None), (2, ""), (3, " ")])).collect()

@@ -38,6 +38,8 @@ _MULTIPLIERS = (mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9E3779B97F
 CHUNK = 1 << 14
 #: Bytes of sets in one block of the last comparison.
 BLOCK_BYTES = 1 << 19
+#: Links that one task connects; more are connected by rounds over all tasks.
+FEW_LINKS = 1 << 16
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -139,14 +141,45 @@ def _check(pairs: DataFrame, threshold: int, exact: bool) -> DataFrame:
     return pairs.select("a", "b", "a_x", "b_x").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFrame:
-    """``id, component`` (the smallest id reachable) of every node of ``edges`` (``a``, ``b``).
+def _connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links and the smallest node that each reaches, without those that are it themselves."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(u):
+        u, v = root[u], root[v]
+        apart = u != v
+        u, v = np.maximum(u, v)[apart], np.minimum(u, v)[apart]
+        np.minimum.at(root, u, v)
+        while (root != (up := root[root])).any():
+            root = up
+    moved = root != np.arange(len(ids))
+    return ids[moved], ids[root[moved]]
 
-    Alternates large-star (each node links its larger neighbours to the smallest of all) and small-star (its smaller
+
+def _connected_here(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = [(np.asarray(x.column("a")), np.asarray(x.column("b"))) for x in batches]
+        if links:
+            ids, least = _connected(*map(np.concatenate, zip(*links)))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(least, pa.int64())], names=["id", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "id long, component long")
+
+
+def components(edges: DataFrame, scratch: Scratch, label: str = "cc", few: int = FEW_LINKS) -> DataFrame:
+    """``id, component`` (the smallest id reachable, which has no row itself) of the nodes of ``edges`` (``a``, ``b``), a written table.
+
+    Up to ``few`` links, whatever the input, are connected by one task, as rounds of many nearly empty tasks take longer.
+
+    Beyond, alternates large-star (each node links its larger neighbours to the smallest of all) and small-star (its smaller
     neighbours and itself) until nothing changes.  Only minima are aggregated by node, and they go back to the
     edges by a join that spreads hot nodes.
     """
-    edges = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-0")
+    edges = edges.where("a <> b").select("a", "b")
+    if edges.count() <= few:
+        return scratch.keep(_connected_here(edges), label)
+    edges = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-0")
     last = None
     for i in itertools.count(1):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
