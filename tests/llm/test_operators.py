@@ -782,6 +782,19 @@ def test_lattice_sums_all_segmentations():
     assert math.isclose(sum(u * len(x) for u, x in zip(uses, pieces)), 3, rel_tol=1e-9)
 
 
+def test_lattice_in_plain_sums_equals_logarithms(monkeypatch):
+    rng = np.random.default_rng(3)
+    pieces = [bytes([b]) for b in range(256)] + [b" a", b"ab", b"ba", b"abc", b"aaaa"]
+    lattice = lm_score.Lattice(pieces, rng.normal(size=(3, len(pieces))), np.array([0.3, 0.2, 0.1]))
+    words = sorted({b"abc"[: 1 + i % 3] * int(n) for i, n in enumerate(rng.integers(1, 40, 90))} | {b"a" * 900, bytes(range(33, 60))})
+    there = rng.random((len(words), 3)) < 0.6
+    assert lattice.is_short(20) and not lattice.is_short(900)
+    plain = lattice.marginal(words), lattice.expected(words, there)
+    monkeypatch.setattr(lm_score.Lattice, "is_short", lambda self, n: False)
+    for x, y in zip(plain, (lattice.marginal(words), lattice.expected(words, there))):
+        assert np.isfinite(x).all() and np.allclose(x, y, rtol=1e-10, atol=1e-12)
+
+
 def test_lm_base_score_matches_brute_force(spark, mess):
     rows, _ = labelled(spark, 120)
     rows += [(5000 + r[0], *r[1:]) for r in mess]

@@ -73,6 +73,7 @@ class Lattice:
         self.pieces, self.stop = pieces, stop
         norm = weights - np.logaddexp.reduce(weights, axis=1, keepdims=True) + np.log1p(-stop)[:, None]
         self.log_p = np.hstack([norm, np.full((len(norm), 1), -np.inf)])  # the last column is no piece
+        self.p, self.least = np.exp(self.log_p), float(norm.min())
         self.tables, self.bits = {}, np.zeros(1 << 20, dtype=bool)
         for k in sorted({len(p) for p in pieces}):
             own = np.array([i for i, p in enumerate(pieces) if len(p) == k])
@@ -93,7 +94,7 @@ class Lattice:
         return mix(out)
 
     def edges(self, x: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """For each length the pieces (or -1) that start at each position of the words ``x`` (one row each)."""
+        """For each length the pieces (or their number, for none) that start at each position (one row each) of the words ``x``."""
         out, h = [], None
         n = x.shape[1]
         for k in range(1, min(n, max(self.tables)) + 1):
@@ -108,18 +109,35 @@ class Lattice:
             i[i == len(keys)] = 0
             hit = keys[i] == wanted
             if hit.any():
-                got = np.full(h.shape, -1, dtype=np.int64)
-                got[at[0][hit], at[1][hit]] = own[i[hit]]
+                got = np.full(h.shape[::-1], len(self.pieces), dtype=np.int64)
+                got[at[1][hit], at[0][hit]] = own[i[hit]]
                 out.append((k, got))
         return out
 
+    def is_short(self, n: int) -> bool:
+        """Whether no path through ``n`` bytes is too improbable for a double, so that plain sums do; others take logarithms."""
+        return n * self.least > -600
+
+    @staticmethod
+    def _paths(n: int, weighed: list[tuple[int, np.ndarray]], back: bool = False) -> np.ndarray:
+        """The sum over all paths from the start to each position, or from there to the end."""
+        out = np.zeros((n + 1, weighed[0][1].shape[1])) if weighed else np.zeros((n + 1, 0))
+        out[n if back else 0] = 1.0
+        for j in range(n - 1, -1, -1) if back else range(1, n + 1):
+            for k, p in weighed:
+                if back and j + k <= n:
+                    out[j] += out[j + k] * p[j]
+                elif not back and k <= j:
+                    out[j] += out[j - k] * p[j - k]
+        return out
+
     def forward(self, x: np.ndarray, edges: list[tuple[int, np.ndarray]], log_p: np.ndarray) -> np.ndarray:
         """log of the sum over all paths from the start to each position."""
         n = x.shape[1]
         alpha = np.full((n + 1, len(x)), -np.inf)
         alpha[0] = 0.0
         for j in range(1, n + 1):
-            into = [alpha[j - k] + log_p[got[:, j - k]] for k, got in edges if k <= j]
+            into = [alpha[j - k] + log_p[got[j - k]] for k, got in edges if k <= j]
             alpha[j] = _log_sum(into)
         return alpha
 
@@ -128,7 +146,7 @@ class Lattice:
         beta = np.full((n + 1, len(x)), -np.inf)
         beta[n] = 0.0
         for j in range(n - 1, -1, -1):
-            beta[j] = _log_sum([beta[j + k] + log_p[got[:, j]] for k, got in edges if j + k <= n])
+            beta[j] = _log_sum([beta[j + k] + log_p[got[j]] for k, got in edges if j + k <= n])
         return beta
 
     def _batches(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -146,7 +164,12 @@ class Lattice:
         for some, x in self._batches(words):
             edges = self.edges(x)
             for i, log_p in enumerate(self.log_p):
-                out[some, i] = self.forward(x, edges, log_p)[-1] + np.log(self.stop[i])
+                if self.is_short(x.shape[1]) and edges:
+                    with np.errstate(divide="ignore"):
+                        whole = np.log(self._paths(x.shape[1], [(k, self.p[i][got]) for k, got in edges])[-1])
+                else:
+                    whole = self.forward(x, edges, log_p)[-1]
+                out[some, i] = whole + np.log(self.stop[i])
         return out
 
     def expected(self, words: list[bytes], there: np.ndarray) -> np.ndarray:
@@ -158,12 +181,22 @@ class Lattice:
                 own = np.flatnonzero(there[some, i])
                 if not len(own):
                     continue
-                part = edges if len(own) == len(x) else [(k, got[own]) for k, got in edges]
+                part = edges if len(own) == len(x) else [(k, got[:, own]) for k, got in edges]
+                if self.is_short(x.shape[1]) and edges:
+                    weighed = [(k, self.p[i][got]) for k, got in part]
+                    alpha, beta = self._paths(x.shape[1], weighed), self._paths(x.shape[1], weighed, back=True)
+                    alpha /= alpha[-1]
+                    for (k, p), (_, got) in zip(weighed, part):
+                        n = len(got)
+                        p *= alpha[:n]
+                        p *= beta[k : k + n]
+                        out[i] += np.bincount(got.ravel(), p.ravel(), len(log_p))
+                    continue
                 alpha, beta = self.forward(x[own], part, log_p), self.backward(x[own], part, log_p)
                 for k, got in part:
-                    n = got.shape[1]
-                    share = np.exp(alpha[:n].T + log_p[got] + beta[k : k + n].T - alpha[-1][:, None])
-                    out[i] += np.bincount((got % len(log_p)).ravel(), share.ravel(), len(log_p))
+                    n = len(got)
+                    share = np.exp(alpha[:n] + log_p[got] + beta[k : k + n] - alpha[-1])
+                    out[i] += np.bincount(got.ravel(), share.ravel(), len(log_p))
         return out[:, :-1]
 
 
