@@ -66,6 +66,29 @@ def test_samples_above_16_bits_match_sql(spark, wide, name):
     assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("name", "ec1_ec4_roundtrip ec2_lossy_roundtrip sc12_write_and_read sk1_encode_stats sk2_lossy_stats".split())
+def test_far_outliers_match_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (CASE event_id % 97 WHEN 5 THEN 1424.84 WHEN 6 THEN 1424.85 + event_id WHEN 7 THEN 42949672.95 ELSE value END AS value) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    want = con.sql("SELECT " + ", ".join(f'"{c}"' for c in columns) + f" FROM ({catalog.ORACLES[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, want))
+
+
+def test_symbols_above_255_need_a_saturated_end():
+    cal = Calibration(100.0, 0.46, 2.0)
+    v = np.array([[[0, 65535, 142021, 142022, 2**32 - 1]]])
+    data, stats = container.encode_volume(v, calibration=cal)
+    assert container.decode_volume(data)[0, 0, 1:].tolist() == container.rebuilt(container.quantised(v[0, 0, 1:], cal), cal).tolist()
+    assert stats["q_max"] == container.quantised(v.max(), cal) > 255
+    for cal in (Calibration(0, 1, 2), Calibration(509, 1, 2)):  # 255 decodes to 65025 and to 65534
+        with pytest.raises(FormatError, match="256"):
+            container.encode_volume(np.array([[[0, 65536 + int(cal.offset)]]]), calibration=cal)
+    assert container.decode_volume(container.encode_volume(np.array([[[66046]]]), calibration=Calibration(510, 1, 2))[0]).item() == 65535
+
+
 def test_wide_streams_are_verified():
     v = np.array([[[0, 65535, 65536, 2**32 - 1], [7, 8, 9, 70000]]] * 3)
     data, stats = container.encode_volume(v, Options(2))
