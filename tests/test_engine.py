@@ -198,6 +198,21 @@ def test_many_small_volumes_take_bounded_memory():
         assert max(encoding, decoding) < 2 * container.WORK_BYTES, (encoding, decoding)
 
 
+@pytest.mark.parametrize("depths", [(3, 2)], ids=["sc28_headers"])
+def test_chunks_of_the_header_queries_take_bounded_memory(depths):
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    arrays_ = [np.round(rng.exponential(5000, (d, 4, 25))).astype(np.int64) for _ in range(120) for d in depths]
+    arrays_[7][0, 0, 0] = 70000  # one that takes more than 16 bits
+    tracemalloc.start()
+    done = container.encode_volumes(arrays_, Options(block_depth=2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * container.WORK_BYTES, peak
+    assert [struct.unpack_from("<IIII", data, 8) for data, _ in done] == [(25, 4, d, 2) for _ in range(120) for d in depths]
+
+
 @st.composite
 def volumes(draw):
     """Volumes of a few blocks: counts of light, ramps, or values around the powers of two and the squares."""
