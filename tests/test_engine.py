@@ -198,7 +198,7 @@ def test_many_small_volumes_take_bounded_memory():
         assert max(encoding, decoding) < 2 * container.WORK_BYTES, (encoding, decoding)
 
 
-@pytest.mark.parametrize("depths", [(3, 2)], ids=["sc28_headers"])
+@pytest.mark.parametrize("depths", [(3, 2), (2, 2, 1)], ids=["sc28_headers", "sc2_payload_check"])
 def test_chunks_of_the_header_queries_take_bounded_memory(depths):
     import tracemalloc
 
