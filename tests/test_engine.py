@@ -77,6 +77,12 @@ def test_far_outliers_match_sql(spark, tmp_path, name):
     assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, want))
 
 
+def test_a_stack_of_no_events_is_read_as_no_rows(spark, tmp_path):
+    duckdb.connect().execute(f"COPY (SELECT * FROM '{SF}/events.parquet' WHERE false) TO '{tmp_path}/events.parquet'")
+    none, some = (catalog.QUERIES["sc12_write_and_read"](spark, str(d)) for d in (tmp_path, SF))
+    assert none.collect() == [] and none.dtypes == some.dtypes
+
+
 def test_symbols_above_255_need_a_saturated_end():
     cal = Calibration(100.0, 0.46, 2.0)
     v = np.array([[[0, 65535, 142021, 142022, 2**32 - 1]]])

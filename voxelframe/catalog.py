@@ -487,6 +487,8 @@ def _written(spark: SparkSession, v: DataFrame, path: str) -> None:
 def _sc12(v: DataFrame) -> DataFrame:
     from .plans import jobs
 
+    if v.isEmpty():  # a stack has one frame at least
+        return v.select(*[c(n).cast("long").alias(n) for n in ("t", "c", "z", "y", "x", "v")])
     spark, path = v.sparkSession, _folder(v.sparkSession)
     _written(spark, v, path)
     return jobs.voxels_of(spark.read.format("voxelstack").load(path).where("c = 1 and z >= 3"), 25)
